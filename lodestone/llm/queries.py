@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import licenses, mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,16 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op9_mix_sources": op9_mix_sources}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op9_mix_sources": mixing.MIX_SQL}
+
+QUERIES: dict[str, Query] = {
+    "op9_mix_sources": op9_mix_sources,
+    "op10_license_scan": op10_license_scan,
+}
+
+ORACLES: dict[str, str] = {
+    "op9_mix_sources": mixing.MIX_SQL,
+    "op10_license_scan": licenses.scan_sql(),
+}
