@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing
+from . import licenses, mixing, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
 }
