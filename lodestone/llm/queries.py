@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, secrets
+from . import licenses, mixing, ngram_join, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,17 +20,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op4_ngram_join": op4_ngram_join,
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_join": ngram_join.JOIN_SQL,
     "op9_mix_sources": mixing.MIX_SQL,
     "op10_license_scan": licenses.scan_sql(),
 }
