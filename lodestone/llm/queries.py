@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, ngram_join, quality, secrets, toxicity
+from . import licenses, mixing, mpeg, ngram_join, quality, secrets, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op1_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digest(mpeg.encode(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mpeg_media": op1_mpeg_media,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_ngram_join": op4_ngram_join,
     "op7_toxicity": op7_toxicity,
