@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mpeg, ngram_join, quality, secrets, toxicity
+from . import licenses, mixing, mpeg, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mpeg_media": op1_mpeg_media,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_ngram_join": op4_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
