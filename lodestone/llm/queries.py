@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mpeg, ngram_join, quality, secrets, toxicity, warc
+from . import licenses, lm, mixing, mpeg, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_ngram_join": op4_ngram_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op4_ngram_join": ngram_join.JOIN_SQL,
+    "op5_lm_scoring": lm.SCORE_SQL,
     "op9_mix_sources": mixing.MIX_SQL,
     "op10_license_scan": licenses.scan_sql(),
 }
