@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, Words, batches, words_of
@@ -33,10 +33,10 @@ from .hashing import U, Words, batches, words_of
 #: Words of a block; two blocks make a passage.
 BLOCK = 24
 SLOT_BITS = 16
-MAX_DF = 0.1
+MAX_DF = 0.02
 MAX_TERMS = 1 << 15
-RANK, OVERSAMPLING = 128, 16
-COSINE = 0.5
+RANK, OVERSAMPLING = 96, 16
+COSINE = 0.35
 LCS_SHARE = 0.7
 #: Items with fewer words must be there word by word.
 SHORT = 8
@@ -205,6 +205,11 @@ class Index:
         for n in numbers:
             rare = sorted(Counter(n.tolist()), key=lambda t: (-terms.idf[t], t))[:ANSWER_WORDS]
             self.answers.append({int(terms.hash[t]) for t in rare})
+        self.answer_numbers = np.full((len(items), ANSWER_WORDS), -2)
+        for i, n in enumerate(numbers):
+            rare = terms.of(np.array(sorted(self.answers[i]), U))
+            self.answer_numbers[i, : len(rare)] = rare
+        self.answer_need = np.array([math.ceil(ANSWER_SHARE * len(a)) for a in self.answers], np.int64)
         self.has = np.zeros((len(items), len(terms.hash) + 1), bool)  # the last column is for other words
         for i, n in enumerate(numbers):
             self.has[i, n] = True
@@ -247,7 +252,7 @@ class Index:
         """(text number, item number, cosine, LCS) of every text and item that pass the checks."""
         w = words_of(texts)
         at, item, cosine, text, edge = self.candidates(w)
-        # words of the item near the passage: an upper bound of any common subsequence there
+        # the answer, and as many of the item's words as a subsequence needs, must stand near the passage at all
         first, last = w.first[text[at]], w.first[text[at] + 1]
         reach = self.length[item] // 4
         begin = np.maximum(first, edge[at] - self.length[item])
@@ -259,8 +264,11 @@ class Index:
             width = int((end[b] - begin[b]).max(initial=0))
             spot = begin[b][:, None] + np.arange(width)[None, :]
             inside = spot < end[b][:, None]
-            hits = self.has[item[b][:, None], self.numbers[np.minimum(spot, len(self.numbers) - 1)]] & inside
-            keep.append(hits.sum(axis=1) >= self.need[item[b]])
+            near = np.where(inside, self.numbers[np.minimum(spot, len(self.numbers) - 1)], -1)
+            answered = sum((near == self.answer_numbers[item[b]][:, k, None]).any(axis=1).astype(np.int64) for k in range(ANSWER_WORDS))
+            enough = answered >= self.answer_need[item[b]]
+            enough[enough] = self.has[item[b][enough][:, None], near[enough]].sum(axis=1) >= self.need[item[b][enough]]
+            keep.append(enough)
         for i in np.flatnonzero(np.concatenate(keep) if keep else np.empty(0, bool)).tolist():
             j, t = int(item[i]), int(text[at[i]])
             n, need, words = int(self.length[j]), int(self.need[j]), w.hash[begin[i] : end[i]].tolist()
@@ -277,14 +285,19 @@ class Index:
         return [(t, j, c, got) for (t, j), (c, got) in sorted(found.items())]
 
 
+def _lowered(column: str) -> Column:
+    """Letters of every script lowered, as UTF-8 bytes."""
+    return F.lower(F.col(column)).cast("binary")
+
+
 def index(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", rank: int = RANK) -> Index:
     """Build the index of the benchmark over all passages of docs. Items with a null text are empty."""
     spark = docs.sparkSession
-    rows = benchmark.select(id_column, F.coalesce(F.col("text"), F.lit("")).cast("binary")).orderBy(id_column).collect()
+    rows = benchmark.select(id_column, F.coalesce(_lowered("text"), F.lit(b""))).orderBy(id_column).collect()
     ids, texts = [r[0] for r in rows], [bytes(r[1]) for r in rows]
     w = words_of(texts) if texts else None
     items = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))] if w else []
-    given = docs.select(F.col("text").cast("binary").alias("text"))
+    given = docs.select(_lowered("text").alias("text"))
     df = _gathered(given.mapInArrow(_frequencies, "piece int, part binary"))
     df = df if len(df) else np.zeros((1 << SLOT_BITS) + 1)
     # every item is a passage too
@@ -328,7 +341,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", rank
     """
     built = docs.sparkSession.sparkContext.broadcast(index(docs, benchmark, id_column, rank))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+    return docs.select("doc_id", _lowered("text").alias("text")).mapInArrow(
         _searched(built), f"doc_id {kind}, item_id bigint, cosine double, lcs bigint, lcs_share double"
     )
 
@@ -350,5 +363,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", ran
     """The rows of docs, all columns, that hold no item. Each row is judged by its own text."""
     built = docs.sparkSession.sparkContext.broadcast(index(docs, benchmark, id_column, rank))
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by position, so names cannot clash
-    given = docs.toDF(*names).withColumn("text_", F.col(names[docs.columns.index("text")]).cast("binary"))
+    given = docs.toDF(*names).withColumn("text_", _lowered(names[docs.columns.index("text")]))
     return given.mapInArrow(_cleaned(built), ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))).toDF(*docs.columns)
