@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import pools, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, pools)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
