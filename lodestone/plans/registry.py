@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pools, retrieval
+from . import analysis, pools, retrieval
 
-MODULES = (retrieval, pools)
+MODULES = (retrieval, pools, analysis)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
