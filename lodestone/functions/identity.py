@@ -23,7 +23,7 @@ def canonical(*columns: str | Column) -> Column:
 
 def variant_id(text: Column, timestamp: Column, *more: Column) -> Column:
     """One id for the same bytes, time spelling and further fields; a change of any makes another."""
-    return F.sha2(F.concat_ws("\u0001", F.lit("variant"), F.base64(F.encode(text, "UTF-8")), F.coalesce(timestamp, F.lit("\u0000")), *more), 256)
+    return F.sha2(F.concat_ws("\u0001", F.lit("variant"), F.sha2(text.cast("binary"), 256), F.coalesce(timestamp, F.lit("\u0000")), *more), 256)
 
 
 def occurrence_id(artifact: Column, line: Column) -> Column:

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 DAY = 86400
 #: 2024-01-01 and 2024-07-01, in UTC.
 CORPUS_START, QUESTION_START = 1704067200, 1719792000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
