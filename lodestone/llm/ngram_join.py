@@ -11,6 +11,9 @@ The same stage keeps a parity sketch of each set (a bit for each hash slot, flip
 Bits in which two sketches differ are never more than the elements in which the sets differ, so the sketch
 rejects most pairs that merely share a signature, and never a similar one.
 
+Signatures are made twice: once to count which of them stand for more than one set, and again to write only
+those, by a bit filter of fixed size; most sets have none. So no more than the count travels with every signature.
+
 Groups of copies do not become pairs:
 
 1. Equal sets form a class; only its representative goes on.
@@ -42,6 +45,8 @@ N2, K2 = 2, 1
 MOST_BROADCAST = 2_000_000
 #: Least bits of a parity sketch.
 LEAST_BITS = 512
+#: Of the filter that keeps signatures which only one set has from being written: 4 MB.
+FILTER_BITS = 25
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -101,33 +106,59 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _sketched(percent: int, n: int):
+def _signed(percent: int, n: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = bands(1 << 32, percent)
         for batch in it:
-            ids = batch.column(0)
+            for _, texts in batches(batch.column(0).to_pylist()):
+                sets = [s for s in shingle_sets(texts, n) if len(s)]
+                sigs = [signatures(s, percent, ends) for s in sets]
+                own = np.repeat(np.array([set_hash(s)[0] for s in sets], np.int64), [len(x) for x in sigs])
+                yield pa.record_batch([pa.array(np.concatenate([*sigs, np.empty(0, U)]).view(np.int64)), pa.array(own)], names=["sig", "h1"])
+
+    return run
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that, with the size, stand for the set."""
+    return int(mix(s).sum(dtype=U).astype(np.int64)), int(mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).astype(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0] + [len(x) for x in arrays]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*arrays, np.empty(0, np.int64)])))
+
+
+def _sketched(percent: int, n: int, filled):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, bitmap = bands(1 << 32, percent), filled.value
+        for batch in it:
             for at, texts in batches(batch.column(1).to_pylist()):
                 size, h1, h2, sigs, bits = [], [], [], [], []
                 for s in shingle_sets(texts, n):
                     size.append(len(s))
-                    h1.append(int(mix(s).sum(dtype=U).astype(np.int64)))
-                    h2.append(int(mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).astype(np.int64)))
-                    sigs.append(signatures(s, percent, ends).view(np.int64) if len(s) else np.empty(0, np.int64))
-                    bits.append(parity(s) if len(s) else np.empty(0, np.int64))
-                yield pa.record_batch(
-                    [
-                        ids.slice(at, len(texts)).cast(pa.int64()),
-                        pa.array(size, pa.int64()),
-                        pa.array(h1, pa.int64()),
-                        pa.array(h2, pa.int64()),
-                        *[pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in v]), pa.int32()), pa.array(np.concatenate(v))) for v in (sigs, bits)],
-                    ],
-                    names=["doc_id", "size", "h1", "h2", "sigs", "bits"],
-                )
+                    h1.append(set_hash(s)[0])
+                    h2.append(set_hash(s)[1])
+                    x = signatures(s, percent, ends) if len(s) else np.empty(0, U)
+                    slot = (x & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    sigs.append(x[bitmap[slot >> 6] >> (slot & 63).astype(U) & U(1) == 1].view(np.int64))
+                    bits.append(parity(s) if len(s) and len(sigs[-1]) else np.empty(0, np.int64))
+                numbers = [pa.array(x, pa.int64()) for x in (size, h1, h2)]
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *numbers, _lists(sigs), _lists(bits)], names=["doc_id", "size", "h1", "h2", "sigs", "bits"])
 
     return run
 
 
+def _bitmap(common: DataFrame) -> np.ndarray:
+    """A bit for each slot of a signature: at most 2**FILTER_BITS bits come to the driver, whatever the table's size."""
+    slot = F.col("sig").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = common.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((sig & {(1 << FILTER_BITS) - 1}L) & 63L AS INT))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(U)
+
+
 def _verified(percent: int, n: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -171,15 +202,18 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     an id count as one document where links are followed; rows with a null id link with nothing and have null
     class and component. An empty table gives an empty result; other columns of docs are not read.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = staged(docs.mapInArrow(_sketched(percent, n), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>"), "sets")
-    classes = rows.where("doc_id IS NOT NULL AND size > 0").groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    reps = rows.join(classes, ["size", "h1", "h2"]).where("doc_id = class_id").dropDuplicates(["size", "h1", "h2"])
-    reps = staged(reps.select("doc_id", "size", "sigs", "bits"), "reps")
-
-    each = reps.select("doc_id", F.explode("sigs").alias("sig"))
-    common = each.groupBy("sig").count().where("count > 1")
-    groups = staged(each.join(common, "sig").distinct(), "groups")
+    every = docs.select("text").mapInArrow(_signed(percent, n), "sig bigint, h1 bigint")
+    common = staged(every.groupBy("sig").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("sig"), "common")
+    filled = spark.sparkContext.broadcast(_bitmap(common))
+    rows = staged(docs.mapInArrow(_sketched(percent, n, filled), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>"), "sets")
+    known = rows.where("doc_id IS NOT NULL AND size > 0")
+    classes = known.groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
+
+    each = known.select("size", "h1", "h2", "doc_id", F.explode("sigs").alias("sig")).groupBy("sig", "size", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    members = staged(each.join(common, "sig").select("sig", "doc_id"), "members")
+    groups = staged(members.join(members.groupBy("sig").count(), "sig"), "groups")
     fame = groups.groupBy("doc_id").agg(F.sum("count").alias("fame"))
     hubs = groups.join(fame, "doc_id").groupBy("sig").agg(F.max_by("doc_id", "fame").alias("hub"))
     stars = groups.join(hubs, "sig").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"), "hub").distinct()
@@ -190,10 +224,10 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     # Of every member, a hub that it is linked with; then the pairs of a group whose hubs differ.
     led = stars.join(near, ["a", "b"]).select(F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("doc_id"), "hub")
     led = led.unionByName(led.select(F.col("hub").alias("doc_id"), "hub")).groupBy("doc_id").agg(F.min("hub").alias("hub"))
-    known = groups.select("sig", "doc_id").join(led, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id"))
-    split = known.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).where("x < y").select("sig")
-    sketch = reps.select("doc_id", "size", "bits")
-    left = staged(known.join(split, "sig", "left_semi").join(sketch, "doc_id"), "split")
+    led = members.join(led, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id"))
+    split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).where("x < y").select("sig")
+    sketch = known.join(classes, ["size", "h1", "h2"]).where("doc_id = class_id").groupBy("doc_id", "size", "h1", "h2").agg(F.first("bits").alias("bits"))
+    left = staged(led.join(split, "sig", "left_semi").join(sketch.select("doc_id", "size", "bits"), "doc_id"), "split")
     x, y = left.alias("x"), left.alias("y")
     most = F.floor((F.col("x.size") + F.col("y.size")) * (100 - percent) / (100 + percent))
     apart = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + coalesce(v, 0))")
