@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, evidence, pools, retrieval, streams
+from . import analysis, audit, evidence, pools, retrieval, streams
 
-MODULES = (retrieval, pools, analysis, evidence, streams)
+MODULES = (retrieval, pools, analysis, evidence, streams, audit)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
