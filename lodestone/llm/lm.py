@@ -3,7 +3,7 @@
 The relations are the documents' n-grams (orders 1 to ORDER, by 56-bit hash) and the count table, partitioned
 by hash. Rows of single n-grams would be a dozen times the corpus, so both travel in blocks:
 
-1. Documents are dealt into chunks of about CHUNK_BYTES by a hash.
+1. Pieces of a task's documents, packed, are dealt into chunks of about CHUNK_BYTES by a hash.
 2. A chunk's distinct n-grams, sorted, are cut by the leading bits of their hash into blocks of (hash, count in
    the chunk), one for each partition of the count table; hashes are stored as differences.
 3. A partition of the count table is the sum of its blocks. It answers each block with the total counts, in
@@ -17,6 +17,7 @@ one entry of each block, so no partition is hot. Scoring runs on whole texts.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,23 @@ def _sized(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([n_bytes]), pa.array([n_words])], names=["n_bytes", "n_words"])
 
 
+def _packed(n_chunks: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at, texts in batches(batch.column(1).to_pylist()):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, len(texts))]) for c in batch.columns], schema=batch.schema))
+                pack = sink.getvalue().to_pybytes()
+                yield pa.record_batch([pa.array([zlib.crc32(pack) % n_chunks]), pa.array([pack], pa.binary())], names=["chunk", "pack"])
+
+    return run
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in sorted(packs["pack"].to_pylist())])
+
+
 def _chunk_keys(texts: list[bytes], order: int) -> tuple[list, list[np.ndarray], np.ndarray]:
     """Of a chunk's texts: (words, n-gram starts by order) of its batches, the keys by batch and order, and all keys."""
     parsed, keys = [], []
@@ -84,7 +102,7 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
 
 def _blocks(order: int, part_bits: int):
     def run(table: pa.Table) -> pa.Table:
-        _, _, keys = _chunk_keys(table["text"].to_pylist(), order)
+        _, _, keys = _chunk_keys(_unpacked(table)["text"].to_pylist(), order)
         keys, counts = np.unique(keys, return_counts=True)
         edge = np.searchsorted(keys, np.arange((1 << part_bits) + 1, dtype=U) << U(BITS - part_bits))
         full = np.flatnonzero(edge[1:] > edge[:-1])
@@ -105,7 +123,8 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def _scored(order: int, alpha: float, min_count: int, n_words: int, id_type: pa.DataType):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unpacked(packs)
         texts = docs["text"].to_pylist()
         parsed, keys, all_keys = _chunk_keys(texts, order)
         _, where = np.unique(all_keys, return_inverse=True)
@@ -163,7 +182,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     n_bytes, n_words = size["b"] or 0, size["w"] or 0
     n_chunks = max(1, -(-n_bytes // chunk_bytes))
     part_bits = max(0, (n_chunks - 1).bit_length())
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("bigint")).repartition(n_chunks, "chunk")
+    dealt = docs.mapInArrow(_packed(n_chunks), "chunk bigint, pack binary").repartition(n_chunks, "chunk")
     blocks = dealt.groupBy("chunk").applyInArrow(_blocks(order, part_bits), "chunk bigint, part bigint, block binary")
     answers = blocks.groupBy("part").applyInArrow(_answers, "chunk bigint, part bigint, answer binary")
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
