@@ -14,8 +14,13 @@ from lodestone.session import importable
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to a Python worker. The default, 10,000 texts or pairs of texts, is most of a worker's memory.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

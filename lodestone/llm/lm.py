@@ -30,7 +30,7 @@ from .hashing import U, batches, grams, mix, words_of
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Bits of the n-gram hashes that are kept.
 BITS = 56
 
