@@ -209,6 +209,9 @@ class Index:
         for i, n in enumerate(numbers):
             rare = terms.of(np.array(sorted(self.answers[i]), U))
             self.answer_numbers[i, : len(rare)] = rare
+        item, place = np.nonzero(self.answer_numbers >= 0)
+        by = np.argsort(self.answer_numbers[item, place], kind="stable")
+        self.asked = self.answer_numbers[item, place][by], item[by], place[by]  # term, item and place of every answer word
         self.answer_need = np.array([math.ceil(ANSWER_SHARE * len(a)) for a in self.answers], np.int64)
         self.has = np.zeros((len(items), len(terms.hash) + 1), bool)  # the last column is for other words
         for i, n in enumerate(numbers):
@@ -248,10 +251,35 @@ class Index:
         at, item, cosine = (np.concatenate(c) for c in zip(*out, strict=True))
         return at, item, cosine, text, edge
 
+    def answered(self, at: np.ndarray, item: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's answer words stand in the blocks around a passage: never false where the checks hold.
+
+        Answer words are rare, so their places, each spread over the passages that it may belong to, are few.
+        """
+        term, asked_item, place = self.asked
+        first, last = np.searchsorted(term, self.numbers, "left"), np.searchsorted(term, self.numbers, "right")
+        word = np.repeat(np.arange(len(self.numbers)), last - first)
+        which = np.arange(len(word)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[word]
+        block = np.searchsorted(edge, word, "right") - 1
+        most = int(self.length.max(initial=0))
+        reach = np.arange(-(most + most // 4) // BLOCK - 3, most // BLOCK + 2)
+        n = len(self.ids)
+        count = np.zeros(len(at), np.int64)
+        for k in range(ANSWER_WORDS):
+            mine = place[which] == k
+            keys = np.unique((block[mine][:, None] + reach[None, :]) * n + asked_item[which[mine]][:, None])
+            if len(keys):
+                spot = np.minimum(np.searchsorted(keys, at * n + item), len(keys) - 1)
+                count += keys[spot] == at * n + item
+        return count >= self.answer_need[item]
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
         """(text number, item number, cosine, LCS) of every text and item that pass the checks."""
         w = words_of(texts)
         at, item, cosine, text, edge = self.candidates(w)
+        if len(at):
+            near = self.answered(at, item, edge)
+            at, item, cosine = at[near], item[near], cosine[near]
         # the answer, and as many of the item's words as a subsequence needs, must stand near the passage at all
         first, last = w.first[text[at]], w.first[text[at] + 1]
         reach = self.length[item] // 4
