@@ -19,8 +19,8 @@ Groups of copies do not become pairs:
 1. Equal sets form a class; only its representative goes on.
 2. In every signature's group all members are compared with one hub only, the member whose signatures are
    the most common. Members whose similarity with it holds are connected, whatever their number.
-3. Pairs of a group are then compared only where their hubs don't connect them yet, and only those which pass
-   the sketches leave the join. So all links between different components are found, exactly.
+3. Pairs of a group are then compared only across the components that this gives, and only those which pass the
+   sketches leave the join. So all links between different components are found, exactly.
 
 Similarity is always decided on whole sets of 64-bit shingle hashes, made again from the two texts.
 """
@@ -32,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -181,6 +181,18 @@ def _verified(percent: int, n: int):
     return run
 
 
+def may_link(percent: int) -> Column:
+    """Whether two sets x and y, by (size, bits), may be similar: their sizes allow it, and their sketches do.
+
+    Sizes that may be similar differ by less than the half, so one sketch has at most twice the other's words;
+    its halves are folded, which gives the sketch of half the slots.
+    """
+    most = F.floor((F.col("x.size") + F.col("y.size")) * (100 - percent) / (100 + percent))
+    folded = "CASE WHEN size({0}.bits) > size({1}.bits) THEN zip_with(slice({0}.bits, 1, size({1}.bits)), slice({0}.bits, size({1}.bits) + 1, size({1}.bits)), (p, q) -> p ^ q) ELSE {0}.bits END"
+    apart = F.expr(f"aggregate(zip_with({folded.format('x', 'y')}, {folded.format('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    return (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent) & F.coalesce(apart <= most, F.lit(True))
+
+
 def links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """Of pairs (a, b) of ids, the pairs whose texts' sets are similar."""
     pairs = staged(pairs, "pairs")
@@ -216,24 +228,23 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     groups = staged(members.join(members.groupBy("sig").count(), "sig"), "groups")
     fame = groups.groupBy("doc_id").agg(F.sum("count").alias("fame"))
     hubs = groups.join(fame, "doc_id").groupBy("sig").agg(F.max_by("doc_id", "fame").alias("hub"))
-    stars = groups.join(hubs, "sig").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"), "hub").distinct()
+    sketch = known.join(classes, ["size", "h1", "h2"]).where("doc_id = class_id AND size(bits) > 0").groupBy("doc_id", "size", "h1", "h2").agg(F.first("bits").alias("bits"))
+    sketch = staged(sketch.select("doc_id", "size", "bits"), "sketch")
+    stars = groups.join(hubs, "sig").where("doc_id <> hub").select("doc_id", "hub").distinct()
+    near_hub = (F.col("s.doc_id") == F.col("x.doc_id")) & may_link(percent)
+    stars = stars.join(sketch.alias("y"), F.col("hub") == F.col("y.doc_id")).select(stars["doc_id"], "hub", "y.size", "y.bits")
+    stars = stars.select("doc_id", "hub", F.struct("size", "bits").alias("y")).alias("s").join(sketch.alias("x"), near_hub)
+    stars = stars.select(F.least("s.doc_id", "hub").alias("a"), F.greatest("s.doc_id", "hub").alias("b"), "hub").distinct()
     docs = docs.where("doc_id IS NOT NULL")
     stars = staged(stars, "stars")
     near = links(stars.select("a", "b").distinct(), docs, percent, n)
 
-    # Of every member, a hub that it is linked with; then the pairs of a group whose hubs differ.
-    led = stars.join(near, ["a", "b"]).select(F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a")).alias("doc_id"), "hub")
-    led = led.unionByName(led.select(F.col("hub").alias("doc_id"), "hub")).groupBy("doc_id").agg(F.min("hub").alias("hub"))
-    led = members.join(led, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id"))
+    # Of every member, the component that the links with hubs give it; then the pairs of a group across components.
+    led = members.join(components(near), F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("hub"))
     split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).where("x < y").select("sig")
-    sketch = known.join(classes, ["size", "h1", "h2"]).where("doc_id = class_id").groupBy("doc_id", "size", "h1", "h2").agg(F.first("bits").alias("bits"))
-    left = staged(led.join(split, "sig", "left_semi").join(sketch.select("doc_id", "size", "bits"), "doc_id"), "split")
+    left = staged(led.join(split, "sig", "left_semi").join(sketch, "doc_id"), "split")
     x, y = left.alias("x"), left.alias("y")
-    most = F.floor((F.col("x.size") + F.col("y.size")) * (100 - percent) / (100 + percent))
-    apart = F.expr("aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + coalesce(v, 0))")
-    close = (F.size("x.bits") != F.size("y.bits")) | (apart <= most)
-    likely = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
-    more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & likely & close)
+    more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & may_link(percent))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti")
     far = links(more, docs, percent, n)
 
