@@ -22,6 +22,11 @@ Groups of copies do not become pairs:
 3. Pairs of a group are then compared only across the components that this gives, and only those which pass the
    sketches leave the join. So all links between different components are found, exactly.
 
+join() so finds which texts are connected. All links themselves, those inside a component too, are given by pairs():
+they can only lie inside components, so the classes of a component are dealt into chunks by hash, every pair of chunks
+is one group, and a group counts the shared shingles of all its pairs at once. No group grows with the component; the
+work and the result do, with the square of the number of different near copies.
+
 Similarity is always decided on whole sets of 64-bit shingle hashes, made again from the two texts.
 """
 
@@ -47,6 +52,8 @@ MOST_BROADCAST = 2_000_000
 LEAST_BITS = 512
 #: Of the filter that keeps signatures which only one set has from being written: 4 MB.
 FILTER_BITS = 25
+#: Classes of a chunk, about, and shingles that a group's pairs are counted over at once.
+CHUNK, AT_ONCE = 64, 1 << 16
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -204,16 +211,8 @@ def links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     return staged(both.mapInArrow(_verified(percent, n), "a bigint, b bigint"), "links")
 
 
-def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id), one row for each row of docs.
-
-    Sets are the distinct n-word shingles of the whole text, A-Z lowered; with fewer than n words, the whole
-    sequence as one; a null, empty or blank text has none and links with nothing. Two rows link when 100 times
-    the shared shingles are at least `percent` times all. class_id is the smallest id with an equal set,
-    component_id the smallest id that links reach; both are the row's own id without a set. Rows that repeat
-    an id count as one document where links are followed; rows with a null id link with nothing and have null
-    class and component. An empty table gives an empty result; other columns of docs are not read.
-    """
+def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """The rows of join(), and h1."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     every = docs.select("text").mapInArrow(_signed(percent, n), "sig bigint, h1 bigint")
@@ -255,7 +254,75 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     found = found.join(reach, F.col("class_id") == F.col("node"), "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("size") == 0), F.col("doc_id"))
     some = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
-    return found.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), own).alias("class_id"), F.coalesce(some, own).alias("component_id"))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), own).alias("class_id"), F.coalesce(some, own).alias("component_id"), "h1")
+
+
+def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id), one row for each row of docs.
+
+    Sets are the distinct n-word shingles of the whole text, A-Z lowered; with fewer than n words, the whole
+    sequence as one; a null, empty or blank text has none and links with nothing. Two rows link when 100 times
+    the shared shingles are at least `percent` times all. class_id is the smallest id with an equal set,
+    component_id the smallest id that links reach; both are the row's own id without a set. Rows that repeat
+    an id count as one document where links are followed; rows with a null id link with nothing and have null
+    class and component. An empty table gives an empty result; other columns of docs are not read.
+    """
+    return _found(docs, percent, n).drop("h1")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of every two sets."""
+    values = np.concatenate([*sets, np.empty(0, U)])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    number = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, AT_ONCE):
+        x, y = np.searchsorted(number, [low, low + AT_ONCE])
+        held = np.zeros((len(sets), int(number[y - 1]) - low + 1), np.float32)
+        held[owner[x:y], number[x:y] - low] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def _paired(percent: int, n: int):
+    def run(group: pa.Table) -> pa.Table:
+        first, second = group["i"][0].as_py(), group["j"][0].as_py()
+        known: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+        ids, h1, own = (group[c].to_pylist() for c in ("doc_id", "h1", "own"))
+        for k, s in enumerate(shingle_sets(group["text"].to_pylist(), n)):
+            if len(s) and set_hash(s)[0] == h1[k]:
+                known[ids[k], h1[k]] = s, own[k]
+        keys, sets, chunk = list(known), [s for s, _ in known.values()], np.array([c for _, c in known.values()])
+        size, shared = np.array([len(s) for s in sets], np.int64), shared_counts(sets)
+        linked = (shared > 0) & (100 * shared >= percent * (size[:, None] + size - shared))
+        pairs: dict[tuple[int, int], int] = {}
+        for x, y in zip(*np.nonzero(np.triu(linked, 1))):
+            if keys[x][0] != keys[y][0] and (first == second or chunk[x] != chunk[y]):
+                key = min(keys[x][0], keys[y][0]), max(keys[x][0], keys[y][0])
+                pairs[key] = max(pairs.get(key, 0), int(shared[x, y]))
+        columns = [[a for a, _ in pairs], [b for _, b in pairs], list(pairs.values())]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n_shared"])
+
+    return run
+
+
+def pairs(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
+    """(a, b, n_shared), one row for every two class representatives a < b that link, with their shared shingles.
+
+    Sets, links and classes are those of join(): rows of one class link besides, so with the classes' sizes this
+    gives each document's number of links. Of an id that is repeated with different texts, the pair that shares
+    most counts. An empty table gives an empty result.
+    """
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    found = staged(_found(docs, percent, n).where("doc_id = class_id AND n_shingles > 0").select("doc_id", "h1", F.col("component_id").alias("component")).distinct(), "found")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    dealt = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
+    dealt = staged(dealt.select("component", "chunks", "doc_id", "h1", "own"), "dealt")
+    groups = dealt.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    groups = groups.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "h1", "own", "text")
+    return groups.groupBy("component", "i", "j").applyInArrow(_paired(percent, n), "a bigint, b bigint, n_shared bigint")
 
 
 #: The same rows in DuckDB by comparing all pairs that share a shingle.
@@ -275,3 +342,19 @@ k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class_id FROM c)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.class_id, w.doc_id) AS class_id, m.component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
+
+#: All links between class representatives, by the same plain comparison.
+PAIRS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: md5(words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS shingle FROM w WHERE len(words) >= 3
+    UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, list(shingle ORDER BY shingle) AS l FROM s GROUP BY doc_id),
+k AS (SELECT min(doc_id) AS doc_id FROM c GROUP BY l),
+t AS (SELECT s.* FROM s JOIN k USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT p.a, p.b, p.shared AS n_shared FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+"""

@@ -136,6 +136,27 @@ def test_join_loses_no_link(spark, percent, n):
     assert got == want
 
 
+@pytest.mark.parametrize(("percent", "n"), [(90, 3), (80, 5)])
+def test_pairs_inside_a_component(spark, percent, n):
+    """More near copies than a chunk holds, a few links in chains, copies of one text, and rows without words or id."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i % 140}"
+        rows.append((i, " ".join(words)))
+    chain = [f"c{i}" for i in range(80)]
+    rows += [(200 + i, " ".join(chain[i * 2 : i * 2 + 60])) for i in range(8)] + [(300, "alone"), (301, ""), (302, None), (None, rows[0][1])]
+    sets = {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows if i is not None and t)}
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    heads = sorted(set(first.values()))
+    shared = {(a, b): len(sets[a] & sets[b]) for a in heads for b in heads if a < b}
+    want = {(a, b, k) for (a, b), k in shared.items() if k and 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k)}
+    got = [tuple(r) for r in ngram_join.pairs(spark.createDataFrame(rows, "doc_id bigint, text string"), percent, n).collect()]
+    assert len(want) > 300 and len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_similar_sets_share_a_signature(percent):
     rng = np.random.default_rng(1)
