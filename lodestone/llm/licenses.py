@@ -1,17 +1,18 @@
 """License scan: exact containment join of text blocks with license templates, on DataFrame functions only.
 
 A document's words are the runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z. A template is a
-set of words. A text block of a template is a window of its words: windows are twice as long as the template
-(rounded up to a power of two) and start at every half window, so every passage of up to half a window lies
-whole in a block. A block matches when it holds at least THRESHOLD of the template's words.
+set of words. A text block of a template is a window of its words, twice as long as the template (rounded up
+to a power of two), from any word on. A block matches when it holds at least THRESHOLD of the template's words.
+Moving a block's start on to its first template word loses none of them, so blocks that start at template words
+stand for all.
 
 The join is the usual exact one for set similarity. All template words are ordered by their frequency in the
 whole corpus, rarest first (counted in a first pass; the table has one row a template word, so it is small
 by construction). With `need` words to share, a matching block must hold one of the template's first
-size - need + 1 words (prefix filter), must have at least `need` template words at all (length filter), and
-the first shared word must leave enough words behind it on both sides (positional filter). Blocks are formed
-only where a prefix word stands; what is left is verified by intersection. No row is shuffled: templates are
-literals of the plan, and a document's blocks are arrays in its own row, so long or hot groups cannot pile up.
+size - need + 1 words (prefix filter), and `need` template words must stand within its length (length filter).
+Template words are listed only in documents with a prefix word; what passes is verified by counting distinct
+words. No row is shuffled: templates are literals of the plan, and a document's blocks are arrays in its own
+row, so long or hot groups cannot pile up.
 """
 
 from __future__ import annotations
@@ -70,21 +71,20 @@ def word_order(text: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _containment(ranks: Column, template: list[int], length: int, need: int) -> Column:
-    """The largest share of the template in a block that passes every filter, else 0."""
-    half, size, prefix = length // 2, len(template), template[: len(template) - need + 1]
-    t = F.array(*[F.lit(r) for r in template]).cast("array<bigint>")
+def _held(ranks: Column, template: list[int], need: int) -> Column:
+    """The template's words in the text as (i, r), place and rank, in order; null without a word of the prefix."""
+    words = F.transform(ranks, lambda r, i: F.when(r.isin(template), F.struct(i.alias("i"), r.alias("r"))))
+    return F.when(F.exists(ranks, lambda r: r.isin(template[: len(template) - need + 1])), F.filter(words, lambda x: x.isNotNull()))
 
-    def verified(b: Column) -> Column:
-        block = F.array_sort(F.array_distinct(F.filter(F.slice(ranks, b * half + 1, length), lambda r: r > 0)))
-        common = F.array_intersect(t, block)
-        first = F.get(common, F.lit(0))
-        behind = F.least(size - F.array_position(t, first) + 1, F.size(block) - F.array_position(block, first) + 1)
-        return F.when((F.size(block) >= need) & (behind >= need) & (F.size(common) >= need), F.size(common) / size)
 
-    at = F.filter(F.transform(ranks, lambda r, i: F.when(r.isin(prefix), i)), lambda i: i.isNotNull())
-    blocks = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / half).cast("int"), F.floor(i / half).cast("int") - 1))))
-    return F.coalesce(F.array_max(F.transform(F.filter(blocks, lambda b: b >= 0), verified)), F.lit(0.0))
+def _most(held: Column, length: int, need: int) -> Column:
+    """The most distinct template words in a block with `need` template words, else 0."""
+
+    def distinct(x: Column, k: Column) -> Column:
+        block = F.filter(F.slice(held, k + 1, F.lit(length)), lambda y: y["i"] < x["i"] + length)
+        return F.when(F.get(held, k + need - 1)["i"] < x["i"] + length, F.size(F.array_distinct(F.transform(block, lambda y: y["r"]))))
+
+    return F.coalesce(F.array_max(F.transform(held, distinct)), F.lit(0))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -126,8 +126,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         "doc_id",
         "n_words",
         *[_places(F.col("words"), p).alias(f"base{k}") for k, (p, _) in enumerate(BASE)],
-        *[F.when(F.size("words") > 0, _containment(F.col("ranks"), t, length, need)).otherwise(0.0).alias(f"fit{k}") for k, (_, t, length, need) in enumerate(plans)],
+        *[_held(F.col("ranks"), t, need).alias(f"held{k}") for k, (_, t, _, need) in enumerate(plans)],
     )
+    rows = rows.withColumns({f"most{k}": _most(F.col(f"held{k}"), length, need) for k, (_, _, length, need) in enumerate(plans)})
+    rows = rows.withColumns({f"fit{k}": F.when(F.col(f"most{k}") >= need, F.col(f"most{k}") / len(t)).otherwise(0.0) for k, (_, t, _, need) in enumerate(plans)})
     places = F.flatten(F.array(*[F.col(f"base{k}") for k in range(len(BASE))]))
     base = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     more = F.array_compact(F.array(*[F.when(F.col(f"fit{k}") > 0, F.lit(label)) for k, (label, *_) in enumerate(plans)]))

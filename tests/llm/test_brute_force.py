@@ -336,3 +336,23 @@ def test_license_blocks(spark):
     assert got[1].labels == "apache-2.0" and got[1].n_base == 0 and got[1].score == 1
     assert "cc-by-nc" in got[2].labels and got[3].labels == "" and got[4].base_labels == "cc-by,gpl" and got[4].last_word == 3
     assert got[5].n_words == 4 and got[5].base_labels == "cc-by"
+
+
+def test_license_blocks_start_anywhere(spark):
+    """A passage is found wherever it stands, and every block is counted."""
+    passages = ["Copyright 2024 Example Corp All rights reserved", "Licensed under the terms of the Apache License, Version 2.0"]
+    texts = [(100 * p + at, "pad " * at + t + " pad" * 20) for p, t in enumerate(passages) for at in range(20)]
+    rng = random.Random(3)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["x", "y"]
+    texts += [(1000 + i, " ".join(rng.choices(rng.sample(vocabulary, 9), k=rng.randrange(1, 60)))) for i in range(200)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert all("reserved-notice" in got[i].labels for i in range(20)) and all("apache-2.0" in got[100 + i].labels and got[100 + i].score == 1 for i in range(20))
+    for i, text in texts:
+        words, fits = re.findall("[0-9a-z]+", text.lower()), {}
+        for label, t in licenses.TEMPLATES:
+            known = set(t.split())
+            best = max(len(known & set(words[k : k + licenses.block_size(len(t.split()))])) for k in range(len(words)))
+            if best >= licenses.needed(len(known)):
+                fits[label] = best / len(known)
+        base = {label for p, label in licenses.BASE if f" {p} " in f" {' '.join(words)} "}
+        assert got[i].labels == ",".join(sorted(base | set(fits))) and got[i].score == round(max([*fits.values(), 1.0 if base else 0.0]), 6)
