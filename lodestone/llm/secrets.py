@@ -13,6 +13,10 @@ not. How often pure chance rejects is controlled by the Benjamini-Hochberg rule,
 length band (short runs test weakly, and would else hide behind long ones). The rule needs only counts of
 p-values in fixed bins, a table of at most bands x encodings x BINS rows, so it covers the whole corpus without
 sorting it. Runs that are not rejected are reported as spans of kind `random`.
+
+A run that mixes the marks of base64 (+ /) with those of its URL-safe form (- _) is in neither alphabet, as a key
+behind a path is. All its pieces of 20 or more characters in either alphabet are tested instead; of spans that lie
+in one another the longest is reported.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the matches of AKIA[A-Z0-9]+ with 18 or more characters
 HEX = r"[0-9a-f]{16,}"  # the matches of [0-9a-f]+ with 16 or more characters
 RUN = r"[A-Za-z0-9+/_-]{20,}"
+#: What a run is cut into where it mixes both alphabets.
+PIECES = (r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 
 BANDS = (28, 40, 64, 128)
@@ -42,15 +48,15 @@ _MATCH = "struct<start:bigint,end:bigint,word:string>"
 _NO_MATCHES = f"CAST(array() AS array<{_MATCH}>)"
 
 
-def _matches(pattern: str, word_group: int = 0) -> str:
-    """SQL of the array of matches in `text`: code point start and end, and a group's text.
+def _matches(pattern: str, word_group: int = 0, text: str = "text") -> str:
+    """SQL of the array of matches in the expression `text`: code point start and end, and a group's text.
 
     The pieces between matches (split) and the matches (regexp_extract_all) come from the same search, so
     their lengths add up to positions.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    found, pieces, words = f"regexp_extract_all(text, '{p}', 0)", f"split(text, '{p}', -1)", f"regexp_extract_all(text, '{p}', {word_group})"
-    return f"""CASE WHEN text RLIKE '{p}' THEN aggregate(
+    found, pieces, words = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}', -1)", f"regexp_extract_all({text}, '{p}', {word_group})"
+    return f"""CASE WHEN {text} RLIKE '{p}' THEN aggregate(
         zip_with(zip_with({found}, {words}, (f, w) -> named_struct('f', f, 'w', w)), slice({pieces}, 1, size({found})),
                  (m, g) -> named_struct('gap', CAST(length(g) AS BIGINT), 'len', CAST(length(m.f) AS BIGINT), 'word', m.w)),
         named_struct('at', 0L, 'out', {_NO_MATCHES}),
@@ -59,6 +65,12 @@ def _matches(pattern: str, word_group: int = 0) -> str:
         acc -> acc.out) ELSE {_NO_MATCHES} END"""
 
 
+def _in_one_alphabet(runs: str) -> str:
+    """SQL of the array `runs` of matches, those that mix both alphabets replaced by their pieces."""
+    pieces = ", ".join(f"transform({_matches(p, 0, 'q.word')}, x -> named_struct('start', q.start + x.start, 'end', q.start + x.end, 'word', x.word))" for p in PIECES)
+    return f"flatten(transform({runs}, q -> CASE WHEN q.word RLIKE '[+/]' AND q.word RLIKE '[_-]' THEN array_distinct(concat({pieces})) ELSE array(q) END))"
+
+
 # The rational approximation of the normal tail, Abramowitz and Stegun 26.2.17.
 _TAIL = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 
@@ -128,7 +140,7 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
         for k, kind in enumerate(KINDS[:3])
     ]
     rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(spans)}))"))
-    return rows.select(*keep, "base", F.expr(_tested("filter(run, m -> NOT exists(base, b -> b.start <= m.start AND m.end <= b.end))")).alias("random"))
+    return rows.select(*keep, "base", F.expr(_tested(f"filter({_in_one_alphabet('run')}, m -> NOT exists(base, b -> b.start <= m.start AND m.end <= b.end))")).alias("random"))
 
 
 def cuts(found: DataFrame, level: float = LEVEL) -> dict[str, int]:
@@ -144,10 +156,12 @@ def cuts(found: DataFrame, level: float = LEVEL) -> dict[str, int]:
 
 
 def kept(cut: dict[str, int]) -> Column:
-    """base and the random runs that stand, as one array of (start, kind, end) by start and kind."""
+    """base and the random runs that stand and lie in no longer one, as one array of (start, kind, end) by start and kind."""
     tests = "".join(f" WHEN '{s}' THEN {c}" for s, c in sorted(cut.items()))
     below = f"r.bin < CASE r.stratum{tests} ELSE {BINS + 1} END" if cut else "true"
-    return F.expr(f"array_sort(concat(base, transform(filter(random, r -> {below}), r -> named_struct('start', r.start, 'kind', 3, 'end', r.end))))")
+    longest = "x -> NOT exists(l, y -> y.start <= x.start AND x.end <= y.end AND y.end - y.start > x.end - x.start)"
+    stand = f"flatten(transform(array(filter(random, r -> {below})), l -> filter(l, {longest})))"
+    return F.expr(f"array_sort(concat(base, transform({stand}, r -> named_struct('start', r.start, 'kind', 3, 'end', r.end))))")
 
 
 def _listed(spans: str) -> Column:

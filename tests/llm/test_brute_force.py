@@ -293,6 +293,19 @@ def test_random_runs_are_told_from_words(spark):
     assert sum(rows[i] for i in keys) > 180 and sum(rows[i] for i in words) < 10
 
 
+def test_keys_behind_paths(spark):
+    """Runs that mix both alphabets are tested by their pieces."""
+    keys = {1: ("v1/tokens/", "ghp_aZ3kQ9xLm2PwRt5vYc8NdE6uJ3hGq7BsT4fW"), 2: ("services/T0-", "A9/B0/9xKq7LmZ2pQwRt5v"), 3: ("a_b-", "q7Zk/Lm2+PxR9tVbW4sYc8NdE6uJ3hG"), 4: ("é x/y-", "z/Zk3LmPxR9tVbW4sYc8NdE6uJ3hGq7")}
+    docs = spark.createDataFrame([(i, f"see {a}{b} there") for i, (a, b) in keys.items()] + [(5, "some/long-path/of_words/and-more_words/version_2/of-it")], "doc_id bigint, text string")
+    rows, masked = ({r.doc_id: r for r in f(docs).collect()} for f in (secrets.scan, secrets.redact))
+    for i, (a, b) in keys.items():
+        assert rows[i].n_random == 1 and rows[i].spans.endswith(f":{4 + len(a + b)}") and b not in masked[i].text, (i, rows[i].spans)
+    assert rows[5].n_random == 0
+    # mixed-case hexadecimal is not uniform, but it is tested, as it is without the path
+    plain, behind = spark.createDataFrame([(1, "ghp_16C7e42F292c6912E7710c838347Ae178B4a"), (2, "v1/tokens/ghp_16C7e42F292c6912E7710c838347Ae178B4a")], "doc_id bigint, text string").transform(lambda d: secrets.find(d, "doc_id")).orderBy("doc_id").collect()
+    assert {(r.stratum, r.bin, r.end - r.start) for r in plain.random} <= {(r.stratum, r.bin, r.end - r.start) for r in behind.random}
+
+
 # --- op9, op10 ---------------------------------------------------------------------------------------------
 
 
