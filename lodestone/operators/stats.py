@@ -2,7 +2,10 @@
 
 Resampling uses an index both Spark and SQL can compute: draw j of resample b takes row
 (b * 7919 + j * 104729 + b * j * 31 + seed) mod n. It is the estimator that counts, not a generator's stream. For
-resamples from numpy's generator, see bootstrap_numpy.
+resamples from numpy's generator, see bootstrap_numpy and resampled.
+
+That index is linear in j, so a draw over a number of rows prime to its factor takes every row once, and its mean is the
+mean of the rows. Bounds and p-values of the bootstrap itself come from resampled, whose draws are independent.
 """
 
 from __future__ import annotations
@@ -89,6 +92,40 @@ def bootstrap_numpy(rows: DataFrame, value: str, by: str, draws: int = 10_000, s
     return rows.select(by, F.col(value).cast("double").alias("v")).groupBy(by).applyInPandas(one, f"{by} {kind}, estimate double, low double, high double")
 
 
+def mean_of(times: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The mean of each draw: times has a row a draw and a column a distinct row of values."""
+    return times @ v / times.sum(axis=1)
+
+
+def resampled(rows: DataFrame, values: tuple[str, ...], by: tuple[str, ...], draws: int = 10_000, seed: int = 42, statistic=mean_of) -> DataFrame:
+    """(by, b, stat): the statistic of `draws` independent resamples of each group's rows, with replacement.
+
+    Rows with equal values are counted first, and a resample is one multinomial draw over the counts, so it costs
+    the distinct rows of a group. Every block of 1,000 draws is a task with its own generator, and draws in slices of
+    bounded memory. Values that are paired are drawn together; rows with a null value are left out. A statistic
+    that a draw does not define is NaN.
+    """
+    each, slots = 1000, 2_000_000
+    spark = rows.sparkSession
+    v = [f"_v{k}" for k in range(len(values))]
+    known = rows.select(*by, *[F.col(c).cast("double").alias(n) for c, n in zip(values, v)]).dropna(subset=v)
+    counts = known.groupBy(*by, *v).agg(F.count("*").alias("_n"))
+    blocks = F.broadcast(spark.range(-(-draws // each)).select(F.col("id").alias("_block")))  # draws is a parameter
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(v)
+        block, n = int(pdf["_block"].iloc[0]), pdf["_n"].to_numpy()
+        g, own = np.random.default_rng([seed, block]), min(each, draws - block * each)
+        x = [pdf[c].to_numpy() for c in v]
+        step = max(1, slots // len(n))
+        stat = np.concatenate([statistic(g.multinomial(n.sum(), n / n.sum(), min(step, own - k)), *x) for k in range(0, own, step)])
+        out = pd.DataFrame({"b": block * each + np.arange(own), "stat": stat})
+        return out.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "b", "stat"]]
+
+    kinds = dict(rows.dtypes)
+    return counts.join(blocks).groupBy(*by, "_block").applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "b bigint, stat double"]))
+
+
 def sign_flip(rows: DataFrame, value: str, by: tuple[str, ...], order: tuple[str, ...], most: int = 16) -> DataFrame:
     """(by, n, p_value): the exact two-sided sign-flip test over all 2**n sign vectors; null for more than `most` values."""
     spark = rows.sparkSession

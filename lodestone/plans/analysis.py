@@ -72,7 +72,7 @@ z AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY mean) - 1 AS r FROM m
 SELECT g AS lang, round(e.estimate, 6) AS estimate, round(max(mean) FILTER (r = 5), 6) AS low, round(max(mean) FILTER (r = 194), 6) AS high FROM z JOIN (SELECT g, avg(v) AS estimate FROM v GROUP BY g) e USING (g) GROUP BY ALL"""
 )
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap bounds of the share of good documents, by language."""
+    """I1 in 200 draws that SQL can make: bounds of the share of good documents, by language. In 10,000: bootstrap_bounds."""
     v = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("v", F.col("quality").cast("double"))
     bounds = S.percentile_bounds(S.resample_means(v, "v", ("lang",), ("doc_id",), 200), ("lang",), 200)
     return v.groupBy("lang").agg(F.avg("v").alias("estimate")).join(bounds, "lang").select("lang", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
@@ -84,7 +84,7 @@ SELECT g AS lang, round(e.d, 6) AS mean_diff, round(max(mean) FILTER (r = 5), 6)
 FROM z JOIN (SELECT g, avg(v) AS d FROM v GROUP BY g) e USING (g) GROUP BY ALL"""
 )
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: the paired difference of the two labels, its bounds and p-value, by language."""
+    """I4 in 200 draws that SQL can make: the paired difference of the two labels, by language. In 10,000: paired_bootstrap_test."""
     v = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("v", (F.col("quality") - F.col("toxic")).cast("double"))
     means = S.resample_means(v, "v", ("lang",), ("doc_id",), 200)
     p = means.groupBy("lang").agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("mean") <= 0).cast("int")), F.avg((F.col("mean") >= 0).cast("int")))).alias("p_value"))
@@ -92,6 +92,23 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", *[F.round(c, 6).alias(c) for c in ("mean_diff", "low", "high", "p_value")])
 
 
+@query()
+def bootstrap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile bootstrap bounds of the share of good documents, by language, from 10,000 independent draws."""
+    r = _rated(spark, sf_dir)
+    means = S.resampled(r, ("quality",), ("lang",)).withColumnRenamed("stat", "mean")
+    return r.groupBy("lang").agg(F.count("quality").alias("n"), F.avg("quality").alias("estimate")).join(S.percentile_bounds(means, ("lang",), 10_000), "lang", "left")
+
+
+@query()
+def paired_bootstrap_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: the paired difference of the two labels, its bounds and p-value, by language, from 10,000 independent draws."""
+    r = _rated(spark, sf_dir).withColumn("d", F.col("quality") - F.col("toxic"))
+    means = S.resampled(r, ("d",), ("lang",)).withColumnRenamed("stat", "mean")
+    p = means.groupBy("lang").agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("mean") <= 0).cast("int")), F.avg((F.col("mean") >= 0).cast("int")))).alias("p_value"))
+    return r.groupBy("lang").agg(F.avg("d").alias("mean_diff")).join(S.percentile_bounds(means, ("lang",), 10_000), "lang", "left").join(p, "lang", "left")
+
+
 _NATIONS = "v AS (SELECT n_regionkey AS g, n_nationkey AS id, avg(c_acctbal) - 4500 AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)"
 
 

@@ -11,7 +11,7 @@ from lodestone.operators import pools as B
 from lodestone.operators import retrieval as R
 from lodestone.operators import stats as S
 from lodestone.operators import temporal as E
-from tests.conftest import one
+from tests.conftest import SMALL, one
 
 
 def cell(spark, column, row, schema):
@@ -146,6 +146,30 @@ def test_bootstrap_numpy(spark):
     assert got["a"].estimate == 0.5 and 0.25 < got["a"].low < 0.5 < got["a"].high < 0.75 and got["b"].estimate is None
 
 
+def test_resampled(spark):
+    """10,000 draws whose spread is that of the binomial distribution, whatever the partitions."""
+    rows = spark.createDataFrame([("a", float(i < 303)) for i in range(1009)] + [("b", 2.0), ("b", None)], "g string, v double")
+    means = S.resampled(rows, ("v",), ("g",)).withColumnRenamed("stat", "mean").cache()
+    a = [r.mean for r in means.where("g = 'a'").collect()]
+    share = 303 / 1009
+    sd = (share * (1 - share) / 1009) ** 0.5
+    assert len(a) == 10_000 and len(set(a)) > 50 and abs(sum(a) / 10_000 - share) < 0.05 * sd and abs((sum((x - share) ** 2 for x in a) / 10_000) ** 0.5 / sd - 1) < 0.04
+    got = {r.g: r for r in S.percentile_bounds(means, ("g",), 10_000).collect()}
+    assert abs(got["a"].low - (share - 1.96 * sd)) < 0.1 * sd and abs(got["a"].high - (share + 1.96 * sd)) < 0.1 * sd and got["b"].low == got["b"].high == 2
+    again = S.resampled(rows.repartition(7), ("v",), ("g",)).where("g = 'a'").collect()
+    assert sorted(r.stat for r in again) == sorted(a)
+
+
+def test_bootstrap_has_all_draws(spark):
+    from lodestone.plans import analysis
+
+    rows = {r.lang: r for r in analysis.bootstrap_bounds(spark, SMALL).collect()}
+    for r in rows.values():
+        sd = (r.estimate * (1 - r.estimate) / r.n) ** 0.5
+        assert r.low <= r.estimate <= r.high and (sd == 0 or 2.5 < (r.high - r.low) / sd < 5)
+    assert all(0 <= r.p_value <= 1 and r.low <= r.mean_diff <= r.high for r in analysis.paired_bootstrap_test(spark, SMALL).collect())
+
+
 def test_alias_groups(spark):
     occ = spark.createDataFrame([("x", "v1")] * 3 + [("y", "v1"), ("y", "v2")], "alias string, variant string")
     assert one(V.alias_groups(occ, "alias", "variant"), "alias", "n_occurrences", "n_variants", "n_extra", "conflict") == [("x", 3, 1, 2, False), ("y", 2, 2, 0, True)]
