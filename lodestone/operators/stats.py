@@ -10,6 +10,8 @@ mean of the rows. Bounds and p-values of the bootstrap itself come from resample
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -126,6 +128,32 @@ def resampled(rows: DataFrame, values: tuple[str, ...], by: tuple[str, ...], dra
     return counts.join(blocks).groupBy(*by, "_block").applyInPandas(one, ", ".join([*(f"{c} {kinds[c]}" for c in by), "b bigint, stat double"]))
 
 
+def kappa_of(times: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cohen's kappa of two 0/1 raters in each draw, NaN where chance agrees fully."""
+    n = times.sum(axis=1)
+    po, pa, pb = times @ (x == y) / n, times @ x / n, times @ y / n
+    pe = pa * pb + (1 - pa) * (1 - pb)
+    return np.divide(po - pe, 1 - pe, out=np.full(len(n), np.nan), where=pe < 1)
+
+
+def kappa_bounds(pairs: DataFrame, a: str, b: str, by: tuple[str, ...], draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(by, kappa, low, high): kappa and its bootstrap interval, the order statistics int(0.025 m) and int(0.975 m) - 1
+    from 0 of the m draws that define it; null where none does."""
+    k = resampled(pairs, (a, b), by, draws, seed, kappa_of).where(~F.isnan("stat"))
+    k = k.withColumns({"r": F.row_number().over(Window.partitionBy(*by).orderBy("stat")) - 1, "m": F.count("*").over(Window.partitionBy(*by))})
+    at = [F.max(F.when(F.col("r") == place, F.col("stat"))).alias(c) for c, place in (("low", F.floor(F.col("m") * 0.025)), ("high", F.floor(F.col("m") * 0.975) - 1))]
+    known = pairs.dropna(subset=[a, b])
+    return known.groupBy(*by).agg(*agreement(known, a, b)[:3]).drop("agreement").join(k.groupBy(*by).agg(*at), list(by), "left")
+
+
+def cluster_bounds(clusters: DataFrame, value: str, by: tuple[str, ...], draws: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, n, estimate, low, high): the mean over clusters, a row each, and its 95 % bootstrap bounds, interpolated
+    between order statistics; bounds are null for fewer than two clusters."""
+    g = clusters.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("estimate"))
+    bounds = resampled(clusters, (value,), by, draws, seed).groupBy(*by).agg(F.percentile("stat", 0.025).alias("low"), F.percentile("stat", 0.975).alias("high"))
+    return g.join(bounds, list(by), "left").withColumns({c: F.when(F.col("n") >= 2, F.col(c)) for c in ("low", "high")})
+
+
 def sign_flip(rows: DataFrame, value: str, by: tuple[str, ...], order: tuple[str, ...], most: int = 16) -> DataFrame:
     """(by, n, p_value): the exact two-sided sign-flip test over all 2**n sign vectors; null for more than `most` values."""
     spark = rows.sparkSession
@@ -140,18 +168,41 @@ def sign_flip(rows: DataFrame, value: str, by: tuple[str, ...], order: tuple[str
     return at.groupBy(*by).agg(F.max("n").alias("n")).join(p, list(by), "left")
 
 
+#: Up to so many nonzero differences, the signed-rank test is exact.
+EXACT_RANKS = 50
+
+
+def _exact_signed_rank(ranks: list[int], w: float) -> float | None:
+    """The two-sided p-value of the lesser rank sum w over all signs; ranks are doubled, so that mean ranks are whole."""
+    if not ranks:
+        return None
+    ways = np.zeros(sum(ranks) + 1)
+    ways[0] = 1
+    for r in ranks:
+        ways[r:] = (ways[r:] + ways[:-r]) / 2
+        ways[:r] /= 2
+    return float(min(1.0, 2 * ways[: round(2 * w) + 1].sum()))
+
+
+def _normal_two_sided(z: float) -> float | None:
+    return None if z is None else math.erfc(abs(z) / math.sqrt(2))
+
+
 def wilcoxon(pairs: DataFrame, difference: str, by: tuple[str, ...]) -> DataFrame:
-    """(by, n, w, z): the signed-rank statistic of the nonzero differences, ties at mean ranks, and its normal score.
+    """(by, n, w, z, p_value): the signed-rank statistic of the nonzero differences, ties at mean ranks, and its normal score.
 
-    z carries the correction for ties; both are null where all differences are zero.
+    z carries the correction for ties. The two-sided p_value is exact over all signs of the ranks for up to EXACT_RANKS
+    differences, else that of z. All are null where all differences are zero.
     """
     d = pairs.where(F.col(difference) != 0).withColumn("a", F.abs(difference))
     size = F.count("*").over(Window.partitionBy(*by, "a"))
     d = d.withColumn("r", F.rank().over(Window.partitionBy(*by).orderBy("a")) + (size - 1) / 2).withColumn("t", size * size - 1)
-    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col(difference) < 0, F.col("r")).otherwise(0.0)).alias("down"), F.sum("t").alias("ties"))
+    few = F.count("*").over(Window.partitionBy(*by)) <= EXACT_RANKS
+    d = d.withColumn("doubled", F.when(few, (2 * F.col("r")).cast("int")))
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col(difference) < 0, F.col("r")).otherwise(0.0)).alias("down"), F.sum("t").alias("ties"), F.collect_list("doubled").alias("ranks"))
     n, w = F.col("n"), F.least("up", "down")
     z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return pairs.select(*by).distinct().join(g.select(*by, "n", w.alias("w"), z.alias("z")), list(by), "left")
+    return pairs.select(*by).distinct().join(g.select(*by, "n", w.alias("w"), z.alias("z"), F.coalesce(F.udf(_exact_signed_rank, "double")("ranks", w), F.udf(_normal_two_sided, "double")(z)).alias("p_value")), list(by), "left")
 
 
 def factorial_effects(cells: DataFrame, question: str, factors: tuple[str, str, str], value: str) -> DataFrame:

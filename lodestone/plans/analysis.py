@@ -135,10 +135,22 @@ s AS (SELECT g, count(*) AS n, least(sum(CASE WHEN v > 0 THEN r ELSE 0 END), sum
 SELECT g AS region, n, round(w, 6) AS w, round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48.0), 6) AS z FROM s"""
 )
 def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed ranks of the nations' differences, by region."""
+    """Signed ranks of the nations' differences, by region. Their p-values (I8): wilcoxon_test."""
     return S.wilcoxon(_nations(spark, sf_dir), "d", ("region",)).select("region", "n", F.round("w", 6).alias("w"), F.round("z", 6).alias("z"))
 
 
+@query()
+def wilcoxon_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I8: the signed-rank test of the nations' differences, by region, exact for small groups."""
+    return S.wilcoxon(_nations(spark, sf_dir), "d", ("region",)).select("region", "n", "w", "p_value")
+
+
+@query()
+def kappa_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kappa of the two labels and its bootstrap interval, by language."""
+    return S.kappa_bounds(_rated(spark, sf_dir), "quality", "toxic", ("lang",))
+
+
 _FACTORS = "x AS (SELECT l_suppkey AS q, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS returned, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS open, CASE WHEN l_quantity > 25 THEN 1 ELSE -1 END AS large, avg(l_discount) AS y FROM lineitem GROUP BY ALL)"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import temporal as D
 from lodestone.functions import text as T
 from lodestone.operators import audit as A
+from lodestone.operators import stats as S
 
 from .common import POOL_SQL, pool, questions, read
 from .pools import _GOLD, _STALE, _gold_pool, _topical
@@ -97,12 +98,21 @@ def undefined_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, n, estimate, CASE WHEN n = 0 THEN 'NOT_ESTIMABLE' WHEN n < 2 THEN 'NOT_ESTIMABLE_SINGLE_QUESTION' WHEN d = 1 THEN 'DEGENERATE_EMPIRICAL_DISTRIBUTION' WHEN n < 20 THEN 'SMALL_CLUSTER_COUNT' ELSE 'APPROXIMATE' END AS status FROM s"""
 )
 def cluster_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over clusters, and what a bootstrap of them can say."""
+    """Means over clusters, and what a bootstrap of them can say. The bootstrap itself (I3): cluster_bounds."""
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
     g = rows.groupBy("lang", "source").agg(F.avg("quality").alias("m")).groupBy("lang").agg(F.count("m").alias("n"), F.countDistinct("m").alias("d"), F.round(F.avg("m"), 6).alias("estimate"))
     return g.select("lang", "n", "estimate", A.cluster_status(F.col("n"), F.col("d")).alias("status"))
 
 
+@query()
+def cluster_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over clusters with bounds from 2,000 draws of whole clusters."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    g = rows.groupBy("lang", "source").agg(F.avg("quality").alias("m"))
+    status = g.groupBy("lang").agg(A.cluster_status(F.count("m"), F.countDistinct("m")).alias("status"))
+    return S.cluster_bounds(g, "m", ("lang",)).join(status, "lang")
+
+
 @query(
     """WITH c AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS answers, max(length(text)) AS longest FROM conversations GROUP BY conv_id)
 SELECT turns, count(*) AS n, sum(answers)::BIGINT AS answers, CAST(max(longest) AS INT) AS longest, round(avg(answers * 1.0::DOUBLE / turns), 6) AS share FROM c GROUP BY turns"""

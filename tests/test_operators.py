@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,30 @@ def test_bootstrap_has_all_draws(spark):
     assert all(0 <= r.p_value <= 1 and r.low <= r.mean_diff <= r.high for r in analysis.paired_bootstrap_test(spark, SMALL).collect())
 
 
+def test_wilcoxon_p(spark):
+    """Against all signs of the ranks, ties and zeros included; the normal tail beyond."""
+    groups = {"a": [1.0, 2.0, 3.0, 4.0, -5.0, 6.0], "b": [1.0, -1.0, 2.0, 2.0, 3.0, 0.0, 4.0, -0.5], "c": [0.0, 0.0], "d": [float(i if i % 3 else -i) for i in range(1, 81)]}
+    got = {r.g: r for r in S.wilcoxon(spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g string, d double"), "d", ("g",)).collect()}
+    for g in "ab":
+        x = [abs(v) for v in groups[g] if v]
+        ranks = [sum(y < v for y in x) + (x.count(v) + 1) / 2 for v in x]
+        sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=len(x))]
+        assert abs(got[g].p_value - min(1, 2 * sum(t <= got[g].w for t in sums) / len(sums))) < 1e-12
+    assert got["c"].p_value is None and abs(got["d"].p_value - math.erfc(abs(got["d"].z) / 2**0.5)) < 1e-12
+
+
+def test_kappa_and_cluster_bounds(spark):
+    pairs = [("a", int(i < 60), int(i < 50 or i >= 95)) for i in range(100)] + [("b", 1, 1)] * 3
+    got = {r.g: r for r in S.kappa_bounds(spark.createDataFrame(pairs, "g string, x int, y int"), "x", "y", ("g",)).collect()}
+    # large-sample standard error of kappa with po = 0.85, pe = 0.51
+    se = (0.85 * 0.15 / 100) ** 0.5 / 0.49
+    assert got["a"].low < got["a"].kappa < got["a"].high and 3 < (got["a"].high - got["a"].low) / se < 5 and got["b"].low is None
+    clusters = [("a", float(i)) for i in range(30)] + [("b", 1.0), ("c", 2.0), ("c", 2.0)]
+    got = {r.g: r for r in S.cluster_bounds(spark.createDataFrame(clusters, "g string, v double"), "v", ("g",)).collect()}
+    se = (sum((i - 14.5) ** 2 for i in range(30)) / 30 / 30) ** 0.5
+    assert got["a"].estimate == 14.5 and 3.6 < (got["a"].high - got["a"].low) / se < 4.2 and got["b"].low is None and got["c"].low == got["c"].high == 2
+
+
 def test_alias_groups(spark):
     occ = spark.createDataFrame([("x", "v1")] * 3 + [("y", "v1"), ("y", "v2")], "alias string, variant string")
     assert one(V.alias_groups(occ, "alias", "variant"), "alias", "n_occurrences", "n_variants", "n_extra", "conflict") == [("x", 3, 1, 2, False), ("y", 2, 2, 0, True)]
