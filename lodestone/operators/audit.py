@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import json
 from ast import literal_eval
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,13 +67,33 @@ def place_children(parent: Column, children: Column) -> Column:
     def one(p: str | None, kids) -> list[dict] | None:
         at = [i for i, c in enumerate(p or "") if not c.isspace()]
         bare = "".join((p or "")[i] for i in at)
-        ways: list[tuple[int, tuple]] = [(-1, ())]  # (last start, starts) of up to two placements
+        lengths: list[int] = []
+        levels: list[list[tuple[int, int, int]]] = []  # of each child, (start, ways to it up to two, a place before it)
+        size = 0
         for k in kids if kids is not None else []:
             k = "".join((k or "").split())
             found = [i for i in range(len(bare) - len(k) + 1) if bare.startswith(k, i)] if k else []
-            ways = [(i, (*w, (i, i + len(k)))) for last, w in ways for i in found if i > last][:2000]
-        full = [w for _, w in ways if w and w[0][0] == 0 and w[-1][1] == len(bare) and all(b[0] <= a[1] for a, b in zip(w, w[1:], strict=False))]
-        return [{"begin": at[i], "end": at[j - 1] + 1} for i, j in full[0]] if len(full) == 1 else None
+            if not levels:
+                level = [(i, 1, 0) for i in found if i == 0]
+            else:
+                starts, sums = [i for i, _, _ in levels[-1]], [0, *accumulate(n for _, n, _ in levels[-1])]
+                level = []
+                for i in found:  # the child before it starts earlier and leaves no gap
+                    low, high = bisect_left(starts, i - size), bisect_left(starts, i)
+                    if low < high:
+                        level.append((i, min(2, sums[high] - sums[low]), low))
+            levels.append(level)
+            size = len(k)
+            lengths.append(size)
+        last = [x for x, (i, n, _) in enumerate(levels[-1]) if i + size == len(bare) and n == 1] if levels else []
+        if not last:
+            return None
+        spans, x = [], last[0]
+        for level, length in zip(reversed(levels), reversed(lengths), strict=True):
+            i, _, before = level[x]
+            spans.append({"begin": at[i], "end": at[i + length - 1] + 1})
+            x = before
+        return spans[::-1]
 
     return F.pandas_udf(lambda p, k: pd.Series([one(x, y) for x, y in zip(p, k, strict=True)]), ArrayType(_SPAN))(parent, children)
 

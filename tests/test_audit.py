@@ -27,6 +27,12 @@ def test_alignment_and_stitching(spark):
     assert value(spark, A.diff_spans(F.col("a"), F.col("b")), ("abc", "axc"), "a string, b string") == ["replace:1:2:1:2"]
 
 
+def test_alignment_of_repeated_text(spark):
+    """One complete way among millions of partial ones, and four ways."""
+    place = lambda p, c: value(spark, A.place_children(F.col("p"), F.col("c")), (p, c), "p string, c array<string>")
+    assert [tuple(x) for x in place("a" * 100, ["a" * 20] * 5)] == [(20 * i, 20 * i + 20) for i in range(5)] and place("a" * 99, ["a" * 20] * 5) is None
+
+
 def test_loose_fields(spark):
     f = lambda c, s: value(spark, c(F.col("s")), (s,), "s string")
     assert f(A.string_list, '["a"]') == ["a"] and f(A.string_list, "['a', 'b']") == ["a", "b"] and f(A.string_list, "[1]") is None and f(A.string_list, None) is None
