@@ -12,6 +12,7 @@ from lodestone.operators import stats as S
 
 from .common import POOL_SQL, pool, questions, read
 from .pools import _GOLD, _STALE, _gold_pool, _topical
+from .retrieval import bm25_topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -146,6 +147,14 @@ def hits_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx", "left")
 
 
+@query()
+def ranked_hits_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists that BM25 retrieves, taken apart by position and joined to what is known of them."""
+    shown = bm25_topk(spark, sf_dir).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "idx"))), lambda s: s["idx"]).alias("shown"))
+    hits = shown.select("qid", F.posexplode("shown").alias("p", "idx")).select("qid", "idx", (F.col("p") + 1).alias("rank"))
+    return hits.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx", "left")
+
+
 @query(
     """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F')
 SELECT o_orderkey, o_orderpriority, CASE WHEN place <= 150 THEN 'priority' ELSE 'reserve' END AS queue FROM o"""

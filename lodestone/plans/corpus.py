@@ -71,6 +71,18 @@ def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_snapshots([a, b], ("doc_id",))
 
 
+@query(
+    """WITH a AS (SELECT doc_id, source, n_chars, 0 AS s FROM documents WHERE coalesce(lang = 'en', false) UNION ALL SELECT doc_id, source, n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END, 1 FROM documents WHERE NOT coalesce(lang = 'en', false) OR doc_id % 3 = 0)
+SELECT doc_id, min_by(source, s) AS source, min_by(n_chars, s) AS n_chars, list_sort(list(DISTINCT s)) AS snapshots, count(DISTINCT n_chars) = 1 AS agree FROM a GROUP BY doc_id"""
+)
+def snapshot_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots that hold all documents together, a third of the English ones in both."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("english"))
+    a = d.where("english").drop("english")
+    b = d.where("NOT english OR doc_id % 3 = 0").drop("english").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0))
+    return C.merge_snapshots([a, b], ("doc_id",))
+
+
 @query(f"WITH {_GOLD}, r AS (SELECT qid, idx, gold, row_number() OVER (PARTITION BY qid, gold ORDER BY idx) AS k FROM pg) SELECT qid, idx, gold FROM r WHERE NOT gold OR k <= 3")
 def gold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools with their gold passages, the earliest three of each."""

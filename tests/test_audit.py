@@ -52,3 +52,14 @@ def test_claim_judge(spark):
     assert dict(one(A.judge_claims(answers, ("q",), "a", claims), "q", "label")) == {
         1: "CORRECT", 2: "POISON_ADOPTED", 3: "NEEDS_REVIEW", 4: "OTHER_WRONG", 5: "OTHER_WRONG", 6: "NEEDS_REVIEW", 7: "NEEDS_REVIEW", 8: "OTHER_WRONG",
     }
+
+
+def test_snapshots_and_hits_leave_nothing_out(spark):
+    from lodestone.plans import audit, corpus, retrieval
+    from lodestone.plans.common import read
+    from tests.conftest import SMALL
+
+    ids = {r.doc_id for r in read(spark, SMALL, "documents").select("doc_id").collect()}
+    assert {r.doc_id for r in corpus.snapshot_merge_all(spark, SMALL).collect()} == ids
+    want = {(r.qid, r.idx, r["rank"]) for r in retrieval.bm25_topk(spark, SMALL).collect()}
+    assert {(r.qid, r.idx, r["rank"]) for r in audit.ranked_hits_to_candidates(spark, SMALL).collect()} == want
