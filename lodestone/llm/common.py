@@ -54,3 +54,24 @@ def id_hash(seed: str, *cols: str) -> Column:
     """60 bits of MD5 over the seed and the columns, as a non-negative long; DuckDB computes the same."""
     parts = [F.lit(seed)] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+
+
+#: A key with more than one in so many rows is hot, if it has HOT_LEAST rows; so hot keys are fewer than HOT_KEYS.
+HOT_KEYS, HOT_LEAST = 10_000, 256
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has at most one row for a key.
+
+    Rows of left whose key is hot stay where they are: the fewer than HOT_KEYS rows that right has for hot keys are
+    broadcast to them. All others meet by their key, and no task gets more than one in HOT_KEYS of left's rows
+    for one key. left is read twice, so it should be a written table.
+    """
+    counts = left.groupBy(keys).count()
+    total = left.count()
+    hot = counts.where(F.col("count") > max(HOT_LEAST, total // HOT_KEYS)).select(keys).toArrow()
+    if not hot.num_rows:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot))
+    many = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
+    return many.unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_join, staged
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -13,8 +13,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Each step links every node's larger neighbours, then its smaller ones, to the smallest node around it,
     until nothing moves; steps grow with the logarithm of a component's size. Every step is one aggregate by
-    node and one join back to the edges; a step's edges are written to the shared folder, so neither lineage
-    nor a hot node's neighbours pile up anywhere. Loops and repeated edges do no harm, edges with a null end
+    node and one join back to the edges, in which the edges of hot nodes stay where they are; a step's edges are
+    written to the shared folder, so lineage does not pile up. Loops and repeated edges do no harm, edges with a null end
     are left out; without edges there are no nodes.
     """
     now = staged(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -22,7 +22,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # large star: u's larger neighbours go to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = hot_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))

@@ -3,29 +3,38 @@
 Sets are grouped by size into bands [l, r] with r = l / threshold, so two similar sets lie in one band or in
 neighbouring ones, and an instance of the scheme for each pair of neighbouring bands covers them all. Within
 an instance, similar sets differ in at most k elements, k following from the band's largest size. The domain
-of shingle hashes is cut into n1 = (k + 1) / (K2 + 1) partitions of N2 cells each. Of k differences, some
-partition holds at most K2, and these touch at most K2 of its cells; so the sets agree on all the rest, and a
-signature for every choice of N2 - K2 cells of every partition makes them share one. No pair is lost.
+of shingle hashes is cut into partitions, each of them into cells (cells_of), and every choice of all cells but K2
+of a partition gives a signature: the hash of what the set has there. A partition that holds at most K2 of the
+differences has such a choice without any, so the sets share its signature; k // (K2 + 1) partitions can hold more.
 
-The same stage keeps a parity sketch of each set (a bit for each hash slot, flipped by every element in it).
+There are more partitions than that and one (an eighth), and sets smaller than the band's end differ in less, so of a
+set's partitions several must agree: `sure` + 1. A set may therefore leave out signatures of cells with fewer than
+c elements, where c is the most with which at most `sure` partitions lose any: what agrees holds the same elements in
+both sets, so of those `sure` + 1 one is left that both sets keep. So empty or nearly empty cells, which unlike sets
+share by chance, make no pairs, and no similar pair is lost.
+
+A second stage keeps a parity sketch of each set (a bit for each hash slot, flipped by every element in it).
 Bits in which two sketches differ are never more than the elements in which the sets differ, so the sketch
 rejects most pairs that merely share a signature, and never a similar one.
 
-Signatures are made twice: once to count which of them stand for more than one set, and again to write only
-those, by a bit filter of fixed size; most sets have none. So no more than the count travels with every signature.
+Equal sets form a class, and only its representative goes on. Signatures are made twice: once to count which of them
+stand for more than one set (SIG_BITS bits of each travel, and no more), and again to write only those, by a bit filter
+with FILTER_SLOTS bits for each shared signature; most sets have none. Beyond MOST_FILTER bits the filter lets more
+through than are shared, which the join with the shared ones sorts out.
 
 Groups of copies do not become pairs:
 
-1. Equal sets form a class; only its representative goes on.
-2. In every signature's group all members are compared with one hub only, the member whose signatures are
+1. In every signature's group all members are compared with one hub only, the member whose signatures are
    the most common. Members whose similarity with it holds are connected, whatever their number.
-3. Pairs of a group are then compared only across the components that this gives, and only those which pass the
+2. Pairs of a group are then compared only across the components that this gives, and only those which pass the
    sketches leave the join. So all links between different components are found, exactly.
 
-join() so finds which texts are connected. All links themselves, those inside a component too, are given by pairs():
-they can only lie inside components, so the classes of a component are dealt into chunks by hash, every pair of chunks
-is one group, and a group counts the shared shingles of all its pairs at once. No group grows with the component; the
-work and the result do, with the square of the number of different near copies.
+Joins by a class, a signature or a hub go by hot_join(), which deals keys with many rows by broadcast.
+
+So the components are known. All links themselves, those inside a component too, are counted by join() and given by
+pairs(): they can only lie inside components, so the classes of a component are dealt into chunks by hash, every pair of
+chunks is one group, and a group counts the shared shingles of all its pairs at once. No group grows with the component;
+the work does, with the square of the number of different near copies.
 
 Similarity is always decided on whole sets of 64-bit shingle hashes, made again from the two texts.
 """
@@ -40,18 +49,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_join, staged
 from .components import components
 from .hashing import U, batches, grams, mix, words_of
 
-#: Cells of a partition, and differences a signature of it stands.
-N2, K2 = 2, 1
+#: Differences that a signature's partition stands, and the share of partitions (one in so many) beyond those needed.
+K2, SPARE = 1, 8
+#: Bits of a signature that are compared; equal ones by chance only add candidates.
+SIG_BITS = 48
 #: Up to so many ids (16 MB) are broadcast to pick the texts that are compared; more are joined.
 MOST_BROADCAST = 2_000_000
 #: Least bits of a parity sketch.
 LEAST_BITS = 512
-#: Of the filter that keeps signatures which only one set has from being written: 4 MB.
-FILTER_BITS = 25
+#: Bits of the filter for each shared signature, and at most: 32 MB.
+FILTER_SLOTS, MOST_FILTER = 16, 1 << 28
 #: Classes of a chunk, about, and shingles that a group's pairs are counted over at once.
 CHUNK, AT_ONCE = 64, 1 << 16
 
@@ -88,22 +99,38 @@ def differences(size_sum: int, percent: int) -> int:
     return size_sum * (100 - percent) // (100 + percent)
 
 
+def cells_of(partitions: int) -> int:
+    """Cells of a partition. Small sets have few partitions and afford more cells, which they need."""
+    return 4 if partitions <= 3 else 3
+
+
 def signatures(s: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
     """The signatures of one set: those of the instance that its band ends, and of the next one."""
     out = []
     band = int(np.searchsorted(ends, len(s)))
     for i in (band, band + 1):
-        k = differences(2 * int(ends[i]), percent)
-        n1, n2, k2 = (-(-(k + 1) // (K2 + 1)), N2, K2) if k >= K2 else (1, 1, 0)
+        end = int(ends[i])
+        k = differences(2 * end, percent)
+        need = k // (K2 + 1) + 1
+        n1 = need + need // SPARE
+        n2, k2 = (cells_of(need), K2) if k >= K2 else (1, 0)
         seed = U(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF)
-        cell = ((mix(s ^ seed) >> U(32)) * U(n1 * n2)) >> U(32)
+        cell = (((mix(s ^ seed) >> U(32)) * U(n1 * n2)) >> U(32)).astype(np.int64)
         sums = np.zeros(n1 * n2, U)
-        np.add.at(sums, cell.astype(np.int64), mix(s + seed))
+        np.add.at(sums, cell, mix(s + seed))
         sums = mix(sums + np.arange(n1 * n2, dtype=U) * U(0xD6E8FEB86659FD93)).reshape(n1, n2)
+        held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+        made, content = [], []
         for chosen, cells in enumerate(combinations(range(n2), n2 - k2)):
             salt = (np.arange(n1, dtype=U) * U(64) + U(chosen)) * U(0xBF58476D1CE4E5B9) + seed
-            out.append(mix(sums[:, cells].sum(axis=1, dtype=U) ^ salt))
-    return np.concatenate(out)
+            made.append(mix(sums[:, cells].sum(axis=1, dtype=U) ^ salt))
+            content.append(held[:, cells].sum(axis=1))
+        content = np.array(content)
+        most = differences(len(s) + min(end, len(s) * 100 // percent), percent)
+        sure = n1 - 1 - most // (K2 + 1)
+        least = np.partition(content.min(axis=0), sure)[sure]
+        out.append(np.array(made)[content >= least])
+    return np.concatenate(out) >> U(64 - SIG_BITS)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -118,10 +145,19 @@ def _signed(percent: int, n: int):
         ends = bands(1 << 32, percent)
         for batch in it:
             for _, texts in batches(batch.column(0).to_pylist()):
-                sets = [s for s in shingle_sets(texts, n) if len(s)]
-                sigs = [signatures(s, percent, ends) for s in sets]
-                own = np.repeat(np.array([set_hash(s)[0] for s in sets], np.int64), [len(x) for x in sigs])
-                yield pa.record_batch([pa.array(np.concatenate([*sigs, np.empty(0, U)]).view(np.int64)), pa.array(own)], names=["sig", "h1"])
+                sigs = [signatures(s, percent, ends) for s in shingle_sets(texts, n) if len(s)]
+                yield pa.record_batch([pa.array(np.concatenate([*sigs, np.empty(0, U)]).view(np.int64))], names=["sig"])
+
+    return run
+
+
+def _sized(n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at, texts in batches(batch.column(1).to_pylist()):
+                sets = shingle_sets(texts, n)
+                found = [[len(s) for s in sets], *zip(*map(set_hash, sets))]
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *[pa.array(x, pa.int64()) for x in found]], names=["doc_id", "size", "h1", "h2"])
 
     return run
 
@@ -139,29 +175,35 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _sketched(percent: int, n: int, filled):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, bitmap = bands(1 << 32, percent), filled.value
+        mask = U(64 * len(bitmap) - 1)
         for batch in it:
             for at, texts in batches(batch.column(1).to_pylist()):
-                size, h1, h2, sigs, bits = [], [], [], [], []
-                for s in shingle_sets(texts, n):
-                    size.append(len(s))
-                    h1.append(set_hash(s)[0])
-                    h2.append(set_hash(s)[1])
+                which, size, h1, h2, sigs, bits = [], [], [], [], [], []
+                for i, s in enumerate(shingle_sets(texts, n)):
                     x = signatures(s, percent, ends) if len(s) else np.empty(0, U)
-                    slot = (x & U((1 << FILTER_BITS) - 1)).astype(np.int64)
-                    sigs.append(x[bitmap[slot >> 6] >> (slot & 63).astype(U) & U(1) == 1].view(np.int64))
-                    bits.append(parity(s) if len(s) and len(sigs[-1]) else np.empty(0, np.int64))
+                    slot = (x & mask).astype(np.int64)
+                    x = x[bitmap[slot >> 6] >> (slot & 63).astype(U) & U(1) == 1]
+                    if len(x):
+                        which.append(at + i)
+                        size.append(len(s))
+                        h1.append(set_hash(s)[0])
+                        h2.append(set_hash(s)[1])
+                        sigs.append(x.view(np.int64))
+                        bits.append(parity(s))
                 numbers = [pa.array(x, pa.int64()) for x in (size, h1, h2)]
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)), *numbers, _lists(sigs), _lists(bits)], names=["doc_id", "size", "h1", "h2", "sigs", "bits"])
+                ids = batch.column(0).take(pa.array(which, pa.int64()))
+                yield pa.record_batch([ids, *numbers, _lists(sigs), _lists(bits)], names=["doc_id", "size", "h1", "h2", "sigs", "bits"])
 
     return run
 
 
 def _bitmap(common: DataFrame) -> np.ndarray:
-    """A bit for each slot of a signature: at most 2**FILTER_BITS bits come to the driver, whatever the table's size."""
-    slot = F.col("sig").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = common.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST((sig & {(1 << FILTER_BITS) - 1}L) & 63L AS INT))").alias("bit"))
+    """A bit for each slot of a signature, FILTER_SLOTS for each in `common`: at most MOST_FILTER bits come to the driver."""
+    slots = min(MOST_FILTER, max(1 << 12, 1 << (FILTER_SLOTS * common.count()).bit_length()))
+    slot = F.col("sig").bitwiseAND(slots - 1)
+    words = common.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, CAST(sig & 63L AS INT))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(slots >> 6, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(U)
 
@@ -211,63 +253,90 @@ def links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     return staged(both.mapInArrow(_verified(percent, n), "a bigint, b bigint"), "links")
 
 
+def _representatives(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of docs, one row for every different text of an id that represents a class, and few others."""
+    spare = rows.select("doc_id").subtract(classes.select(F.col("class_id").alias("doc_id")))
+    spare = staged(spare.where("doc_id IS NOT NULL"), "spare")
+    spare = F.broadcast(spare) if spare.count() <= MOST_BROADCAST else spare
+    docs = docs.where("doc_id IS NOT NULL").join(spare, "doc_id", "left_anti")
+    again = rows.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
+    if again.isEmpty():
+        return docs
+    return docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").distinct())
+
+
 def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """The rows of join(), and h1."""
+    """The rows of join() without n_links, and the set: size, h1, h2, class and component null without a set or an id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    every = docs.select("text").mapInArrow(_signed(percent, n), "sig bigint, h1 bigint")
-    common = staged(every.groupBy("sig").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("sig"), "common")
-    filled = spark.sparkContext.broadcast(_bitmap(common))
-    rows = staged(docs.mapInArrow(_sketched(percent, n, filled), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>"), "sets")
+    rows = staged(docs.mapInArrow(_sized(n), "doc_id bigint, size bigint, h1 bigint, h2 bigint"), "sets")
     known = rows.where("doc_id IS NOT NULL AND size > 0")
-    classes = known.groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
-
-    each = known.select("size", "h1", "h2", "doc_id", F.explode("sigs").alias("sig")).groupBy("sig", "size", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    members = staged(each.join(common, "sig").select("sig", "doc_id"), "members")
-    groups = staged(members.join(members.groupBy("sig").count(), "sig"), "groups")
+    key = ["size", "h1", "h2"]
+    classes = staged(known.groupBy(key).agg(F.min("doc_id").alias("class_id")), "classes")
+    texts = _representatives(docs, rows, classes)
+    every = texts.select("text").mapInArrow(_signed(percent, n), "sig bigint")
+    common = staged(every.groupBy("sig").count().where("count > 1").select("sig"), "common")
+    filled = spark.sparkContext.broadcast(_bitmap(common))
+    sketched = staged(texts.mapInArrow(_sketched(percent, n, filled), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>"), "sketches")
+    filled.unpersist()
+    sketch = sketched.join(classes, key, "left_semi").groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
+    sketch = staged(sketch.join(classes, key).select(F.col("class_id").alias("doc_id"), "size", "bits"), "sketch")
+
+    each = sketched.select(*key, F.explode("sigs").alias("sig")).distinct().join(classes, key).select("sig", F.col("class_id").alias("doc_id"))
+    members = staged(each.join(common, "sig", "left_semi"), "members")
+    counts = staged(members.groupBy("sig").count().where("count > 1"), "counts")
+    groups = staged(hot_join(members, counts, ["sig"]), "groups")
     fame = groups.groupBy("doc_id").agg(F.sum("count").alias("fame"))
-    hubs = groups.join(fame, "doc_id").groupBy("sig").agg(F.max_by("doc_id", "fame").alias("hub"))
-    sketch = known.join(classes, ["size", "h1", "h2"]).where("doc_id = class_id AND size(bits) > 0").groupBy("doc_id", "size", "h1", "h2").agg(F.first("bits").alias("bits"))
-    sketch = staged(sketch.select("doc_id", "size", "bits"), "sketch")
-    stars = groups.join(hubs, "sig").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    near_hub = (F.col("s.doc_id") == F.col("x.doc_id")) & may_link(percent)
-    stars = stars.join(sketch.alias("y"), F.col("hub") == F.col("y.doc_id")).select(stars["doc_id"], "hub", "y.size", "y.bits")
-    stars = stars.select("doc_id", "hub", F.struct("size", "bits").alias("y")).alias("s").join(sketch.alias("x"), near_hub)
-    stars = stars.select(F.least("s.doc_id", "hub").alias("a"), F.greatest("s.doc_id", "hub").alias("b"), "hub").distinct()
+    famous = staged(groups.join(fame, "doc_id").select("sig", "doc_id", "fame"), "famous")
+    hubs = famous.groupBy("sig").agg(F.max_by("doc_id", F.struct("fame", "doc_id")).alias("hub"))
+    stars = staged(hot_join(famous, hubs, ["sig"]).where("doc_id <> hub").select("doc_id", "hub").distinct(), "spokes")
+    stars = hot_join(stars, sketch.select(F.col("doc_id").alias("hub"), F.struct("size", "bits").alias("y")), ["hub"])
+    stars = stars.alias("s").join(sketch.alias("x"), (F.col("s.doc_id") == F.col("x.doc_id")) & may_link(percent))
+    stars = stars.select(F.least("s.doc_id", "s.hub").alias("a"), F.greatest("s.doc_id", "s.hub").alias("b")).distinct()
     docs = docs.where("doc_id IS NOT NULL")
     stars = staged(stars, "stars")
-    near = links(stars.select("a", "b").distinct(), docs, percent, n)
+    near = links(stars, docs, percent, n)
 
     # Of every member, the component that the links with hubs give it; then the pairs of a group across components.
-    led = members.join(components(near), F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("hub"))
+    led = groups.join(components(near), F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("hub"))
+    led = staged(led, "led")
     split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).where("x < y").select("sig")
-    left = staged(led.join(split, "sig", "left_semi").join(sketch, "doc_id"), "split")
+    left = staged(hot_join(led, split, ["sig"]).join(sketch, "doc_id"), "split")
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & may_link(percent))
-    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     far = links(more, docs, percent, n)
 
-    found = rows.select("doc_id", "size", "h1", "h2").join(classes, ["size", "h1", "h2"], "left")
+    found = staged(hot_join(known, classes, key).unionByName(rows.where("doc_id IS NULL OR size = 0").withColumn("class_id", F.lit(None).cast("bigint"))), "classed")
     several = rows.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
     same_id = found.join(several, "doc_id", "left_semi").where("class_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    reach = components(near.unionByName(far).unionByName(same_id))
-    found = found.join(reach, F.col("class_id") == F.col("node"), "left")
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("size") == 0), F.col("doc_id"))
-    some = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
-    return found.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), own).alias("class_id"), F.coalesce(some, own).alias("component_id"), "h1")
+    reach = components(near.unionByName(far).unionByName(same_id)).withColumnRenamed("node", "class_id")
+    known, blank = found.where("class_id IS NOT NULL"), found.where("class_id IS NULL")
+    known = hot_join(known, reach, ["class_id"], "left").withColumn("component", F.coalesce("component", "class_id"))
+    return known.unionByName(blank.withColumn("component", F.lit(None).cast("bigint")))
 
 
-def join(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id), one row for each row of docs.
+def join(docs: DataFrame, percent: int = 90, n: int = 3, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, n_links), one row for each row of docs.
 
     Sets are the distinct n-word shingles of the whole text, A-Z lowered; with fewer than n words, the whole
     sequence as one; a null, empty or blank text has none and links with nothing. Two rows link when 100 times
     the shared shingles are at least `percent` times all. class_id is the smallest id with an equal set,
-    component_id the smallest id that links reach; both are the row's own id without a set. Rows that repeat
+    component_id the smallest id that links reach; both are the row's own id without a set. n_links is the number
+    of other ids that the row links with; an id with several texts counts for each of them. Rows that repeat
     an id count as one document where links are followed; rows with a null id link with nothing and have null
-    class and component. An empty table gives an empty result; other columns of docs are not read.
+    class and component. An empty table gives an empty result; other columns of docs are not read. Without
+    count_links the last column is left out, and links inside components need not all be looked at.
     """
-    return _found(docs, percent, n).drop("h1")
+    found = _found(docs, percent, n)
+    if count_links:
+        found = staged(found, "found")
+        held = staged(found.where("class_id IS NOT NULL").select("class_id", "doc_id").distinct().groupBy("class_id").count(), "held")
+        far = _linked(docs, found, percent, n, True).groupBy("class_id").agg(F.sum("n").alias("far"))
+        held = held.join(far, "class_id", "left").select("class_id", (F.col("count") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+        found = hot_join(found.where("class_id IS NOT NULL"), held, ["class_id"]).unionByName(found.where("class_id IS NULL").withColumn("n_links", F.lit(0).cast("bigint")))
+    own = F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")
+    return found.select("doc_id", F.col("size").alias("n_shingles"), *own, *(["n_links"] if count_links else []))
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -286,20 +355,26 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _paired(percent: int, n: int):
+def _paired(percent: int, n: int, count: bool):
     def run(group: pa.Table) -> pa.Table:
         first, second = group["i"][0].as_py(), group["j"][0].as_py()
-        known: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
-        ids, h1, own = (group[c].to_pylist() for c in ("doc_id", "h1", "own"))
+        known: dict[tuple[int, int], tuple[np.ndarray, int, int]] = {}
+        ids, h1, own, held = (group[c].to_pylist() for c in ("doc_id", "h1", "own", "held"))
         for k, s in enumerate(shingle_sets(group["text"].to_pylist(), n)):
             if len(s) and set_hash(s)[0] == h1[k]:
-                known[ids[k], h1[k]] = s, own[k]
-        keys, sets, chunk = list(known), [s for s, _ in known.values()], np.array([c for _, c in known.values()])
+                known[ids[k], h1[k]] = s, own[k], held[k]
+        keys, sets, chunk = list(known), [s for s, *_ in known.values()], np.array([c for _, c, _ in known.values()])
         size, shared = np.array([len(s) for s in sets], np.int64), shared_counts(sets)
         linked = (shared > 0) & (100 * shared >= percent * (size[:, None] + size - shared))
+        linked &= np.triu(chunk[:, None] != chunk if first != second else np.ones_like(linked), 1)
+        if count:
+            rows = np.array([h for *_, h in known.values()], np.int64)
+            both = linked | linked.T
+            some = np.flatnonzero(both.any(axis=1))
+            return pa.table([pa.array([keys[i][0] for i in some], pa.int64()), pa.array((both @ rows)[some], pa.int64())], names=["class_id", "n"])
         pairs: dict[tuple[int, int], int] = {}
-        for x, y in zip(*np.nonzero(np.triu(linked, 1))):
-            if keys[x][0] != keys[y][0] and (first == second or chunk[x] != chunk[y]):
+        for x, y in zip(*np.nonzero(linked)):
+            if keys[x][0] != keys[y][0]:
                 key = min(keys[x][0], keys[y][0]), max(keys[x][0], keys[y][0])
                 pairs[key] = max(pairs.get(key, 0), int(shared[x, y]))
         columns = [[a for a, _ in pairs], [b for _, b in pairs], list(pairs.values())]
@@ -308,21 +383,27 @@ def _paired(percent: int, n: int):
     return run
 
 
+def _linked(docs: DataFrame, found: DataFrame, percent: int, n: int, count: bool) -> DataFrame:
+    """Of the classes of _found(): the rows of pairs(), or by class (class_id, n) counts of the ids in linked classes."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    held = found.where("class_id IS NOT NULL").groupBy("class_id", "size", "h1", "h2", "component").agg(F.countDistinct("doc_id").alias("held"))
+    held = staged(held.select(F.col("class_id").alias("doc_id"), "h1", "component", "held"), "held")
+    sizes = held.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    dealt = hot_join(held, sizes, ["component"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
+    dealt = staged(dealt.select("component", "chunks", "doc_id", "h1", "own", "held"), "dealt")
+    groups = dealt.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    groups = groups.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "h1", "own", "held", "text")
+    return groups.groupBy("component", "i", "j").applyInArrow(_paired(percent, n, count), "class_id bigint, n bigint" if count else "a bigint, b bigint, n_shared bigint")
+
+
 def pairs(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     """(a, b, n_shared), one row for every two class representatives a < b that link, with their shared shingles.
 
     Sets, links and classes are those of join(): rows of one class link besides, so with the classes' sizes this
-    gives each document's number of links. Of an id that is repeated with different texts, the pair that shares
+    gives each document's links. Of an id that is repeated with different texts, the pair that shares
     most counts. An empty table gives an empty result.
     """
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = staged(_found(docs, percent, n).where("doc_id = class_id AND n_shingles > 0").select("doc_id", "h1", F.col("component_id").alias("component")).distinct(), "found")
-    sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    dealt = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
-    dealt = staged(dealt.select("component", "chunks", "doc_id", "h1", "own"), "dealt")
-    groups = dealt.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    groups = groups.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "h1", "own", "text")
-    return groups.groupBy("component", "i", "j").applyInArrow(_paired(percent, n), "a bigint, b bigint, n_shared bigint")
+    return _linked(docs, staged(_found(docs, percent, n), "found"), percent, n, False)
 
 
 #: The same rows in DuckDB by comparing all pairs that share a shingle.
@@ -339,8 +420,8 @@ e AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
 c AS (SELECT doc_id, list(shingle ORDER BY shingle) AS l FROM s GROUP BY doc_id),
 k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class_id FROM c)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.class_id, w.doc_id) AS class_id, m.component_id
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.class_id, w.doc_id) AS class_id, m.component_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY a) f USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
 #: All links between class representatives, by the same plain comparison.

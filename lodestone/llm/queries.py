@@ -36,10 +36,6 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-def op4_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.pairs(table(spark, sf_dir, "documents"))
-
-
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -61,7 +57,6 @@ QUERIES: dict[str, Query] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_ngram_join": op4_ngram_join,
-    "op4_ngram_pairs": op4_ngram_pairs,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
@@ -72,7 +67,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op4_ngram_join": ngram_join.JOIN_SQL,
-    "op4_ngram_pairs": ngram_join.PAIRS_SQL,
     "op5_lm_scoring": lm.SCORE_SQL,
     "op9_mix_sources": mixing.MIX_SQL,
     "op10_license_scan": licenses.scan_sql(),

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodestone.llm import components, decontaminate, licenses, mixing, mpeg, ngram_join, quality, queries, secrets, toxicity, warc
+from lodestone.llm import common, components, decontaminate, licenses, mixing, mpeg, ngram_join, quality, queries, secrets, toxicity, warc
 from lodestone.llm.common import table
 from lodestone.llm.hashing import grams, words_of
 from lodestone.parity import compare
@@ -132,8 +132,42 @@ def test_join_loses_no_link(spark, percent, n):
         docs[len(docs)] = " ".join(f"s{i}" for i in range(size))
     sets = {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in docs.items())}
     want = _brute_components(sets, percent)
-    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), percent, n).collect()}
-    assert got == want
+    rows = ngram_join.join(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), percent, n).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+    links = {i: sum(j != i and 100 * len(s & t) >= percent * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in rows} == links
+
+
+def test_hot_join_and_hot_classes(spark, monkeypatch):
+    """Keys, classes, signatures and hubs that many rows share go by broadcast, with the same results."""
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 40)
+    left = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)] + [(300, None)], "x int, k int")
+    right = spark.createDataFrame([(k, k + 1) for k in range(200)], "k int, y int")
+    for how in ("inner", "left"):
+        got, want = common.hot_join(left, right, ["k"], how), left.join(right, ["k"], how)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(base if i % 2 else [f"x{rng.randrange(9)}" if k == i % 50 else w for k, w in enumerate(base)])) for i in range(120)] + [(500 + i, f"{i} alone here today") for i in range(20)]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == _brute_components(sets, 90)
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(j != i and 100 * len(s & t) >= 90 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("size", [20, 33, 60, 100, 200, 500, 1000])
+def test_unlike_sets_share_no_signature(size):
+    """Of all pairs of random sets at 80 per cent, fewer than one in a thousand."""
+    rng = np.random.default_rng(size)
+    ends, sets = ngram_join.bands(1 << 20, 80), 400
+    sigs = [ngram_join.signatures(np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)), 80, ends) for _ in range(sets)]
+    owners: dict[int, list[int]] = {}
+    for i, s in enumerate(sigs):
+        for x in s.tolist():
+            owners.setdefault(x, []).append(i)
+    shared = {(a, b) for o in owners.values() for k, a in enumerate(o) for b in o[k + 1 :]}
+    assert len(shared) < sets * (sets - 1) / 2 / 1000
 
 
 @pytest.mark.parametrize(("percent", "n"), [(90, 3), (80, 5)])
@@ -161,14 +195,15 @@ def test_pairs_inside_a_component(spark, percent, n):
 def test_similar_sets_share_a_signature(percent):
     rng = np.random.default_rng(1)
     ends = ngram_join.bands(1 << 20, percent)
-    for _ in range(300):
+    for _ in range(600):
         size = int(rng.integers(1, 600))
         s = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
         lost = int(rng.integers(0, len(s) * (100 - percent) // 100 + 1))
-        t = s[lost:]
-        if len(t) * 100 >= percent * len(s):
+        new = int(rng.integers(0, lost + 1))
+        t = np.unique(np.concatenate([s[lost:], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
+        if (len(s) - lost) * 100 >= percent * len(np.union1d(s, t)):
             assert np.intersect1d(ngram_join.signatures(s, percent, ends), ngram_join.signatures(t, percent, ends)).size
-            assert sum(int(a ^ b).bit_count() for a, b in zip(ngram_join.parity(s).view(np.uint64), ngram_join.parity(t).view(np.uint64))) <= lost or len(ngram_join.parity(s)) != len(ngram_join.parity(t))
+            assert sum(int(a ^ b).bit_count() for a, b in zip(ngram_join.parity(s).view(np.uint64), ngram_join.parity(t).view(np.uint64))) <= lost + new or len(ngram_join.parity(s)) != len(ngram_join.parity(t))
 
 
 def test_components(spark):
