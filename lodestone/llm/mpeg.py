@@ -1,9 +1,9 @@
 """MPEG audio columns: read frames, tags, variable-bitrate tables and checksums; write payloads as streams.
 
 read() takes the bytes of a stream as they are found: it skips ID3v2 and ID3v1 tags, finds frame headers,
-resynchronises over anything that is no frame, reads a Xing, Info or VBRI table, verifies the CRC of
-protected Layer I and III frames, and gives the exact duration (samples over rate) and the byte offset of every
-frame. write() stores any bytes losslessly: silent Layer III frames of one channel, with no main data, hold
+resynchronises over anything that is no frame, reads a Xing, Info or VBRI table (with its seek points, and the
+encoder's delay and padding where they are told), verifies the CRC of protected frames of all layers, and gives the exact
+duration (samples over rate) and the byte offset of every frame. write() stores any bytes losslessly: silent Layer III frames of one channel, with no main data, hold
 them as ancillary data; an ID3v2 tag tells their number and a Xing table the frames.
 """
 
@@ -32,6 +32,15 @@ BITRATES = {
 # Hz by the header's version bits (0: MPEG 2.5, 2: MPEG 2, 3: MPEG 1).
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
+# Bits of an allocation by subband in Layer II, ISO 11172-3 tables B.2a to B.2d, and ISO 13818-3 table B.1.
+ALLOCATION_BITS = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "lsf": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
 UNIT = 64
 #: Of the written streams: Layer III, 48 kHz, one channel: a frame has 3 bytes a kbit/s, no padding is needed.
 _RATE, _SIDE, _HEAD = 48000, 17, 4 + 2 + 17
@@ -48,6 +57,9 @@ class Header:
     length: int
     samples: int
     side: int
+    kbit: int
+    #: subbands from here on share their allocation between the channels
+    bound: int
 
 
 @lru_cache(maxsize=4096)
@@ -63,7 +75,8 @@ def header(four: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     length = (12000 * kbit // hz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbit // hz + padding
     side = (32 if channels == 2 else 17) if first else (17 if channels == 2 else 9)
-    return Header(version, layer, not four[1] & 1, hz, channels, length, samples, side)
+    bound = (four[3] >> 4 & 3) * 4 + 4 if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, hz, channels, length, samples, side, kbit, bound)
 
 
 _CRC = []
@@ -83,6 +96,51 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(value: int, n_bits: int, crc: int = 0xFFFF) -> int:
+    """The same CRC over the n_bits bits of value, first ones first."""
+    for i in range(n_bits - 1, -1, -1):
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ (value >> i & 1) else 0)
+    return crc
+
+
+def _layer2_bits(h: Header) -> tuple[int, ...]:
+    each = h.kbit // h.channels
+    if h.version != 3:
+        return ALLOCATION_BITS["lsf"]
+    if each <= 48:
+        return ALLOCATION_BITS["d" if h.rate == 32000 else "c"]
+    return ALLOCATION_BITS["a" if h.rate == 48000 or each <= 80 else "b"]
+
+
+def crc_holds(frame: bytes, h: Header) -> bool:
+    """Whether the checksum of a protected frame is that of what it covers.
+
+    That is the header's last two bytes and: in Layer I the allocations, in Layer II these and the scale factor selections,
+    in Layer III the side information.
+    """
+    stated = int.from_bytes(frame[4:6], "big")
+    if h.layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side]) == stated
+    body = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big")  # more than either layer covers
+    at, chosen = 0, 0
+
+    def take(n: int) -> int:
+        nonlocal at
+        at += n
+        return body >> (512 - at) & (1 << n) - 1
+
+    if h.layer == 1:
+        at = 4 * (h.channels * min(h.bound, 32) + max(0, 32 - h.bound))
+    else:
+        for band, n in enumerate(_layer2_bits(h)):
+            if band < h.bound:
+                chosen += sum(take(n) > 0 for _ in range(h.channels))
+            else:
+                chosen += h.channels * (take(n) > 0)
+        at += 2 * chosen
+    return crc16_bits(body >> (512 - at), at, crc16(frame[2:4])) == stated
+
+
 @dataclass
 class Stream:
     """What read() found; offsets has a byte offset for each audio frame, a table's frame is none."""
@@ -98,8 +156,15 @@ class Stream:
 
     @property
     def samples(self) -> int:
+        """Of all frames; the encoder's delay and padding, where the table tells them, are among them."""
         return sum(h.samples for h in self.headers)
 
+    @property
+    def played_samples(self) -> int:
+        """Without the encoder's delay and padding."""
+        table = self.table or {}
+        return max(0, self.samples - table.get("delay", 0) - table.get("padding", 0))
+
     @property
     def rate(self) -> int:
         return self.headers[0].rate if self.headers else 0
@@ -123,18 +188,37 @@ def _text(b: bytes) -> str:
 
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Read the tag that starts here; where it ends."""
-    major, end = data[at + 3], min(len(data), at + 10 + _synchsafe(data[at + 6 : at + 10]))
-    at += 10
-    while major in (3, 4) and at + 10 <= end and data[at : at + 4].isalnum():
-        name, size = data[at : at + 4].decode("ascii"), _synchsafe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if name == "TXXX":
-            key, _, value = _text(body).partition("\0")
+    """Read the tag that starts here, version 2.2 to 2.4; where it ends.
+
+    Unsynchronisation is undone, for the whole tag or (2.4) by frame; an extended header is passed over. Frames that are
+    compressed or encrypted are left out.
+    """
+    major, flags, size = data[at + 3], data[at + 5], _synchsafe(data[at + 6 : at + 10])
+    end = min(len(data), at + 10 + size + (10 if major == 4 and flags & 0x10 else 0))
+    body = data[at + 10 : min(len(data), at + 10 + size)]
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    i = 0
+    if flags & 0x40 and major > 2:
+        i = _synchsafe(body[:4]) if major == 4 and len(body) >= 4 else int.from_bytes(body[:4], "big") + 4
+    wide = 3 if major == 2 else 4
+    head = 6 if major == 2 else 10
+    while major in (2, 3, 4) and i + head <= len(body) and body[i : i + wide].isalnum():
+        name, stated = body[i : i + wide].decode("ascii"), body[i + wide : i + 2 * wide]
+        n = _synchsafe(stated) if major == 4 else int.from_bytes(stated, "big")
+        how = body[i + 9] if major > 2 else 0
+        content = body[i + head : i + head + n]
+        i += head + n
+        if how & (0xC0 if major == 3 else 0x0C):
+            continue
+        if major == 4:
+            content = content[4:] if how & 0x01 else content
+            content = content.replace(b"\xff\x00", b"\xff") if how & 0x02 else content
+        if name in ("TXXX", "TXX"):
+            key, _, value = _text(content).partition("\0")
             tags[f"TXXX:{key}"] = value
         elif name[0] == "T":
-            tags[name] = _text(body)
-        at += 10 + size
+            tags[name] = _text(content)
     return end
 
 
@@ -150,11 +234,17 @@ def _table(frame: bytes, h: Header) -> dict | None:
         if flags & 4:
             out["toc"], at = frame[at : at + 100], at + 100
         if flags & 8:
-            out["quality"] = int.from_bytes(frame[at : at + 4], "big")
+            out["quality"], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
+        if frame[at : at + 1].isalpha() and at + 24 <= len(frame):  # the encoder's name, its settings, then delay and padding
+            both = int.from_bytes(frame[at + 21 : at + 24], "big")
+            out |= {"encoder": frame[at : at + 9].decode("latin-1").strip(" \0"), "delay": both >> 12, "padding": both & 0xFFF}
         return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
-        quality, n_bytes, frames = struct.unpack(">HII", frame[44:54])
-        return {"kind": "VBRI", "frames": frames, "bytes": n_bytes, "quality": quality}
+        quality, n_bytes, frames, points, scale, wide, each = struct.unpack(">HIIHHHH", frame[44:62])
+        out = {"kind": "VBRI", "frames": frames, "bytes": n_bytes, "quality": quality, "frames_per_point": each}
+        if 1 <= wide <= 4 and 62 + points * wide <= len(frame):
+            out["points"] = [scale * int.from_bytes(frame[62 + wide * k : 62 + wide * (k + 1)], "big") for k in range(points)]
+        return out
     return None
 
 
@@ -181,9 +271,8 @@ def read(data: bytes) -> Stream:
             follows = header(data[after : after + 4]) if after + 4 <= end else None
             same = follows and (follows.version, follows.layer, follows.rate) == (h.version, h.layer, h.rate)
             if after == end or same or data[after : after + 3] == b"ID3" or (not lost and out.headers and (out.headers[-1].version, out.headers[-1].layer, out.headers[-1].rate) == (h.version, h.layer, h.rate)):
-                if h.protected and h.layer != 2:
-                    covered = h.side if h.layer == 3 else 16 * h.channels
-                    good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) == int.from_bytes(data[at + 4 : at + 6], "big")
+                if h.protected:
+                    good = crc_holds(data[at:after], h)
                     out.crc_good, out.crc_bad = out.crc_good + good, out.crc_bad + (not good)
                 table = _table(data[at:after], h) if h.layer == 3 and not out.headers and out.table is None else None
                 if table:

@@ -1,6 +1,7 @@
 """WARC derivatives: from every response record, a metadata record and a plain-text conversion record.
 
-Both name the response in WARC-Refers-To and carry its target URI and date on; the metadata record keeps the
+Both name the response in WARC-Refers-To, with its target URI and date in WARC-Refers-To-Target-URI and -Date, and carry
+these on as their own; the metadata record keeps the
 response's WARC and HTTP headers and its digests as fields, and says whether the digests still hold. Record ids
 are name-based UUIDs of the response's id, so a rerun, or a task that is run again, makes the same records.
 Every record is made from its own row; nothing is shuffled.
@@ -61,15 +62,19 @@ def _blank_line(data: bytes) -> tuple[int, int]:
     return min(at, default=(len(data), len(data)))
 
 
+def _length(headers: list[tuple[str, str]]) -> int | None:
+    """The stated length of the block; None if it is no number."""
+    stated = _get(headers, "content-length") or ""
+    return int(stated) if stated.isascii() and stated.isdigit() and len(stated) < 19 else None
+
+
 def parse(data: bytes) -> tuple[list[tuple[str, str]], bytes] | None:
     """(headers, block) of a record, None if it is none. Content-Length cuts the block, if it is given."""
     if not data.startswith(b"WARC/"):
         return None
     end, begin = _blank_line(data)
     headers = _fields(data[data.find(b"\n") + 1 : end])
-    length = _get(headers, "content-length") or ""
-    block = data[begin:]
-    return headers, block[: int(length)] if length.isdigit() else block
+    return headers, data[begin:][: _length(headers)]
 
 
 def _dechunked(body: bytes) -> bytes:
@@ -100,21 +105,57 @@ def _decoded(body: bytes, headers: list[tuple[str, str]]) -> bytes:
 
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
-_DROPPED = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|title)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+#: Codecs that Python knows and that are no page's character set.
+_NO_CHARSETS = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape"}
+#: Elements of which nothing is text, and comments.
+_DROPPED = re.compile(r"<!--|<(script|style|noscript|template|svg|title)\b", re.I)
 _BREAKS = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|main|nav|header|footer|aside|body|html|head|blockquote|pre|form|figure)\b[^>]*>", re.I)
 _TAGS = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINKS = re.compile(r"<a\b[^>]*\bhref\s*=", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINKS = re.compile(r"<a\b[^<>]*\bhref\s*=", re.I)
+
+
+def _without(tags: re.Pattern, new: str, markup: str) -> str:
+    """markup with the tags replaced. Behind the last > there are none; up to it the search for an end never fails, so it is linear."""
+    end = markup.rfind(">") + 1
+    return tags.sub(new, markup[:end]) + markup[end:]
 
 
 def _line(s: str) -> str:
-    return " ".join(html.unescape(_TAGS.sub("", s)).split())
+    return " ".join(html.unescape(_without(_TAGS, "", s)).split())
+
+
+def _kept(markup: str) -> str:
+    """markup without the elements that are dropped and comments; one that never ends goes up to the end. Linear in its length."""
+    out, at, lowered = [], 0, markup.lower()
+    if len(lowered) != len(markup):  # a few letters grow when they are lowered
+        lowered = "".join(c.lower() if c.isascii() else c for c in markup)
+    while m := _DROPPED.search(markup, at):
+        out.append(markup[at : m.start()])
+        close = "-->" if not m[1] else f"</{m[1].lower()}"
+        stop = lowered.find(close, m.end())
+        stop = lowered.find(">", stop) if stop >= 0 else -1
+        if stop < 0:
+            return "".join(out)
+        at = stop + 1
+    return "".join([*out, markup[at:]])
+
+
+def _title(markup: str) -> str:
+    start = re.search(r"<title\b[^<>]*>", markup, re.I)
+    stop = re.compile("</title", re.I).search(markup, start.end()) if start else None
+    return _line(markup[start.end() : stop.start()]) if stop else ""
+
+
+def _language(markup: str) -> str:
+    tag = re.search(r"<html\b[^<>]*>", markup, re.I)
+    named = _LANG.search(tag[0]) if tag else None
+    return named[1] if named else ""
 
 
 def plain_text(markup: str) -> str:
     """The text of a page: one line a block, blanks collapsed, entities resolved, no script, style, title or comment."""
-    lines = (" ".join(x.split()) for x in html.unescape(_TAGS.sub("", _BREAKS.sub("\n", _DROPPED.sub("", markup)))).split("\n"))
+    lines = (" ".join(x.split()) for x in html.unescape(_without(_TAGS, "", _without(_BREAKS, "\n", _kept(markup)))).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -140,9 +181,10 @@ def derivatives(data: bytes) -> list[dict]:
     body = _decoded(payload, http_headers)
     content_type = _get(http_headers, "content-type") or ""
     named = _CHARSET.search(content_type) or _CHARSET.search(body[:1024].decode("latin-1"))
+    charset = named[1] if named and named[1].lower().replace("-", "_") not in _NO_CHARSETS else "utf-8"
     try:
-        markup = body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+        markup = body.decode(charset, "replace")
+    except (LookupError, UnicodeError, ValueError):  # no codec of that name, or one that refuses all input
         markup = body.decode("utf-8", "replace")
     source = _get(headers, "warc-record-id") or ""
     digests = {"block": (_get(headers, "warc-block-digest"), block), "payload": (_get(headers, "warc-payload-digest"), payload)}
@@ -150,17 +192,17 @@ def derivatives(data: bytes) -> list[dict]:
     status = re.match(rb"HTTP/\S+\s+(\d{3})", status_line)
     is_html = "html" in content_type.lower() or bool(re.search(r"<(html|body|p)\b", markup[:2000], re.I))
     text = plain_text(markup) if is_html else markup
-    title, lang = _TITLE.search(markup) if is_html else None, _LANG.search(markup) if is_html else None
 
-    fields = [("source-status", status[1].decode() if status else ""), ("title", _line(title[1]) if title else ""), ("language", lang[1] if lang else "")]
+    fields = [("source-status", status[1].decode() if status else ""), ("title", _title(markup) if is_html else ""), ("language", _language(markup) if is_html else "")]
     fields += [("outlinks", str(len(_LINKS.findall(markup)) if is_html else 0)), ("text-characters", str(len(text)))]
     fields += [(f"source-{k}-digest-holds", {None: "unknown", True: "yes", False: "no"}[v]) for k, v in holds.items()]
     fields += [(f"source-warc-{k}", v) for k, v in headers] + [(f"source-http-{k}", v) for k, v in http_headers]
+    refers = [(f"WARC-Refers-To-{k}", v) for k in ("Target-URI", "Date") if (v := _get(headers, f"warc-{k.lower()}"))]
     kept = [(k, v) for k, v in headers if k.lower() in ("warc-target-uri", "warc-date", "warc-warcinfo-id")]
     out = []
     for kind, mime, new in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode()), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
         own, digest = record_id(f"{kind}:{source}"), sha1(new)
-        lines = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), *kept, ("Content-Type", mime), ("WARC-Block-Digest", digest)]
+        lines = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), *refers, *kept, ("Content-Type", mime), ("WARC-Block-Digest", digest)]
         out.append(
             {
                 "record_type": kind, "record_id": own, "refers_to": source, "target_uri": _get(headers, "warc-target-uri"), "warc_date": _get(headers, "warc-date"),
@@ -223,8 +265,7 @@ def _split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at, offsets, found = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0, [], []
             while (at := data.find(b"WARC/", at)) >= 0:
                 end, begin = _blank_line(data[at : at + (1 << 20)])
-                length = _get(_fields(data[at : at + end]), "content-length") or ""
-                stop = at + begin + (int(length) if length.isdigit() else 0)
+                stop = min(len(data), at + begin + (_length(_fields(data[at : at + end])) or 0))
                 offsets.append(at)
                 found.append(data[at:stop] + b"\r\n\r\n")
                 at = stop
