@@ -7,7 +7,7 @@ of character classes in it: lower, upper, digit, other letter, and each punctuat
 mark, whether it repeats the word before it, and the shape pair with the word before it.
 
 Learning reads a bounded sample: up to ROWS rated rows of each grade, in the order of a hash of their ids, by
-full-batch Adam on the likelihood. Weights of 2**BITS slots go to every task. Scoring reads every whole text.
+full-batch Adam on the likelihood. Features are made where the texts are. Weights of 2**BITS slots go to every task. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import LOWER, U, batches, hash_spans, mix, words_of
-from .toxicity import training_rows
+from .toxicity import training_entries
 
 BITS = 16
 ROWS = 3000
@@ -61,16 +61,17 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return np.tile(w.text, len(hashes)), slot, np.tile(share, len(hashes))
 
 
-def matrix(texts: list[bytes | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, slot, share) with one entry for each text and slot."""
-    rows, slots, shares = [], [], []
-    for at, batch in batches(texts):
+def entries(texts: list[bytes | None], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, shares) of each text, with one entry for a slot."""
+    out = []
+    for _, batch in batches(texts):
         text, slot, share = features(batch, bits)
         both, where = np.unique(text << 32 | slot, return_inverse=True)
-        rows.append((both >> 32) + at)
-        slots.append((both & 0xFFFFFFFF).astype(np.int32))
-        shares.append(np.bincount(where, share, len(both)))
-    return np.concatenate(rows or [np.empty(0, np.int64)]), np.concatenate(slots or [np.empty(0, np.int32)]), np.concatenate(shares or [np.empty(0)])
+        share = np.bincount(where, share, len(both)).astype(np.float32)
+        edge = np.searchsorted(both >> 32, np.arange(len(batch) + 1))
+        slot = (both & 0xFFFFFFFF).astype(np.int32)
+        out += [(slot[edge[k] : edge[k + 1]], share[edge[k] : edge[k + 1]]) for k in range(len(batch))]
+    return out
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -83,13 +84,15 @@ def grade_probabilities(latent: np.ndarray, thresholds: np.ndarray) -> np.ndarra
     return np.diff(below, axis=1)
 
 
-def fit(texts: list[bytes | None], grades: list[int], n_grades: int, bits: int = BITS, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) that maximise the mean log-likelihood of the grades, 0 to n_grades - 1.
+def fit(made: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades: int, bits: int = BITS, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) that maximise the mean log-likelihood of the grades, 0 to n_grades - 1, of texts with these entries.
 
     thresholds are the first one and the running sum of exponentials, so they ascend whatever the steps do.
     """
     y = np.array(grades, np.int64)
-    row, slot, share = matrix(texts, bits)
+    row = np.repeat(np.arange(len(made), dtype=np.int32), [len(s) for s, _ in made])
+    slot = np.concatenate([np.empty(0, np.int32), *(s for s, _ in made)])
+    share = np.concatenate([np.empty(0, np.float32), *(x for _, x in made)])
     w, t = np.zeros(1 << bits), np.concatenate([[-1.0], np.zeros(max(0, n_grades - 2))])
     m, v = np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))
     at = np.arange(len(y))
@@ -135,12 +138,12 @@ class Model:
     """Weights, thresholds and the grades they tell apart, in ascending order."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, bits: int = BITS, steps: int = STEPS):
-        sample = training_rows(docs, labels, label, rows, "quality")
-        self.grades = sorted({g for _, g in sample}) or [0]
+        sample = training_entries(docs, labels, label, rows, "quality", lambda texts: entries(texts, bits))
+        self.grades = sorted({g for *_, g in sample}) or [0]
         self.bits = bits
         rank = {g: i for i, g in enumerate(self.grades)}
         if len(self.grades) > 1:
-            self.weights, self.thresholds = fit([t for t, _ in sample], [rank[g] for _, g in sample], len(self.grades), bits, steps)
+            self.weights, self.thresholds = fit([x[:2] for x in sample], [rank[g] for *_, g in sample], len(self.grades), bits, steps)
         else:
             self.weights, self.thresholds = np.zeros(1 << bits), np.empty(0)
 

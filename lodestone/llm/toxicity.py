@@ -6,8 +6,8 @@ Every coordinate has its own learning rate, from the sum of its squared gradient
 leaves most weights at zero. What is left, a few thousand (slot, weight) pairs and at most 2**BITS of them,
 goes to every task.
 
-Learning reads a bounded sample: up to ROWS labelled rows of each label in the order of a hash of their ids.
-Each epoch runs through them in that order, so a rerun learns the same weights. Scoring reads all rows.
+Learning reads a bounded sample: up to ROWS labelled rows of each label in the order of a hash of their ids, and of
+these as many as have MOST_ENTRIES features together. Features are made where the texts are; only slots come to the driver. Each epoch runs through them in that order, so a rerun learns the same weights. Scoring reads all rows.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash
+from .common import id_hash, staged
 from .hashing import U, Words, batches, grams, hash_spans, mix, words_of
 
 BITS = 20
 STEMS = (4, 5, 6, 7)
 #: The most labelled rows of each label that are learned from.
 ROWS = 5000
+#: The most features (slots of a text) that are learned from: 64 MB of them.
+MOST_ENTRIES = 1 << 24
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.2
 THRESHOLD = 0.7
@@ -98,12 +100,11 @@ class Ftrl:
         return p
 
 
-def fit(sample: list[tuple[bytes | None, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(slots, weights, intercept) with nonzero weights only, learned from (text, label) in this order."""
+def fit(sample: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slots, weights, intercept) with nonzero weights only, learned from (slots of a text, label) in this order."""
     model = Ftrl(bits)
-    sets = feature_sets([t for t, _ in sample], bits)
     for _ in range(epochs):
-        for s, (_, label) in zip(sets, sample, strict=True):
+        for s, label in sample:
             model.learn(s, label)
     slots = np.flatnonzero(np.abs(model.z[:-1]) > model.l1)
     return slots.astype(np.int32), model.weights(slots), float(model.weights(np.array([model.last]))[0])
@@ -151,18 +152,46 @@ def sampled(labelled: DataFrame, label: str, rows: int, seed: str) -> DataFrame:
     return out if out is not None else labelled.withColumn("_order", F.lit(0).cast("bigint")).limit(0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: str, training: Column | None = None) -> list[tuple[bytes, int]]:
-    """(text, label) of the sample, in the order of its hash; at most rows for each value of the label.
+def _entries(featurise):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at, texts in batches(batch.column(2).to_pylist()):
+                made = featurise(texts)
+                packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*made, strict=True)]
+                n = pa.array([len(x[0]) for x in made], pa.int64())
+                yield pa.record_batch([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), n, *packed], names=["_order", "label", "n", "slots", "shares"])
+
+    return run
 
-    Rows without an id, label or text are not learned from; an id with several labels or texts counts each.
+
+def training_entries(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: str, featurise, training: Column | None = None, most: int = MOST_ENTRIES
+) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(slots, shares, label) of the sample's texts, in the order of its hash; at most `rows` for each value of the label,
+    and the first of them that have `most` slots together.
+
+    featurise gives (slots as int32, shares as float32) of each text of a list; it runs where the texts are. Rows without
+    an id, label or text are not learned from; an id with several labels or texts counts each.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias(label)).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if training is not None:
         known = known.where(training)
-    chosen = sampled(known, label, rows, seed)
+    chosen = sampled(known, "label", rows, seed)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("_order", label, "text").toArrow()
-    return list(zip(got["text"].to_pylist(), got[label].to_pylist(), strict=True))
+    made = texts.join(F.broadcast(chosen), "doc_id").select("_order", "label", "text").mapInArrow(_entries(featurise), "_order bigint, label int, n bigint, slots binary, shares binary")
+    made = staged(made, "training")
+    # rows are told apart by (_order, label) only, so the cut falls between two such keys
+    sizes = made.groupBy("_order", "label").agg(F.sum("n").alias("n")).orderBy("_order", "label").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), most, "right"))
+    if fits < sizes.num_rows:
+        order, value = (sizes[c][fits].as_py() for c in ("_order", "label"))
+        made = made.where((F.col("_order") < order) | (F.col("_order") == order) & (F.col("label") < value))
+    got = made.select("_order", "label", "slots", "shares").orderBy("_order", "label", "slots", "shares").toArrow()
+    return [(np.frombuffer(s.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y) for s, x, y in zip(got["slots"], got["shares"], got["label"].to_pylist(), strict=True)]
+
+
+def _sets(bits: int):
+    return lambda texts: [(s, np.empty(0, np.float32)) for s in feature_sets(texts, bits)]
 
 
 def score(
@@ -181,8 +210,9 @@ def score(
     on. Without labelled rows every score is 0.5. Rows with a null id are scored and not held out. Repeated
     rows are scored alike; an empty table gives an empty result; other columns are not read.
     """
-    sample = training_rows(docs, labels, label, rows, "toxicity", ~held_out())
+    sample = [(s, y) for s, _, y in training_entries(docs, labels, label, rows, "toxicity", _sets(bits), ~held_out())]
     slots, weights, intercept = fit(sample, bits, epochs)
+    del sample
     kind = dict(docs.dtypes)["doc_id"]
     scored = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("binary").alias("text")).mapInArrow(
         _scored(slots, weights, intercept, bits), f"doc_id {kind}, held_out boolean, score double"

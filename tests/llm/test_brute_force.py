@@ -6,6 +6,8 @@ import math
 import os
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +55,55 @@ def test_mpeg_resynchronises_and_reports_damage():
         mpeg.payload_of(bytes(damaged), stream)
 
 
+@pytest.mark.parametrize(("four", "bits", "bound"), [("fffc24c0", "c", 32), ("fffc9400", "a", 32), ("fffca050", "b", 8), ("fff48400", "lsf", 32), ("fffc4800", "d", 32)])
+def test_mpeg_layer2_checksums(four, bits, bound):
+    """A frame written bit by bit, its CRC by long division."""
+    rng = random.Random(four)
+    top = bytes.fromhex(four)
+    h = mpeg.header(top)
+    assert (h.layer, h.protected, h.bound) == (2, True, bound) and mpeg._layer2_bits(h) == mpeg.ALLOCATION_BITS[bits]
+    covered, chosen = "", 0
+    for band, n in enumerate(mpeg.ALLOCATION_BITS[bits]):
+        for _ in range(h.channels if band < bound else 1):
+            x = rng.choice((0, rng.randrange(1 << n)))
+            covered += format(x, f"0{n}b")
+            chosen += (x > 0) * (1 if band < bound else h.channels)
+    covered += "".join(rng.choice("01") for _ in range(2 * chosen))
+    crc = 0xFFFF
+    for b in format(int.from_bytes(top[2:], "big"), "016b") + covered:
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 & 1) != int(b) else 0)) & 0xFFFF
+    rest = covered + "".join(rng.choice("01") for _ in range(8 * 300 - len(covered)))
+    frame = top + crc.to_bytes(2, "big") + int(rest, 2).to_bytes(300, "big")
+    assert mpeg.crc_holds(frame[: h.length].ljust(h.length, b"\0"), h)
+    spoiled = bytearray(frame)
+    spoiled[6] ^= 0x40
+    assert not mpeg.crc_holds(bytes(spoiled), h)
+
+
+def test_mpeg_tables_and_tags():
+    frame = mpeg._head(320).ljust(960, b"\0")
+    h = mpeg.header(frame)
+    vbri = frame[:36] + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 12345, 10, 3, 2, 2, 4) + struct.pack(">3H", 100, 200, 300) + bytes(890)
+    got = mpeg.read(vbri.ljust(960, b"\0")[:960] + frame * 2).table
+    assert (got["frames"], got["bytes"], got["points"], got["frames_per_point"]) == (10, 12345, [200, 400, 600], 4)
+    info = (frame[:23] + b"Info" + struct.pack(">II", 1, 2) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")).ljust(960, b"\0")
+    stream = mpeg.read(info + frame * 2)
+    assert stream.table["encoder"] == "LAME3.100" and stream.samples == 2 * 1152 and stream.played_samples == 2 * 1152 - 1576 and h.side == 17
+
+    def tag(major, flags, body):
+        n = len(body)
+        return b"ID3" + bytes((major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + body
+
+    old = tag(2, 0, b"TT2" + (5).to_bytes(3, "big") + b"\0Song" + b"TXX" + (4).to_bytes(3, "big") + b"\0a\0b")
+    assert mpeg.read(old + frame).tags == {"TT2": "Song", "TXXX:a": "b"}
+    safe = tag(3, 0x80, b"TIT2" + struct.pack(">IH", 7, 0) + b"\x01\xff\x00\xfeA\0B\0")
+    assert mpeg.read(safe + frame).tags == {"TIT2": "AB"} and mpeg.read(safe + frame).offsets == [len(safe)]
+    extended = tag(4, 0x40, bytes((0, 0, 0, 6, 1, 0)) + b"TIT2" + bytes((0, 0, 0, 5, 0, 0)) + b"\x03Song")
+    assert mpeg.read(extended + frame).tags == {"TIT2": "Song"}
+    footed = tag(4, 0x10, b"TIT2" + bytes((0, 0, 0, 5, 0, 0)) + b"\x03Song") + b"3DI" + bytes(7)
+    assert mpeg.read(footed + frame).offsets == [len(footed)]
+
+
 def test_mpeg_digest_columns(spark):
     docs = {r.doc_id: (r.text or "").encode() for r in table(spark, TINY, "documents").collect()}
     rows = queries.op1_mpeg_media(spark, TINY).collect()
@@ -69,10 +120,10 @@ def test_ordinal_grades_are_learned_in_order():
     rng = random.Random(3)
     words = {g: [f"g{g}w{i}" for i in range(8)] for g in range(4)}
     rows = [(" ".join(rng.choices(words[g] + words[max(0, g - 1)], k=30)).encode(), g) for g in (0, 1, 2, 3) for _ in range(60)]
-    w, t = quality.fit([x for x, _ in rows], [g for _, g in rows], 4, bits=12, steps=300)
+    made = quality.entries([x for x, _ in rows], 12)
+    w, t = quality.fit(made, [g for _, g in rows], 4, bits=12, steps=300)
     assert list(t) == sorted(t) and len(t) == 3
-    text, slot, share = quality.matrix([x for x, _ in rows], 12)
-    p = quality.grade_probabilities(np.bincount(text, w[slot] * share, len(rows)), t)
+    p = quality.grade_probabilities(np.array([w[slot] @ share for slot, share in made]), t)
     assert np.allclose(p.sum(axis=1), 1) and (p >= 0).all()
     expected = p @ np.arange(4)
     means = [expected[[i for i, (_, g) in enumerate(rows) if g == k]].mean() for k in range(4)]
@@ -138,6 +189,16 @@ def test_join_loses_no_link(spark, percent, n):
     assert {r.doc_id: r.n_links for r in rows} == links
 
 
+def test_training_entries_are_bounded(spark):
+    """Rows are taken in the order of their hash while their slots fit, whatever the labels."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(1 + i % 7))) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    every = toxicity.training_entries(docs, labels, "toxic", 50, "s", toxicity._sets(12))
+    some = toxicity.training_entries(docs, labels, "toxic", 50, "s", toxicity._sets(12), most=200)
+    assert len(every) == 60 and sum(len(s) for s, *_ in some) <= 200 < sum(len(s) for s, *_ in every[: len(some) + 1])
+    assert [(s.tolist(), y) for s, _, y in some] == [(s.tolist(), y) for s, _, y in every[: len(some)]]
+
+
 def test_hot_join_and_hot_classes(spark, monkeypatch):
     """Keys, classes, signatures and hubs that many rows share go by broadcast, with the same results."""
     monkeypatch.setattr(common, "HOT_LEAST", 5)
@@ -282,6 +343,25 @@ def test_warc_chain_and_files(spark, tmp_path):
     assert sorted(bytes(r.record) for r in again) == sorted(bytes(r.record) for r in rows)
 
 
+@pytest.mark.parametrize("charset", ["undefined", "idna", "punycode", "hex", "no-such-thing", "\u00b2"])
+def test_warc_hostile_headers(charset):
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={charset}\r\n\r\n<p>a\u00e9".encode()
+    for length in ("\u00b2", "-1", "9" * 40, "", str(len(block))):
+        data = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n" + f"Content-Length: {length}\r\n\r\n".encode() + block
+        meta, text = warc.derivatives(data)
+        assert text["record"].split(b"\r\n\r\n")[1].decode() == "a\u00e9"
+        assert b"WARC-Refers-To-Target-URI: http://a/\r\n" in meta["record"] and b"WARC-Refers-To-Date: 2024-01-01T00:00:00Z\r\n" in text["record"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script>", "<!-- ", "<title>", "<p ", "</", "<html ", "<a href", "<svg <style", "lang "])
+def test_warc_unclosed_markup_is_linear(piece):
+    markup = "<p>x</p>" + piece * (1_000_000 // len(piece))
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + markup.encode()
+    began = time.process_time()
+    assert len(warc.derivatives(warc.record([("WARC-Type", "response")], block))) == 2
+    assert time.process_time() - began < 3
+
+
 def test_warc_bodies():
     import gzip
 
