@@ -8,6 +8,7 @@ the words that the mix takes of it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, ngram_join, quality, secrets
 from lodestone.llm.common import staged, table
@@ -22,16 +23,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document of the smallest id.
 
-    Documents without words are in no group and stay; so do rows without an id. Of rows that repeat an id, one
-    stays.
+    Documents without words are in no group and stay; so do rows without an id. Of rows that repeat an id and a text,
+    the first in the order of their columns stays; different texts of one id all stay, or go with their group.
     """
-    found = staged(ngram_join.join(docs, percent=80, n=5), "near")
+    found = staged(ngram_join.join(docs, percent=80, n=5, count_links=False), "near")
     gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
