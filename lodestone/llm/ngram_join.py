@@ -42,7 +42,7 @@ Similarity is always decided on whole sets of 64-bit shingle hashes, made again
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ from .common import hot_join, staged
 from .components import components
 from .hashing import U, batches, grams, mix, words_of
 
-#: Differences that a signature's partition stands, and the share of partitions (one in so many) beyond those needed.
+#: Differences that a signature's partition stands (signatures() relies on its being 1), and the share of partitions (one in so many) beyond those needed.
 K2, SPARE = 1, 8
 #: Bits of a signature that are compared; equal ones by chance only add candidates.
 SIG_BITS = 48
@@ -104,32 +104,41 @@ def cells_of(partitions: int) -> int:
     return 4 if partitions <= 3 else 3
 
 
+@lru_cache(maxsize=4096)
+def _instance(i: int, end: int, percent: int) -> tuple[int, int, np.uint64, np.ndarray, np.ndarray]:
+    """Of the instance of band i: partitions, cells of each, seed, and what is added to cells and to signatures before they are mixed."""
+    k = differences(2 * end, percent)
+    need = k // (K2 + 1) + 1
+    n1, n2 = (need + need // SPARE, cells_of(need)) if k >= K2 else (1, 1)
+    seed = U(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF)
+    offsets = np.arange(n1 * n2, dtype=U).reshape(n1, n2) * U(0xD6E8FEB86659FD93)
+    salts = (np.arange(n1, dtype=U)[:, None] * U(64) + np.arange(n2, dtype=U)) * U(0xBF58476D1CE4E5B9) + seed
+    return n1, n2, seed, offsets, salts
+
+
 def signatures(s: np.ndarray, percent: int, ends: np.ndarray) -> np.ndarray:
-    """The signatures of one set: those of the instance that its band ends, and of the next one."""
+    """The signatures of one set: those of the instance that its band ends, and of the next one.
+
+    As K2 is 1, a choice of cells is a partition without one of them, so its sums are those of the partition less the cell's.
+    """
     out = []
     band = int(np.searchsorted(ends, len(s)))
     for i in (band, band + 1):
         end = int(ends[i])
-        k = differences(2 * end, percent)
-        need = k // (K2 + 1) + 1
-        n1 = need + need // SPARE
-        n2, k2 = (cells_of(need), K2) if k >= K2 else (1, 0)
-        seed = U(0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF)
+        n1, n2, seed, offsets, salts = _instance(i, end, percent)
+        if n2 == 1:  # similar sets are equal sets
+            out.append(mix(mix(mix(s + seed).sum(dtype=U, keepdims=True)) ^ salts[0]))
+            continue
         cell = (((mix(s ^ seed) >> U(32)) * U(n1 * n2)) >> U(32)).astype(np.int64)
         sums = np.zeros(n1 * n2, U)
         np.add.at(sums, cell, mix(s + seed))
-        sums = mix(sums + np.arange(n1 * n2, dtype=U) * U(0xD6E8FEB86659FD93)).reshape(n1, n2)
+        sums = mix(sums.reshape(n1, n2) + offsets)
         held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
-        made, content = [], []
-        for chosen, cells in enumerate(combinations(range(n2), n2 - k2)):
-            salt = (np.arange(n1, dtype=U) * U(64) + U(chosen)) * U(0xBF58476D1CE4E5B9) + seed
-            made.append(mix(sums[:, cells].sum(axis=1, dtype=U) ^ salt))
-            content.append(held[:, cells].sum(axis=1))
-        content = np.array(content)
+        content = held.sum(axis=1, keepdims=True) - held
         most = differences(len(s) + min(end, len(s) * 100 // percent), percent)
         sure = n1 - 1 - most // (K2 + 1)
-        least = np.partition(content.min(axis=0), sure)[sure]
-        out.append(np.array(made)[content >= least])
+        least = np.partition(content.min(axis=1), sure)[sure]
+        out.append(mix(sums.sum(axis=1, dtype=U, keepdims=True) - sums ^ salts)[content >= least])
     return np.concatenate(out) >> U(64 - SIG_BITS)
 
 
