@@ -1,30 +1,34 @@
 """Benchmark decontamination by latent semantic retrieval, with exact checks of what it finds.
 
-1. Document frequencies: passages of BLOCK * 2 words of every text are counted by hashed word.
+Words are compared without punctuation, wherever it stands in them, and without case, in all scripts.
+
+1. Document frequencies: passages of BLOCK * 2 words of every text are counted for each of the benchmark's words.
 2. Distributed randomised SVD: A holds the TF-IDF weights of every passage, and of every benchmark item, over
    the benchmark's terms (words outside it have no weight in any item; words in more than MAX_DF of the
-   passages have none either). Each task adds up A'(A Omega) for a Gaussian Omega over its passages; the sum is
-   a sketch of A'A, from which the leading right singular vectors follow (Nystroem).
+   passages are stop words of the model, and weigh in the checks only). Each task adds up A'(A Omega) for a Gaussian
+   Omega over its passages; the sum is a sketch of A'A, from which the leading right singular vectors follow (Nystroem).
 3. Candidates: passages, one starting at every block, and items are projected and compared by cosine, all
    passages against all items, one batch of texts at a time. As an item shorter than a passage fills only a
    part of it, the cosine it must reach shrinks with the root of that part.
-4. Checks: enough of the item's words must stand near the passage at all; then a stretch little longer than
+4. Checks: enough of the item's words must stand near the passage at all; then some stretch little longer than
    the item must share a longest common subsequence of at least LCS_SHARE of it, so changed, dropped and added
-   words are forgiven; then most of the item's answer must be there: its rarest words.
+   words are forgiven; then enough of the item's answer must be there: its rarest words.
 
-Sums travel in blocks of fixed number, so each task sends the size of a sketch, whatever it read. The
-benchmark is a stated query set: its items are collected, and its model goes to every task. Vocabulary, and with
-it the model, is bounded by MAX_TERMS; further terms share slots.
+Sums travel in blocks of fixed number and are added up in two steps, so each task sends the size of a sketch, whatever it
+read, and no task gathers the parts of all others. The benchmark is a stated query set, taken in order in blocks of at most
+MAX_WORDS words: a block's items are collected, and its model, whose terms are no more, goes to every task.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +36,32 @@ from .hashing import U, Words, batches, words_of
 
 #: Words of a block; two blocks make a passage.
 BLOCK = 24
-SLOT_BITS = 16
 MAX_DF = 0.02
-MAX_TERMS = 1 << 15
+#: Words of the items that are searched at once, if a single item has no more.
+MAX_WORDS = 1 << 15
 RANK, OVERSAMPLING = 96, 16
 COSINE = 0.35
-LCS_SHARE = 0.7
+LCS_SHARE = 0.65
 #: Items with fewer words must be there word by word.
 SHORT = 8
-ANSWER_WORDS, ANSWER_SHARE = 3, 0.6
-#: Blocks in which sums travel.
-PIECES = 128
+ANSWER_WORDS, ANSWER_SHARE = 5, 0.4
+#: Blocks in which sums travel, and groups of tasks that are added up first.
+PIECES, GROUPS = 128, 256
+
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: UTF-8 of general punctuation: spaces and dashes part words, the rest goes; so do the angle quotes.
+_SPACES, _PUNCTUATION = re.compile(rb"\xe2\x80[\x80-\x95\xa8\xa9\xaf]|\xc2\xa0"), re.compile(rb"\xe2\x80[\x96-\xbf]|\xc2[\xab\xbb\xa1\xbf]|\xe3\x80[\x81\x82]")
+
+
+def bare_words(texts: list[bytes]) -> Words:
+    """The words of lowered texts without punctuation."""
+    out = []
+    for t in texts:
+        t = t.translate(None, _MARKS)
+        if not t.isascii():
+            t = _PUNCTUATION.sub(b"", _SPACES.sub(b" ", t))
+        out.append(t)
+    return words_of(out)
 
 
 def _blocks_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,56 +72,66 @@ def _blocks_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, w.text[start], np.append(start, len(w.text))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> U(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _sums(values: np.ndarray, pieces: int = PIECES) -> Iterator[pa.RecordBatch]:
-    """Rows of values in pieces, as float64 bytes."""
+def _sums(values: np.ndarray, task: int, pieces: int = PIECES) -> Iterator[pa.RecordBatch]:
+    """Rows of values in pieces, as float32 bytes."""
     for i, x in enumerate(np.array_split(values, pieces)):
-        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["piece", "part"])
+        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([task % GROUPS], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["piece", "of", "part"])
 
 
 def _added(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["part"])
-    return pa.table({"piece": table["piece"].slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"piece": table["piece"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 def _gathered(parts: DataFrame) -> np.ndarray:
-    """Add the tasks' pieces up; what comes to the driver is one sum."""
-    rows = parts.groupBy("piece").applyInArrow(_added, "piece int, total binary").collect()
-    return np.concatenate([np.frombuffer(r["total"]) for r in sorted(rows, key=lambda r: r["piece"])] or [np.empty(0)])
-
-
-def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros((1 << SLOT_BITS) + 1)
-    for batch in it:
-        for _, texts in batches(batch.column(0).to_pylist()):
-            w = words_of(texts)
-            block, text, _ = _blocks_of(w)
-            if len(text):
-                # passages are pairs of blocks from a text's first on
-                first = np.searchsorted(text, text)
-                passage = (np.arange(len(text)) - first) // 2 + first
-                seen = np.unique(passage[block] << SLOT_BITS | _slots(w.hash))
-                df[:-1] += np.bincount(seen & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS)
-                df[-1] += len(np.unique(passage))
-    yield from _sums(df)
+    """Add the tasks' pieces up, first within GROUPS groups of tasks; what comes to the driver is one sum."""
+    some = parts.groupBy("piece", "of").applyInArrow(_added, "piece int, part binary")
+    rows = some.groupBy("piece").applyInArrow(_added, "piece int, part binary").collect()
+    return np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(rows, key=lambda r: r["piece"])] or [np.empty(0, np.float32)]).astype(np.float64)
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def _frequencies(shared):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Terms = shared.value
+        df = np.zeros(len(known.hash) + 1)
+        for batch in it:
+            for _, texts in batches(batch.column(0).to_pylist()):
+                w = bare_words(texts)
+                block, text, _ = _blocks_of(w)
+                if len(text):
+                    # passages are pairs of blocks from a text's first on
+                    first = np.searchsorted(text, text)
+                    passage = (np.arange(len(text)) - first) // 2 + first
+                    number = known.of(w.hash)
+                    live = np.flatnonzero(number >= 0)
+                    seen = np.unique(passage[block[live]] << 32 | number[live])
+                    df[:-1] += np.bincount(seen & 0xFFFFFFFF, minlength=len(known.hash))
+                    df[-1] += len(np.unique(passage))
+        yield from _sums(df, _task())
+
+    return run
 
 
 class Terms:
-    """The benchmark's terms by hash, their slot in the term space (-1: too frequent) and their idf."""
+    """The items' terms by hash, their slot in the term space (-1: too frequent) and their idf, by the passages df that hold them."""
 
-    def __init__(self, items: list[np.ndarray], df: np.ndarray):
-        n = max(1.0, df[-1])
+    def __init__(self, items: list[np.ndarray], df: np.ndarray | None = None):
         self.hash = np.unique(np.concatenate(items)) if items else np.empty(0, U)
-        of = np.maximum(1.0, df[:-1][_slots(self.hash)])
+        df = np.zeros(len(self.hash) + 1) if df is None else df.copy()
+        for x in items:  # every item is a passage too
+            df[np.searchsorted(self.hash, np.unique(x))] += 1
+            df[-1] += 1
+        n = max(1.0, df[-1])
+        of = np.maximum(1.0, df[:-1])
         self.idf = np.log(1 + n / of)
         rare = of <= max(2.0, MAX_DF * n)
         self.slot = np.where(rare, np.cumsum(rare) - 1, -1)
-        if rare.sum() > MAX_TERMS:
-            self.slot = np.where(rare, (self.hash & U(MAX_TERMS - 1)).astype(np.int64), -1)
-        self.size = int(self.slot.max(initial=-1)) + 1
+        self.size = int(rare.sum())
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word among the terms, -1 for other words."""
@@ -139,12 +168,12 @@ def _sketched(model, width: int):
         sketch = np.zeros((terms.size, width), np.float32)
         for batch in it:
             for _, texts in batches(batch.column(0).to_pylist()):
-                w = words_of(texts)
+                w = bare_words(texts)
                 block, text, _ = _blocks_of(w)
                 first = np.searchsorted(text, text)
                 passage = (np.arange(len(text)) - first) // 2 + first
                 add_sketch(sketch, omega, *_entries(terms, terms.of(w.hash), passage[block] if len(text) else block))
-        yield from _sums(sketch)
+        yield from _sums(sketch, _task())
 
     return run
 
@@ -213,9 +242,9 @@ class Index:
         by = np.argsort(self.answer_numbers[item, place], kind="stable")
         self.asked = self.answer_numbers[item, place][by], item[by], place[by]  # term, item and place of every answer word
         self.answer_need = np.array([math.ceil(ANSWER_SHARE * len(a)) for a in self.answers], np.int64)
-        self.has = np.zeros((len(items), len(terms.hash) + 1), bool)  # the last column is for other words
-        for i, n in enumerate(numbers):
-            self.has[i, n] = True
+        # items and their terms as sorted keys item * width + term
+        self.width = len(terms.hash) + 1
+        self.has = np.unique(np.concatenate([np.empty(0, np.int64), *(i * self.width + n for i, n in enumerate(numbers))]))
         group = np.repeat(np.arange(len(items)), self.length)
         g, s, weight = _entries(terms, np.concatenate(numbers) if numbers else np.empty(0, np.int64), group)
         q = _grouped(g, basis[s] * weight[:, None], len(items)) if basis.size else np.zeros((len(items), 1), np.float32)
@@ -273,9 +302,28 @@ class Index:
                 count += keys[spot] == at * n + item
         return count >= self.answer_need[item]
 
+    def matched(self, j: int, words: list[int]) -> int:
+        """The longest common subsequence of item j and any stretch of these words that passes the checks, else 0.
+
+        The whole bounds every stretch; a stretch need only begin at a word of the item.
+        """
+        own, masks, need, n = self.words[j], self.masks[j], int(self.need[j]), int(self.length[j])
+        most, size, best = lcs(own, words, masks), n + n // 4 if n >= SHORT else n, 0
+        if most < need:
+            return 0
+        for s in range(max(1, len(words) - need + 1)):
+            if words[s] in masks:
+                stretch = words[s : s + size]
+                got = lcs(own, stretch, masks)
+                if got >= need and got > best and len(self.answers[j].intersection(stretch)) >= self.answer_need[j]:
+                    best = got
+                    if best == most:
+                        break
+        return best
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
         """(text number, item number, cosine, LCS) of every text and item that pass the checks."""
-        w = words_of(texts)
+        w = bare_words(texts)
         at, item, cosine, text, edge = self.candidates(w)
         if len(at):
             near = self.answered(at, item, edge)
@@ -295,21 +343,18 @@ class Index:
             near = np.where(inside, self.numbers[np.minimum(spot, len(self.numbers) - 1)], -1)
             answered = sum((near == self.answer_numbers[item[b]][:, k, None]).any(axis=1).astype(np.int64) for k in range(ANSWER_WORDS))
             enough = answered >= self.answer_need[item[b]]
-            enough[enough] = self.has[item[b][enough][:, None], near[enough]].sum(axis=1) >= self.need[item[b][enough]]
+            keys = item[b][enough][:, None] * self.width + near[enough]
+            spots = np.minimum(np.searchsorted(self.has, keys), len(self.has) - 1)
+            enough[enough] = ((near[enough] >= 0) & (self.has[spots] == keys)).sum(axis=1) >= self.need[item[b][enough]]
             keep.append(enough)
         for i in np.flatnonzero(np.concatenate(keep) if keep else np.empty(0, bool)).tolist():
             j, t = int(item[i]), int(text[at[i]])
-            n, need, words = int(self.length[j]), int(self.need[j]), w.hash[begin[i] : end[i]].tolist()
+            n, words = int(self.length[j]), w.hash[begin[i] : end[i]].tolist()
             best = found.get((t, j), (0.0, 0))
-            if best[1] == n:
-                continue
-            size = n + n // 4 if n >= SHORT else n
-            for s in range(0, max(1, len(words) - need + 1), max(1, n // 8)):
-                stretch = words[s : s + size]
-                got = lcs(self.words[j], stretch, self.masks[j])
-                if got >= need and got > best[1] and len(self.answers[j].intersection(stretch)) >= ANSWER_SHARE * len(self.answers[j]):
-                    best = (max(best[0], float(cosine[i])), got)
-                    found[t, j] = best
+            if best[1] < n:
+                got = self.matched(j, words)
+                if got > best[1]:
+                    found[t, j] = (max(best[0], float(cosine[i])), got)
         return [(t, j, c, got) for (t, j), (c, got) in sorted(found.items())]
 
 
@@ -318,26 +363,32 @@ def _lowered(column: str) -> Column:
     return F.lower(F.col(column)).cast("binary")
 
 
-def index(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", rank: int = RANK) -> Index:
-    """Build the index of the benchmark over all passages of docs. Items with a null text are empty."""
+def blocks(benchmark: DataFrame, id_column: str = "item_id", most: int = MAX_WORDS) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """The items, ids and hashed words, in blocks of at most `most` words or of one item. Items with a null text are empty."""
+    ids, items, held = [], [], 0
+    for row in benchmark.select(id_column, F.coalesce(_lowered("text"), F.lit(b""))).orderBy(id_column).toLocalIterator():
+        words = bare_words([bytes(row[1])]).hash
+        if ids and held + len(words) > most:
+            yield ids, items
+            ids, items, held = [], [], 0
+        ids.append(row[0])
+        items.append(words)
+        held += len(words)
+    yield ids, items
+
+
+def index(docs: DataFrame, ids: list, items: list[np.ndarray], rank: int = RANK) -> Index:
+    """Build the index of a block of items over all passages of docs."""
     spark = docs.sparkSession
-    rows = benchmark.select(id_column, F.coalesce(_lowered("text"), F.lit(b""))).orderBy(id_column).collect()
-    ids, texts = [r[0] for r in rows], [bytes(r[1]) for r in rows]
-    w = words_of(texts) if texts else None
-    items = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))] if w else []
     given = docs.select(_lowered("text").alias("text"))
-    df = _gathered(given.mapInArrow(_frequencies, "piece int, part binary"))
-    df = df if len(df) else np.zeros((1 << SLOT_BITS) + 1)
-    # every item is a passage too
-    for x in items:
-        df[np.unique(_slots(x))] += 1
-        df[-1] += 1
-    terms = Terms(items, df)
+    known = spark.sparkContext.broadcast(Terms(items))
+    df = _gathered(given.mapInArrow(_frequencies(known), "piece int, of int, part binary"))
+    terms = Terms(items, df if len(df) else None)
     width = rank + OVERSAMPLING
     omega = _omega(terms.size, width)
     sketch = np.zeros((terms.size, width), np.float32)
     if terms.size:
-        total = _gathered(given.mapInArrow(_sketched(spark.sparkContext.broadcast(terms), width), "piece int, part binary"))
+        total = _gathered(given.mapInArrow(_sketched(spark.sparkContext.broadcast(terms), width), "piece int, of int, part binary"))
         add_sketch(sketch, omega, *_entries(terms, terms.of(np.concatenate(items)), np.repeat(np.arange(len(items)), [len(x) for x in items])))
         sketch = sketch.astype(np.float64) + (total.reshape(sketch.shape) if total.size else 0)
     return Index(ids, items, terms, singular_vectors(sketch, omega, rank))
@@ -367,11 +418,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", rank
     Repeated rows give repeated results. An empty table gives an empty result; other columns are not read.
     Item ids are whole numbers.
     """
-    built = docs.sparkSession.sparkContext.broadcast(index(docs, benchmark, id_column, rank))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", _lowered("text").alias("text")).mapInArrow(
-        _searched(built), f"doc_id {kind}, item_id bigint, cosine double, lcs bigint, lcs_share double"
-    )
+    given = docs.select("doc_id", _lowered("text").alias("text"))
+    out = None
+    for ids, items in blocks(benchmark, id_column):
+        built = docs.sparkSession.sparkContext.broadcast(index(docs, ids, items, rank))
+        part = given.mapInArrow(_searched(built), f"doc_id {kind}, item_id bigint, cosine double, lcs bigint, lcs_share double")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _cleaned(shared):
@@ -389,7 +443,10 @@ def _cleaned(shared):
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", rank: int = RANK) -> DataFrame:
     """The rows of docs, all columns, that hold no item. Each row is judged by its own text."""
-    built = docs.sparkSession.sparkContext.broadcast(index(docs, benchmark, id_column, rank))
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by position, so names cannot clash
-    given = docs.toDF(*names).withColumn("text_", _lowered(names[docs.columns.index("text")]))
-    return given.mapInArrow(_cleaned(built), ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))).toDF(*docs.columns)
+    types = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    out = docs.toDF(*names)
+    for ids, items in blocks(benchmark, id_column):
+        built = docs.sparkSession.sparkContext.broadcast(index(docs, ids, items, rank))
+        out = out.withColumn("text_", _lowered(names[docs.columns.index("text")])).mapInArrow(_cleaned(built), types)
+    return out.toDF(*docs.columns)

@@ -305,24 +305,53 @@ def test_lcs_against_the_table():
         assert decontaminate.lcs(a, b, masks) == row[-1]
 
 
+CHANGES = {
+    "as it is": lambda w, rng, other: w,
+    "comma behind each word": lambda w, rng, other: [f"{x}," for x in w],
+    "quoted": lambda w, rng, other: [f"\u201c{x}\u201d" for x in w],
+    "without punctuation": lambda w, rng, other: [re.sub(r"[^\w]+", "", x) or "x" for x in w],
+    "upper case": lambda w, rng, other: [x.upper() for x in w],
+    "a tenth replaced": lambda w, rng, other: [x if rng.random() > 0.1 else rng.choice(other) for x in w],
+    "a fifth replaced": lambda w, rng, other: [x if rng.random() > 0.2 else rng.choice(other) for x in w],
+    "a fifth replaced, dropped or added to": lambda w, rng, other: [y for x in w for y in ([x] if rng.random() > 0.2 else rng.choice(([rng.choice(other)], [], [x, rng.choice(other)])))],
+}
+
+
 def test_contamination_recall_and_paraphrases(spark):
+    """Of passages that stand word by word, all but one in fifty; of items changed in each way, nine of ten."""
     docs, bench = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
-    items = {r.item_id: r.text.lower().split() for r in bench.collect()}
-    texts = {r.doc_id: r.text.lower().split() for r in docs.collect()}
-    rng, planted = random.Random(4), []
-    for k, words in items.items():  # paraphrases: a tenth of the words changed, one dropped
-        new = [w if rng.random() > 0.1 else "otherwise" for w in words]
-        del new[len(new) // 2]
-        planted.append((100_000 + k, " ".join(texts[5 * k][:60] + new + texts[7 * k][:60])))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id bigint, text string")), bench).collect()}
-    true = {(d, i) for d, t in texts.items() for i, w in items.items() if f" {' '.join(w)} " in f" {' '.join(t)} "}
+    items = {r.item_id: r.text.split() for r in bench.collect()}
+    texts = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    rng, planted = random.Random(4), {}
+    other = [x for t in list(texts.values())[::9] for x in t]
+    for name, change in CHANGES.items():
+        for k, words in items.items():
+            before, after = (rng.choice(list(texts.values()))[:60] for _ in range(2))
+            planted[100_000 + len(planted)] = (name, k, " ".join(before + change(words, rng, other) + after))
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(d, t) for d, (_, _, t) in planted.items()], "doc_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(given, bench).collect()}
+    plain = {d: " ".join(t).lower() for d, t in texts.items()}
+    true = {(d, i) for d, t in plain.items() for i, w in items.items() if f" {' '.join(w).lower()} " in f" {t} "}
     assert true and len(true - got) <= 0.02 * len(true)
-    assert len({(100_000 + k, k) for k in items} - got) <= 0.15 * len(items)
-    fives = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in items.items()}
+    for name in CHANGES:
+        mine = [(d, k) for d, (n, k, _) in planted.items() if n == name]
+        assert sum(x in got for x in mine) >= 0.9 * len(mine), name
+    threes = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, " ".join(w).lower().split()) for i, w in items.items())}
     for d, i in got:
         if d in texts and (d, i) not in true:
-            t = texts[d]
-            assert len(fives[i] & {tuple(t[j : j + 3]) for j in range(len(t) - 2)}) >= 0.3 * len(fives[i])
+            t = plain[d].split()
+            assert len(threes[i] & {tuple(t[j : j + 3]) for j in range(len(t) - 2)}) >= 0.3 * len(threes[i])
+
+
+def test_contamination_in_blocks_of_items(spark, monkeypatch):
+    """A benchmark of several blocks gives what one block gives, and checks are exact."""
+    docs, bench = table(spark, TINY, "documents"), table(spark, TINY, "benchmark")
+    whole = {(r.doc_id, r.item_id, r.lcs) for r in decontaminate.find(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", ("item_id", 700))
+    assert len(list(decontaminate.blocks(bench))) == 3
+    parts = {(r.doc_id, r.item_id, r.lcs) for r in decontaminate.find(docs, bench).collect()}
+    assert whole and {x[:2] for x in whole} == {x[:2] for x in parts}
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {r.doc_id for r in docs.collect()} - {d for d, *_ in parts}
 
 
 # --- op3 ---------------------------------------------------------------------------------------------------
