@@ -15,7 +15,8 @@ share by chance, make no pairs, and no similar pair is lost.
 
 A second stage keeps a parity sketch of each set (a bit for each hash slot, flipped by every element in it).
 Bits in which two sketches differ are never more than the elements in which the sets differ, so the sketch
-rejects most pairs that merely share a signature, and never a similar one.
+rejects most pairs that merely share a signature, and never a similar one. Sketches are folded to LEAST_BITS bits for the
+join by signature; the distinct pairs that it leaves are looked at by their whole sketches.
 
 Equal sets form a class, and only its representative goes on. Signatures are made twice: once to count which of them
 stand for more than one set (SIG_BITS bits of each travel, and no more), and again to write only those, by a bit filter
@@ -49,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, staged
+from .common import hot_join, prepared, staged
 from .components import components
 from .hashing import U, batches, grams, mix, words_of
 
@@ -59,8 +60,8 @@ K2, SPARE = 1, 8
 SIG_BITS = 48
 #: Up to so many ids (16 MB) are broadcast to pick the texts that are compared; more are joined.
 MOST_BROADCAST = 2_000_000
-#: Least bits of a parity sketch.
-LEAST_BITS = 512
+#: Least bits of a parity sketch, and its words of 64 bits when it is folded to that.
+LEAST_BITS, FOLDED = 512, 8
 #: Bits of the filter for each shared signature, and at most: 32 MB.
 FILTER_SLOTS, MOST_FILTER = 16, 1 << 28
 #: Classes of a chunk, about, and shingles that a group's pairs are counted over at once.
@@ -149,6 +150,11 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(words: np.ndarray) -> np.ndarray:
+    """The sketch of LEAST_BITS bits that a longer one folds to."""
+    return np.bitwise_xor.reduce(words.reshape(-1, FOLDED), axis=0)
+
+
 def _signed(percent: int, n: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = bands(1 << 32, percent)
@@ -187,7 +193,7 @@ def _sketched(percent: int, n: int, filled):
         mask = U(64 * len(bitmap) - 1)
         for batch in it:
             for at, texts in batches(batch.column(1).to_pylist()):
-                which, size, h1, h2, sigs, bits = [], [], [], [], [], []
+                which, size, h1, h2, sigs, bits, fold = [], [], [], [], [], [], []
                 for i, s in enumerate(shingle_sets(texts, n)):
                     x = signatures(s, percent, ends) if len(s) else np.empty(0, U)
                     slot = (x & mask).astype(np.int64)
@@ -199,9 +205,10 @@ def _sketched(percent: int, n: int, filled):
                         h2.append(set_hash(s)[1])
                         sigs.append(x.view(np.int64))
                         bits.append(parity(s))
+                        fold.append(folded(bits[-1]))
                 numbers = [pa.array(x, pa.int64()) for x in (size, h1, h2)]
                 ids = batch.column(0).take(pa.array(which, pa.int64()))
-                yield pa.record_batch([ids, *numbers, _lists(sigs), _lists(bits)], names=["doc_id", "size", "h1", "h2", "sigs", "bits"])
+                yield pa.record_batch([ids, *numbers, _lists(sigs), _lists(bits), _lists(fold)], names=["doc_id", "size", "h1", "h2", "sigs", "bits", "fold"])
 
     return run
 
@@ -239,21 +246,34 @@ def _verified(percent: int, n: int):
     return run
 
 
+def _most(percent: int) -> Column:
+    return F.floor((F.col("x.size") + F.col("y.size")) * (100 - percent) / (100 + percent))
+
+
 def may_link(percent: int) -> Column:
-    """Whether two sets x and y, by (size, bits), may be similar: their sizes allow it, and their sketches do.
+    """Whether two sets x and y, by (size, w0, w1, ..), may be similar: their sizes allow it, and their folded sketches do.
+
+    This is what every pair that shares a signature is asked, so it is plain arithmetic, compiled with the join.
+    """
+    apart = F.expr(" + ".join(f"bit_count(x.w{k} ^ y.w{k})" for k in range(FOLDED)))
+    return (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent) & (apart <= _most(percent))
+
+
+def still_may_link(percent: int) -> Column:
+    """Whether two sets x and y, by (size, bits), may be similar by their whole sketches.
 
     Sizes that may be similar differ by less than the half, so one sketch has at most twice the other's words;
     its halves are folded, which gives the sketch of half the slots.
     """
-    most = F.floor((F.col("x.size") + F.col("y.size")) * (100 - percent) / (100 + percent))
-    folded = "CASE WHEN size({0}.bits) > size({1}.bits) THEN zip_with(slice({0}.bits, 1, size({1}.bits)), slice({0}.bits, size({1}.bits) + 1, size({1}.bits)), (p, q) -> p ^ q) ELSE {0}.bits END"
-    apart = F.expr(f"aggregate(zip_with({folded.format('x', 'y')}, {folded.format('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
-    return (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent) & F.coalesce(apart <= most, F.lit(True))
+    shrunk = "CASE WHEN size({0}.bits) > size({1}.bits) THEN zip_with(slice({0}.bits, 1, size({1}.bits)), slice({0}.bits, size({1}.bits) + 1, size({1}.bits)), (p, q) -> p ^ q) ELSE {0}.bits END"
+    apart = F.expr(f"aggregate(zip_with({shrunk.format('x', 'y')}, {shrunk.format('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    return F.coalesce(apart <= _most(percent), F.lit(True))
 
 
-def links(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Of pairs (a, b) of ids, the pairs whose texts' sets are similar."""
-    pairs = staged(pairs, "pairs")
+def links(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Of pairs (a, b) of ids, the pairs whose texts' sets are similar: by their whole sketches, then by the texts."""
+    x, y = (sketch.select(F.col("doc_id").alias(c), F.struct("size", "bits").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    pairs = staged(pairs.join(x, "a").join(y, "b").where(still_may_link(percent)).select("a", "b"), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if pairs.count() * 2 <= MOST_BROADCAST else ids
     texts = docs.join(ids, "doc_id", "left_semi")
@@ -276,6 +296,7 @@ def _representatives(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
 
 def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     """The rows of join() without n_links, and the set: size, h1, h2, class and component null without a set or an id."""
+    prepared(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = staged(docs.mapInArrow(_sized(n), "doc_id bigint, size bigint, h1 bigint, h2 bigint"), "sets")
@@ -286,10 +307,11 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     every = texts.select("text").mapInArrow(_signed(percent, n), "sig bigint")
     common = staged(every.groupBy("sig").count().where("count > 1").select("sig"), "common")
     filled = spark.sparkContext.broadcast(_bitmap(common))
-    sketched = staged(texts.mapInArrow(_sketched(percent, n, filled), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>"), "sketches")
+    sketched = staged(texts.mapInArrow(_sketched(percent, n, filled), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>, fold array<bigint>"), "sketches")
     filled.unpersist()
-    sketch = sketched.join(classes, key, "left_semi").groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
-    sketch = staged(sketch.join(classes, key).select(F.col("class_id").alias("doc_id"), "size", "bits"), "sketch")
+    once = sketched.join(classes, key).groupBy("class_id", "size").agg(F.first("bits").alias("bits"), F.first("fold").alias("fold"))
+    sketch = staged(once.select(F.col("class_id").alias("doc_id"), "size", "bits", *[F.col("fold")[k].alias(f"w{k}") for k in range(FOLDED)]), "sketch")
+    quick = sketch.drop("bits")
 
     each = sketched.select(*key, F.explode("sigs").alias("sig")).distinct().join(classes, key).select("sig", F.col("class_id").alias("doc_id"))
     members = staged(each.join(common, "sig", "left_semi"), "members")
@@ -299,22 +321,21 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     famous = staged(groups.join(fame, "doc_id").select("sig", "doc_id", "fame"), "famous")
     hubs = famous.groupBy("sig").agg(F.max_by("doc_id", F.struct("fame", "doc_id")).alias("hub"))
     stars = staged(hot_join(famous, hubs, ["sig"]).where("doc_id <> hub").select("doc_id", "hub").distinct(), "spokes")
-    stars = hot_join(stars, sketch.select(F.col("doc_id").alias("hub"), F.struct("size", "bits").alias("y")), ["hub"])
-    stars = stars.alias("s").join(sketch.alias("x"), (F.col("s.doc_id") == F.col("x.doc_id")) & may_link(percent))
-    stars = stars.select(F.least("s.doc_id", "s.hub").alias("a"), F.greatest("s.doc_id", "s.hub").alias("b")).distinct()
+    stars = hot_join(stars, quick.select(F.col("doc_id").alias("hub"), F.struct(*quick.columns[1:]).alias("y")), ["hub"])
+    stars = stars.alias("s").join(quick.alias("x"), (F.col("s.doc_id") == F.col("x.doc_id")) & may_link(percent))
+    stars = staged(stars.select(F.least("s.doc_id", "s.hub").alias("a"), F.greatest("s.doc_id", "s.hub").alias("b")).distinct(), "stars")
     docs = docs.where("doc_id IS NOT NULL")
-    stars = staged(stars, "stars")
-    near = links(stars, docs, percent, n)
+    near = links(stars, sketch, docs, percent, n)
 
     # Of every member, the component that the links with hubs give it; then the pairs of a group across components.
     led = groups.join(components(near), F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("hub"))
     led = staged(led, "led")
     split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).where("x < y").select("sig")
-    left = staged(hot_join(led, split, ["sig"]).join(sketch, "doc_id"), "split")
+    left = staged(hot_join(led, split, ["sig"]).join(quick, "doc_id"), "split")
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & may_link(percent))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    far = links(more, docs, percent, n)
+    far = links(more, sketch, docs, percent, n)
 
     found = staged(hot_join(known, classes, key).unionByName(rows.where("doc_id IS NULL OR size = 0").withColumn("class_id", F.lit(None).cast("bigint"))), "classed")
     several = rows.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
