@@ -14,20 +14,30 @@ from lodestone.session import importable
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of a batch that goes to a Python worker. The default, 10,000 texts or pairs of texts, is most of a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that goes to a Python worker. The default, 10,000 texts or pairs of texts of any length, is most of a
+#: worker's memory; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """What operators with Python workers need of a session: this package on the workers' path, and batches of bounded size."""
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)

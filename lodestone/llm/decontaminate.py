@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepared
 from .hashing import U, Words, batches, words_of
 
 #: Words of a block; two blocks make a passage.
@@ -365,6 +366,7 @@ def _lowered(column: str) -> Column:
 
 def blocks(benchmark: DataFrame, id_column: str = "item_id", most: int = MAX_WORDS) -> Iterator[tuple[list, list[np.ndarray]]]:
     """The items, ids and hashed words, in blocks of at most `most` words or of one item. Items with a null text are empty."""
+    prepared(benchmark.sparkSession)
     ids, items, held = [], [], 0
     for row in benchmark.select(id_column, F.coalesce(_lowered("text"), F.lit(b""))).orderBy(id_column).toLocalIterator():
         words = bare_words([bytes(row[1])]).hash

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepared
+
 # kbit/s by (MPEG 1, layer) and by layer of MPEG 2 and 2.5, for bitrate indices 1 to 14.
 BITRATES = {
     (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -348,6 +350,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
     n_bytes counts the text's UTF-8 bytes, media holds them padded. A null text is an empty one, of 64 bytes 0.
     """
+    prepared(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_encoded, f"doc_id {kind}, n_bytes bigint, media binary")
 
@@ -373,6 +376,7 @@ def _probed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def probe(media: DataFrame, id_column: str, column: str = "media") -> DataFrame:
     """(id, FIELDS): what read() finds in each stream of a binary column. Null streams have null fields."""
+    prepared(media.sparkSession)
     kind = dict(media.dtypes)[id_column]
     return media.select(F.col(id_column).alias("id"), F.col(column).alias("media_")).mapInArrow(_probed, f"id {kind}, {FIELDS}")
 
@@ -396,6 +400,7 @@ def digest(encoded: DataFrame) -> DataFrame:
 
     One row for each row; an empty table gives an empty result.
     """
+    prepared(encoded.sparkSession)
     kind = dict(encoded.dtypes)["doc_id"]
     return encoded.select("doc_id", "n_bytes", "media").mapInArrow(
         _digested,

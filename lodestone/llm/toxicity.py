@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash, staged
+from .common import id_hash, prepared, staged
 from .hashing import U, Words, batches, grams, hash_spans, mix, words_of
 
 BITS = 20
@@ -210,6 +210,7 @@ def score(
     on. Without labelled rows every score is 0.5. Rows with a null id are scored and not held out. Repeated
     rows are scored alike; an empty table gives an empty result; other columns are not read.
     """
+    prepared(docs.sparkSession)
     sample = [(s, y) for s, _, y in training_entries(docs, labels, label, rows, "toxicity", _sets(bits), ~held_out())]
     slots, weights, intercept = fit(sample, bits, epochs)
     del sample

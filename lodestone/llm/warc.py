@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import prepared
+
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 
@@ -229,6 +231,7 @@ def _responses(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def responses(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
     """(id, record): a response record for every row of pages; null urls and pages give records without them."""
+    prepared(pages.sparkSession)
     kind = dict(pages.dtypes)[id_column]
     return pages.select(F.col(id_column).alias("id"), "url", "html").mapInArrow(_responses, f"id {kind}, record binary")
 
@@ -249,6 +252,7 @@ def derive(records: DataFrame, id_column: str = "id", column: str = "record") ->
     Null records and records of other types give no rows. Repeated rows give repeated records with equal ids.
     An empty table gives an empty result; other columns are not read.
     """
+    prepared(records.sparkSession)
     kind = dict(records.dtypes)[id_column]
     return records.select(F.col(id_column).alias("id"), F.col(column).alias("record")).mapInArrow(_derived, f"id {kind}, {FIELDS}")
 
@@ -274,4 +278,5 @@ def _split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, offset, record) of the records in WARC files, plain or gzipped; a file is read by one task."""
+    prepared(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_split, "path string, offset bigint, record binary")

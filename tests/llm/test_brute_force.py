@@ -265,6 +265,7 @@ def test_similar_sets_share_a_signature(percent):
         if (len(s) - lost) * 100 >= percent * len(np.union1d(s, t)):
             assert np.intersect1d(ngram_join.signatures(s, percent, ends), ngram_join.signatures(t, percent, ends)).size
             assert sum(int(a ^ b).bit_count() for a, b in zip(ngram_join.parity(s).view(np.uint64), ngram_join.parity(t).view(np.uint64))) <= lost + new or len(ngram_join.parity(s)) != len(ngram_join.parity(t))
+            assert sum(int(a ^ b).bit_count() for a, b in zip(ngram_join.folded(ngram_join.parity(s)).view(np.uint64), ngram_join.folded(ngram_join.parity(t)).view(np.uint64))) <= lost + new
 
 
 def test_components(spark):
