@@ -54,7 +54,7 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     second = np.where(w.end - w.start > 1, kind[np.maximum(w.end - 2, 0)], 0).astype(U)
     same = np.zeros(len(w.hash), bool)
     same[1:] = (w.text[1:] == w.text[:-1]) & (lowered[1:] == lowered[:-1])
-    back = np.zeros(len(w.hash), U)
+    back = np.ones(len(w.hash), U)
     back[1:] = np.where(w.text[1:] == w.text[:-1], shape[:-1], U(1))
     hashes = [lowered + U(1), shape + U(2), mix(last * U(977) + second) + U(3), mix(same.astype(U) + U(5)), mix(shape * U(3) + mix(back)) + U(7)]
     share = 1.0 / np.maximum(1, np.diff(w.first))[w.text]
