@@ -48,6 +48,8 @@ SHORT = 8
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.4
 #: Blocks in which sums travel, and groups of tasks that are added up first.
 PIECES, GROUPS = 128, 256
+#: In a table of terms, the mark of a slot that several have.
+SEVERAL = -2
 
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: UTF-8 of general punctuation: spaces and dashes part words, the rest goes; so do the angle quotes.
@@ -123,6 +125,7 @@ class Terms:
 
     def __init__(self, items: list[np.ndarray], df: np.ndarray | None = None):
         self.hash = np.unique(np.concatenate(items)) if items else np.empty(0, U)
+        self.table: np.ndarray | None = None
         df = np.zeros(len(self.hash) + 1) if df is None else df.copy()
         for x in items:  # every item is a passage too
             df[np.searchsorted(self.hash, np.unique(x))] += 1
@@ -135,11 +138,30 @@ class Terms:
         self.size = int(rare.sum())
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word among the terms, -1 for other words."""
+        """The number of each word among the terms, -1 for other words.
+
+        A table by the leading bits of the hash has the only term there, or the mark of several, which are searched for.
+        """
         if not len(self.hash):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at, -1)
+        if self.table is None:
+            self.bits = max(10, (16 * len(self.hash)).bit_length())
+            slot = (self.hash >> U(64 - self.bits)).astype(np.int64)
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            self.table[slot] = np.arange(len(slot))
+            again = slot[1:] == slot[:-1]
+            self.table[slot[1:][again]] = SEVERAL
+        at = self.table[(hashes >> U(64 - self.bits)).astype(np.int64)]
+        out = np.full(len(hashes), -1, np.int64)
+        one = np.flatnonzero(at >= 0)
+        one = one[self.hash[at[one]] == hashes[one]]
+        out[one] = at[one]
+        more = np.flatnonzero(at == SEVERAL)
+        if len(more):
+            spot = np.minimum(np.searchsorted(self.hash, hashes[more]), len(self.hash) - 1)
+            hit = self.hash[spot] == hashes[more]
+            out[more[hit]] = spot[hit]
+        return out
 
 
 def _entries(terms: Terms, number: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,7 +263,10 @@ class Index:
             self.answer_numbers[i, : len(rare)] = rare
         item, place = np.nonzero(self.answer_numbers >= 0)
         by = np.argsort(self.answer_numbers[item, place], kind="stable")
-        self.asked = self.answer_numbers[item, place][by], item[by], place[by]  # term, item and place of every answer word
+        term = self.answer_numbers[item, place][by]
+        self.asked = item[by], place[by]  # item and place of every answer word, by term, and for each term its first and their number
+        self.asked_first = np.searchsorted(term, np.arange(len(terms.hash) + 1))
+        self.asked_count = np.diff(np.append(self.asked_first, len(term)))
         self.answer_need = np.array([math.ceil(ANSWER_SHARE * len(a)) for a in self.answers], np.int64)
         # items and their terms as sorted keys item * width + term
         self.width = len(terms.hash) + 1
@@ -286,10 +311,12 @@ class Index:
 
         Answer words are rare, so their places, each spread over the passages that it may belong to, are few.
         """
-        term, asked_item, place = self.asked
-        first, last = np.searchsorted(term, self.numbers, "left"), np.searchsorted(term, self.numbers, "right")
-        word = np.repeat(np.arange(len(self.numbers)), last - first)
-        which = np.arange(len(word)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[word]
+        asked_item, place = self.asked
+        live = np.flatnonzero(self.numbers >= 0)
+        times = self.asked_count[self.numbers[live]]
+        live, times = live[times > 0], times[times > 0]
+        word = np.repeat(live, times)
+        which = np.arange(len(word)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.asked_first[self.numbers[live]], times)
         block = np.searchsorted(edge, word, "right") - 1
         most = int(self.length.max(initial=0))
         reach = np.arange(-(most + most // 4) // BLOCK - 3, most // BLOCK + 2)
