@@ -7,8 +7,7 @@ Moving a block's start on to its first template word loses none of them, so bloc
 stand for all.
 
 The join is the usual exact one for set similarity. All template words are ordered by their frequency in the
-whole corpus, rarest first (counted in a first pass; the table has one row a template word, so it is small
-by construction). With `need` words to share, a matching block must hold one of the template's first
+whole corpus, rarest first (the table of counts has one row a template word, so it is small by construction). With `need` words to share, a matching block must hold one of the template's first
 size - need + 1 words. An inverted index of these prefixes gives a document's candidate templates (prefix filter); `need`
 distinct template words must stand in it (length filter), and `need` of them from a block's start on within its length
 (positional filter); what passes is verified by counting distinct words.
@@ -16,6 +15,7 @@ distinct template words must stand in it (length filter), and `need` of them fro
 Templates are any number of (label, text), up to MOST_WORDS different words together. Their index travels as arrays: a hash table
 of the vocabulary, so that a document's word costs one look-up however many templates there are, the prefix index, and
 each template's words. A document is joined with it in its own row: no row is shuffled, and long or hot groups cannot pile up.
+Texts are read once; the places of template words, which the counts and the join both need, are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import staged, whole
 
 #: Characters that part words, as a regular expression class for text of either case.
 GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -175,14 +175,6 @@ def hits_of(words: Column, vocabulary: Vocabulary) -> Column:
     return F.filter(at, lambda h: h["r"] > 0)
 
 
-def word_order(text: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary by frequency in the whole column `text`, rarest first; ties by code point."""
-    known = Vocabulary(text.sparkSession, vocabulary)
-    counts = text.select(F.explode(hits_of(words_of(F.col("text")), known)).alias("h")).groupBy("h.r").count()
-    n = {known.words[r["r"] - 1]: r["count"] for r in counts.collect()}
-    return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
-
-
 def _best(hits: Column, ranks: Column, length: Column, need: Column) -> Column:
     """The most distinct words of a template in a block, if that is `need` or more, else 0. hits are in order."""
     held = F.filter(hits, lambda h: F.array_contains(ranks, h["r"]))
@@ -221,19 +213,22 @@ def scan(docs: DataFrame, templates=TEMPLATES + LONG_TEMPLATES, threshold: float
     one by one; an empty table gives an empty result; other columns of docs are not read. templates are pairs of a label
     and its words, parted by blanks; a label may have several.
     """
-    rows = docs.select("doc_id", whole().alias("text"))
     sets = [(label, sorted(set(words.split())), block_size(len(words.split()))) for label, words in templates if words.split()]
-    order = word_order(rows, sorted({w for _, s, _ in sets for w in s} | {w for p, _ in BASE for w in p.split(" ")}))
-    known, rank = Vocabulary(docs.sparkSession, order), {w: i for i, w in enumerate(order, 1)}
-    ranks = [sorted(rank[w] for w in s) for _, s, _ in sets]
+    known = Vocabulary(docs.sparkSession, sorted({w for _, s, _ in sets for w in s} | {w for p, _ in BASE for w in p.split(" ")}))
+    number = {w: i for i, w in enumerate(known.words, 1)}
+    rows = docs.select("doc_id", whole().alias("text")).withColumn("words", words_of(F.col("text")))
+    # texts are read once: what is left of them is the places of template words
+    rows = staged(rows.select("doc_id", F.size("words").cast("long").alias("n_words"), hits_of(F.col("words"), known).alias("hits")), "licenses")
+    counts = {r["r"]: r["count"] for r in rows.select(F.explode("hits").alias("h")).groupBy("h.r").count().collect()}  # a row a template word
+    rank = sorted(range(1, len(known.words) + 1), key=lambda r: (counts.get(r, 0), known.words[r - 1]))
+    place = {r: k for k, r in enumerate(rank)}
+    ranks = [sorted((number[w] for w in s), key=place.__getitem__) for _, s, _ in sets]
     need = [needed(len(s), threshold) for _, s, _ in sets]
-    prefixes: list[list[int]] = [[] for _ in range(len(order) + 1)]
+    prefixes: list[list[int]] = [[] for _ in range(len(known.words) + 1)]
     for t, (r, k) in enumerate(zip(ranks, need, strict=True)):
         for x in r[: len(r) - k + 1]:
             prefixes[x].append(t)
 
-    rows = rows.withColumn("words", words_of(F.col("text")))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), hits_of(F.col("words"), known).alias("hits"))
     present = F.array_distinct(F.transform("hits", lambda h: h["r"]))
     prefix_of, ranks_of, labels = _lists(prefixes), _lists(ranks), _array([label for label, *_ in sets], "string")
     asked = F.array_distinct(F.flatten(F.transform(present, prefix_of)))
@@ -243,7 +238,7 @@ def scan(docs: DataFrame, templates=TEMPLATES + LONG_TEMPLATES, threshold: float
     hits = F.col("hits")
     most = lambda t: _best(hits, ranks_of(t), at(lengths, t), at(need, t))
     fits = F.filter(F.transform("asked", lambda t: F.struct(t.alias("t"), (most(t) / at(sizes, t)).alias("fit"))), lambda f: f["fit"] > 0)
-    rows = rows.withColumns({"fits": fits} | {f"base{k}": _places(hits, [rank[w] for w in p.split(" ")]) for k, (p, _) in enumerate(BASE)})
+    rows = rows.withColumns({"fits": fits} | {f"base{k}": _places(hits, [number[w] for w in p.split(" ")]) for k, (p, _) in enumerate(BASE)})
     places = F.flatten(F.array(*[F.col(f"base{k}") for k in range(len(BASE))]))
     base = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     more = F.transform("fits", lambda f: F.get(labels, f["t"]))
