@@ -218,7 +218,7 @@ def _scored(order: int, alpha: float, min_count: int, n_words: int, id_type: pa.
         n, s, o = np.concatenate(words), np.concatenate(scores), np.concatenate(apart)
         whole = np.concatenate(elsewhere).astype(np.int64)
         with np.errstate(invalid="ignore", divide="ignore"):
-            mean, mean_other, share = np.round(s / n, 6), np.round(o / n, 6), np.round(whole / (n - order + 1), 6)
+            mean, mean_other, share = np.round(s / n, 6), np.round(o / n, 6), np.floor(whole * 1_000_000 / (n - order + 1) + 0.5) / 1_000_000
         return pa.table(
             {
                 "doc_id": docs["doc_id"].cast(id_type), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(np.round(s, 4)),
