@@ -6,9 +6,9 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 # ASCII punctuation and the articles that answers are compared without.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -92,21 +92,105 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()).casefold())
 
 
-def judge_normalize(c: Column | str, compatible: bool = True) -> Column:
-    """Lowered text of [a-z0-9.] words: contractions written out, 1,000 as 1000, dots only between digits.
+# The steps of the answer judge's normal form, after compatibility form and lowering.
+NORMAL_STEPS = (
+    ("[‘’]", "'"),
+    (r"\bwon't\b", "will not"),
+    (r"\bcan't\b", "can not"),
+    (r"\bcannot\b", "can not"),
+    (r"n't\b", " not"),
+    (r"(\d),(\d{3})\b", "$1$2"),
+    (r"[^a-z0-9.\s]", " "),
+    (r"(?<!\d)\.|\.(?!\d)", " "),
+    (r"\s+", " "),
+)
+
+
+def judge_normalize(c: Column | str, compatible: bool = False) -> Column:
+    """Compatibility form, lowered, as [a-z0-9.] words: contractions written out, 1,000 as 1000, dots only between digits.
 
-    compatible: the text is in Unicode compatibility form already (see nfkc).
+    compatible: the text is in Unicode compatibility form already (see nfkc), so no Python is needed.
     """
     t = F.coalesce(_col(c), F.lit(""))
     t = F.lower(t if compatible else nfkc(t))
-    for pattern, by in (
-        ("[‘’]", "'"), (r"\bwon't\b", "will not"), (r"\bcan't\b", "can not"), (r"\bcannot\b", "can not"), (r"n't\b", " not"),
-        (r"(\d),(\d{3})\b", "$1$2"), (r"[^a-z0-9.\s]", " "), (r"(?<!\d)\.|\.(?!\d)", " "), (r"\s+", " "),
-    ):
+    for pattern, by in NORMAL_STEPS:
         t = F.regexp_replace(t, pattern, by)
     return F.trim(t)
 
 
+def normal_form(s: str) -> str:
+    """judge_normalize() of a Python string."""
+    s = unicodedata.normalize("NFKC", s).lower()
+    for pattern, by in NORMAL_STEPS:
+        s = re.sub(pattern, by.replace("$", "\\"), s)
+    return s.strip()
+
+
+# --- notation that whole-expression matching cannot read ---------------------------------------------------
+
+# Patterns of such notation, and characters that quote.
+UNSAFE_NOTATION = (
+    r"[*/\\^%=<>]|\d\s*[:!]|\d\s*[xX_]\s*\d|\+(?![0-9])",
+    r"\d\s*[eE]\s*[+-]?\s*\d|\d\s*[-+\u2010-\u2015]\s*\d|\d\s+(?i:to)\s+[+-]?\d",
+    r"[\u2212\u2070-\u209f]|\d[,'\u2019]\d|(?<!\d)\.\d|\d\.\.\d|\d\.\d+\.\d",
+    r"[+-]\s+[0-9]|[+-]{2,}\d|\d[+-]",
+)
+QUOTES = "\"'`\u201a\u201e\u2032\u2033\u300c\u300d\u300e\u300f\u301d\u301e\u301f"
+
+_UNSAFE = re.compile("|".join(f"(?:{p})" for p in UNSAFE_NOTATION))
+_DIGITS = frozenset("0123456789")
+
+
+def _unsafe(s: str) -> bool:
+    kinds = [(c, unicodedata.category(c)) for c in set(s)]
+    numeric = {c for c in set(s) if c.isnumeric()}
+    if numeric - _DIGITS or any(c != "+" and k[0] in "MS" or k == "Cf" for c, k in kinds):
+        return True
+    if numeric and any(k == "Pd" and c != "-" or k[0] == "L" and not c.isascii() for c, k in kinds):
+        return True
+    return _UNSAFE.search(s) is not None
+
+
+def is_unsafe(s: str) -> bool:
+    """Whether a text, as it is or in compatibility form, holds notation that plain number matching would misread."""
+    return _unsafe(s) or _unsafe(unicodedata.normalize("NFKC", s))
+
+
+def is_quoting(s: str) -> bool:
+    """Whether a quotation mark stands anywhere in the compatibility form but as an apostrophe within a word."""
+    s = re.sub(r"(?<=\w)['\u2019](?=\w)", "", unicodedata.normalize("NFKC", s))
+    return any(c in QUOTES or unicodedata.category(c) in ("Pi", "Pf") or "QUOTATION MARK" in unicodedata.name(c, "") for c in set(s))
+
+
+def expression(s: str) -> str | None:
+    """The form in which whole expressions are compared: numbers as they are, the rest in normal form; None if unsafe or quoting."""
+    if is_unsafe(s) or is_quoting(s):
+        return None
+    s, out, at = unicodedata.normalize("NFKC", s), [], 0
+    for m in re.finditer(r"[+-]?\d+(?:\.\d+)?", s):
+        out += [normal_form(s[at : m.start()]), m[0]]
+        at = m.end()
+    return " ".join(x for x in [*out, normal_form(s[at:])] if x)
+
+
+@F.pandas_udf(BooleanType())
+def unsafe_expression(s: pd.Series) -> pd.Series:
+    """is_unsafe() of a column; a null text is safe."""
+    return s.map(lambda x: is_unsafe(x or ""))
+
+
+@F.pandas_udf(BooleanType())
+def has_quotation(s: pd.Series) -> pd.Series:
+    """is_quoting() of a column; a null text quotes nothing."""
+    return s.map(lambda x: is_quoting(x or ""))
+
+
+@F.pandas_udf(StringType())
+def expression_normalize(s: pd.Series) -> pd.Series:
+    """expression() of a column; null for a null text."""
+    return s.map(lambda x: None if x is None else expression(x))
+
+
 def stances(normal: Column) -> Column:
     """The decision stances that a normalised text takes, as an array in the order of STANCES."""
     return F.array_compact(F.array(*[F.when(normal.rlike("|".join(f"(?:{p})" for p in ps)), F.lit(name)) for name, ps in STANCES.items()]))
@@ -147,8 +231,8 @@ def truncate(c: Column | str, n: int = 1500) -> Column:
 
 
 def paragraphs(c: Column | str, least: int = 80) -> Column:
-    """Trimmed pieces between blank lines, of `least` or more characters."""
-    return F.filter(F.transform(F.split(_col(c), r"\n\s*\n+"), F.trim), lambda x: F.length(x) >= least)
+    """Pieces between blank lines, without blanks around them, of `least` or more characters."""
+    return F.filter(F.transform(F.split(_col(c), r"\n\s*\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= least)
 
 
 # English number words.
@@ -226,3 +310,51 @@ def judge_prompt(question: Column, gold: Column, answer: Column, false_premise:
     """The instruction for a judging model; a question with a false premise asks whether the answer rejects it."""
     rule = F.when(false_premise, F.lit("The question has a false premise. The answer is right only if it says so.")).otherwise(F.lit("The answer is right only if it agrees with the reference."))
     return F.format_string("%s\nQuestion: %s\nReference: %s\nAnswer: %s\nReply with JSON: {\"verdict\": true or false}", rule, question, gold, answer)
+
+
+# --- questions, reviews and evidence ------------------------------------------------------------------------
+
+# Words that carry no content, of ranked reviews.
+REVIEW_STOPWORDS = (
+    "what when where which who whom whose why how is was were are the a an of in on at to for from by did do does this that these those name year"
+).split()
+
+
+def ascii_words(c: Column | str, least: int = 3) -> Column:
+    """Distinct whole words, lowered, that are of [a-z0-9] only and have `least` or more characters."""
+    words = F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^\p{L}\p{N}_]+")
+    return F.array_distinct(F.filter(words, lambda x: (F.length(x) >= least) & x.rlike("^[a-z0-9]+$")))
+
+
+def ascii_runs(c: Column | str) -> Column:
+    """Distinct runs of [a-z0-9], lowered, wherever they stand."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower))
+
+
+def review_terms(c: Column | str) -> Column:
+    """ascii_runs() of three or more characters that are no stopwords."""
+    return F.filter(ascii_runs(c), lambda x: (F.length(x) >= 3) & ~x.isin(*REVIEW_STOPWORDS))
+
+
+def match_form(c: Column | str) -> Column:
+    """Lowered, ASCII punctuation deleted, blanks collapsed: the form in which answers are looked for in evidence."""
+    return F.array_join(blank_split(F.translate(F.replace(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("ß"), F.lit("ss")), PUNCTUATION, "")), " ")
+
+
+def appears_in(answer: Column | str, evidence: Column | str) -> Column:
+    """Whether the answer's words stand in the evidence as whole words in sequence; an answer without words does not."""
+    a, e = match_form(answer), match_form(evidence)
+    # no letter, digit or mark of a word may touch it
+    return (a != "") & F.regexp_like(e, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), a, F.lit(r"\E(?![\p{L}\p{N}_])")))
+
+
+def clean_questions(rows: DataFrame, split: str, wanted: str | None, question: str, answer: str, others: Column) -> DataFrame:
+    """rows of the wanted split (None: all), its case aside, with a question and an answer, trimmed, and `aliases`.
+
+    aliases are the other answers that are neither blank nor the answer, each once, in order.
+    """
+    q, a = F.trim(question), F.trim(answer)
+    rows = rows if wanted is None else rows.where(F.upper(F.trim(split)) == wanted.upper())
+    more = F.transform(others, lambda x: F.trim(x))
+    aliases = F.array_distinct(F.filter(more, lambda x: x.isNotNull() & (x != "") & (x != a)))
+    return rows.select(*[c for c in rows.columns if c not in ("question", "answer", "aliases")], q.alias("question"), a.alias("answer"), aliases.alias("aliases")).where("question <> '' AND answer <> ''")

@@ -12,10 +12,16 @@ def url_fetch_key(u: Column) -> Column:
 
 
 def url_pool_key(u: Column) -> Column:
-    """scheme://host/path?query: no fragment, no path parameters, no slash at the path's end."""
-    bare = F.regexp_replace(F.trim(u), "#.*$", "")
-    path, query = F.regexp_replace(F.regexp_extract(bare, r"^([^?]*)", 1), r";[^/]*$", ""), F.regexp_extract(bare, r"(\?.*)$", 1)
-    return F.concat(F.regexp_replace(path, "/+$", ""), query)
+    """scheme://host/path?query: no fragment, no parameters of the last path segment, no empty query, no slashes at the end.
+
+    The scheme is lowered; a URL without one keeps the mark behind it, and an empty or null URL is ''.
+    """
+    bare = F.regexp_replace(F.trim(u), "(?s)#.*$", "")
+    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    rest = F.regexp_replace(bare, r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//)?", "")
+    path = F.regexp_replace(F.regexp_extract(rest, r"(?s)^([^?]*)", 1), r";[^/]*$", "")
+    query = F.regexp_extract(rest, r"(?s)^[^?]*(\?.+)$", 1)
+    return F.when(F.coalesce(F.trim(u), F.lit("")) == "", F.lit("")).otherwise(F.regexp_replace(F.concat(scheme, F.lit("://"), path, query), "/+$", ""))
 
 
 def source_urls(s: Column) -> Column:
@@ -50,34 +56,38 @@ def title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
 
 
-# Where pages say when they were published, best first.
-DATE_META = ("article:published_time", "datePublished", "date", "pubdate", "publish-date", "dc.date", "article:modified_time", "last-modified")
+# The meta tags in which pages say when they were published, best first, and the fields of their linked data.
+DATE_META = (("property", "article:published_time"), ("property", "article:modified_time"), ("name", "date"), ("name", "pubdate"), ("itemprop", "datePublished"), ("itemprop", "dateModified"))
+DATE_FIELDS = ("datePublished", "dateModified")
 
 
 def page_date(html: Column) -> Column:
-    """A page's own date as it spells it: meta tags in order, then linked data; null, never made up."""
-    metas = [F.nullif(F.regexp_extract(html, rf"""(?is)<meta[^>]+(?:name|property|itemprop)=["']{name}["'][^>]+content=["']([^"']+)""", 1), F.lit("")) for name in DATE_META]
-    linked = [F.nullif(F.regexp_extract(html, rf'(?s)"{key}"\s*:\s*"([^"]+)"', 1), F.lit("")) for key in ("datePublished", "dateModified")]
-    return F.coalesce(*metas, *linked)
+    """A page's own date as it spells it: meta tags in order, then the linked data in its scripts; null, never made up."""
+    metas = [F.regexp_extract(html, rf"""(?s)<(?i:meta)\b(?=[^>]*\b(?i:{attribute})\s*=\s*["']{name}["'])[^>]*\b(?i:content)\s*=\s*["']([^"']*)["']""", 1) for attribute, name in DATE_META]
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    objects = F.transform(scripts, lambda x: F.from_json(x, f"array<struct<{','.join(f'{f}:string' for f in DATE_FIELDS)}>>"))
+    stated = F.transform(F.flatten(F.filter(objects, lambda x: x.isNotNull())), lambda o: F.coalesce(*[F.nullif(o[f], F.lit("")) for f in DATE_FIELDS]))
+    return F.coalesce(*[F.nullif(F.trim(m), F.lit("")) for m in metas], F.trim(F.get(F.filter(stated, lambda x: x.isNotNull()), F.lit(0))))
 
 
-# Elements around a page's content.
-CHROME = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript")
+# Elements of a page that are not its text.
+CHROME = ("script", "style", "noscript", "svg", "nav", "footer", "header", "form")
 
 
 def page_text(html: Column) -> Column:
-    """The text of main, else article, else body, one line a block, without the elements around it."""
-    t = F.regexp_replace(html, "(?is)<!--.*?-->", "")
+    """The text of main, else article, else body, without the elements that are no text: a line for each stretch between tags.
+
+    Blanks are collapsed, empty lines left out; a page with none of the three elements has no text.
+    """
+    t = F.regexp_replace(html, "(?s)<!--.*?-->", "")
     for tag in CHROME:
-        t = F.regexp_replace(t, rf"(?is)<{tag}[^a-z][^>]*>.*?</{tag}>|<{tag}>.*?</{tag}>", " ")
-    pieces = [F.nullif(F.regexp_extract(t, rf"(?is)<{tag}[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in ("main", "article", "body")]
-    t = F.coalesce(*pieces, t)
-    t = F.regexp_replace(t, r"(?i)<br[^>]*>|</?(p|div|li|ul|ol|h[1-6]|tr|table|section)[^>]*>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+    pieces = [F.nullif(F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in ("main", "article", "body")]
+    t = F.regexp_replace(F.coalesce(*pieces, F.lit("")), "<[^>]*>", "\n")
     for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(by))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    lines = F.transform(F.split(t, "[\n\r]"), lambda x: F.trim(F.regexp_replace(x, r"[\s\u00a0]+", " ")))
+    return F.when(html.isNotNull(), F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
 def verdict(reply: Column, key: str = "verdict") -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
+import unicodedata
 from ast import literal_eval
 from bisect import bisect_left
 from itertools import accumulate
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lodestone.functions import text as T
+from lodestone.operators import judge as J
 
 _SPAN = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
 
@@ -153,16 +156,6 @@ def values_by_key(s: Column, key: str) -> Column:
     return F.pandas_udf(lambda s: s.map(one), ArrayType(StringType()))(s)
 
 
-def has_quotation(s: Column) -> Column:
-    """Whether a quotation mark stands anywhere but as an apostrophe within a word."""
-    return F.regexp_replace(s, r"(?<=[\p{L}\p{N}])['’](?=[\p{L}\p{N}])", "").rlike("[\"'`´\\p{Pi}\\p{Pf}]")
-
-
-def unsafe_expression(s: Column) -> Column:
-    """Whether a text holds what plain number matching would misread: fractions, powers, ranges, symbols, hidden marks."""
-    return s.rlike(r"[\p{M}\p{Cf}\p{No}⁄^*=<>±×÷√]") | s.rlike(r"\d\s*[/–—]\s*\d") | s.rlike(r"\d\s*-\s*\d") | s.rlike(r"\d[eE][+-]?\d")
-
-
 # --- joins that must hold ----------------------------------------------------------------------------------
 
 
@@ -189,27 +182,64 @@ def undefined_patterns(rows: DataFrame, system: str, question: str, metric: str)
 
 def cluster_status(n: Column, distinct: Column) -> Column:
     """What a bootstrap over n question means can say."""
+    # The names of the states.
     return F.when(n == 0, "NOT_ESTIMABLE").when(n < 2, "NOT_ESTIMABLE_SINGLE_QUESTION").when(distinct == 1, "DEGENERATE_EMPIRICAL_DISTRIBUTION").when(n < 20, "SMALL_CLUSTER_COUNT").otherwise("APPROXIMATE")
 
 
 # --- claims ------------------------------------------------------------------------------------------------
 
 
+# Where an answer's sentences part, a plainly attributed quotation, answers that only abstain.
+_SENTENCES = re.compile(r'(?<=[.!?])\s+|(?<=[.!?]["\u201d])\s+|;\s*|\n+')
+_ATTRIBUTED = re.compile(r'(?:the passage|the report|the source) (?:claims|says|states)\s+(?:"([^"\u201c\u201d\n]+)"|\u201c([^"\u201c\u201d\n]+)\u201d)[.!]?', re.I)
+_PURE_ABSTENTIONS = {"unknown", "i do not know", "i have no idea", "insufficient information", "not enough information", "the context does not provide this"}
+
+
+def claim_verdict(answer: str | None, gold: list[str] | None, false: list[str] | None) -> tuple[str, str]:
+    """(label, reason) of an answer by whole sentences against the reviewed gold and false expressions; None: there is no key.
+
+    A sentence asserts what its expression equals. A false expression that is plainly attributed to a source asserts nothing;
+    a question, another quotation or any other sentence leaves the answer to review, as do unsafe notation and both states.
+    """
+    answer = answer or ""
+    if not answer.strip():
+        return J.OTHER, "empty_answer"
+    if T.is_unsafe(answer):
+        return J.REVIEW, "unsupported_mathematical_notation"
+    asks = lambda x: "?" in unicodedata.normalize("NFKC", x)
+    if not asks(answer) and T.expression(answer) in _PURE_ABSTENTIONS:
+        return J.OTHER, "pure_abstention"
+    if gold is None and false is None:
+        return J.REVIEW, "missing_claim_key"
+    known = {T.expression(x): "gold" for x in gold if x is not None} if gold is not None else {}
+    known |= {T.expression(x): "false" for x in false if x is not None} if false is not None else {}
+    known.pop(None, None)
+    states: set[str | None] = set()  # None: a sentence that asserts neither
+    attributed = False
+    for sentence in _SENTENCES.split(answer.strip()):
+        quoted = _ATTRIBUTED.fullmatch(sentence.strip())
+        said = quoted and (quoted[1] or quoted[2])
+        if not asks(sentence) and said and known.get(T.expression(said)) == "false":
+            attributed = True
+        else:
+            states.add(None if asks(sentence) else known.get(T.expression(sentence)))
+    if {"gold", "false"} <= states:
+        return J.REVIEW, "mixed_gold_and_false"
+    if None in states:
+        return J.REVIEW, "unrecognized_or_unresolved_assertion"
+    if states == {"gold"}:
+        return J.CORRECT, "endorsed_reviewed_gold"
+    if states == {"false"} and not attributed:
+        return J.ADOPTED, "endorsed_reviewed_false"
+    return J.REVIEW, "attribution_without_resolved_endorsement"
+
+
 def judge_claims(answers: DataFrame, key: tuple[str, ...], answer: str, claims: DataFrame) -> DataFrame:
-    """(key, label) of answers by whole sentences: claims is (key, expression, state), state gold or poison.
+    """(key, label, reason) of answers by claim_verdict(): claims is (key, expression, state), state gold or poison.
 
-    A sentence that equals an expression in normal form asserts its state. Empty answers and abstentions are
-    wrong; both states, or a sentence that is neither beside one that is, need review; one state decides.
+    The expressions of a key are a reviewed handful, so they travel as two lists beside its answer.
     """
-    s = answers.select(*key, F.col(answer).alias("_a"), F.explode_outer(F.filter(F.transform(F.split(F.coalesce(F.col(answer), F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda x: T.judge_normalize(x)), lambda x: x != "")).alias("sentence"))
-    c = claims.select(*key, T.judge_normalize("expression").alias("sentence"), "state").distinct()
-    hit = s.join(c, [*key, "sentence"], "left")
-    g = hit.groupBy(*key).agg(
-        F.count("sentence").alias("n"), F.count_if(F.col("state") == "gold").alias("g"), F.count_if(F.col("state") == "poison").alias("p"),
-        F.count_if(F.col("state").isNull() & T.abstains(F.coalesce("sentence", F.lit("")))).alias("a"), F.count_if(F.col("state").isNull() & F.col("sentence").isNotNull()).alias("o"),
-    )
-    label = (
-        F.when(F.col("n") == 0, "OTHER_WRONG").when((F.col("g") > 0) & (F.col("p") > 0), "NEEDS_REVIEW").when((F.col("o") > 0) & (F.col("g") + F.col("p") > 0), "NEEDS_REVIEW")
-        .when(F.col("p") > 0, "POISON_ADOPTED").when(F.col("g") > 0, "CORRECT").when(F.col("a") > 0, "OTHER_WRONG").otherwise("NEEDS_REVIEW")
-    )
-    return g.select(*key, label.alias("label"))
+    lists = claims.groupBy(*key).agg(*[F.collect_list(F.when(F.col("state") == s, F.col("expression"))).alias(f"_{s}") for s in ("gold", "poison")])
+    verdict = F.pandas_udf(lambda a, g, p: pd.DataFrame([claim_verdict(*x) for x in zip(a, g, p, strict=True)], columns=["label", "reason"]), "label string, reason string")
+    both = answers.join(lists, list(key), "left").select(*key, verdict(F.col(answer), "_gold", "_poison").alias("v"))
+    return both.select(*key, "v.label", "v.reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,12 +83,10 @@ def hashed_encoder(width: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A stand-in that needs no model: signed counts of hashed tokens, of unit length."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        import zlib
-
         out = np.zeros((len(texts), width))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = zlib.crc32(w.encode())
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 out[i, h % width] += 1 if h >> 16 & 1 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 

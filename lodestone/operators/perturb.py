@@ -19,11 +19,11 @@ COUNTS = (1, 2, 5)
 # Condition, needs a text, shifts a date, copies a passage, changes what a reader sees.
 SPECS = (
     ("clean", False, False, False, False),
+    ("stale_evidence", True, False, False, True),
+    ("fabricated_fresh", True, True, False, True),
     ("future_date", False, True, False, False),
-    ("correct_content_wrong_date", False, True, True, True),
-    ("duplicate_fresh", False, False, True, True),
-    ("stale_evidence", False, False, True, True),
-    ("fabricated_fresh", True, False, False, True),
+    ("duplicate_fresh", True, False, True, True),
+    ("correct_content_wrong_date", False, True, False, True),
 )
 
 

@@ -1,8 +1,8 @@
 """Rankers over pools of candidates, their fusion and comparison.
 
 A pool is a long table (qid, idx, text): one row a candidate, keyed by (qid, idx), never by text. Scores of all
-pools are computed together; a pool's rows meet only in aggregates by (qid, term), so neither a long document
-nor a large pool is gathered in one place before the ranking window.
+pools are computed together; a pool's rows meet only in aggregates by (qid, term) that combine on the map side, so
+neither a long document nor a large pool is gathered in one place before the ranking window.
 """
 
 from __future__ import annotations
@@ -20,36 +20,44 @@ RRF_K, RRF_DEPTH = 60, 20
 
 
 def terms(pool: DataFrame) -> DataFrame:
-    """(qid, idx, term, tf): how often each space-parted token stands in each candidate."""
-    return pool.select("qid", "idx", F.explode(T.space_split("text")).alias("term")).groupBy("qid", "idx", "term").agg(F.count("*").alias("tf"))
+    """(qid, idx, term, dl) for every space-parted token of every candidate, with the number of the candidate's tokens."""
+    tokens = T.space_split("text")
+    return pool.select("qid", "idx", F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+
+
+def document_frequencies(pool: DataFrame) -> DataFrame:
+    """(qid, term, df): a candidate's distinct tokens are told in its own row, and counts combine on the map side."""
+    return pool.select("qid", F.explode(F.array_distinct(T.space_split("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(pool: DataFrame) -> DataFrame:
     """(qid, n_docs, n_tokens, avgdl, vocabulary) of each pool."""
     length = pool.groupBy("qid").agg(F.count("*").alias("n_docs"), F.sum(F.size(T.space_split("text"))).alias("n_tokens"))
-    words = terms(pool).groupBy("qid", "term").agg(F.count("*").alias("df")).groupBy("qid").agg(F.count("*").alias("vocabulary"))
+    words = document_frequencies(pool).groupBy("qid").agg(F.count("*").alias("vocabulary"))
     return length.join(words, "qid").select("qid", "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"), "vocabulary")
 
 
-def inverse_frequencies(pool: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(qid, term, df, idf): the Okapi idf within the pool; a negative one becomes epsilon times the pool's mean."""
-    n = pool.groupBy("qid").agg(F.count("*").alias("n"))
-    df = terms(pool).groupBy("qid", "term").agg(F.count("*").alias("df")).join(n, "qid")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def inverse_frequencies(pool: DataFrame, asked: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """(qid, term, query_count, df, idf, avgdl) of the asked terms (qid, term, query_count) that a pool has.
+
+    The Okapi idf within the pool; a negative one becomes epsilon times the mean over all of the pool's terms.
+    """
+    n = pool.groupBy("qid").agg(F.count("*").alias("n"), F.avg(F.size(T.space_split("text"))).alias("avgdl"))
+    raw = document_frequencies(pool).join(n, "qid").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("qid").agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, "qid").select("qid", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
+    return raw.join(asked, ["qid", "term"]).join(mean, "qid").select("qid", "term", "query_count", "df", idf.alias("idf"), "avgdl")
 
 
 def bm25_terms(pool: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """(qid, idx, term, query_count, tf, df, idf, contribution) for each query term that a candidate has.
 
-    queries is (qid, query); a token that a query repeats counts again each time.
+    queries is (qid, query); a token that a query repeats counts again each time. Only tokens that the pool's query asks for
+    leave the task that reads a candidate, counted: queries are few, and Spark broadcasts their terms if they are small.
     """
     asked = queries.select("qid", F.explode(T.space_split("query")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("query_count"))
-    size = pool.select("qid", "idx", F.size(T.space_split("text")).alias("dl"))
-    mean = size.groupBy("qid").agg(F.avg("dl").alias("avgdl"))
-    hits = terms(pool).join(asked, ["qid", "term"]).join(inverse_frequencies(pool, epsilon), ["qid", "term"])
-    hits = hits.join(size, ["qid", "idx"]).join(mean, "qid")
+    hits = terms(pool).join(asked.select("qid", "term"), ["qid", "term"]).groupBy("qid", "idx", "term", "dl").agg(F.count("*").alias("tf"))
+    hits = hits.join(inverse_frequencies(pool, asked, epsilon), ["qid", "term"])
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.select("qid", "idx", "term", "query_count", "tf", "df", "idf", (F.col("query_count") * F.col("idf") * saturation).alias("contribution"))
 

@@ -242,7 +242,7 @@ SELECT source, n, k, missing, unknown, CASE WHEN unknown > 0 THEN 'NOT_ESTIMABLE
  round(k * 1.0::DOUBLE / (n + unknown), 6) AS low_unknown, round((k + missing + unknown) * 1.0::DOUBLE / (n + unknown), 6) AS high_unknown FROM g"""
 )
 def population_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates with unknown membership and missing outcomes kept apart, and the bounds they leave."""
+    """Rates with unknown membership and missing outcomes kept apart, and the bounds they leave."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     member = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("doc_id") % 5 != 0)
     t = d.withColumn("member", member.cast("boolean"))

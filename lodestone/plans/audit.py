@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import temporal as D
 from lodestone.functions import text as T
 from lodestone.operators import audit as A
+from lodestone.operators import pools as B
 from lodestone.operators import stats as S
 
 from .common import POOL_SQL, pool, questions, read
@@ -119,7 +120,7 @@ def cluster_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT turns, count(*) AS n, sum(answers)::BIGINT AS answers, CAST(max(longest) AS INT) AS longest, round(avg(answers * 1.0::DOUBLE / turns), 6) AS share FROM c GROUP BY turns"""
 )
 def two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of counts."""
+    """Counts of counts."""
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.max(F.length("text")).alias("longest"))
     return c.groupBy("turns").agg(F.count("*").alias("n"), F.sum("answers").alias("answers"), F.max("longest").alias("longest"), F.round(F.avg(F.col("answers") / F.col("turns")), 6).alias("share"))
 
@@ -130,9 +131,10 @@ SELECT o_custkey, pairs, round(d + 1e-7, 4) AS delta FROM p"""
 )
 def control_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one condition paired with the control of the same key."""
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderstatus")
-    f, c = o.where("o_orderstatus = 'F'").select("o_custkey", F.col("o_totalprice").alias("x")), o.where("o_orderstatus = 'O'").select("o_custkey", F.col("o_totalprice").alias("y"))
-    return f.join(c, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("x") - F.col("y")) + 1e-7, 4).alias("delta"))
+    of = lambda status: F.when(F.col("o_orderstatus") == status, F.col("o_totalprice"))
+    # the mean of all differences is the difference of the means, so no pairs are made
+    g = read(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.count(of("F")) * F.count(of("O"))).alias("pairs"), (F.avg(of("F")) - F.avg(of("O"))).alias("d"))
+    return g.where("pairs > 0").select("o_custkey", "pairs", F.round(F.col("d") + 1e-7, 4).alias("delta"))
 
 
 @query(
@@ -162,8 +164,9 @@ SELECT o_orderkey, o_orderpriority, CASE WHEN place <= 150 THEN 'priority' ELSE
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue within each stratum, its first 150 rows with priority."""
     w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").withColumn("place", F.row_number().over(w))
-    return o.select("o_orderkey", "o_orderpriority", F.when(F.col("place") <= 150, "priority").otherwise("reserve").alias("queue"))
+    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    first = o.withColumn("place", F.row_number().over(w)).where("place <= 150").select("o_orderkey", F.lit("priority").alias("queue"))  # tasks keep 150 rows a stratum
+    return o.join(first, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", F.coalesce("queue", F.lit("reserve")).alias("queue"))
 
 
 @query("""SELECT p_brand, count(*) AS items, count(DISTINCT p_type) AS kinds, CAST(count(DISTINCT p_type) * 4 * 3 * 6 AS BIGINT) AS runs, round(sum(p_size) * 0.5 / 1024, 6)::DOUBLE AS gib FROM part GROUP BY p_brand""")
@@ -181,15 +184,30 @@ def condition_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "event_type", condition.alias("condition"), F.when(F.col("event_type") == "purchase", "freshness").when(F.col("event_type") == "view", "neutral").otherwise("other").alias("factor"))
 
 
-@query("SELECT doc_id, count(*) AS n_spans, true AS covered FROM (SELECT doc_id FROM documents WHERE 1 = 0) GROUP BY doc_id")
-def uncovered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that their span chunks don't cover without a gap; there are none."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), A.span_chunks(F.col("text")).alias("spans"))
-    s = d.select("doc_id", "n", F.explode("spans").alias("s"))
-    w = Window.partitionBy("doc_id").orderBy("s.begin")
-    reach = F.max("s.end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    bad = s.withColumn("gap", (F.col("s.begin") > F.coalesce(reach, F.lit(0))) | (F.col("s.end") - F.col("s.begin") > 1500))
-    return bad.groupBy("doc_id").agg(F.count("*").alias("n_spans"), ((F.count_if("gap") == 0) & (F.max("s.end") >= F.max("n"))).alias("covered")).where("NOT covered")
+_LINES = """l AS (SELECT doc_id, k, length(line) AS n, CASE WHEN k % 5 = 3 THEN 1 ELSE 0 END AS cut FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)),
+sp AS (SELECT doc_id, k, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - n - 1 AS b, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - cut AS e FROM l)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count(*) AS n_spans, sum(CASE WHEN k % 5 = 3 THEN 1 ELSE 0 END) = 0 AS covered FROM sp GROUP BY doc_id")
+def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: whether the spans of a document's lines cover it; every fifth line's span is cut short by its line end."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines")).select("doc_id", F.posexplode("lines").alias("k", "line"), F.aggregate("lines", F.lit(0), lambda s, x: s + F.length(x) + 1).alias("n"))
+    end = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    spans = d.select("doc_id", "n", (end - F.length("line") - 1).alias("begin"), (end - F.when(F.col("k") % 5 == 3, 1).otherwise(0)).alias("end"))
+    return B.span_coverage(spans, ("doc_id",), "n")
+
+
+@query(
+    """WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, length(text) AS n FROM documents)
+SELECT doc_id, CAST(n AS INT) AS n, n <= 1500 AND words <= 320 AS one_span, true AS whole FROM w"""
+)
+def span_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span chunks of every document: one where its characters and words fit, and all of them without a gap or an excess."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), A.span_chunks(F.col("text")).alias("s"))
+    last = F.element_at("s", -1)["end"]
+    steps = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda x, y: (y["begin"] <= x["end"]) & (y["begin"] > x["begin"]))
+    sound = F.forall("s", lambda x: x["end"] - x["begin"] <= 1500) & F.forall(steps, lambda x: x) & (F.element_at("s", 1)["begin"] == 0) & (last == F.col("n"))
+    return d.select("doc_id", "n", (F.size("s") == 1).alias("one_span"), sound.alias("whole"))
 
 
 @query(f"WITH {POOL_SQL} SELECT qid, idx, md5('Context:' || chr(10) || substr(text, 1, 1500) || chr(10) || chr(10) || 'Question: ' || query || chr(10) || 'Answer:') AS prompt_md5 FROM p JOIN q USING (qid)")

@@ -29,10 +29,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, idx, text, ts): idx is the document's id. The number of items is metadata of a small table."""
-    n = read(spark, sf_dir, "benchmark").count()
-    d = read(spark, sf_dir, "documents")
-    return d.select(F.pmod("doc_id", F.lit(n)).alias("qid"), F.col("doc_id").alias("idx"), "text", (F.lit(CORPUS_START) + F.pmod("doc_id", F.lit(365)) * DAY).alias("ts"))
+    """(qid, idx, text, ts): idx is the document's id. The number of items, one row, goes to every task."""
+    n = read(spark, sf_dir, "benchmark").agg(F.count("*").alias("_n"))
+    d = read(spark, sf_dir, "documents").join(F.broadcast(n))
+    return d.select(F.pmod("doc_id", "_n").alias("qid"), F.col("doc_id").alias("idx"), "text", (F.lit(CORPUS_START) + F.pmod("doc_id", F.lit(365)) * DAY).alias("ts"))
 
 
 #: The same in SQL, as CTEs q and p.

@@ -85,7 +85,7 @@ def snapshot_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GOLD}, r AS (SELECT qid, idx, gold, row_number() OVER (PARTITION BY qid, gold ORDER BY idx) AS k FROM pg) SELECT qid, idx, gold FROM r WHERE NOT gold OR k <= 3")
 def gold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pools with their gold passages, the earliest three of each."""
+    """Pools with their gold passages, the earliest three of each."""
     return C.gold_capped(_gold_pool(spark, sf_dir).select("qid", "idx", "gold"), "qid", "gold", "idx", 3)
 
 
@@ -109,7 +109,17 @@ def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.md5(C.candidate_text(U.title(F.col("html")), F.col("url")).cast("binary")).alias("text_md5"))
 
 
-@query()
+def _encoded_sql(rows: str, key: str, text: str, name: str) -> str:
+    words = rf"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+    return f"""{name}h AS (SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT {key}, unnest({words}) AS w FROM {rows})), {name}c AS (SELECT {key}, h % 64 AS k, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS c FROM {name}h GROUP BY ALL),
+{name} AS (SELECT {key}, k, (c / greatest(n, 1e-12))::FLOAT::DOUBLE AS v FROM {name}c JOIN (SELECT {key}, sqrt(sum(c * c)) AS n FROM {name}c GROUP BY ALL) USING ({key}))"""
+
+
+@query(
+    f"""WITH {POOL_SQL}, {_encoded_sql("p", "qid, idx", "text", "pv")}, {_encoded_sql("q", "qid", "query", "qv")},
+s AS (SELECT p.qid, p.idx, coalesce(d, 0) AS score FROM p LEFT JOIN (SELECT pv.qid, pv.idx, sum(pv.v * qv.v) AS d FROM pv JOIN qv ON pv.qid = qv.qid AND pv.k = qv.k GROUP BY ALL) USING (qid, idx)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, idx) AS rank FROM s) SELECT qid, idx, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""
+)
 def encoded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through the encoder's slot, and each question's five nearest candidates."""
     encode = C.batch_encoder(C.hashed_encoder())

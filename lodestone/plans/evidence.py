@@ -97,8 +97,8 @@ SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN k = 1 THEN 1 ELSE 2 END AS priori
 def annotation_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue of 100: all toxic rows first, then the first of each source, then the rest."""
     t = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    t = t.withColumn("k", k).withColumn("priority", F.when(F.col("toxic") == 1, 0).when(F.col("k") == 1, 1).otherwise(2))
+    first = t.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    t = t.join(first, "doc_id", "left").withColumn("priority", F.when(F.col("toxic") == 1, 0).when(F.coalesce("first", F.lit(False)), 1).otherwise(2))
     return t.orderBy("priority", "doc_id").limit(100).select("doc_id", "priority")
 
 
@@ -118,8 +118,9 @@ def overlap_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title, regexp_replace(trim(url), '#.*$', '') AS fetch_key,
-regexp_replace(regexp_replace(regexp_extract(regexp_replace(trim(url), '#.*$', ''), '^([^?]*)', 1), ';[^/]*$', ''), '/+$', '') || regexp_extract(regexp_replace(trim(url), '#.*$', ''), '(\?.*)$', 1) AS pool_key FROM pages"""
+    r"""WITH a AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages), b AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_replace(bare, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//)?', '') AS rest FROM a)
+SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title, bare AS fetch_key,
+CASE WHEN coalesce(trim(url), '') = '' THEN '' ELSE rtrim(scheme || '://' || regexp_replace(split_part(rest, '?', 1), ';[^/]*$', '') || CASE WHEN length(rest) > length(split_part(rest, '?', 1)) + 1 THEN substr(rest, length(split_part(rest, '?', 1)) + 1) ELSE '' END, '/') END AS pool_key FROM b"""
 )
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both keys of a page's URL, and its title."""
@@ -127,14 +128,14 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_text_sql() -> str:
-    t = "regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
-    for tag in U.CHROME:
-        t = f"regexp_replace({t}, '(?is)<{tag}[^a-z][^>]*>.*?</{tag}>|<{tag}>.*?</{tag}>', ' ', 'g')"
+    t = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "noscript", "svg", "nav", "footer", "header", "form"):
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
     return rf"""WITH a AS (SELECT page_id, {t} AS t FROM pages),
-b AS (SELECT page_id, coalesce({", ".join(f"nullif(regexp_extract(t, '(?is)<{tag}[^>]*>(.*)</{tag}>', 1), '')" for tag in ("main", "article", "body"))}, t) AS t FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br[^>]*>|</?(p|div|li|ul|ol|h[1-6]|tr|table|section)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM c)
-SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text_md5 FROM d"""
+b AS (SELECT page_id, coalesce({", ".join(f"nullif(regexp_extract(t, '(?is)<{tag}{chr(92)}b[^>]*>(.*)</{tag}>', 1), '')" for tag in ("main", "article", "body"))}, '') AS t FROM a),
+c AS (SELECT page_id, string_split_regex(t, '<[^>]*>') AS stretches FROM b),
+d AS (SELECT page_id, array_to_string(list_transform(stretches, lambda t: replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')), chr(10)) AS t FROM c)
+SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(replace(t, chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{{00A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text_md5 FROM d"""
 
 
 @query(_page_text_sql())
@@ -145,18 +146,18 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS n_pages, count(DISTINCT regexp_replace(trim(url), '#.*$', '')) AS n_keys, max(page_id) AS last_page FROM pages GROUP BY 1")
 def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and distinct keys by host."""
+    """Pages and distinct keys by host."""
     p = read(spark, sf_dir, "pages").withColumn("host", F.try_element_at(F.split(F.try_element_at(F.split("url", "://"), F.lit(2)), "/"), F.lit(1)))
     return p.groupBy("host").agg(F.count("*").alias("n_pages"), F.countDistinct(U.url_fetch_key(F.col("url"))).alias("n_keys"), F.max("page_id").alias("last_page"))
 
 
 @query("SELECT event_id, event_type, json_extract_string(props, '$.page') AS page, CAST(len(json_keys(props)) AS INT) AS n_keys FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of loose JSON."""
+    """Fields of loose JSON."""
     return read(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.page").alias("page"), F.size(F.json_object_keys("props")).alias("n_keys"))
 
 
-@query(r"""SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(octet_length(encode(text)) AS INT) AS bytes, CAST(len(string_split(text, ' ')) AS INT) AS space_tokens, CAST(try_cast(regexp_extract_all(text, '((?:19|20)[0-9]{2})', 1)[-1] AS INT) AS INT) AS last_year, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n+'), lambda x: trim(x)), lambda x: length(x) >= 80)) AS INT) AS paragraphs FROM documents""")
+@query(r"""SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(octet_length(encode(text)) AS INT) AS bytes, CAST(len(string_split(text, ' ')) AS INT) AS space_tokens, CAST(try_cast(regexp_extract_all(text, '((?:19|20)[0-9]{2})', 1)[-1] AS INT) AS INT) AS last_year, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 80)) AS INT) AS paragraphs FROM documents""")
 def text_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths, tokens, paragraphs and the last year that a text names."""
     return read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.size(T.space_split("text")).alias("space_tokens"), T.last_year("text").alias("last_year"), F.size(T.paragraphs("text")).alias("paragraphs"))

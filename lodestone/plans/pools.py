@@ -154,10 +154,13 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(spark, sf_dir).agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(size), 6).alias("avg_tokens"), F.max(size).alias("max_tokens"))
 
 
-@query(f"""WITH {_CHUNKS} SELECT doc_id, count(*) AS n_spans, true AS covered FROM cc GROUP BY doc_id""")
+@query(
+    f"""WITH {_CHUNKS}, k AS (SELECT * FROM cc WHERE NOT (doc_id % 3 = 0 AND chunk_no = 1)), o AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k)
+SELECT doc_id, count(*) AS n_spans, count(*) FILTER ("begin" > coalesce(reach, 0)) = 0 AND max("end") >= max(n_tokens) AS covered FROM o GROUP BY doc_id"""
+)
 def span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: that the chunks of every document cover it."""
-    return B.span_coverage(_chunked(spark, sf_dir), ("doc_id",), "n_tokens")
+    """F16: whether chunks cover their document, where every third document lacks its second chunk."""
+    return B.span_coverage(_chunked(spark, sf_dir).where("NOT (doc_id % 3 = 0 AND chunk_no = 1)"), ("doc_id",), "n_tokens")
 
 
 @query(
@@ -261,13 +264,41 @@ def pool_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.differences(clean, P.future_date(clean, "seed", 2))
 
 
+def _effects_sql() -> str:
+    """What each perturbation does to the pools, found by applying it: whether any text or date changed, and any passage is there twice."""
+    gold, fresh = "(SELECT * FROM pg WHERE gold)", "(SELECT * FROM pg WHERE NOT gold AND (question_ts - ts) / 86400.0 BETWEEN 0 AND 30)"
+    change = "SELECT '{0}' AS condition, coalesce(bool_or({1}), false) AS text_changed, coalesce(bool_or({2}), false) AS date_changed FROM ({3})"
+    copied = lambda source, shift: f"SELECT pg.text, pg.ts, CASE WHEN slot IS NULL THEN text ELSE new_text END AS t1, CASE WHEN slot IS NULL THEN ts ELSE new_ts END AS s1 FROM pg LEFT JOIN sl USING (qid, idx) LEFT JOIN src USING (qid)"
+    parts = []
+    for name, source, shift in (("correct_content_wrong_date", gold, 30 * DAY), ("duplicate_fresh", fresh, 0), ("stale_evidence", "ss", 0)):
+        tables = _copy_sql(source, shift).split("SELECT pg.qid, pg.idx, md5(")[0].strip().rstrip(",")
+        parts.append(f"SELECT * FROM (WITH {tables} {change.format(name, 'text <> t1', 'ts <> s1', copied(source, shift))})")
+    parts.append(f"SELECT * FROM (WITH {_slots_sql(2, '(SELECT * FROM pg WHERE NOT gold)')} {change.format('future_date', 'false', 'ts <> s1', 'SELECT ts, CASE WHEN slot IS NULL THEN ts ELSE greatest(ts, question_ts) + 7 * 86400 END AS s1 FROM pg LEFT JOIN sl USING (qid, idx)')})")
+    claim = "SELECT text, ts, CASE WHEN slot IS NULL THEN text ELSE 'Claim ' || pg.qid END AS t1, CASE WHEN slot IS NULL THEN ts ELSE question_ts - 86400 END AS s1 FROM pg LEFT JOIN sl USING (qid, idx)"
+    parts.append(f"SELECT * FROM (WITH {_slots_sql(2, '(SELECT * FROM pg WHERE NOT gold)')} {change.format('fabricated_fresh', 'text <> t1', 'ts <> s1', claim)})")
+    return " UNION ALL ".join(parts)
+
+
 @query(
-    "SELECT * FROM (VALUES ('clean', false, false, false, false), ('future_date', false, true, false, false), ('correct_content_wrong_date', false, true, true, true), ('duplicate_fresh', false, false, true, true), "
-    "('stale_evidence', false, false, true, true), ('fabricated_fresh', true, false, false, true)) t(condition, needs_text, shifts_date, copies, visible)"
+    f"""WITH {_GOLD}, {_STALE}, e AS ({_effects_sql()}), v(condition, needs_text, shifts_date, copies, visible) AS (VALUES ('future_date', false, true, false, false), ('correct_content_wrong_date', false, true, false, true), ('duplicate_fresh', true, false, true, true), ('stale_evidence', true, false, false, true), ('fabricated_fresh', true, true, false, true))
+SELECT v.*, text_changed, date_changed, visible OR NOT text_changed AS as_specified FROM v JOIN e USING (condition)"""
 )
 def attack_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conditions and what they do."""
-    return spark.createDataFrame(list(P.SPECS), "condition string, needs_text boolean, shifts_date boolean, copies boolean, visible boolean")
+    """The conditions with what they need and do, and what applying each of them to the pools is found to change."""
+    clean = _gold_pool(spark, sf_dir)
+    payloads = questions(spark, sf_dir).select("qid", F.concat(F.lit("Claim "), F.col("qid").cast("string")).alias("payload_text"), (F.col("question_ts") - DAY).alias("payload_ts"))
+    applied = {
+        "future_date": P.future_date(clean, "seed", 2), "correct_content_wrong_date": P.wrong_date(clean, "seed", 2), "duplicate_fresh": P.duplicate_fresh(clean, "seed", 2),
+        "stale_evidence": P.stale_evidence(clean, _topical(), "seed", 2), "fabricated_fresh": P.fabricated_fresh(clean, payloads, "seed", 2),
+    }
+    before = clean.select("qid", "idx", F.col("text").alias("t0"), F.col("ts").alias("s0"))
+    found = None
+    for name, after in applied.items():
+        any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+        e = after.join(before, ["qid", "idx"]).agg(any_of(F.col("text") != F.col("t0")).alias("text_changed"), any_of(F.col("ts") != F.col("s0")).alias("date_changed")).withColumn("condition", F.lit(name))
+        found = e if found is None else found.unionByName(e)
+    spec = spark.createDataFrame(list(P.SPECS), "condition string, needs_text boolean, shifts_date boolean, copies boolean, visible boolean")
+    return spec.join(found, "condition").withColumn("as_specified", F.col("visible") | ~F.col("text_changed"))
 
 
 @query(

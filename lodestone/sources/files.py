@@ -6,12 +6,11 @@ import csv
 import gzip
 import hashlib
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -80,6 +79,24 @@ def read_lines(spark: SparkSession, path: str, most: int = 16 << 20) -> DataFram
     return _binary(spark, path).mapInArrow(run, "path string, artifact string, line bigint, offset bigint, text binary")
 
 
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, offset, text) of files of any size: what read_lines() gives, but for the digest, by many tasks a file.
+
+    Lines end with line feeds. Each task numbers the lines of its stretch of a file; lines and bytes of the stretches before
+    it, a row each, are summed over the file. Gzipped files cannot be split, and are a task each.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"), (F.octet_length("value") + 1).cast("bigint").alias("size")
+    )
+    within = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("bytes"))
+    numbered = rows.withColumns({"k": F.count("*").over(within), "end": F.sum("size").over(within)})
+    text = F.regexp_replace("text", "\r+$", "").cast("binary")
+    return numbered.join(blocks, ["path", "block"]).select("path", (F.col("lines") + F.col("k")).alias("line"), (F.col("bytes") + F.col("end") - F.col("size")).alias("offset"), text.alias("text"))
+
+
 def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, fields): every CSV record, header included, with the line that it starts on, from 1."""
 
@@ -108,19 +125,15 @@ def read_zip(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return _binary(spark, path).mapInArrow(run, "path string, member string, content binary")
 
 
-_DOC = re.compile(rb'<doc\b[^>]*\bid="([^"]*)"[^>]*>(.*?)(?:</doc>|(?=<doc\b)|\Z)', re.S)
-
-
 def read_marked_docs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, doc_id, text) of <doc id="..">..</doc> streams; an element that is not closed ends with the next or the file."""
+    """(path, doc_id, text) of <doc id="..">..</doc> streams; an element that is not closed ends with the next or the file.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [(m[1].decode("utf-8", "replace"), m[2].decode("utf-8", "replace").strip()) for m in _DOC.finditer(_plain(data))]
-                yield pa.record_batch([pa.array([path] * len(found)), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=["path", "doc_id", "text"])
-
-    return _binary(spark, path).mapInArrow(run, "path string, doc_id string, text string")
+    The closing mark parts records, so a plain file of any size is split among tasks, and a task holds one element.
+    """
+    records = spark.read.option("lineSep", "</doc>").text(path).select(F.col("_metadata.file_path").alias("path"), F.explode(F.split("value", r"(?=<doc\b)")).alias("piece"))
+    element = r'(?s)^<doc\b[^>]*\bid="([^"]*)"[^>]*>(.*)$'
+    found = records.where(F.col("piece").rlike(element))
+    return found.select("path", F.regexp_extract("piece", element, 1).alias("doc_id"), F.regexp_replace(F.regexp_extract("piece", element, 2), r"(?s)^\s+|\s+$", "").alias("text"))
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -142,3 +155,28 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     b, a = before.select("path", F.col("sha256").alias("x")), after.select("path", F.col("sha256").alias("y"))
     kind = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(F.col("x") != F.col("y"), "changed")
     return b.join(a, "path", "full_outer").select("path", kind.alias("change")).where("change IS NOT NULL")
+
+
+def write_package(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as JSON lines under path/name, and path/manifest with every file's digest, written last: without it there is no package."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        write_jsonl(df, f"{path}/{name}")
+    files = None
+    for name in tables:
+        one = manifest(spark, f"{path}/{name}/part-*").select(F.concat(F.lit(f"{name}/"), F.substring_index("path", "/", -1)).alias("file"), "bytes", "sha256")
+        files = one if files is None else files.unionByName(one)
+    write_jsonl(files.coalesce(1), f"{path}/manifest")
+
+
+def read_package(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
+    """The tables of a package; ValueError if a file of it is missing, added or changed since it was written."""
+    stated = read_jsonl(spark, f"{path}/manifest", StructType([StructField("file", StringType()), StructField("sha256", StringType())])).withColumnRenamed("file", "path")
+    found = None
+    for name in schemas:
+        one = manifest(spark, f"{path}/{name}/part-*").select(F.concat(F.lit(f"{name}/"), F.substring_index("path", "/", -1)).alias("path"), "sha256")
+        found = one if found is None else found.unionByName(one)
+    wrong = changed(stated, found).orderBy("path").limit(5).collect()
+    if wrong:
+        raise ValueError(f"the package differs from its manifest: {[(r.path, r.change) for r in wrong]}")
+    return {name: read_jsonl(spark, f"{path}/{name}", schema) for name, schema in schemas.items()}

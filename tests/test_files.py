@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from lodestone.sources import config as C
 from lodestone.sources import files as S
 from tests.conftest import one
 
@@ -54,3 +55,70 @@ def test_shards(spark, tmp_path):
     (tmp_path / "year=2020").mkdir()
     (tmp_path / "year=2020" / "a.jsonl.gz").write_bytes(gzip.compress(b'{"k":1}\n'))
     assert one(S.read_shards(spark, str(tmp_path), spark.range(1).selectExpr("CAST(id AS INT) k").schema), "k", "year") == [(1, 2020)]
+
+
+def test_scan_lines_of_split_files(spark, tmp_path):
+    """A file that many tasks share gives the numbers and offsets of one that is read as a whole."""
+    lines = [("x" * (i * 7 % 60) + "é" * (i % 3)).encode() + (b"\r" if i % 10 == 0 else b"") for i in range(5000)]
+    (tmp_path / "a.txt").write_bytes(b"\n".join(lines) + b"\n")
+    (tmp_path / "b.txt").write_bytes(b"one\n\ntwo")
+    (tmp_path / "c.gz").write_bytes(gzip.compress(b"p\nq\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9973")
+    try:
+        found = S.scan_lines(spark, f"{tmp_path}/*")
+        assert found.select("path").distinct().count() == 3 and spark.read.text(f"{tmp_path}/a.txt").rdd.getNumPartitions() > 10
+        got = sorted((r.path.rsplit("/", 1)[1], r.line, r.offset, bytes(r.text)) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((r.path.rsplit("/", 1)[1], r.line, r.offset, bytes(r.text)) for r in S.read_lines(spark, f"{tmp_path}/*").collect())
+
+
+def test_marked_docs_of_split_files(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("".join(f'<doc id="{i}" x="y">\n{"t" * (i % 50)} {i}\n</doc>\n' for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5003")
+    try:
+        got = {r.doc_id: r.text for r in S.read_marked_docs(spark, f"{tmp_path}/d.xml").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {str(i): f"{'t' * (i % 50)} {i}".strip() for i in range(2000)}
+
+
+def test_csv_sink_and_packages(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "q", x'), (2, None)], "k int, v string")
+    S.write_csv(df, f"{tmp_path}/csv")
+    assert one(S.read_csv(spark, f"{tmp_path}/csv", {"k", "v"}), "k", "v") == [("1", 'a "q", x'), ("2", None)]
+    with pytest.raises(Exception, match="already exists"):
+        S.write_csv(df, f"{tmp_path}/csv")
+    S.write_package({"a": df, "b": df.limit(1)}, f"{tmp_path}/p")
+    back = S.read_package(spark, f"{tmp_path}/p", {"a": df.schema, "b": df.schema})
+    assert one(back["a"], "k", "v") == one(df, "k", "v") and back["b"].count() == 1
+    part = next((tmp_path / "p" / "a").glob("part-*"))
+    part.write_text(part.read_text().replace("q", "r"))
+    with pytest.raises(ValueError, match="changed"):
+        S.read_package(spark, f"{tmp_path}/p", {"a": df.schema, "b": df.schema})
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a": {"b": 1, "c": {}}, "d": [1, "x"]}')
+    config = C.load(spark, f"{tmp_path}/c.json")
+    assert C.get(config, "a.b") == 1 and C.get(config, "d") == [1, "x"]
+    for path in ("a.x", "a.b.c", "", "d.0"):
+        with pytest.raises(KeyError):
+            C.get(config, path)
+    assert one(C.table(spark, config), "path", "value") == [("a.b", "1"), ("a.c", "{}"), ("d", '[1, "x"]')]
+    (tmp_path / "l.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        C.load(spark, f"{tmp_path}/l.json")
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestone.sources import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(cluster)
+    assert scratch.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "file:///x/"))) == "file:///x"

@@ -85,6 +85,9 @@ def test_urls(spark):
     u = "http://x.org/a;p=1/?q=2#top"
     assert value(spark, U.url_fetch_key(F.col("t")), t=u) == "http://x.org/a;p=1/?q=2"
     assert value(spark, U.url_pool_key(F.col("t")), t="http://x.org/a/b;p=1?q=2#top") == "http://x.org/a/b?q=2"
+    key = lambda u: value(spark, U.url_pool_key(F.col("t")), t=u)
+    assert [key(u) for u in ("http://x/a/?q=1", "http://x/a?q=b/", "HTTP://X/a?", "http://x//", "x.org/a;p", "", " ", None, "http://x/a;p/b;q#f?g")] == [
+        "http://x/a/?q=1", "http://x/a?q=b", "http://X/a", "http://x", "://x.org/a", "", "", "", "http://x/a;p/b"]
     assert value(spark, U.source_urls(F.col("t")), t="http://a.b/c.<br>http://a.b/c, https://d.e") == ["http://a.b/c", "https://d.e"]
     assert tuple(value(spark, U.text_fragment(F.col("t")), t="http://x#:~:text=pre-,start%20it,end,-suf")) == ("pre", "start it", "end", "suf")
     assert value(spark, U.text_fragment(F.col("t")), t="http://x#top") is None
@@ -97,6 +100,15 @@ def test_pages(spark):
     assert value(spark, U.page_date(F.col("t")), t=html) == "2020-01-02"
     assert value(spark, U.page_date(F.col("t")), t="<p>") is None
     assert value(spark, U.page_text(F.col("t")), t=html) == "One & two\nthree"
+    text = lambda h: value(spark, U.page_text(F.col("t")), t=h)
+    assert text("<body><aside>Kept</aside><svg><text>gone</text></svg><p>a <b>bold</b>  word</p><header>x</header></body>") == "Kept\na\nbold\nword"
+    assert text("<div>no body</div>") == "" and text("<article>A</article><body>B</body>") == "A" and text(None) is None
+    date = lambda h: value(spark, U.page_date(F.col("t")), t=h)
+    modified, plain = '<meta content="2021" property="article:modified_time">', '<META NAME="date" CONTENT=" 2019 ">'
+    assert date(plain + modified) == "2021" and date(plain) == "2019" and date('<meta name="last-modified" content="2018">') is None
+    linked = '<script type="application/ld+json">{}</script>'
+    assert date('{"datePublished": "2017"}') is None and date(linked.replace("{}", '{"dateModified": "2016", "datePublished": "2015"}')) == "2015"
+    assert date(linked.replace("{}", "{") + linked.replace("{}", '[{"x": 1}, {"dateModified": "2014"}]')) == "2014"
 
 
 @pytest.mark.parametrize(("reply", "verdict"), [('{"verdict": true}', True), ('```json\n{"verdict": "no"}\n```', False), ("verdict: yes, sure", True), ("???", None)])
@@ -107,3 +119,22 @@ def test_verdict(spark, reply, verdict):
 @given(st.lists(st.sampled_from("one two twenty thirty hundred thousand and x".split()), max_size=8))
 def test_spoken_numbers_never_break(words):
     assert all(v >= 0 for v in T._spoken(words))
+
+
+def test_paragraphs_and_questions(spark):
+    long = "1" * 81
+    assert value(spark, T.paragraphs("t"), t=f" {long}0 \n \n\n\t0{long}\n\nshort\n\n1{long}\t") == [f"{long}0", f"0{long}", f"1{long}"]
+    rows = spark.createDataFrame([("Dev", " q ", " a ", ["a", " b", "b ", "", None, "2"]), ("dev", "q", " ", []), ("test", "q", "a", []), (None, "q", "a", [])], "s string, q string, a string, o array<string>")
+    got = T.clean_questions(rows, "s", "DEV", "q", "a", F.col("o")).select("question", "answer", "aliases").collect()
+    assert [tuple(r) for r in got] == [("q", "a", ["b", "2"])]
+    assert T.clean_questions(rows, "s", None, "q", "a", F.col("o")).count() == 3
+
+
+@pytest.mark.parametrize(("answer", "text", "found"), [("Red car", "A red, car!", True), ("red", "reddish", False), ("", "x", False), ("(.*)", "anything", False), ("a.b", "ab", True), ("straße", "the STRASSE", True), ("x", "«x»", True)])
+def test_appears_in(spark, answer, text, found):
+    assert value(spark, T.appears_in("a", "t"), a=answer, t=text) is found
+
+
+def test_review_terms(spark):
+    assert value(spark, T.review_terms("t"), t="What Señor X9 did in the-END") == ["end"]
+    assert value(spark, T.ascii_words("t"), t="What Señor X99 did in the-END") == ["what", "x99", "did", "the", "end"]
