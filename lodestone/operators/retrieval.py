@@ -21,8 +21,9 @@ RRF_K, RRF_DEPTH = 60, 20
 
 def terms(pool: DataFrame) -> DataFrame:
     """(qid, idx, term, dl) for every space-parted token of every candidate, with the number of the candidate's tokens."""
-    tokens = T.space_split("text")
-    return pool.select("qid", "idx", F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+    # the number of tokens is told before they are exploded: beside explode, texts would be split again for every token
+    split = pool.select("qid", "idx", T.space_split("text").alias("tokens")).withColumn("dl", F.size("tokens"))
+    return split.select("qid", "idx", "dl", F.explode("tokens").alias("term"))
 
 
 def document_frequencies(pool: DataFrame) -> DataFrame:

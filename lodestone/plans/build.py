@@ -36,7 +36,7 @@ _FORM = r"array_to_string(list_filter(regexp_split_to_array(translate(replace(lo
 
 @query(
     f"""WITH {POOL_SQL}, a AS (SELECT qid, question_ts, unnest({_MINED.format(x="split_part(query, '.', 1)")}) AS tok, 1 AS q FROM q), e AS (SELECT qid, question_ts, unnest({_MINED.format(x="query")}) AS tok, 1 AS e FROM q),
-w AS (SELECT qid, question_ts, tok, coalesce(q, 0) AS q, coalesce(e, 0) AS e FROM a FULL JOIN e USING (qid, question_ts, tok)), t AS (SELECT idx AS id, ts, md5({_FORM.format(x="text")}) AS same, unnest({_MINED.format(x="text")}) AS tok FROM p),
+w AS (SELECT qid, question_ts, tok, coalesce(q, 0) AS q, coalesce(e, 0) AS e FROM a FULL JOIN e USING (qid, question_ts, tok)), tt AS MATERIALIZED (SELECT idx AS id, ts, md5({_FORM.format(x="text")}) AS same, {_MINED.format(x="text")} AS toks FROM p), t AS (SELECT id, ts, same, unnest(toks) AS tok FROM tt),
 h AS (SELECT qid, id, same, sum(q)::BIGINT AS question_overlap, sum(e)::BIGINT AS evidence_overlap, (sum(q) + 2 * sum(e))::BIGINT AS score FROM t JOIN w USING (tok) WHERE question_ts - ts >= 30 * 86400 GROUP BY qid, id, same HAVING sum(q) + 2 * sum(e) >= 3),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid, same ORDER BY score DESC, evidence_overlap DESC, question_overlap DESC, id) AS copy FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, evidence_overlap DESC, question_overlap DESC, id) AS rank FROM o WHERE copy = 1)
 SELECT qid, id, question_overlap, evidence_overlap, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analysis, audit, build, checks, corpus, evidence, pools, retrieval, streams
+from . import analysis, audit, build, checks, corpus, evidence, files, pools, retrieval, streams
 
-MODULES = (retrieval, pools, analysis, evidence, streams, audit, corpus, checks, build)
+MODULES = (retrieval, pools, analysis, evidence, streams, audit, corpus, checks, build, files)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
