@@ -13,7 +13,7 @@ from lodestone.operators import stats as S
 
 from .common import POOL_SQL, pool, questions, read
 from .pools import _GOLD, _STALE, _gold_pool, _topical
-from .retrieval import bm25_topk
+from .retrieval import _TF, bm25_topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -149,7 +149,7 @@ def hits_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx", "left")
 
 
-@query()
+@query(f"{_TF} SELECT r.qid, r.idx, CAST(rank AS INT) AS rank, l.quality FROM r LEFT JOIN labels l ON l.doc_id = r.idx WHERE rank <= 5")
 def ranked_hits_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists that BM25 retrieves, taken apart by position and joined to what is known of them."""
     shown = bm25_topk(spark, sf_dir).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "idx"))), lambda s: s["idx"]).alias("shown"))
