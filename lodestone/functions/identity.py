@@ -34,3 +34,45 @@ def occurrence_id(artifact: Column, line: Column) -> Column:
 def hash_order(seed: str, *columns: Column) -> Column:
     """A hash by which rows are sampled: the same in any partitioning, and a smaller sample is part of a larger."""
     return F.sha2(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in columns]), 256)
+
+
+# The domains of content-bound identities.
+QUESTION, PARENT_SOURCE, PARENT_OCCURRENCE, CHILD, CHILD_OCCURRENCE = "sqa-q-v2", "sqa-parent-source-a9-v1", "sqa-po-v2", "sqa-child-a9-v1", "sqa-child-occurrence-a9-v1"
+
+
+def domain_identity(domain: str, *parts: Column) -> Column:
+    """domain:digest of the canonical JSON list of the domain and its parts; texts are quoted, whole numbers are not.
+
+    Null where a part is null, so an identity never stands for something that is missing.
+    """
+    quoted = [F.when(F.typeof(p) == "string", _json_text(p)).otherwise(p.cast("string")) for p in parts]
+    return F.concat(F.lit(f"{domain}:"), F.sha2(F.concat(F.lit(f'["{domain}",'), *[x for k, q in enumerate(quoted) for x in ([F.lit(",")] if k else []) + [q]], F.lit("]")), 256))
+
+
+def _json_text(c: Column) -> Column:
+    """A text as JSON writes it."""
+    whole = F.to_json(F.array(c.cast("string")))
+    return F.when(c.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def question_identity(table_sha256: Column, question_id: Column) -> Column:
+    return domain_identity(QUESTION, table_sha256, question_id.cast("string"))
+
+
+def parent_source_identity(doc_id: Column, text_sha256: Column) -> Column:
+    """Of an exact source id and an exact text, wherever they stand."""
+    return domain_identity(PARENT_SOURCE, doc_id.cast("string"), text_sha256)
+
+
+def parent_occurrence_identity(frame: Column, question: Column, slot: Column) -> Column:
+    """Of a place in a question's pool."""
+    return domain_identity(PARENT_OCCURRENCE, frame, question, slot.cast("bigint"))
+
+
+def child_identity(parent_source: Column, text_sha256: Column, start: Column, end: Column, config_sha256: Column) -> Column:
+    """Of a span of a source under a way of chunking, whatever question it is asked for."""
+    return domain_identity(CHILD, parent_source, text_sha256, start.cast("bigint"), end.cast("bigint"), config_sha256)
+
+
+def child_occurrence_identity(question_row: Column, slot: Column, child: Column) -> Column:
+    return domain_identity(CHILD_OCCURRENCE, question_row.cast("bigint"), slot.cast("bigint"), child)

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 EPOCH_FLOOR = 1e8
 
 
+# The formats in which mined sources spell their dates.
+MINED_FORMATS = ("yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d H:m:s", "yyyy/M/d")
+
+
 def _iso(s: Column) -> Column:
     """An ISO time, one without a zone as UTC (the session's zone)."""
     return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyyMMdd")))
@@ -18,7 +22,7 @@ def parse_time(s: Column, dialect: str = "pool") -> Column:
     """A timestamp from text, null if it is none.
 
     pool: numbers of EPOCH_FLOOR or more are epoch seconds, others basic dates. mining: every number is epoch
-    seconds. gaps: only digits are. metric: no numbers in text at all.
+    seconds, and other texts are one of MINED_FORMATS. gaps: only digits are. metric: no numbers in text at all.
     """
     s = F.trim(s)
     number = s.try_cast("double")
@@ -30,7 +34,8 @@ def parse_time(s: Column, dialect: str = "pool") -> Column:
         epoch = F.when(s.rlike("^[0-9]+$"), number)
     else:
         epoch = F.lit(None).cast("double")
-    return F.coalesce(F.timestamp_seconds(epoch), _iso(s))
+    spelled = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in MINED_FORMATS]) if dialect == "mining" else _iso(s)
+    return F.coalesce(F.timestamp_seconds(epoch), spelled)
 
 
 def strict_utc(s: Column) -> Column:

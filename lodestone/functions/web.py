@@ -45,11 +45,22 @@ def text_fragment(u: Column) -> Column:
     )
 
 
-def cited_span(text: Column, start: Column, reach: int = 400) -> Column:
-    """The text around the first place of a quotation, up to `reach` characters on both sides; null if it is not there."""
-    at = F.instr(F.lower(text), F.lower(start))
+def cited_span(text: Column, start: Column, reach: int = 400, end: Column | None = None) -> Column:
+    """What stands around the first place of a quotation, up to `reach` characters on both sides; null if it is not there.
+
+    Text and quotation are compared lowered and with blanks collapsed, and the span is cut from that form. A quotation
+    with an end reaches to the first place of it behind its start, if there is one.
+    """
+    norm = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""), r"\s+", " "))
+    page, first = norm(text), norm(start)
+    at = F.instr(page, first)
+    stop = at + F.length(first)
+    if end is not None:
+        last = norm(end)
+        found = F.call_function("locate", last, page, stop)
+        stop = F.when((last != "") & (found > 0), found + F.length(last)).otherwise(stop)
     begin = F.greatest(F.lit(1), at - reach)
-    return F.when(at > 0, F.substring(text, begin, at - begin + F.length(start) + reach))
+    return F.when((first != "") & (at > 0), F.substring(page, begin, stop - begin + reach))
 
 
 def title(html: Column) -> Column:

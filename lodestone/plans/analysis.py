@@ -196,7 +196,7 @@ SELECT condition, system, poison_count, count(l_quantity) AS n, round(count(*) F
  round(avg(CASE WHEN l_returnflag = 'R' THEN l_discount END), 6) AS mean_selected, round(median(CASE WHEN l_returnflag = 'R' THEN l_discount END), 6) AS median_selected, round(avg(l_tax - l_discount), 6) AS delta, count(l_tax) AS delta_n_defined FROM j GROUP BY ALL"""
 )
 def vulnerability_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: a cell for every condition, system and count, with rates that are null where nothing was selected."""
+    """A cell for every condition, system and count, with rates that are null where nothing was selected."""
     o = read(spark, sf_dir, "orders")
     rows = read(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("condition"), F.col("o_orderstatus").alias("system"), "l_returnflag", "l_quantity", "l_discount", "l_tax")
     counts = F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("poison_count")
@@ -228,7 +228,7 @@ def pooled_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT category, count(*) AS n, min(doc_id) AS first_doc FROM c GROUP BY category"""
 )
 def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping categories with their counts and first examples."""
+    """Overlapping categories with their counts and first examples."""
     t = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     rules = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1, "long": F.col("n_chars") > 5000, "short": F.col("n_chars") < 100, "good_but_toxic": (F.col("quality") == 1) & (F.col("toxic") == 1)}
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))

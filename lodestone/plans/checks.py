@@ -153,7 +153,7 @@ def clean_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_GOLD}, w AS (SELECT qid, idx FROM pg WHERE gold UNION SELECT qid, -1 - qid FROM q) SELECT w.idx, p.qid, md5(p.text) AS text_md5, p.idx IS NOT NULL AS found FROM (SELECT DISTINCT idx FROM w) w LEFT JOIN p ON p.idx = w.idx")
 def text_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of the wanted ids, and the ids that no row has."""
+    """The texts of the wanted ids, and the ids that no row has."""
     wanted = _gold_pool(spark, sf_dir).where("gold").select("idx").unionByName(questions(spark, sf_dir).select((-1 - F.col("qid")).alias("idx")))
     return C.fetch(wanted, pool(spark, sf_dir), "idx").select("idx", "qid", F.md5(F.col("text").cast("binary")).alias("text_md5"), "found")
 

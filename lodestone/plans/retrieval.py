@@ -93,7 +93,7 @@ u AS (SELECT qid, idx, score, row_number() OVER (PARTITION BY qid ORDER BY round
 
 @query(f"{_FUSED} SELECT qid, idx, round(score, 9) AS score, rank FROM u WHERE rank <= 5")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 and the overlap ranker, fused by reciprocal ranks."""
+    """BM25 and the overlap ranker, fused by reciprocal ranks."""
     p, q = pool(spark, sf_dir), questions(spark, sf_dir)
     return R.fuse(R.ranked(R.bm25(p, q)), R.ranked(_overlaps(spark, sf_dir))).withColumn("score", F.round("score", 9))
 

@@ -69,7 +69,8 @@ def test_id_parent(spark):
     ("text", "dialect", "epoch"),
     [
         ("20200709", "pool", 1594252800), ("1594252800", "pool", 1594252800), ("2020-07-09T00:00:00Z", "pool", 1594252800), ("2020-07-09T00:00:00", "pool", 1594252800), ("soon", "pool", None),
-        ("20200709", "mining", 20200709), ("20200709", "gaps", 20200709), ("1594252800", "metric", None), (None, "pool", None),
+        ("20200709", "mining", 20200709), ("2020-7-9", "mining", 1594252800), ("2020/07/09", "mining", 1594252800), ("2020-07-09 00:00:00", "mining", 1594252800), ("2020-07-09T00:00:00Z", "mining", 1594252800),
+        ("2020-07-09T00:00:00+01:00", "mining", None), ("2020-07", "mining", None), ("2020-13-09", "mining", None), ("-5.5", "mining", -6), ("20200709", "gaps", 20200709), ("1594252800", "metric", None), (None, "pool", None),
     ],
 )
 def test_parse_time(spark, text, dialect, epoch):
@@ -92,6 +93,9 @@ def test_urls(spark):
     assert tuple(value(spark, U.text_fragment(F.col("t")), t="http://x#:~:text=pre-,start%20it,end,-suf")) == ("pre", "start it", "end", "suf")
     assert value(spark, U.text_fragment(F.col("t")), t="http://x#top") is None
     assert value(spark, U.cited_span(F.lit("0123456789"), F.lit("45"), 2), t="") == "234567"
+    span = lambda text, start, end=None: value(spark, U.cited_span(F.col("t"), F.lit(start), 3, None if end is None else F.lit(end)), t=text)
+    assert span("One  TWO\n three four five", "two three") == "ne two three fo" and span("a b c", "x") is None and span("a b c", " ") is None and span(None, "a") is None
+    assert span("start here and end there, end", "START", "end") == "start here and end th" and span("end start here", "start", "end") == "nd start he"
 
 
 def test_pages(spark):
@@ -138,3 +142,18 @@ def test_appears_in(spark, answer, text, found):
 def test_review_terms(spark):
     assert value(spark, T.review_terms("t"), t="What Señor X9 did in the-END") == ["end"]
     assert value(spark, T.ascii_words("t"), t="What Señor X99 did in the-END") == ["what", "x99", "did", "the", "end"]
+
+
+def test_domain_identities(spark):
+    """The digest of compact JSON, as json.dumps writes it, quotes and other scripts included."""
+    import hashlib
+    import json
+
+    from lodestone.functions import identity as I
+
+    for doc, digest in (('a "b"\\c\n', "0" * 64), ("é😀", "f" * 64)):
+        want = "sqa-parent-source-a9-v1:" + hashlib.sha256(json.dumps(["sqa-parent-source-a9-v1", doc, digest], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        assert value(spark, I.parent_source_identity(F.col("d"), F.col("h")), d=doc, h=digest) == want
+    want = "sqa-po-v2:" + hashlib.sha256(b'["sqa-po-v2","f","q",7]').hexdigest()
+    assert value(spark, I.parent_occurrence_identity(F.lit("f"), F.lit("q"), F.lit(7)), t="") == want
+    assert value(spark, I.parent_occurrence_identity(F.lit("f"), F.col("t"), F.lit(7)), t=None) is None
