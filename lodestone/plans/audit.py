@@ -138,12 +138,12 @@ def control_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POOL_SQL}, x AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY idx) AS rank FROM p), t AS (SELECT qid, list(idx ORDER BY rank) AS shown FROM x WHERE rank <= 5 GROUP BY qid), h AS (SELECT qid, unnest(shown) AS idx, unnest(range(1, len(shown) + 1)) AS rank FROM t)
+    f"""WITH {POOL_SQL}, x AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY idx) AS rank FROM p), t AS (SELECT qid, list(idx ORDER BY rank) AS shown FROM x GROUP BY qid), h AS (SELECT qid, unnest(shown) AS idx, unnest(range(1, len(shown) + 1)) AS rank FROM t)
 SELECT h.qid, h.idx, CAST(h.rank AS INT) AS rank, l.quality FROM h LEFT JOIN labels l ON l.doc_id = h.idx"""
 )
 def hits_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of retrieved ids, taken apart by position and joined to what is known of them."""
-    x = pool(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("idx"))).where("rank <= 5")
+    x = pool(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("idx")))
     shown = x.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "idx"))), lambda s: s["idx"]).alias("shown"))
     hits = shown.select("qid", F.posexplode("shown").alias("p", "idx")).select("qid", "idx", (F.col("p") + 1).alias("rank"))
     return hits.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality"), "idx", "left")
@@ -158,13 +158,13 @@ def ranked_hits_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F')
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place FROM orders)
 SELECT o_orderkey, o_orderpriority, CASE WHEN place <= 150 THEN 'priority' ELSE 'reserve' END AS queue FROM o"""
 )
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue within each stratum, its first 150 rows with priority."""
     w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    o = read(spark, sf_dir, "orders")
     first = o.withColumn("place", F.row_number().over(w)).where("place <= 150").select("o_orderkey", F.lit("priority").alias("queue"))  # tasks keep 150 rows a stratum
     return o.join(first, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", F.coalesce("queue", F.lit("reserve")).alias("queue"))
 

@@ -60,7 +60,7 @@ def assembled_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH n AS (SELECT count(*) AS n FROM benchmark), e AS (SELECT page_id, {_key_sql("url")} AS k FROM pages WHERE page_id % 7 <> 0 AND coalesce(html, '') <> ''), c AS (SELECT DISTINCT x.page_id % n AS qid, e.page_id AS idx FROM pages x, n JOIN e ON e.k = {_key_sql("x.url")} WHERE x.url IS NOT NULL AND e.k <> ''),
+    f"""WITH n AS (SELECT count(*) AS n FROM benchmark), e AS (SELECT page_id, {_key_sql("url")} AS k FROM pages WHERE html LIKE '%<body%' AND coalesce(html, '') <> ''), c AS (SELECT DISTINCT x.page_id % n AS qid, e.page_id AS idx FROM pages x, n JOIN e ON e.k = {_key_sql("x.url")} WHERE x.url IS NOT NULL AND e.k <> ''),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idx) AS k FROM c) WHERE k <= 8), m AS (SELECT qid, count(*) AS n FROM f GROUP BY qid), s AS (SELECT page_id % 50 AS slot, page_id AS idx FROM e),
 r AS (SELECT m.qid, s.idx, m.n, row_number() OVER (PARTITION BY m.qid ORDER BY sha256('fill|' || m.qid || '|' || s.idx), s.idx) AS draw FROM m JOIN s ON s.slot = m.qid % ((SELECT max(slot) FROM s) + 1) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.qid = m.qid AND c.idx = s.idx))
 SELECT qid, idx, true AS is_source FROM f UNION ALL SELECT qid, idx, false FROM r WHERE draw <= 20 - n"""
@@ -68,7 +68,7 @@ SELECT qid, idx, true AS is_source FROM f UNION ALL SELECT qid, idx, false FROM
 def cited_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pools of the fetched pages that a question cites, filled up with pages that it does not cite."""
     p, n = read(spark, sf_dir, "pages"), read(spark, sf_dir, "benchmark").agg(F.count("*").alias("_n"))
-    evidence = p.where("page_id % 7 <> 0 AND coalesce(html, '') <> ''").select(F.col("page_id").alias("idx"), U.url_pool_key(F.col("url")).alias("k"))
+    evidence = p.where("html LIKE '%<body%' AND coalesce(html, '') <> ''").select(F.col("page_id").alias("idx"), U.url_pool_key(F.col("url")).alias("k"))
     cited = p.where("url IS NOT NULL").join(F.broadcast(n)).select(F.pmod("page_id", "_n").alias("qid"), U.url_pool_key(F.col("url")).alias("k")).join(evidence.where("k <> ''"), "k").select("qid", "idx").distinct()
     return B.fill_pools(cited, evidence.select((F.col("idx") % 50).alias("slot"), "idx"), 20, 8, "fill")
 
@@ -196,27 +196,27 @@ def _fresh_source(clean: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {_GOLD}, {_FRESH}, fr AS (SELECT 'future_date' AS condition, qid, idx FROM pg WHERE NOT gold AND idx % 9 < 2 UNION ALL SELECT 'duplicate_fresh', qid, idx FROM pg JOIN src USING (qid) WHERE NOT gold AND idx % 9 < 2 AND idx <> source_idx),
+    f"""WITH {_GOLD}, {_FRESH}, fr AS (SELECT 'future_date' AS condition, qid, idx FROM pg WHERE NOT gold AND reviewed UNION ALL SELECT 'duplicate_fresh', qid, idx FROM pg JOIN src USING (qid) WHERE NOT gold AND reviewed AND idx <> source_idx),
 dr AS (SELECT *, row_number() OVER (PARTITION BY condition, qid ORDER BY sha256('seed|' || qid || '|' || idx), idx) AS slot FROM fr), li AS (SELECT condition, qid, list(idx ORDER BY slot) AS ids FROM dr WHERE slot <= 5 GROUP BY ALL),
 g AS (SELECT condition, qid, requested, coalesce(ids, []) AS ids FROM (SELECT qid, unnest(['future_date', 'duplicate_fresh']) AS condition FROM q) CROSS JOIN (SELECT unnest([1, 2, 5]) AS requested) LEFT JOIN li USING (condition, qid))
 SELECT condition, qid, requested, len(ids) >= requested AS applied, CASE WHEN len(ids) = 0 THEN 'no_eligible_target' WHEN len(ids) < requested THEN 'insufficient_distinct_targets' END AS reason, CASE WHEN len(ids) >= requested THEN ids[:requested] ELSE [] END AS targets FROM g"""
 )
 def attack_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every question, condition and count, whether poisons could be placed, where, or why not; few slots are free."""
+    """For every question, condition and count, whether poisons could be placed, where, or why not; slots are free where a label calls them harmless."""
     clean = _gold_pool(spark, sf_dir)
-    free, q = clean.where("gold OR idx % 9 < 2"), questions(spark, sf_dir)
+    free, q = clean.where("gold OR reviewed"), questions(spark, sf_dir)
     one = B.outcomes(free, q, "seed").withColumn("condition", F.lit("future_date"))
     return one.unionByName(B.outcomes(free, q, "seed", source=_fresh_source(clean)).withColumn("condition", F.lit("duplicate_fresh")))
 
 
 @query(
-    f"""WITH {_GOLD}, sl AS (SELECT * FROM (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY sha256('seed|' || qid || '|' || idx), idx) AS slot, count(*) OVER (PARTITION BY qid) AS n FROM pg WHERE NOT gold AND idx % 9 < 2) WHERE n >= 5 AND slot <= 5), ok AS (SELECT DISTINCT qid FROM sl)
-SELECT pg.qid, pg.idx, CASE WHEN slot IS NULL THEN ts ELSE greatest(ts, question_ts) + 7 * 86400 END AS ts, slot IS NOT NULL AS changed FROM pg JOIN ok USING (qid) LEFT JOIN sl USING (qid, idx) WHERE gold OR idx % 9 < 2"""
+    f"""WITH {_GOLD}, sl AS (SELECT * FROM (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY sha256('seed|' || qid || '|' || idx), idx) AS slot, count(*) OVER (PARTITION BY qid) AS n FROM pg WHERE NOT gold AND reviewed) WHERE n >= 2 AND slot <= 2), ok AS (SELECT DISTINCT qid FROM sl)
+SELECT pg.qid, pg.idx, CASE WHEN slot IS NULL THEN ts ELSE greatest(ts, question_ts) + 7 * 86400 END AS ts, slot IS NOT NULL AS changed FROM pg JOIN ok USING (qid) LEFT JOIN sl USING (qid, idx) WHERE gold OR reviewed"""
 )
 def generated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attacked pools of the questions whose pools could be attacked; the others are left out."""
-    clean = _gold_pool(spark, sf_dir).where("gold OR idx % 9 < 2")
-    return B.generate(P.future_date(clean, "seed", 5), skip_ineligible=True).select("qid", "idx", "ts", "changed")
+    clean = _gold_pool(spark, sf_dir).where("gold OR reviewed")
+    return B.generate(P.future_date(clean, "seed", 2), skip_ineligible=True).select("qid", "idx", "ts", "changed")
 
 
 _CASES = f"""{_GOLD}, sl AS (SELECT * FROM (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY sha256('seed|' || qid || '|' || idx), idx) AS slot, count(*) OVER (PARTITION BY qid) AS n FROM pg WHERE NOT gold) WHERE n >= 2 AND slot <= 2),

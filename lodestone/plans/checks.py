@@ -128,14 +128,14 @@ def _key_sql(u: str) -> str:
 
 
 @query(
-    rf"""WITH e AS (SELECT page_id, {_key_sql("url")} AS k FROM pages WHERE page_id % 7 <> 0 AND coalesce(html, '') <> ''),
+    rf"""WITH e AS (SELECT page_id, {_key_sql("url")} AS k FROM pages WHERE html LIKE '%<body%' AND coalesce(html, '') <> ''),
 f AS (SELECT page_id % (SELECT count(*) FROM benchmark) AS qid, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(concat('see ', url, '/#top<br/> ', url, ', ', 'http://nowhere.example/', page_id), '(?i)<br */?>', chr(10), 'g'), '(https?://[^\s<>"]+)', 1), lambda x: rtrim(x, '.,;')))) AS u FROM pages WHERE url IS NOT NULL)
 SELECT f.qid, e.page_id, list(DISTINCT f.u ORDER BY f.u) AS urls FROM f JOIN e ON e.k = {_key_sql("f.u")} WHERE e.k <> '' GROUP BY f.qid, e.page_id"""
 )
 def cited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fetched pages with a text that a question's source field cites, once each, with all URLs that cite them."""
     p, n = read(spark, sf_dir, "pages"), questions(spark, sf_dir).count()
-    evidence = p.where("page_id % 7 <> 0 AND coalesce(html, '') <> ''").select("page_id", U.url_pool_key(F.col("url")).alias("k")).where("k <> ''")
+    evidence = p.where("html LIKE '%<body%' AND coalesce(html, '') <> ''").select("page_id", U.url_pool_key(F.col("url")).alias("k")).where("k <> ''")
     field = F.concat(F.lit("see "), F.col("url"), F.lit("/#top<br/> "), F.col("url"), F.lit(", http://nowhere.example/"), F.col("page_id").cast("string"))
     cited = p.where("url IS NOT NULL").select(F.pmod("page_id", F.lit(n)).alias("qid"), F.explode(U.source_urls(field)).alias("u"))
     return cited.withColumn("k", U.url_pool_key(F.col("u"))).join(evidence, "k").groupBy("qid", "page_id").agg(F.array_sort(F.collect_set("u")).alias("urls"))

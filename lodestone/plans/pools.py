@@ -13,7 +13,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import temporal as E
 
 from .common import CORPUS_START, DAY, POOL_SQL, pool, questions, read
-from .retrieval import _ALNUM
+from .retrieval import _ALNUM, _TF
 
 QUERIES, ORACLES = {}, {}
 
@@ -316,11 +316,11 @@ def factorial_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POOL_SQL}, c AS (SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY idx) AS rank, least(length(text), 1500) AS n FROM p), s AS (SELECT *, sum(n + 2) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) - 2 AS used FROM c WHERE rank <= 5)
-SELECT qid, idx, CAST(rank AS INT) AS rank, CAST(used AS BIGINT) AS used, used <= 4000 AS survives FROM s"""
+    f"""{_TF}, c AS (SELECT r.qid, r.idx, rank, least(length(text), 1500) AS n FROM r JOIN p USING (qid, idx) WHERE rank <= 5), u AS (SELECT *, sum(n + 2) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) - 2 AS used FROM c)
+SELECT qid, idx, CAST(rank AS INT) AS rank, CAST(used AS BIGINT) AS used, used <= 4000 AS survives FROM u"""
 )
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of five passages survive the caps on a passage and on the whole context."""
-    w = Window.partitionBy("qid").orderBy("rank")
-    c = pool(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("idx"))).where("rank <= 5").withColumn("n", F.length(T.truncate("text")))
+    """Which of the five best passages survive the caps on a passage and on the whole context."""
+    w, p = Window.partitionBy("qid").orderBy("rank"), pool(spark, sf_dir)
+    c = R.ranked(R.bm25(p, questions(spark, sf_dir)), 5).join(p, ["qid", "idx"]).withColumn("n", F.length(T.truncate("text")))
     return c.withColumn("used", F.sum(F.col("n") + 2).over(w) - 2).select("qid", "idx", "rank", "used", (F.col("used") <= 4000).alias("survives"))
