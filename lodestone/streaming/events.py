@@ -17,11 +17,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestone.sources.scratch import shared_dir
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, a file or a folder, as a stream; its time column ts as a timestamp."""
+def stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table, a file or a folder, as a stream; its time column ts as a timestamp. Files come by their age, all at once or so many a batch."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}").withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windows(events: DataFrame, width: str = "6 hours", slide: str | None = None, late: str = "1 day") -> DataFrame:
