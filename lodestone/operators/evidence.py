@@ -42,3 +42,13 @@ def replace_blocked(priority: DataFrame, reserve: DataFrame, stratum: str, rank:
     b = priority.where("blocked").select(stratum, F.row_number().over(w).alias("slot"), F.col("id").alias("blocked_id"))
     r = reserve.where("passes").select(stratum, F.row_number().over(w).alias("slot"), F.col("id").alias("replacement_id"))
     return b.join(r, [stratum, "slot"], "left")
+
+
+def reserve_without(reserve: DataFrame, exposed: DataFrame, key: str, stratum: str) -> tuple[DataFrame, DataFrame]:
+    """(the reserve's rows that were not exposed, (key, problem)): both have key and stratum.
+
+    Problems are exposed keys that the reserve does not have (unknown_key) or has in another stratum (stratum_differs).
+    """
+    known = exposed.select(key, F.col(stratum).alias("_s")).distinct().join(reserve.select(key, F.col(stratum).alias("_r"), F.lit(True).alias("_in")).distinct(), key, "left")
+    problem = F.when(F.col("_in").isNull(), "unknown_key").when(~F.col("_s").eqNullSafe(F.col("_r")), "stratum_differs")
+    return remaining(reserve, exposed, key), known.select(key, problem.alias("problem")).where("problem IS NOT NULL")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import web as U
+from lodestone.operators import audit as A
 from lodestone.operators import checks as C
+from lodestone.operators import evidence as V
 
 from .common import POOL_SQL, pool, questions, read
 from .pools import _GOLD, _gold_pool
@@ -241,6 +243,51 @@ def ranked_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("age >= 30 AND overlap > 0").withColumn("n_matched", F.size("matched"))
 
 
+_EXPOSED = "e AS (SELECT CASE WHEN page_id % 5 = 0 THEN -page_id - 1 ELSE page_id END AS doc_id, CASE WHEN page_id % 3 = 0 THEN 'other' ELSE d.source END AS source FROM pages LEFT JOIN documents d ON d.doc_id = page_id)"
+
+
+@query(f"WITH {_EXPOSED} SELECT doc_id, 'remains' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e) UNION ALL SELECT doc_id, CASE WHEN d.doc_id IS NULL THEN 'unknown_key' ELSE 'stratum_differs' END FROM (SELECT DISTINCT * FROM e) e LEFT JOIN documents d USING (doc_id) WHERE d.doc_id IS NULL OR d.source IS DISTINCT FROM e.source")
+def reserve_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that pages have not exposed, and exposures that do not agree with the documents."""
+    d, p = read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    k = F.col("doc_id")
+    e = p.join(d, "doc_id", "left").select(F.when(k % 5 == 0, -k - 1).otherwise(k).alias("doc_id"), F.when(k % 3 == 0, "other").otherwise(F.col("source")).alias("source"))
+    left, problems = V.reserve_without(d, e, "doc_id", "source")
+    return left.select("doc_id", F.lit("remains").alias("state")).unionByName(problems.withColumnRenamed("problem", "state"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN value > 50 WHEN 1 THEN event_type = 'purchase' WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN NULL ELSE value <= 50 END AS verdict, [json_extract_string(props, '$.k')] AS ks FROM events"""
+)
+def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in replies of several spellings, and every value of a key at any depth."""
+    k, word = F.col("event_id") % 6, lambda c, yes, no: F.when(c, yes).otherwise(no)
+    high, bought = F.col("value") > 50, F.col("event_type") == "purchase"
+    reply = (
+        F.when(k == 0, F.concat(F.lit('```json\n{"verdict": '), word(high, "true", "false"), F.lit("}\n```"))).when(k == 1, F.concat(F.lit('{"verdict": "'), word(bought, "Yes", "no"), F.lit('", "why": "-"}'))).when(k == 2, "I say verdict: yes, surely")
+        .when(k == 3, 'so "verdict" = "false"').when(k == 4, "no idea").otherwise(F.concat(F.lit('{"verdict": '), word(high, "false", "true"), F.lit("}")))
+    )
+    nested = F.concat(F.lit('{"a": [{"x": 1}, '), F.col("props"), F.lit("]}"))
+    return read(spark, sf_dir, "events").select("event_id", U.verdict(reply).alias("verdict"), A.values_by_key(nested, "k").alias("ks"))
+
+
+_NORM = r"lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_NORM} AS page FROM documents WHERE len(string_split({_NORM}, ' ')) >= 8), b AS (SELECT doc_id, page, array_to_string(string_split(page, ' ')[4:5], ' ') AS s, string_split(page, ' ')[8] AS e FROM a), c AS (SELECT *, instr(page, s) AS i FROM b),
+d AS (SELECT *, i + length(s) AS j, instr(substr(page, i + length(s)), e) AS f FROM c) SELECT doc_id, substr(page, greatest(1, i - 30), CASE WHEN f > 0 THEN j + f - 1 + length(e) ELSE j END - greatest(1, i - 30) + 30) AS span FROM d"""
+)
+def cited_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that quote a document from its fourth word to its eighth, and what stands around the quotation."""
+    d = read(spark, sf_dir, "documents")
+    words = F.split(F.lower(F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+", " ")), " ")
+    d = d.select("doc_id", "text", words.alias("w")).where(F.size("w") >= 8)
+    quoted = F.concat(F.lit("http://x.org/a#:~:text="), F.replace(F.url_encode(F.array_join(F.slice("w", 4, 2), " ")), F.lit("+"), F.lit("%20")), F.lit(","), F.replace(F.url_encode(F.get("w", F.lit(7))), F.lit("+"), F.lit("%20")))
+    f = d.select("doc_id", "text", U.text_fragment(quoted).alias("f"))
+    return f.select("doc_id", U.cited_span(F.col("text"), F.col("f.start"), 30, F.col("f.end")).alias("span"))
+
+
 # --- analyses over an incomplete frame ----------------------------------------------------------------------------
 
 _FRAME = """f AS (SELECT c_custkey AS question_id, c_nationkey AS stratum, CASE WHEN c_custkey % 41 = 0 THEN 'PENDING' WHEN c_nationkey = 7 AND c_custkey % 9 = 0 THEN 'UNKNOWN' WHEN c_mktsegment = 'FURNITURE' THEN 'INELIGIBLE' ELSE 'ELIGIBLE' END AS eligibility, CASE c_custkey % 3 WHEN 0 THEN 'OTHER_WRONG' ELSE 'CORRECT' END AS clean FROM customer),

@@ -6,6 +6,7 @@ import csv
 import gzip
 import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -29,6 +30,34 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: StructType) -> tu
     return parsed.where(F.col(f"r.{bad}").isNull()).select(*[F.col(f"r.{f.name}") for f in schema.fields]), parsed.where(F.col(f"r.{bad}").isNotNull()).select(F.col("value").alias("line"))
 
 
+def read_jsonl_resumed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of JSON lines that a run may have been cut off from: a file's last line may be torn, any other broken line raises."""
+    bad = "_corrupt_record"
+    both = StructType([*schema.fields, StructField(bad, StringType())])
+    lines = scan_lines(spark, path).select("path", "line", F.col("text").cast("string").alias("v")).where(F.trim("v") != "")
+    parsed = lines.select("path", "line", F.from_json("v", both, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    broken = parsed.where(F.col(f"r.{bad}").isNotNull()).select("path", "line")
+    early = broken.join(lines.groupBy("path").agg(F.max("line").alias("last")), "path").where("line < last").orderBy("path", "line").first()
+    if early:
+        raise ValueError(f"line {early.line} of {early.path} is no whole record, and not the last")
+    return parsed.where(F.col(f"r.{bad}").isNull()).select(*[F.col(f"r.{f.name}") for f in schema.fields])
+
+
+def publish(df: DataFrame, path: str, write=None) -> None:
+    """Write df beside its place (as JSON lines, or by write(df, path)) and move it there in one step; fails if the place is taken."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    place = hadoop.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        raise FileExistsError(path)
+    (write or write_jsonl)(df, beside)
+    if fs.exists(place) or not fs.rename(hadoop.Path(beside), place):
+        fs.delete(hadoop.Path(beside), True)
+        raise FileExistsError(path)
+
+
 def write_jsonl(df: DataFrame, path: str, compress: bool = False) -> None:
     """One object a line, line feeds only; fails if the path is there, so nothing is overwritten."""
     df.write.mode("errorifexists").option("lineSep", "\n").option("ignoreNullFields", "false").option("compression", "gzip" if compress else "none").json(path)

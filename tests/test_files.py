@@ -124,3 +124,25 @@ def test_scratch_folder_must_be_shared_on_a_cluster():
     with pytest.raises(RuntimeError, match="checkpoint"):
         scratch.shared_dir(cluster)
     assert scratch.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "file:///x/"))) == "file:///x"
+
+
+def test_resumed_logs_and_publishing(spark, tmp_path):
+    schema = spark.createDataFrame([], "k int, v string").schema
+    (tmp_path / "torn.jsonl").write_text('{"k":1,"v":"x"}\n\n{"k":2,"v":"y"}\n{"k":3,"v"')
+    assert one(S.read_jsonl_resumed(spark, f"{tmp_path}/torn.jsonl", schema), "k") == [(1,), (2,)]
+    (tmp_path / "spoiled.jsonl").write_text('{"k":1,"v":"x"}\n{"k":2,"v"\n{"k":3,"v":"z"}\n')
+    with pytest.raises(ValueError, match="line 2"):
+        S.read_jsonl_resumed(spark, f"{tmp_path}/spoiled.jsonl", schema)
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    S.publish(df, f"{tmp_path}/there")
+    assert one(S.read_jsonl(spark, f"{tmp_path}/there", schema), "k", "v") == [(1, "a")]
+    with pytest.raises(FileExistsError):
+        S.publish(df, f"{tmp_path}/there")
+
+    def fails(df, path):
+        S.write_jsonl(df, path)
+        raise OSError("cut off")
+
+    with pytest.raises(OSError):
+        S.publish(df, f"{tmp_path}/never", fails)
+    assert not (tmp_path / "never").exists()
