@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import shared_dir
+
 
 def alias_groups(occurrences: DataFrame, alias: str, variant: str) -> DataFrame:
     """(alias, n_occurrences, n_variants, n_extra, conflict): one alias of several variants is a conflict.
@@ -32,15 +36,31 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str = "slot") -> DataFrame:
+    """rows with their number, from 1, in the order within their group, without a group in one task.
+
+    Rows are dealt by ranges of (by, order) and written so, as ranges are drawn from a sample; each range numbers its own
+    rows, and the rows of the ranges before it, one sum a range and group, are added.
+    """
+    spark = rows.sparkSession
+    at = f"{shared_dir(spark)}/lodestone/numbered-{uuid.uuid4().hex}"
+    rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()).write.parquet(at)
+    dealt = spark.read.parquet(at)
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(by, "_range").agg(F.count("*").alias("_n")).select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)))
+    both = own.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    return both.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))
+
+
 def replace_blocked(priority: DataFrame, reserve: DataFrame, stratum: str, rank: str) -> DataFrame:
     """(stratum, slot, blocked_id, replacement_id): the k-th blocked row gets the k-th reserve that passes.
 
     priority has (id, blocked), reserve has (id, passes); both are ranked within their stratum. A blocked row
     without a reserve left has a null replacement.
     """
-    w = Window.partitionBy(stratum).orderBy(rank)
-    b = priority.where("blocked").select(stratum, F.row_number().over(w).alias("slot"), F.col("id").alias("blocked_id"))
-    r = reserve.where("passes").select(stratum, F.row_number().over(w).alias("slot"), F.col("id").alias("replacement_id"))
+    b = numbered(priority.where("blocked"), stratum, rank).select(stratum, "slot", F.col("id").alias("blocked_id"))
+    r = numbered(reserve.where("passes"), stratum, rank).select(stratum, "slot", F.col("id").alias("replacement_id"))
     return b.join(r, [stratum, "slot"], "left")
 
 

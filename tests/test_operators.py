@@ -225,3 +225,16 @@ def test_violations_and_replay(spark):
     rows = spark.createDataFrame([(1, 5), (2, None)], "k int, v int")
     assert one(B.violations(rows, {"small": F.col("v") < 9, "odd": F.col("v") == 4}, ("k",)), "k", "violation") == [(1, "odd"), (2, "odd"), (2, "small")]
     assert B.same_rows(rows, rows).count() == 0 and B.same_rows(rows, rows.limit(1)).count() == 1
+
+
+def test_numbered_is_a_row_number(spark):
+    """A hot group, a null one and small ones, over several ranges."""
+    from lodestone.operators import evidence as V
+
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else f"g{i % 7}", i * 7919 % 5000) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    got = sorted(((r.g or "", r.k, r.slot) for r in V.numbered(df, "g", "k").collect()))
+    want = []
+    for g in {g for g, _ in rows}:
+        want += [(g or "", k, n) for n, k in enumerate(sorted(k for x, k in rows if x == g), 1)]
+    assert got == sorted(want)
