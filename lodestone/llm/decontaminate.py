@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import prepared
 from .hashing import U, Words, batches, words_of
@@ -423,14 +424,14 @@ def index(docs: DataFrame, ids: list, items: list[np.ndarray], rank: int = RANK)
     return Index(ids, items, terms, singular_vectors(sketch, omega, rank))
 
 
-def _searched(shared):
+def _searched(shared, item_type: pa.DataType):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = shared.value
         for batch in it:
             for at, texts in batches(batch.column(1).to_pylist()):
                 hits = own.search(texts)
                 ids = batch.column(0).take(pa.array([at + t for t, *_ in hits], pa.int64()))
-                item = pa.array([own.ids[j] for _, j, *_ in hits], pa.int64())
+                item = pa.array([own.ids[j] for _, j, *_ in hits], item_type)
                 share = pa.array([round(got / len(own.words[j]), 6) for _, j, _, got in hits], pa.float64())
                 yield pa.record_batch(
                     [ids, item, pa.array([round(c, 4) for _, _, c, _ in hits], pa.float64()), pa.array([got for *_, got in hits], pa.int64()), share],
@@ -445,14 +446,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id", rank
 
     A null, empty or blank text holds nothing, an empty item is held by nothing; equal items are found each.
     Repeated rows give repeated results. An empty table gives an empty result; other columns are not read.
-    Item ids are whole numbers.
+    Ids of documents and items may have any type that a table can hold.
     """
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)[id_column]
     given = docs.select("doc_id", _lowered("text").alias("text"))
     out = None
     for ids, items in blocks(benchmark, id_column):
         built = docs.sparkSession.sparkContext.broadcast(index(docs, ids, items, rank))
-        part = given.mapInArrow(_searched(built), f"doc_id {kind}, item_id bigint, cosine double, lcs bigint, lcs_share double")
+        part = given.mapInArrow(_searched(built, to_arrow_type(benchmark.schema[id_column].dataType)), f"doc_id {kind}, item_id {item_kind}, cosine double, lcs bigint, lcs_share double")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -34,6 +34,9 @@ def test_rows_in_rows_out(spark, clashing, nothing, labels, name):
 def test_op6(spark, clashing, nothing):
     rows = sorted((r.doc_id, r.item_id) for r in decontaminate.find(clashing, _benchmark(spark)).collect())
     assert rows == [(1, 0), (7, 0), (8, 0)]
+    named = _benchmark(spark).selectExpr("concat('item ', item_id) AS item_id", "text")
+    found = decontaminate.find(clashing.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"), named).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [("1", "item 0"), ("7", "item 0"), ("8", "item 0")]
     assert decontaminate.find(nothing, _benchmark(spark)).collect() == []
     assert decontaminate.find(clashing, _benchmark(spark).limit(0)).collect() == []
     kept = decontaminate.clean(clashing, _benchmark(spark))
