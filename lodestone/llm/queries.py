@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lm, mixing, mpeg, ngram_join, quality, secrets, toxicity, warc
+from . import branches, decontaminate, licenses, lm, mixing, mpeg, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branches.digest(branches.merge_branches(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mpeg_media": op1_mpeg_media,
     "op2_quality_classifier": op2_quality_classifier,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op11_branch_merge": op11_branch_merge,
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +75,5 @@ ORACLES: dict[str, str] = {
     "op5_lm_scoring": lm.SCORE_SQL,
     "op9_mix_sources": mixing.MIX_SQL,
     "op10_license_scan": licenses.scan_sql(),
+    "op11_branch_merge": branches.MERGE_SQL,
 }
