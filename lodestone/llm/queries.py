@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import branches, decontaminate, licenses, lm, mixing, mpeg, ngram_join, quality, secrets, toxicity, warc
+from . import branches, decontaminate, licenses, lm, mixing, mpeg, near_vectors, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return branches.digest(branches.merge_branches(table(spark, sf_dir, "documents")))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mpeg_media": op1_mpeg_media,
     "op2_quality_classifier": op2_quality_classifier,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
     "op11_branch_merge": op11_branch_merge,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op9_mix_sources": mixing.MIX_SQL,
     "op10_license_scan": licenses.scan_sql(),
     "op11_branch_merge": branches.MERGE_SQL,
+    "op13_near_vectors": near_vectors.LINK_SQL,
 }
