@@ -9,8 +9,8 @@ twice counts once. The fold of a unit is its version triple (base, left, right);
 decides what is left of it and counts a clean change or a conflict.
 
 Documents are put together again as a tree of ordered fragments: the lines of a block of BLOCK lines, then FAN blocks,
-then the whole text. Units are dealt by document and block, so a block is folded and joined without a second shuffle,
-and a document of one block is finished there. Nothing goes through one task, to the driver or into a broadcast
+then the whole text. Units are dealt by document and block, so a block is folded and joined in one shuffle; its text
+travels once more, to its document. Nothing goes through one task, to the driver or into a broadcast
 but, of ids that are repeated, those which hold more than one row in 10,000 (hot_join).
 """
 
@@ -97,15 +97,14 @@ def merge(states: DataFrame, columns: list[str]) -> DataFrame:
     blocks = units.groupBy(*keys).agg(F.max("lines").alias("lines"), *at, *_sums(), F.collect_list(piece).alias("pieces"))
     blocks = blocks.withColumns({"merged": _joined("pieces", "merged"), "base": _joined("pieces", "base")}).drop("pieces")
 
-    alone = (F.col("block") == 0) & (F.col("lines") <= BLOCK)
-    rest = blocks.where(~F.coalesce(alone, F.lit(False)))
-    for level in (["doc_id", "twin", "part"], ["doc_id", "twin"]):
-        rest = rest.withColumn("part", F.floor(F.col("block") / FAN))
-        piece = F.struct("block", "merged", "base")
-        rest = rest.groupBy(*level).agg(F.max("lines").alias("lines"), *[F.max(f"column_{i}").alias(f"column_{i}") for i in range(len(columns))], *_sums(), F.collect_list(piece).alias("pieces"))
-        rest = rest.withColumns({"merged": _joined("pieces", "merged"), "base": _joined("pieces", "base")}).drop("pieces")
-        rest = rest.withColumnRenamed("part", "block") if "part" in level else rest
-    whole = blocks.where(alone).drop("block").unionByName(rest.where("lines IS NOT NULL"))
+    # The base's text is asked for only where a branch drops the row, which the first block knows.
+    kept = (F.col("block") > 0) | (F.col("left_drops") == 1) | (F.col("right_drops") == 1)
+    whole = blocks.withColumn("base", F.when(kept, F.col("base"))).withColumn("part", F.floor(F.col("block") / FAN)).repartition("doc_id", "twin")
+    for level, place in ((["doc_id", "twin", "part"], "block"), (["doc_id", "twin"], "part")):
+        piece = F.struct(place, "merged", "base")
+        whole = whole.groupBy(*level).agg(F.max("lines").alias("lines"), *[F.max(f"column_{i}").alias(f"column_{i}") for i in range(len(columns))], *_sums(), F.collect_list(piece).alias("pieces"))
+        whole = whole.withColumns({"merged": _joined("pieces", "merged"), "base": _joined("pieces", "base")}).drop("pieces")
+    whole = whole.where("lines IS NOT NULL")
 
     left, right = F.col("left_drops") == 1, F.col("right_drops") == 1
     clash = (left & ~right & (F.col("right_edits") > 0)) | (right & ~left & (F.col("left_edits") > 0))
