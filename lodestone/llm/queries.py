@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import branches, decontaminate, licenses, lm, mixing, mpeg, near_vectors, ngram_join, quality, secrets, toxicity, warc
+from . import branches, conversations, decontaminate, licenses, lm, mixing, mpeg, near_vectors, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op11_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return branches.digest(branches.merge_branches(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(rows), rows)
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
     "op11_branch_merge": op11_branch_merge,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_near_vectors": op13_near_vectors,
 }
 
