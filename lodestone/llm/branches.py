@@ -137,13 +137,17 @@ def code(branch: str, doc_id: Column, name: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a column twin: 0, or for ids that several rows have a hash of the row; rows that are equal become one."""
+    """docs with a column twin: 1 for a null id and else 0, or for ids that several rows have a hash of the row; rows that are equal become one.
+
+    twin is no constant, which Spark would take out of the grouping but not of the partitioning, and shuffle again.
+    """
+    plain = F.col("doc_id").isNull().cast("bigint").alias("twin")
     again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again"))
     if again.isEmpty():
-        return docs.withColumn("twin", F.lit(0).cast("bigint"))
+        return docs.select("*", plain)
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))  # a struct is never null, so null ids meet
     marked = hot_join(docs.withColumn("id", id_), again.select(id_.alias("id"), "again"), ["id"], "left").drop("id")
-    once = marked.where("again IS NULL").select(*docs.columns, F.lit(0).cast("bigint").alias("twin"))
+    once = marked.where("again IS NULL").select(*docs.columns, plain)
     twins = marked.where("again").select(*docs.columns).distinct().withColumn("twin", F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
     return once.unionByName(twins)
 
