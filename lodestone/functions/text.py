@@ -220,6 +220,16 @@ def overlap(query_tokens: Column, text_tokens: Column) -> Column:
     return F.when(F.size(query_tokens) > 0, F.size(F.array_intersect(query_tokens, text_tokens)) / F.size(query_tokens)).otherwise(F.lit(0.0))
 
 
+# Words that say nothing about a question's source.
+MINING_STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "if", "then", "than", "that", "this", "these", "those", "was", "were", "is", "are", "be", "been", "being",
+    "to", "of", "in", "on", "for", "from", "with", "by", "at", "as", "into", "about", "after", "before", "during", "over", "under", "between", "through",
+    "which", "who", "whom", "whose", "what", "when", "where", "why", "how", "did", "does", "do", "has", "have", "had", "will", "would", "could", "should",
+    "can", "may", "might", "their", "there", "they", "them", "he", "she", "his", "her", "its", "it", "we", "our", "you", "your", "i", "me", "my",
+    "not", "no", "yes", "also", "just", "more", "most", "some", "any", "all", "one", "two", "three",
+)
+
+
 def mining_tokens(c: Column | str, stopwords: tuple[str, ...] = ()) -> Column:
     """Distinct tokens of [a-z0-9], 3 or more characters, not in the list."""
     bare = F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^a-z0-9\s]", " ")

@@ -28,24 +28,26 @@ def query(sql: str | None = None):
     return add
 
 
-#: Words that a fifth of the test texts have.
-_STOP = tuple("the and that was for with this are tion from ing ble ther thon thth than thre que thnt thes thhe thha des thed thble erin anea thor thea thin eren erer thti eron then thly thtion thing".split())
-_MINED = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({{x}}), '[^a-z0-9\\s]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: length(t) >= 3 AND t NOT IN {_STOP}))"
+_MINED = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({{x}}), '[^a-z0-9\\s]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: length(t) >= 3 AND t NOT IN {T.MINING_STOPWORDS}))"
 _FORM = r"array_to_string(list_filter(regexp_split_to_array(translate(replace(lower({x}), 'ß', 'ss'), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '[ \t\n\x0B\f\r]+'), lambda t: t <> ''), ' ')"
 
 
 @query(
-    f"""WITH {POOL_SQL}, a AS (SELECT qid, question_ts, unnest({_MINED.format(x="split_part(query, '.', 1)")}) AS tok, 1 AS q FROM q), e AS (SELECT qid, question_ts, unnest({_MINED.format(x="query")}) AS tok, 1 AS e FROM q),
+    f"""WITH {POOL_SQL}, a AS (SELECT qid, question_ts, unnest({_MINED.format(x="split_part(query, '.', 1)")}) AS tok, 1 AS q FROM q), e AS (SELECT qid, question_ts, unnest({_MINED.format(x="substr(query, strpos(query, '.') + 1)")}) AS tok, 1 AS e FROM q),
 w AS (SELECT qid, question_ts, tok, coalesce(q, 0) AS q, coalesce(e, 0) AS e FROM a FULL JOIN e USING (qid, question_ts, tok)), tt AS MATERIALIZED (SELECT idx AS id, ts, md5({_FORM.format(x="text")}) AS same, {_MINED.format(x="text")} AS toks FROM p), t AS (SELECT id, ts, same, unnest(toks) AS tok FROM tt),
 h AS (SELECT qid, id, same, sum(q)::BIGINT AS question_overlap, sum(e)::BIGINT AS evidence_overlap, (sum(q) + 2 * sum(e))::BIGINT AS score FROM t JOIN w USING (tok) WHERE question_ts - ts >= 30 * 86400 GROUP BY qid, id, same HAVING sum(q) + 2 * sum(e) >= 3),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid, same ORDER BY score DESC, evidence_overlap DESC, question_overlap DESC, id) AS copy FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, evidence_overlap DESC, question_overlap DESC, id) AS rank FROM o WHERE copy = 1)
 SELECT qid, id, question_overlap, evidence_overlap, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5"""
 )
 def source_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all documents, the five for each question that are old and share most with it and its evidence."""
+    """Of all documents, the five for each question that are old and share most with it and its evidence.
+
+    An item's first sentence stands for the question, what follows for its evidence.
+    """
     q = questions(spark, sf_dir)
     p = pool(spark, sf_dir).select(F.col("idx").alias("id"), "text", "ts")
-    return B.mine_sources(q, p, T.mining_tokens(F.split_part("query", F.lit("."), F.lit(1)), _STOP), T.mining_tokens("query", _STOP), T.mining_tokens("text", _STOP))
+    said = [T.mining_tokens(c, T.MINING_STOPWORDS) for c in (F.split_part("query", F.lit("."), F.lit(1)), F.expr("substr(query, instr(query, '.') + 1)"), F.col("text"))]
+    return B.mine_sources(q, p, *said)
 
 
 @query(
