@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.markup import page_date, page_text, title  # noqa: F401  (pages are read as trees)
+
 
 def url_fetch_key(u: Column) -> Column:
     """The URL without its fragment; path parameters and query stay."""
@@ -63,44 +65,6 @@ def cited_span(text: Column, start: Column, reach: int = 400, end: Column | None
     return F.when((first != "") & (at > 0), F.substring(page, begin, stop - begin + reach))
 
 
-def title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
-
-
-# The meta tags in which pages say when they were published, best first, and the fields of their linked data.
-DATE_META = (("property", "article:published_time"), ("property", "article:modified_time"), ("name", "date"), ("name", "pubdate"), ("itemprop", "datePublished"), ("itemprop", "dateModified"))
-DATE_FIELDS = ("datePublished", "dateModified")
-
-
-def page_date(html: Column) -> Column:
-    """A page's own date as it spells it: meta tags in order, then the linked data in its scripts; null, never made up."""
-    metas = [F.regexp_extract(html, rf"""(?s)<(?i:meta)\b(?=[^>]*\b(?i:{attribute})\s*=\s*["']{name}["'])[^>]*\b(?i:content)\s*=\s*["']([^"']*)["']""", 1) for attribute, name in DATE_META]
-    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*\btype\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    objects = F.transform(scripts, lambda x: F.from_json(x, f"array<struct<{','.join(f'{f}:string' for f in DATE_FIELDS)}>>"))
-    stated = F.transform(F.flatten(F.filter(objects, lambda x: x.isNotNull())), lambda o: F.coalesce(*[F.nullif(o[f], F.lit("")) for f in DATE_FIELDS]))
-    return F.coalesce(*[F.nullif(F.trim(m), F.lit("")) for m in metas], F.trim(F.get(F.filter(stated, lambda x: x.isNotNull()), F.lit(0))))
-
-
-# Elements of a page that are not its text.
-CHROME = ("script", "style", "noscript", "svg", "nav", "footer", "header", "form")
-
-
-def page_text(html: Column) -> Column:
-    """The text of main, else article, else body, without the elements that are no text: a line for each stretch between tags.
-
-    Blanks are collapsed, empty lines left out; a page with none of the three elements has no text.
-    """
-    t = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    for tag in CHROME:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    pieces = [F.nullif(F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1), F.lit("")) for tag in ("main", "article", "body")]
-    t = F.regexp_replace(F.coalesce(*pieces, F.lit("")), "<[^>]*>", "\n")
-    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(by))
-    lines = F.transform(F.split(t, "[\n\r]"), lambda x: F.trim(F.regexp_replace(x, r"[\s\u00a0]+", " ")))
-    return F.when(html.isNotNull(), F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
-
-
 def verdict(reply: Column, key: str = "verdict") -> Column:
     """A judging model's verdict: JSON in or out of a code fence, else the bare field, else null."""
     bare = F.trim(F.regexp_replace(reply, "(?s)^\\s*```[a-z]*|```\\s*$", ""))

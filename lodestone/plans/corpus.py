@@ -9,7 +9,7 @@ from lodestone.operators import corpus as C
 from lodestone.operators import retrieval as R
 from lodestone.operators import temporal as E
 
-from .common import DAY, POOL_SQL, normal_sql, pool, questions, read
+from .common import DAY, POOL_SQL, TITLE_SQL, normal_sql, pool, questions, read
 from .pools import _gold_pool, _GOLD
 
 QUERIES, ORACLES = {}, {}
@@ -101,7 +101,7 @@ def clipped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("o_orderkey", start.alias("start"), end.alias("end"))
 
 
-@query("SELECT page_id, md5('Title: ' || nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') || chr(10) || url) AS text_md5 FROM pages")
+@query(f"SELECT page_id, md5('Title: ' || {TITLE_SQL} || chr(10) || url) AS text_md5 FROM pages")
 def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates under their titles."""
     from lodestone.functions import web as U

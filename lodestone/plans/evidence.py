@@ -12,7 +12,7 @@ from lodestone.operators import evidence as V
 from lodestone.operators import judge as J
 from lodestone.operators import pools as B
 
-from .common import POOL_SQL, pool, questions, read
+from .common import POOL_SQL, TITLE_SQL, entities_sql, pool, questions, read
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,8 +118,8 @@ def overlap_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH a AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages), b AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_replace(bare, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//)?', '') AS rest FROM a)
-SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title, bare AS fetch_key,
+    rf"""WITH a AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages), b AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_replace(bare, '^([A-Za-z][A-Za-z0-9+.-]*:)?(//)?', '') AS rest FROM a)
+SELECT page_id, {TITLE_SQL} AS title, bare AS fetch_key,
 CASE WHEN coalesce(trim(url), '') = '' THEN '' ELSE rtrim(scheme || '://' || regexp_replace(split_part(rest, '?', 1), ';[^/]*$', '') || CASE WHEN length(rest) > length(split_part(rest, '?', 1)) + 1 THEN substr(rest, length(split_part(rest, '?', 1)) + 1) ELSE '' END, '/') END AS pool_key FROM b"""
 )
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def _page_text_sql() -> str:
     return rf"""WITH a AS (SELECT page_id, {t} AS t FROM pages),
 b AS (SELECT page_id, coalesce({", ".join(f"nullif(regexp_extract(t, '(?is)<{tag}{chr(92)}b[^>]*>(.*)</{tag}>', 1), '')" for tag in ("main", "article", "body"))}, '') AS t FROM a),
 c AS (SELECT page_id, string_split_regex(t, '<[^>]*>') AS stretches FROM b),
-d AS (SELECT page_id, array_to_string(list_transform(stretches, lambda t: replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')), chr(10)) AS t FROM c)
+d AS (SELECT page_id, array_to_string(list_transform(stretches, lambda t: {entities_sql("t")}), chr(10)) AS t FROM c)
 SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(replace(t, chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{{00A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text_md5 FROM d"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import temporal as D
 from lodestone.functions import text as T
+from lodestone.functions.markup import read_page
 from lodestone.functions import web as U
 
 
@@ -115,6 +116,50 @@ def test_pages(spark):
     assert date(linked.replace("{}", "{") + linked.replace("{}", '[{"x": 1}, {"dateModified": "2014"}]')) == "2014"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article>a</article>between<article>b</article>", "a"),
+        ("<body><main></main><article>b</article></body>", ""),
+        ("<body><main/><p>a</p></body>", ""),
+        ("<body>&eacute;&mdash;&copy 2&#8217;s &unknown; &amp;lt;</body>", "é—© 2’s &unknown; &lt;"),
+        ("<body>a<nav>b<nav>c</nav>d</nav>e</body>", "a\ne"),
+        ("<nav><main>menu</main></nav><body><article>x</article>y", "x"),
+        ("<body><p>one<p>two</i></p>three</body>four", "one\ntwo\nthree"),
+        ("<body><div><b>one</div>two</body>three", "one\ntwo"),
+        ("<body>a<script>if (1 < 2) x = '</nav>'; </scripture></script >b<style></body></style>c", "a\nb\nc"),
+        ("<body>1 < 2 <a title='x > y'>l</a><!-- > --- -->m<!doctype x>n<?p >o<br/>p", "1 < 2\nl\nm\nn\no\np"),
+        ('<body><a "b>c</a><a b="d>e', 'c\n<a b="d>e'),
+        ("<body>a<template>b<p>c</p></template><ruby>d<rt>e</rt></ruby>", "a\nd"),
+        ("<body>  one\u00a0\n two\u2028three\t</body>", "one\ntwo\nthree"),
+        ("<BODY>A<MAIN>B</Main>", "B"),
+    ],
+)
+def test_page_trees(page, text):
+    assert read_page(page)[2] == text
+
+
+def test_titles_and_dates_of_trees():
+    page = '<title>A &lt;b&gt; <i></title><title>c</title><meta content=2020 name=date><meta name="date" content="2021"><main>m'
+    assert read_page(page) == ("A <b> <i>", "2020", "m")
+    assert read_page("<title/>x<title>y</title>")[0] is None and read_page("") == (None, None, "")
+    linked = '<script type="application/ld+json">{}</script>'
+    assert read_page(linked.format("[1, 2]") + linked.format('{"dateModified": 2014}'))[1] == "2014"
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<", "<a ", "<a x='", "<!--", "</x>", "<div>", "<script>", "<b><i></b>", "<div><b></div>", "&", "<a x=' '>", "<title>"])
+def test_reading_is_linear(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        read_page("<body>" + piece * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40000) < 0.2 + 8 * took(10000)
+
+
 @pytest.mark.parametrize(("reply", "verdict"), [('{"verdict": true}', True), ('```json\n{"verdict": "no"}\n```', False), ("verdict: yes, sure", True), ("???", None)])
 def test_verdict(spark, reply, verdict):
     assert value(spark, U.verdict(F.col("t")), t=reply) is verdict
