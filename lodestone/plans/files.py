@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.sources import files as S
+from lodestone.sources import split as P
 from lodestone.sources.scratch import shared_dir
 
 from .common import read
@@ -99,3 +100,29 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("r._corrupt").isNotNull()
     status = F.when(bad, "unparsed").when(F.col("r.lang").isNull() | F.col("r.source").isNull(), "missing").when(F.col("r.text") == "", "empty").otherwise("kept")
     return r.select(status.alias("status"), "doc_id").groupBy("status").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query(
+    """WITH r AS (SELECT role, conv_id, turn, coalesce(text, '') AS t FROM conversations), n AS (SELECT *, length(t) - length(replace(t, chr(10), '')) + 1 AS n FROM r)
+SELECT role, CAST(1 + sum(n) OVER (PARTITION BY role ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING) - n + 1 AS BIGINT) AS line, CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, md5(t) AS text_md5 FROM n"""
+)
+def csv_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a CSV file a role, with line breaks in quotes; each record with the line that it starts on."""
+    c, at = read(spark, sf_dir, "conversations"), _scratch(spark, "csv-lines")
+    rows = c.repartition("role").sortWithinPartitions("role", "conv_id", "turn")
+    rows.select("role", "conv_id", "turn", "text").write.partitionBy("role").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(at)
+    r = P.read_csv_records(spark, f"{at}/role=*").where("line > 1")
+    role = F.regexp_extract("path", "/role=([^/]*)/", 1)
+    fields = F.col("fields")
+    return r.select(F.when(role != "__HIVE_DEFAULT_PARTITION__", role).alias("role"), "line", fields[0].alias("conv_id"), fields[1].alias("turn"), F.md5(fields[2].cast("binary")).alias("text_md5"))
+
+
+@query("SELECT CAST(doc_id // 40 AS VARCHAR) || '.jsonl' AS member, doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents")
+def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines in members of ZIP archives, read by member."""
+    d, at = read(spark, sf_dir, "documents"), _scratch(spark, "zip")
+    d = d.select(F.concat(F.floor(F.col("doc_id") / 40).cast("string"), F.lit(".jsonl")).alias("member"), F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}).alias("line"))
+    P.write_zip(d.repartition("member").sortWithinPartitions("member"), at, "member", "line")
+    lines = P.read_zip_lines(spark, at, ".jsonl")
+    r = lines.select("member", F.from_json("text", "doc_id bigint, text string, lang string, source string, n_chars bigint").alias("r"))
+    return r.select("member", "r.*").withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
