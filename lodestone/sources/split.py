@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import struct
 import sys
 import uuid
@@ -38,6 +39,14 @@ TASK_BYTES = 32 << 20
 # --- CSV -------------------------------------------------------------------------------------------------------
 
 
+_FIELD_ENDS = re.compile("[,\r]")
+
+
+def height(line: str) -> int:
+    """The lines that a stretch up to a line feed counts as: a carriage return alone ends one too."""
+    return 1 + line.count("\r", 0, max(0, len(line) - 1))
+
+
 def leaves_open(line: str, inside: bool) -> bool:
     """Whether the line ends inside quotes, if it starts inside or outside them. Quotes count only at the start of a field."""
     at = 0
@@ -53,9 +62,10 @@ def leaves_open(line: str, inside: bool) -> bool:
         elif line.startswith('"', at):
             inside, at = True, at + 1
             continue
-        at = line.find(",", at) + 1
-        if at == 0:
+        end = _FIELD_ENDS.search(line, at)
+        if end is None:
             return False
+        at = end.end()
 
 
 def _runs(it: Iterator[pa.RecordBatch], *extra: str) -> Iterator[tuple[tuple, list[str], bool]]:
@@ -85,7 +95,7 @@ def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not state[case]:
                     begun[case] = lines
                 state[case] = leaves_open(line, state[case])
-            lines += 1
+            lines += height(line)
         if last:
             row = [path, block, lines, state, begun]
             yield pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.int64())))], names=["path", "block", "lines", "ends", "begun"])
@@ -104,9 +114,14 @@ def _combined(blocks: pa.Table) -> pa.Table:
     return pa.table([blocks["path"], blocks["block"], *columns], names=["path", "block", "before", "inside", "open_at"])
 
 
-def parsed(record: str) -> list[list[str]]:
+def parsed(record: str) -> list[tuple[int, list[str]]]:
+    """The records of a text, each with the number of lines before it; one, but where carriage returns part them."""
     csv.field_size_limit(sys.maxsize)
-    return list(csv.reader(io.StringIO(record, newline=""))) or [[]]
+    reader, out, before = csv.reader(io.StringIO(record, newline="")), [], 0
+    for fields in reader:
+        out.append((before, fields))
+        before = reader.line_num
+    return out or [(0, [])]
 
 
 _RECORDS = "path string, line bigint, piece bigint, fields array<string>, text string"
@@ -125,9 +140,9 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh, held = True, []
     for (path, _, before, inside, open_at), some, last in _runs(it, "before", "inside", "open_at"):
         if fresh:
-            number, open_, whole, start, first, held = before, inside, not inside, open_at, before + 1, []
+            number, tall, open_, whole, start, first, held = before, 1, inside, not inside, open_at, before + 1, []
         for line in some:
-            number += 1
+            number, tall = number + tall, height(line)
             line = line.removeprefix("﻿") if number == 1 else line
             if not held:
                 first = number
@@ -136,7 +151,7 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             open_ = leaves_open(line, open_)
             if not open_:
                 text = "\n".join(held)
-                rows += [(path, start, first, fields, None) for fields in parsed(text)] if whole else [(path, start, first, None, text)]
+                rows += [(path, start + n, first, fields, None) for n, fields in parsed(text)] if whole else [(path, start, first, None, text)]
                 held, whole = [], True
             if len(rows) >= ROWS:
                 yield batch()
@@ -150,7 +165,7 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, fields): every CSV record, header included, with the line that it starts on, from 1, by many tasks a file.
 
-    Lines end with line feeds, carriage returns before them go with them; quotes count at the start of a field, doubled ones inside
+    Lines end with line feeds, carriage returns or both; quotes count at the start of a field, doubled ones inside
     are one; a record whose quotes are never closed ends with the file; an empty line is a record without fields. A byte order mark is no text. Gzipped
     files are unpacked by one task each.
     """
@@ -168,7 +183,7 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
 
 def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        rows = [(p, n, fields) for p, n, text in zip(*(c.to_pylist() for c in batch.columns)) for fields in parsed(text)]
+        rows = [(p, line + n, fields) for p, line, text in zip(*(c.to_pylist() for c in batch.columns)) for n, fields in parsed(text)]
         types = (pa.string(), pa.int64(), pa.list_(pa.string()))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, types)], names=["path", "line", "fields"])
 
@@ -217,7 +232,7 @@ class ZipLines(DataSource):
 
 class _ZipReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.suffix = options["path"], options.get("suffix", "")
+        self.path, self.suffix, self.task_bytes = options["path"], options.get("suffix", ""), int(options.get("task_bytes", TASK_BYTES))
 
     def partitions(self) -> list[Members]:
         out = []
@@ -228,7 +243,7 @@ class _ZipReader(DataSourceReader):
                 for m in sorted(archive.infolist(), key=lambda m: m.header_offset):
                     if m.is_dir() or not m.filename.endswith(self.suffix):
                         continue
-                    if held and size + m.compress_size > TASK_BYTES:
+                    if held and size + m.compress_size > self.task_bytes:
                         out.append(Members(path, held))
                         held, size = [], 0
                     held.append((m.filename, m.header_offset, m.compress_size, m.compress_type, m.CRC))
@@ -294,14 +309,14 @@ def _lines(pieces: Iterator[bytes]) -> Iterator[str]:
         yield b"".join(held).removesuffix(b"\r").decode()
 
 
-def read_zip_lines(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+def read_zip_lines(spark: SparkSession, path: str, suffix: str = "", task_bytes: int = TASK_BYTES) -> DataFrame:
     """(path, member, line, text): the lines of the members, with names that end in `suffix`, of one archive or of the .zip files in a folder.
 
     Paths are local ones or those of a store that Arrow opens. Members may be stored or deflated; a damaged one raises.
     """
     importable(spark)
     spark.dataSource.register(ZipLines)
-    return spark.read.format("zip_lines").option("suffix", suffix).load(path)
+    return spark.read.format("zip_lines").options(suffix=suffix, task_bytes=task_bytes).load(path)
 
 
 def write_zip(df: DataFrame, path: str, member: str, text: str) -> None:

@@ -71,12 +71,11 @@ def _archive(members, method=zipfile.ZIP_DEFLATED):
 
 
 @pytest.mark.parametrize("method", [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED])
-def test_zip_members_by_task(spark, tmp_path, method, monkeypatch):
+def test_zip_members_by_task(spark, tmp_path, method):
     members = {f"d/{i}.jsonl": "".join(f"{i} {k} é\r\n" for k in range(i * 700)) + ("torn" if i % 2 else "") for i in range(5)} | {"other.txt": "no", "d/": ""}
     (tmp_path / "a.zip").write_bytes(_archive(members, method))
     (tmp_path / "b.zip").write_bytes(_archive({"x.jsonl": "1\n\n3"}, method))
-    monkeypatch.setattr(P, "TASK_BYTES", 1)
-    df = P.read_zip_lines(spark, str(tmp_path), ".jsonl")
+    df = P.read_zip_lines(spark, str(tmp_path), ".jsonl", 1)
     assert df.rdd.getNumPartitions() == 6
     want = [(n, k, line) for n, text in members.items() if n.endswith(".jsonl") for k, line in enumerate(text.replace("\r", "").splitlines(), 1)]
     assert one(df, "member", "line", "text") == sorted([*want, ("x.jsonl", 1, "1"), ("x.jsonl", 2, ""), ("x.jsonl", 3, "3")], key=repr)
