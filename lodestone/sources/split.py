@@ -198,6 +198,33 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+class _File(io.RawIOBase):
+    """An Arrow file with the errors of a Python one, which zipfile asks for."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size = file, file.size()
+
+    def seekable(self) -> bool:
+        return True
+
+    def readable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.file.tell(), io.SEEK_END: self.size}[whence]
+        if at < 0:
+            raise OSError("a place before the file")
+        return self.file.seek(at)
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 def _archives(path: str) -> list[str]:
     """The path, or the .zip files in it if it is a folder."""
     system, place = _opened(path)
@@ -238,7 +265,7 @@ class _ZipReader(DataSourceReader):
         out = []
         for path in _archives(self.path):
             system, place = _opened(path)
-            with system.open_input_file(place) as file, zipfile.ZipFile(file) as archive:
+            with system.open_input_file(place) as file, zipfile.ZipFile(_File(file)) as archive:
                 held, size = [], 0
                 for m in sorted(archive.infolist(), key=lambda m: m.header_offset):
                     if m.is_dir() or not m.filename.endswith(self.suffix):
