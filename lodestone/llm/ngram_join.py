@@ -29,13 +29,19 @@ Groups of copies do not become pairs:
    the most common. Members whose similarity with it holds are connected, whatever their number.
 2. Pairs of a group are then compared only across the components that this gives, and only those which pass the
    sketches leave the join. So all links between different components are found, exactly.
+3. Where more than FEW members are left in such a group, as of many pages with one template that are just not similar, they
+   meet by rare shingles instead: with all shingles in one order, the first that two similar sets share is among
+   the first size - 2t / (1 + t) size + 1 of the smaller and the first size - t size + 1 of the larger (t the
+   threshold). Any order is exact; it is by counts in ORDER_SLOTS slots, rare ones first, so pages of one template meet only if their
+   own parts do. Shingles that many sets have among their first are dealt in chunks.
 
 Joins by a class, a signature or a hub go by hot_join(), which deals keys with many rows by broadcast.
 
 So the components are known. All links themselves, those inside a component too, are counted by join() and given by
 pairs(): they can only lie inside components, so the classes of a component are dealt into chunks by hash, every pair of
 chunks is one group, and a group counts the shared shingles of all its pairs at once. No group grows with the component;
-the work does, with the square of the number of different near copies.
+the work does, with the square of the number of different near copies. Large components in which rare shingles leave far fewer pairs,
+such as long chains, are linked by these.
 
 Similarity is always decided on whole sets of 64-bit shingle hashes, made again from the two texts.
 """
@@ -64,6 +70,12 @@ MOST_BROADCAST = 2_000_000
 LEAST_BITS, FOLDED = 512, 8
 #: Bits of the filter for each shared signature, and at most: 32 MB.
 FILTER_SLOTS, MOST_FILTER = 16, 1 << 28
+#: Members of a signature's group that are compared each with each, and slots by whose counts shingles are ordered (a byte each is broadcast).
+FEW, ORDER_SLOTS = 32, 1 << 22
+#: Sets of a chunk that meet by one rare shingle.
+RARE_CHUNK = 1024
+#: Classes from which on a component may be linked by rare shingles, if these leave less than one in SPARSE of its pairs.
+LARGE, SPARSE = 512, 8
 #: Classes of a chunk, about, and shingles that a group's pairs are counted over at once.
 CHUNK, AT_ONCE = 64, 1 << 16
 
@@ -229,7 +241,7 @@ def _verified(percent: int, n: int):
         for batch in it:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             last: dict[bytes, np.ndarray] = {}
-            keep = []
+            keep, counts = [], []
             for i in range(len(a)):
                 both = []
                 for t in (ta[i], tb[i]):
@@ -241,7 +253,9 @@ def _verified(percent: int, n: int):
                 x, y = both
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                counts.append(shared)
+            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["a", "b", "n_shared"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -271,15 +285,91 @@ def still_may_link(percent: int) -> Column:
 
 
 def links(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Of pairs (a, b) of ids, the pairs whose texts' sets are similar: by their whole sketches, then by the texts."""
+    """Of pairs (a, b) of ids, the pairs whose texts' sets are similar, with their shared shingles: by their whole sketches, then by the texts."""
     x, y = (sketch.select(F.col("doc_id").alias(c), F.struct("size", "bits").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    pairs = staged(pairs.join(x, "a").join(y, "b").where(still_may_link(percent)).select("a", "b"), "pairs")
+    return verified(pairs.join(x, "a").join(y, "b").where(still_may_link(percent)).select("a", "b"), docs, percent, n)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """(a, b, n_shared) of the pairs (a, b) of ids whose texts' sets are similar."""
+    pairs = staged(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if pairs.count() * 2 <= MOST_BROADCAST else ids
     texts = docs.join(ids, "doc_id", "left_semi")
     a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return staged(both.mapInArrow(_verified(percent, n), "a bigint, b bigint"), "links")
+    return staged(both.mapInArrow(_verified(percent, n), "a bigint, b bigint, n_shared bigint"), "links")
+
+
+def first_ones(size: int, percent: int) -> tuple[int, int]:
+    """How many of a set's first shingles are looked at if it is the smaller of two similar sets, and if it is the larger."""
+    return size + (-2 * percent * size) // (100 + percent) + 1, size + (-percent * size) // 100 + 1
+
+
+def _counted(n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(ORDER_SLOTS, np.int64)
+        for batch in it:
+            for _, texts in batches(batch.column(0).to_pylist()):
+                for s in shingle_sets(texts, n):
+                    np.add.at(count, (mix(s) & U(ORDER_SLOTS - 1)).astype(np.int64), 1)
+        some = np.flatnonzero(count)
+        yield pa.record_batch([pa.array(some), pa.array(count[some])], names=["slot", "n"])
+
+    return run
+
+
+def _order(texts: DataFrame, n: int) -> np.ndarray:
+    """The magnitude of each slot's count, a byte a slot: half of an octave's logarithm."""
+    counts = texts.select("text").mapInArrow(_counted(n), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    level = F.expr("shiftleft(CAST(floor(2 * log2(n)) AS BIGINT) + 1, CAST(slot % 8 * 8 AS INT))")
+    packed = counts.groupBy(F.shiftright("slot", 3).alias("word")).agg(F.bit_or(level).alias("levels")).toArrow()
+    out = np.zeros(ORDER_SLOTS >> 3, np.int64)
+    out[packed["word"].to_numpy()] = packed["levels"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _rarest(percent: int, n: int, order):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = order.value
+        for batch in it:
+            for at, texts in batches(batch.column(1).to_pylist()):
+                which, sizes, firsts, rare = [], [], [], []
+                for i, s in enumerate(shingle_sets(texts, n)):
+                    if len(s):
+                        least, most = first_ones(len(s), percent)
+                        which.append(at + i)
+                        sizes.append(len(s))
+                        firsts.append(least)
+                        rare.append(s[np.lexsort((s, levels[(mix(s) & U(ORDER_SLOTS - 1)).astype(np.int64)]))[:most]].view(np.int64))
+                ids = batch.column(0).take(pa.array(which, pa.int64()))
+                yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), _lists(rare)], names=["doc_id", "size", "first", "rare"])
+
+    return run
+
+
+def rarest(texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """(doc_id, size, first, rare) of texts (doc_id, text): each set's first shingles in an order that they all have in common, rare ones first."""
+    order = texts.sparkSession.sparkContext.broadcast(_order(texts, n))
+    return staged(texts.select("doc_id", "text").mapInArrow(_rarest(percent, n, order), "doc_id bigint, size bigint, first bigint, rare array<bigint>"), "rarest")
+
+
+def rare_pairs(rare: DataFrame, group: str, percent: int, inside: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids of rarest() whose sets may be similar, of one `group` (a column of rare) or of different ones.
+
+    rare must be a written table, it is read several times.
+    """
+    larger = rare.select("doc_id", "size", group, F.explode("rare").alias("h"))
+    smaller = rare.select("doc_id", "size", group, F.explode(F.slice("rare", F.lit(1), F.col("first").cast("int"))).alias("h"))
+    many = staged(larger.groupBy("h").count().where(F.col("count") > RARE_CHUNK).select("h", F.ceil(F.col("count") / RARE_CHUNK).cast("int").alias("chunks")), "many")
+    larger = hot_join(larger, many, ["h"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"), F.lit(0)))
+    smaller = hot_join(smaller, many, ["h"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    x, y = smaller.alias("x"), larger.alias("y")
+    same = F.col(f"x.{group}") == F.col(f"y.{group}")
+    before = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    near = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("x.doc_id") != F.col("y.doc_id"))
+    both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.chunk") == F.col("y.chunk")) & before & near & (same if inside else ~same))
+    return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def _representatives(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -330,22 +420,49 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     # Of every member, the component that the links with hubs give it; then the pairs of a group across components.
     led = groups.join(components(near), F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("hub"))
     led = staged(led, "led")
-    split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).where("x < y").select("sig")
-    left = staged(hot_join(led, split, ["sig"]).join(quick, "doc_id"), "split")
+    split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y"), F.count("*").alias("n")).where("x < y").select("sig", "n")
+    split = staged(split, "split")
+    left = staged(hot_join(led, split.where(F.col("n") <= FEW).select("sig"), ["sig"]).join(quick, "doc_id"), "left")
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & may_link(percent))
-    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    crowd = staged(hot_join(led, split.where(F.col("n") > FEW).select("sig"), ["sig"]).select("doc_id", "hub").distinct(), "crowd")
+    if not crowd.isEmpty():
+        rare = staged(rarest(docs.join(crowd, "doc_id", "left_semi"), percent, n).join(crowd, "doc_id"), "rare")
+        pairs = rare_pairs(rare, "hub", percent, False)
+        x, y = (quick.select(F.col("doc_id").alias(c), F.struct(*quick.columns[1:]).alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        more = more.unionByName(pairs.join(x, "a").join(y, "b").where(may_link(percent)).select("a", "b"))
+    more = more.distinct().join(stars, ["a", "b"], "left_anti")
     far = links(more, sketch, docs, percent, n)
 
     found = staged(hot_join(known, classes, key).unionByName(rows.where("doc_id IS NULL OR size = 0").withColumn("class_id", F.lit(None).cast("bigint"))), "classed")
     several = rows.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
     same_id = found.join(several, "doc_id", "left_semi").where("class_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    reach = components(near.unionByName(far).unionByName(same_id)).withColumnRenamed("node", "class_id")
+    reach = components(near.unionByName(far).select("a", "b").unionByName(same_id)).withColumnRenamed("node", "class_id")
     known, blank = found.where("class_id IS NOT NULL"), found.where("class_id IS NULL")
     known = hot_join(known, reach, ["class_id"], "left").withColumn("component", F.coalesce("component", "class_id"))
     return known.unionByName(blank.withColumn("component", F.lit(None).cast("bigint")))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with ids that are numbers, in the ids' order, and which id has which (doc_id, number); whole numbers stay as they are."""
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        return docs, None
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = staged(ids.withColumn("number", F.monotonically_increasing_id()), "ids")
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.col("number").alias("doc_id"), "text"), ids
+
+
+def _named(found: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:
+    if ids is None:
+        return found
+    order = found.columns
+    for c in columns:
+        named = hot_join(staged(found, "numbered"), ids.select(F.col("number").alias(c), F.col("doc_id").alias("_named")), [c], "left")
+        found = named.drop(c).withColumnRenamed("_named", c)
+    return found.select(*order)
+
+
 def join(docs: DataFrame, percent: int = 90, n: int = 3, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links), one row for each row of docs.
 
@@ -355,9 +472,10 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3, count_links: bool = Tru
     component_id the smallest id that links reach; both are the row's own id without a set. n_links is the number
     of other ids that the row links with; an id with several texts counts for each of them. Rows that repeat
     an id count as one document where links are followed; rows with a null id link with nothing and have null
-    class and component. An empty table gives an empty result; other columns of docs are not read. Without
+    class and component. Ids may be of any type that has an order. An empty table gives an empty result; other columns of docs are not read. Without
     count_links the last column is left out, and links inside components need not all be looked at.
     """
+    docs, ids = _numbered(docs)
     found = _found(docs, percent, n)
     if count_links:
         found = staged(found, "found")
@@ -366,7 +484,8 @@ def join(docs: DataFrame, percent: int = 90, n: int = 3, count_links: bool = Tru
         held = held.join(far, "class_id", "left").select("class_id", (F.col("count") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
         found = hot_join(found.where("class_id IS NOT NULL"), held, ["class_id"]).unionByName(found.where("class_id IS NULL").withColumn("n_links", F.lit(0).cast("bigint")))
     own = F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")
-    return found.select("doc_id", F.col("size").alias("n_shingles"), *own, *(["n_links"] if count_links else []))
+    found = found.select("doc_id", F.col("size").alias("n_shingles"), *own, *(["n_links"] if count_links else []))
+    return _named(found, ids, "doc_id", "class_id", "component_id")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -419,11 +538,42 @@ def _linked(docs: DataFrame, found: DataFrame, percent: int, n: int, count: bool
     held = found.where("class_id IS NOT NULL").groupBy("class_id", "size", "h1", "h2", "component").agg(F.countDistinct("doc_id").alias("held"))
     held = staged(held.select(F.col("class_id").alias("doc_id"), "h1", "component", "held"), "held")
     sizes = held.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    thin = _thin(held, sizes.where(F.col("size") > LARGE).select("component", "size"), texts, percent, n)
+    by_rare = None
+    if thin is not None:
+        rare, thin = thin
+        sizes = sizes.join(thin, "component", "left_anti")
+        by_rare = verified(rare_pairs(rare, "component", percent, True), texts, percent, n)
     dealt = hot_join(held, sizes, ["component"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
     dealt = staged(dealt.select("component", "chunks", "doc_id", "h1", "own", "held"), "dealt")
     groups = dealt.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = groups.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "h1", "own", "held", "text")
-    return groups.groupBy("component", "i", "j").applyInArrow(_paired(percent, n, count), "class_id bigint, n bigint" if count else "a bigint, b bigint, n_shared bigint")
+    found = groups.groupBy("component", "i", "j").applyInArrow(_paired(percent, n, count), "class_id bigint, n bigint" if count else "a bigint, b bigint, n_shared bigint")
+    if by_rare is None:
+        return found
+    if not count:
+        return found.unionByName(by_rare)
+    ends = by_rare.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("class_id"), F.col("e.b").alias("doc_id"))
+    return found.unionByName(ends.join(held.select("doc_id", F.col("held").alias("n")), "doc_id").select("class_id", "n"))
+
+
+def _thin(held: DataFrame, large: DataFrame, texts: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of the large components, those in which rare shingles leave few pairs: (rarest() of their classes, their components).
+
+    An id that stands for several classes keeps its component out.
+    """
+    large = staged(large, "large")
+    if large.isEmpty():
+        return None
+    own = staged(hot_join(held, large, ["component"]).select("doc_id", "component"), "own")
+    twice = own.groupBy("doc_id").count().where("count > 1").join(own, "doc_id").select("component").distinct()
+    own = own.join(twice, "component", "left_anti")
+    rare = staged(rarest(texts.join(own, "doc_id", "left_semi"), percent, n).join(own, "doc_id"), "rare")
+    work = rare.select("component", F.explode("rare").alias("h")).groupBy("component", "h").count().groupBy("component").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
+    thin = staged(work.join(large, "component").where(F.col("work") * SPARSE < F.col("size").cast("double") * F.col("size")).select("component"), "thin")
+    if thin.isEmpty():
+        return None
+    return staged(rare.join(thin, "component", "left_semi"), "rare"), thin
 
 
 def pairs(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
@@ -433,7 +583,8 @@ def pairs(docs: DataFrame, percent: int = 90, n: int = 3) -> DataFrame:
     gives each document's links. Of an id that is repeated with different texts, the pair that shares
     most counts. An empty table gives an empty result.
     """
-    return _linked(docs, staged(_found(docs, percent, n), "found"), percent, n, False)
+    docs, ids = _numbered(docs)
+    return _named(_linked(docs, staged(_found(docs, percent, n), "found"), percent, n, False), ids, "a", "b")
 
 
 #: The same rows in DuckDB by comparing all pairs that share a shingle.
