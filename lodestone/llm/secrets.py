@@ -48,6 +48,34 @@ _MATCH = "struct<start:bigint,end:bigint,word:string>"
 _NO_MATCHES = f"CAST(array() AS array<{_MATCH}>)"
 
 
+#: Elements of a stretch over which running values are made one by one, and levels of stretches of stretches.
+STRETCH, LEVELS = 64, 3
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which `name` stands for the value, made once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(values: str, join: str, level: int = LEVELS) -> str:
+    """SQL of the array of running values of an array of non-negative longs under `join`, an expression of {a} and {b}.
+
+    Arrays grow by copying, so an array of n is made from stretches of STRETCH, whose own last values run in the same way:
+    n * STRETCH / 2 copies in place of n * n / 2.
+    """
+    w, p, e = f"w{level}", f"p{level}", f"e{level}"
+    each = join.format(a="acc.at", b="x")
+    plain = f"(acc, x) -> named_struct('at', {each}, 'out', concat(acc.out, array({each}))), acc -> acc.out)"
+    plain = "aggregate({0}, named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), " + plain
+    if not level:
+        return plain.format(values)
+    cut = plain.format(f"slice({w}, CAST(b * {STRETCH} + 1 AS INT), {STRETCH})")
+    parts = f"transform(sequence(0L, CAST((size({w}) - 1) div {STRETCH} AS BIGINT)), b -> {cut})"
+    ends = _running(f"transform({p}, q -> element_at(q, -1))", join, level - 1)
+    moved = f"flatten(zip_with({p}, concat(array(0L), slice({e}, 1, size({e}) - 1)), (q, s) -> transform(q, x -> {join.format(a='s', b='x')})))"
+    return _let(w, values, f"CASE WHEN size({w}) <= {STRETCH} THEN {plain.format(w)} ELSE {_let(p, parts, _let(e, ends, moved))} END")
+
+
 def _matches(pattern: str, word_group: int = 0, text: str = "text") -> str:
     """SQL of the array of matches in the expression `text`: code point start and end, and a group's text.
 
@@ -55,14 +83,23 @@ def _matches(pattern: str, word_group: int = 0, text: str = "text") -> str:
     their lengths add up to positions.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    found, pieces, words = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}', -1)", f"regexp_extract_all({text}, '{p}', {word_group})"
-    return f"""CASE WHEN {text} RLIKE '{p}' THEN aggregate(
-        zip_with(zip_with({found}, {words}, (f, w) -> named_struct('f', f, 'w', w)), slice({pieces}, 1, size({found})),
-                 (m, g) -> named_struct('gap', CAST(length(g) AS BIGINT), 'len', CAST(length(m.f) AS BIGINT), 'word', m.w)),
-        named_struct('at', 0L, 'out', {_NO_MATCHES}),
-        (acc, m) -> named_struct('at', acc.at + m.gap + m.len,
-            'out', concat(acc.out, array(named_struct('start', acc.at + m.gap, 'end', acc.at + m.gap + m.len, 'word', m.word)))),
-        acc -> acc.out) ELSE {_NO_MATCHES} END"""
+    found, pieces = f"regexp_extract_all({text}, '{p}', 0)", f"split({text}, '{p}', -1)"
+    words = f"regexp_extract_all({text}, '{p}', {word_group})" if word_group else "f"
+    sizes = f"zip_with(f, slice({pieces}, 1, size(f)), (m, g) -> CAST(length(m) + length(g) AS BIGINT))"
+    spans = f"zip_with(f, {_running(sizes, '{a} + {b}')}, (m, at) -> named_struct('start', at - length(m), 'end', at))"
+    out = f"zip_with({spans}, {words}, (s, w) -> named_struct('start', s.start, 'end', s.end, 'word', w))"
+    return f"CASE WHEN {text} RLIKE '{p}' THEN {_let('f', found, out)} ELSE {_NO_MATCHES} END"
+
+
+def _not_inside(runs: str, spans: str) -> str:
+    """SQL of those of `runs` that lie in none of `spans`; both are arrays of structs with start and end."""
+    few = "filter(l, m -> NOT exists(h, b -> b.start <= m.start AND m.end <= b.end))"
+    # in the order of their starts, spans first, a run lies in a span if the furthest end before it reaches its own
+    events = "sort_array(concat(transform(h, b -> named_struct('start', b.start, 'run', -1, 'end', b.end)), transform(l, (m, i) -> named_struct('start', m.start, 'run', i, 'end', m.end))))"
+    reached = _running("transform(v, x -> CASE WHEN x.run < 0 THEN x.end ELSE 0L END)", "greatest({a}, {b})")
+    free = f"filter(zip_with(v, {reached}, (x, far) -> CASE WHEN x.run >= 0 AND far < x.end THEN x.run END), i -> i IS NOT NULL)"
+    many = _let("v", events, f"transform({free}, i -> element_at(l, i + 1))")
+    return _let("l", runs, _let("h", spans, f"CASE WHEN size(l) * CAST(size(h) AS BIGINT) <= {STRETCH * STRETCH} THEN {few} ELSE {many} END"))
 
 
 def _in_one_alphabet(runs: str) -> str:
@@ -139,8 +176,8 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
         f"transform({'filter(assign, m -> length(m.word) >= 12)' if kind == 'assign' else kind}, m -> named_struct('start', m.start, 'kind', {k}, 'end', m.end))"
         for k, kind in enumerate(KINDS[:3])
     ]
-    rows = rows.withColumn("base", F.expr(f"array_sort(concat({', '.join(spans)}))"))
-    return rows.select(*keep, "base", F.expr(_tested(f"filter({_in_one_alphabet('run')}, m -> NOT exists(base, b -> b.start <= m.start AND m.end <= b.end))")).alias("random"))
+    rows = rows.withColumn("base", F.expr(f"sort_array(concat({', '.join(spans)}))"))
+    return rows.select(*keep, "base", F.expr(_tested(_not_inside(_in_one_alphabet("run"), "base"))).alias("random"))
 
 
 def cuts(found: DataFrame, level: float = LEVEL) -> dict[str, int]:
@@ -159,9 +196,12 @@ def kept(cut: dict[str, int]) -> Column:
     """base and the random runs that stand and lie in no longer one, as one array of (start, kind, end) by start and kind."""
     tests = "".join(f" WHEN '{s}' THEN {c}" for s, c in sorted(cut.items()))
     below = f"r.bin < CASE r.stratum{tests} ELSE {BINS + 1} END" if cut else "true"
-    longest = "x -> NOT exists(l, y -> y.start <= x.start AND x.end <= y.end AND y.end - y.start > x.end - x.start)"
-    stand = f"flatten(transform(array(filter(random, r -> {below})), l -> filter(l, {longest})))"
-    return F.expr(f"array_sort(concat(base, transform({stand}, r -> named_struct('start', r.start, 'kind', 3, 'end', r.end))))")
+    # runs are different spans: in the order of their starts, longer ones first, one lies in another if the furthest end before it reaches its own
+    ordered = f"sort_array(transform(filter(random, r -> {below}), r -> named_struct('start', r.start, 'from_end', -r.end)))"
+    before = _running("transform(l, x -> -x.from_end)", "greatest({a}, {b})")
+    outer = f"filter(zip_with(l, concat(array(0L), slice({before}, 1, greatest(size(l) - 1, 0))), (x, far) -> CASE WHEN far < -x.from_end THEN x END), x -> x IS NOT NULL)"
+    stand = f"CASE WHEN size(random) = 0 THEN CAST(array() AS array<struct<start:bigint,from_end:bigint>>) ELSE {_let('l', ordered, outer)} END"
+    return F.expr(f"sort_array(concat(base, transform({stand}, r -> named_struct('start', r.start, 'kind', 3, 'end', -r.from_end))))")
 
 
 def _listed(spans: str) -> Column:
@@ -183,6 +223,22 @@ def scan(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     )
 
 
+def _masked(text: str, spans: str, mask: str) -> str:
+    """SQL of the text with the mask in place of each of `spans`, in order, overlapping ones as one.
+
+    A string of marks is made that says of every character whether it stays (0), is the first of a span (1) or another of it (2);
+    text and marks are then put together in stretches, as a place in a text is only found by counting from its start.
+    """
+    far = _running("transform(l, x -> x.end)", "greatest({a}, {b})")
+    # (start, end) from where the spans before it end; what starts inside these goes on with them
+    own = "zip_with(l, concat(array(0L), slice(e, 1, size(e) - 1)), (x, far) -> named_struct('gap', greatest(x.start - far, 0L), 'first', x.start >= far, 'n', greatest(x.end - greatest(x.start, far), 0L)))"
+    marks = "concat(array_join(transform(o, x -> concat(repeat('0', CAST(x.gap AS INT)), CASE WHEN x.first THEN concat('1', repeat('2', CAST(x.n - 1 AS INT))) ELSE repeat('2', CAST(x.n AS INT)) END)), ''), repeat('0', CAST(length({0}) - element_at(e, -1) AS INT)))"
+    pieces = f"regexp_extract_all({{0}}, '(?s).{{{{1,{8 * STRETCH}}}}}', 0)"
+    both = "zip_with(split(t, ''), split(k, ''), (c, m) -> CASE m WHEN '0' THEN c WHEN '1' THEN '{0}' ELSE '' END)".format(mask.replace("\\", "\\\\").replace("'", "\\'"))
+    out = f"array_join(zip_with({pieces.format(text)}, {pieces.format(marks.format(text))}, (t, k) -> CASE WHEN contains(k, '1') OR contains(k, '2') THEN array_join({both}, '') ELSE t END), '')"
+    return _let("l", spans, _let("e", far, _let("o", own, out)))
+
+
 def redact(docs: DataFrame, level: float = LEVEL, mask: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by the mask, overlapping spans by one, and n_chars following the text.
 
@@ -194,12 +250,7 @@ def redact(docs: DataFrame, level: float = LEVEL, mask: str = "[SECRET]") -> Dat
     keep = list(names.values()) if clash else [c for c in docs.columns if c != "text"]
     found = staged(find(plain.withColumn("_text", F.col("text")), *keep, "_text"), "redact")
     rows = found.withColumn("spans", kept(cuts(found, level)))
-    done = F.expr(f"""CASE WHEN size(spans) = 0 THEN _text ELSE aggregate(spans, named_struct('at', 0L, 'out', ''),
-        (acc, s) -> CASE WHEN s.start >= acc.at
-            THEN named_struct('at', s.end, 'out', concat(acc.out, substring(_text, CAST(acc.at + 1 AS INT), CAST(s.start - acc.at AS INT)), '{mask}'))
-            ELSE named_struct('at', greatest(acc.at, s.end), 'out', acc.out) END,
-        acc -> concat(acc.out, substring(_text, CAST(acc.at + 1 AS INT), length(_text)))) END""")
-    rows = rows.withColumn("done", done)
+    rows = rows.withColumn("done", F.expr(f"CASE WHEN size(spans) = 0 THEN _text ELSE {_masked('_text', 'spans', mask)} END"))
     out = []
     for c, t in docs.dtypes:
         if c == "text":
