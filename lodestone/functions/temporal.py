@@ -13,18 +13,36 @@ EPOCH_FLOOR = 1e8
 MINED_FORMATS = ("yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "yyyy-M-d H:m:s", "yyyy/M/d")
 
 
+# The ISO spellings of a time: a whole date, with or without hyphens, then perhaps hours and what follows them, and an offset.
+ISO_DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
+ISO_TIME = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
+ISO_OFFSET = r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?"
+ISO = rf"^{ISO_DATE}(?s:.{ISO_TIME}{ISO_OFFSET})?$"
+
+
 def _iso(s: Column) -> Column:
-    """An ISO time, one without a zone as UTC (the session's zone)."""
-    return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit("yyyyMMdd")))
+    """An ISO time with a whole date, one without a zone as UTC (the session's zone); null for anything else, and for days that don't exist.
+
+    What is left out of a time is zero; nothing else is ever filled in. Digits of a fraction beyond six are dropped.
+    """
+    part = lambda *groups: F.concat(*[F.regexp_extract(s, ISO, g) for g in groups])  # noqa: E731  (one of the groups at most is there)
+    or_zero = lambda c: F.when(c == "", "00").otherwise(c)
+    fraction, offset = part(9, 12), F.replace(part(13), F.lit(":"), F.lit(""))
+    zone = F.when(offset.isin("", "Z"), "Z").when(F.length(offset) == 3, F.concat(offset, F.lit(":00"))).otherwise(F.concat_ws(":", F.substring(offset, 1, 3), F.substring(offset, 4, 2), F.nullif(F.substring(offset, 6, 2), F.lit(""))))
+    whole = F.concat(
+        part(1), F.lit("-"), part(2, 4), F.lit("-"), part(3, 5), F.lit("T"), or_zero(part(6)), F.lit(":"), or_zero(part(7, 10)), F.lit(":"), or_zero(part(8, 11)),
+        F.when(fraction != "", F.concat(F.lit("."), F.substring(fraction, 1, 6))).otherwise(""), zone,
+    )
+    return F.try_to_timestamp(F.when(s.rlike(ISO), whole))
 
 
 def parse_time(s: Column, dialect: str = "pool") -> Column:
     """A timestamp from text, null if it is none.
 
     pool: numbers of EPOCH_FLOOR or more are epoch seconds, others basic dates. mining: every number is epoch
-    seconds, and other texts are one of MINED_FORMATS. gaps: only digits are. metric: no numbers in text at all.
+    seconds, and other texts are one of MINED_FORMATS. gaps: only digits are. metric: no numbers in text at all, nor blanks around it.
     """
-    s = F.trim(s)
+    s = s if dialect == "metric" else F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
     number = s.try_cast("double")
     if dialect == "pool":
         epoch = F.when(F.abs(number) >= EPOCH_FLOOR, number)

@@ -70,3 +70,20 @@ def verdict(reply: Column, key: str = "verdict") -> Column:
     bare = F.trim(F.regexp_replace(reply, "(?s)^\\s*```[a-z]*|```\\s*$", ""))
     parsed = F.get_json_object(F.when(bare.rlike(r"(?s)^\{.*\}$"), bare), f"$.{key}")
     return F.lower(F.coalesce(parsed, F.nullif(F.regexp_extract(reply, rf'(?i)"?{key}"?\s*[:=]\s*"?(true|false|yes|no)', 1), F.lit("")))).isin("true", "yes")
+
+
+def judged_correct(reply: Column, key: str = "correct") -> Column:
+    """Whether a judging model's JSON reply, in a code fence or not, has a value for the key that counts as true; null if it cannot be told.
+
+    False are false, null, 0, an empty text, list or object; all else is true. A reply that is no JSON object with the key
+    counts by its first `"key": true` or `false`.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(reply), r"(?m)^```(?:json)?|```$", ""))
+    whole = F.try_parse_json(bare)
+    has = F.coalesce(F.array_contains(F.json_object_keys(F.when(whole.isNotNull(), bare)), key), F.lit(False))
+    value = F.try_variant_get(whole, f"$.{key}", "string")
+    kind = F.schema_of_variant(F.try_variant_get(whole, f"$.{key}", "variant"))
+    number = value.try_cast("double")
+    false = value.isNull() | (value == "") | ((kind == "BOOLEAN") & (value == "false")) | ((kind != "STRING") & F.coalesce(number == 0, F.lit(False))) | (~F.coalesce(kind == "STRING", F.lit(False)) & value.isin("{}", "[]"))
+    spelled = F.lower(F.nullif(F.regexp_extract(bare, rf'(?i)"{key}"\s*:\s*(true|false)', 1), F.lit("")))
+    return F.when(has, ~false).otherwise(spelled == "true")

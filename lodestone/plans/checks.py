@@ -271,6 +271,21 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", U.verdict(reply).alias("verdict"), A.values_by_key(nested, "k").alias("ks"))
 
 
+# By an event's remainder: a reply, and what it says.
+_REPLIES = (
+    ('{"correct": 1, "rationale": "-"}', "true"), ('```json\n{"rationale": "x", "correct": false}\n```', "false"), ('{"correct": 0.0}', "false"), ('{"correct": null}', "false"), ('{"correct": "false"}', "true"),
+    ('{"correct": ""}', "false"), ('{"correct": []}', "false"), ('{"correct": [0]}', "true"), ('Sure: "Correct" : TRUE, as "correct": false', "true"), ('{"correct": tru', "NULL"), ('{"right": true}', "NULL"), ("", "NULL"),
+    ('[{"correct": false}]', "false"), ('{"correct": {"a": 1}}', "true"), ('{"correct": "0"}', "true"), ('{"why": {"correct": true}}', "true"),
+)
+
+
+@query(f"SELECT event_id, CASE event_id % {len(_REPLIES)} {' '.join(f'WHEN {k} THEN {said}' for k, (_, said) in enumerate(_REPLIES))} END AS correct FROM events")
+def judged_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What judging models' replies say of correctness: any true value, fences, broken JSON, other objects."""
+    replies = F.array(*[F.lit(r) for r, _ in _REPLIES])
+    return read(spark, sf_dir, "events").select("event_id", U.judged_correct(F.element_at(replies, (F.col("event_id") % len(_REPLIES) + 1).cast("int"))).alias("correct"))
+
+
 _NORM = r"lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity as I
+from lodestone.functions import temporal as D
 from lodestone.functions import text as T
 from lodestone.functions import web as U
 from lodestone.operators import evidence as V
@@ -220,3 +221,43 @@ def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "conversations").withColumns({"gold": F.lag("text").over(w), "poison": F.first("text").over(w)}).where("role = 'assistant' AND gold IS NOT NULL")
     out = J.judge(t.withColumn("question", F.lit("")), "question", "gold", "poison", "text")
     return out.select("conv_id", "turn", "answer_type", "label", "reason", J.outcome_state(F.col("label"), F.col("reason")).alias("state"))
+
+
+# By an order's remainder: how its date is spelled (what stands before it, its pattern, what stands behind it), and what each dialect reads.
+_D, _T, _S = "epoch(o_orderdate)", "epoch(o_orderdate) + 45015", "CAST(s AS BIGINT)"
+_SPELLED = (
+    ("", "yyyy-MM-dd", "", (_D, _D, _D, _D)),
+    ("", "yyyyMMdd", "", (_D, _D, _S, _S)),
+    ("", "yyyy-MM-dd", "T12:30:15", (_T, _T, _T, _T)),
+    ("", "yyyy-MM-dd", "T12:30:15Z", (_T, _T, _T, _T)),
+    ("", "yyyy-MM-dd", " 12:30:15+02:00", (f"{_T} - 7200", f"{_T} - 7200", "NULL", f"{_T} - 7200")),
+    ("12:30", "", "", ("NULL",) * 4),
+    ("", "yyyy", "", ("NULL", "NULL", _S, _S)),
+    ("", "yyyy-MM", "", ("NULL",) * 4),
+    ("", "yyyy/MM/dd", "", ("NULL", "NULL", _D, "NULL")),
+    ("", "yyyyMMdd", "T123015.5", (_T, _T, "NULL", _T)),
+    ("", "yyyy-MM-dd", "T12-0130", (f"{_D} + 48600", f"{_D} + 48600", "NULL", f"{_D} + 48600")),
+    (" ", "yyyy-MM-dd", "", ("NULL", _D, _D, _D)),
+    ("", "yyyyMMdd", "00", ("NULL", _S, _S, _S)),
+    ("T12:30", "", "", ("NULL",) * 4),
+    ("", "", "", ("NULL",) * 4),
+)
+_DIALECTS = ("metric", "pool", "mining", "gaps")
+
+
+def _time_sql() -> str:
+    case = lambda values: f"CASE o_orderkey % {len(_SPELLED)} {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(values))} END"
+    pattern = lambda p: p.replace("yyyy", "%Y").replace("MM", "%m").replace("dd", "%d")
+    spelled = case([f"'{before}' || " + (f"strftime(o_orderdate, '{pattern(p)}')" if p else "''") + f" || '{behind}'" for before, p, behind, _ in _SPELLED])
+    return f"WITH x AS (SELECT *, {spelled} AS s FROM orders) SELECT o_orderkey, {', '.join(f'CAST({case([e[k] for *_, e in _SPELLED])} AS BIGINT) AS {d}' for k, d in enumerate(_DIALECTS))} FROM x"
+
+
+@query(_time_sql())
+def time_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spellings of dates read by four parsers; years, months and times of day alone are no dates."""
+    case = F.lit(None).cast("string")
+    for k, (before, pattern, behind, _) in enumerate(_SPELLED):
+        date = F.date_format("o_orderdate", pattern) if pattern else F.lit("")
+        case = F.when(F.col("o_orderkey") % len(_SPELLED) == k, F.concat(F.lit(before), date, F.lit(behind))).otherwise(case)
+    o = read(spark, sf_dir, "orders").select("o_orderkey", case.alias("s"))
+    return o.select("o_orderkey", *[F.unix_seconds(D.parse_time(F.col("s"), d)).alias(d) for d in _DIALECTS])

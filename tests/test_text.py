@@ -78,6 +78,26 @@ def test_parse_time(spark, text, dialect, epoch):
     assert value(spark, F.unix_seconds(D.parse_time(F.col("t"), dialect)), t=text) == epoch
 
 
+ISO_LIKE = [
+    "2020-07-09", "20200709", "2020-07-09T12:30", "2020-07-09x12", "2020-07-09T12:30:15.123456789", "2020-07-09T123015,5", "20200709T1230", "2020-07-09 12:30:15+02:00", "2020-07-09T12:30:15-0130", "2020-07-09T12+05",
+    "12:30", "T12:30", "2020", "2020-07", "2020-0709", "202007-09", "2020-07-09T", "2020-07-09T1:30", "2020-02-30", "2020-07-09T25:00", "2020-07-09T12:3015", "+2020-07-09", "now", "epoch", "2020-07-09Z", " 2020-07-09", "2020-7-9", "",
+]
+
+
+def test_iso_times_as_python_reads_them(spark):
+    import datetime
+
+    def plain(x):
+        try:
+            t = datetime.datetime.fromisoformat(x)
+        except ValueError:
+            return None
+        return (t if t.tzinfo else t.replace(tzinfo=datetime.UTC)).timestamp()
+
+    rows = spark.createDataFrame([(x,) for x in ISO_LIKE], "t string").select("t", (F.unix_micros(D.parse_time(F.col("t"), "metric")) / 1e6).alias("v")).collect()
+    assert {r.t: r.v for r in rows} == {x: plain(x) for x in ISO_LIKE}
+
+
 @pytest.mark.parametrize(("text", "ok"), [("2020-07-09T00:00:00Z", True), ("2020-07-09T00:00:00.123456+00:00", True), ("2020-07-09T00:00:00", False), ("2020-13-09T00:00:00Z", False), (None, False)])
 def test_strict_utc(spark, text, ok):
     assert value(spark, D.strict_utc(F.col("t")), t=text) is ok
