@@ -357,10 +357,12 @@ def rarest(texts: DataFrame, percent: int, n: int) -> DataFrame:
 def rare_pairs(rare: DataFrame, group: str, percent: int, inside: bool) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids of rarest() whose sets may be similar, of one `group` (a column of rare) or of different ones.
 
-    rare must be a written table, it is read several times.
+    rare must be a written table, it is read several times. With folded sketches (w0, w1, ..) in it, these must allow a pair too, and
+    are asked inside the join.
     """
-    larger = rare.select("doc_id", "size", group, F.explode("rare").alias("h"))
-    smaller = rare.select("doc_id", "size", group, F.explode(F.slice("rare", F.lit(1), F.col("first").cast("int"))).alias("h"))
+    words = [c for c in rare.columns if c in {f"w{k}" for k in range(FOLDED)}]
+    larger = rare.select("doc_id", "size", group, *words, F.explode("rare").alias("h"))
+    smaller = rare.select("doc_id", "size", group, *words, F.explode(F.slice("rare", F.lit(1), F.col("first").cast("int"))).alias("h"))
     many = staged(larger.groupBy("h").count().where(F.col("count") > RARE_CHUNK).select("h", F.ceil(F.col("count") / RARE_CHUNK).cast("int").alias("chunks")), "many")
     larger = hot_join(larger, many, ["h"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"), F.lit(0)))
     smaller = hot_join(smaller, many, ["h"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
@@ -368,6 +370,7 @@ def rare_pairs(rare: DataFrame, group: str, percent: int, inside: bool) -> DataF
     same = F.col(f"x.{group}") == F.col(f"y.{group}")
     before = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
     near = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("x.doc_id") != F.col("y.doc_id"))
+    near = near & may_link(percent) if words else near
     both = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.chunk") == F.col("y.chunk")) & before & near & (same if inside else ~same))
     return both.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
@@ -428,10 +431,8 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     crowd = staged(hot_join(led, split.where(F.col("n") > FEW).select("sig"), ["sig"]).select("doc_id", "hub").distinct(), "crowd")
     if not crowd.isEmpty():
-        rare = staged(rarest(docs.join(crowd, "doc_id", "left_semi"), percent, n).join(crowd, "doc_id"), "rare")
-        pairs = rare_pairs(rare, "hub", percent, False)
-        x, y = (quick.select(F.col("doc_id").alias(c), F.struct(*quick.columns[1:]).alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        more = more.unionByName(pairs.join(x, "a").join(y, "b").where(may_link(percent)).select("a", "b"))
+        rare = rarest(docs.join(crowd, "doc_id", "left_semi"), percent, n).join(crowd, "doc_id").join(quick, ["doc_id", "size"])
+        more = more.unionByName(rare_pairs(staged(rare, "rare"), "hub", percent, False))
     more = more.distinct().join(stars, ["a", "b"], "left_anti")
     far = links(more, sketch, docs, percent, n)
 
