@@ -351,7 +351,9 @@ def _rarest(percent: int, n: int, order):
 def rarest(texts: DataFrame, percent: int, n: int) -> DataFrame:
     """(doc_id, size, first, rare) of texts (doc_id, text): each set's first shingles in an order that they all have in common, rare ones first."""
     order = texts.sparkSession.sparkContext.broadcast(_order(texts, n))
-    return staged(texts.select("doc_id", "text").mapInArrow(_rarest(percent, n, order), "doc_id bigint, size bigint, first bigint, rare array<bigint>"), "rarest")
+    out = staged(texts.select("doc_id", "text").mapInArrow(_rarest(percent, n, order), "doc_id bigint, size bigint, first bigint, rare array<bigint>"), "rarest")
+    order.destroy()
+    return out
 
 
 def rare_pairs(rare: DataFrame, group: str, percent: int, inside: bool) -> DataFrame:
@@ -364,8 +366,11 @@ def rare_pairs(rare: DataFrame, group: str, percent: int, inside: bool) -> DataF
     larger = rare.select("doc_id", "size", group, *words, F.explode("rare").alias("h"))
     smaller = rare.select("doc_id", "size", group, *words, F.explode(F.slice("rare", F.lit(1), F.col("first").cast("int"))).alias("h"))
     many = staged(larger.groupBy("h").count().where(F.col("count") > RARE_CHUNK).select("h", F.ceil(F.col("count") / RARE_CHUNK).cast("int").alias("chunks")), "many")
-    larger = hot_join(larger, many, ["h"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"), F.lit(0)))
-    smaller = hot_join(smaller, many, ["h"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    if many.isEmpty():
+        larger, smaller = (x.withColumn("chunk", F.lit(0)) for x in (larger, smaller))
+    else:
+        larger = hot_join(larger, many, ["h"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"), F.lit(0)))
+        smaller = hot_join(smaller, many, ["h"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     x, y = smaller.alias("x"), larger.alias("y")
     same = F.col(f"x.{group}") == F.col(f"y.{group}")
     before = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.doc_id") < F.col("y.doc_id")))
@@ -401,7 +406,7 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     common = staged(every.groupBy("sig").count().where("count > 1").select("sig"), "common")
     filled = spark.sparkContext.broadcast(_bitmap(common))
     sketched = staged(texts.mapInArrow(_sketched(percent, n, filled), "doc_id bigint, size bigint, h1 bigint, h2 bigint, sigs array<bigint>, bits array<bigint>, fold array<bigint>"), "sketches")
-    filled.unpersist()
+    filled.destroy()  # what it was for is written
     once = sketched.join(classes, key).groupBy("class_id", "size").agg(F.first("bits").alias("bits"), F.first("fold").alias("fold"))
     sketch = staged(once.select(F.col("class_id").alias("doc_id"), "size", "bits", *[F.col("fold")[k].alias(f"w{k}") for k in range(FOLDED)]), "sketch")
     quick = sketch.drop("bits")
@@ -429,8 +434,9 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & may_link(percent))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    crowd = staged(hot_join(led, split.where(F.col("n") > FEW).select("sig"), ["sig"]).select("doc_id", "hub").distinct(), "crowd")
-    if not crowd.isEmpty():
+    large = split.where(F.col("n") > FEW).select("sig")
+    if not large.isEmpty():
+        crowd = staged(hot_join(led, large, ["sig"]).select("doc_id", "hub").distinct(), "crowd")
         rare = rarest(docs.join(crowd, "doc_id", "left_semi"), percent, n).join(crowd, "doc_id").join(quick, ["doc_id", "size"])
         more = more.unionByName(rare_pairs(staged(rare, "rare"), "hub", percent, False))
     more = more.distinct().join(stars, ["a", "b"], "left_anti")

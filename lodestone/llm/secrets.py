@@ -48,8 +48,11 @@ _MATCH = "struct<start:bigint,end:bigint,word:string>"
 _NO_MATCHES = f"CAST(array() AS array<{_MATCH}>)"
 
 
-#: Elements of a stretch over which running values are made one by one, and levels of stretches of stretches.
-STRETCH, LEVELS = 64, 3
+#: Elements of a stretch over which running values are made one by one, and levels of stretches of stretches (each makes expressions longer,
+#: which the driver has to plan). Runs times spans up to which each run is compared with each span.
+STRETCH, LEVELS, FEW = 512, 1, 4096
+#: Characters of the pieces in which a text is masked.
+PIECE = 512
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -99,7 +102,7 @@ def _not_inside(runs: str, spans: str) -> str:
     reached = _running("transform(v, x -> CASE WHEN x.run < 0 THEN x.end ELSE 0L END)", "greatest({a}, {b})")
     free = f"filter(zip_with(v, {reached}, (x, far) -> CASE WHEN x.run >= 0 AND far < x.end THEN x.run END), i -> i IS NOT NULL)"
     many = _let("v", events, f"transform({free}, i -> element_at(l, i + 1))")
-    return _let("l", runs, _let("h", spans, f"CASE WHEN size(l) * CAST(size(h) AS BIGINT) <= {STRETCH * STRETCH} THEN {few} ELSE {many} END"))
+    return _let("l", runs, _let("h", spans, f"CASE WHEN size(l) * CAST(size(h) AS BIGINT) <= {FEW} THEN {few} ELSE {many} END"))
 
 
 def _in_one_alphabet(runs: str) -> str:
@@ -233,7 +236,7 @@ def _masked(text: str, spans: str, mask: str) -> str:
     # (start, end) from where the spans before it end; what starts inside these goes on with them
     own = "zip_with(l, concat(array(0L), slice(e, 1, size(e) - 1)), (x, far) -> named_struct('gap', greatest(x.start - far, 0L), 'first', x.start >= far, 'n', greatest(x.end - greatest(x.start, far), 0L)))"
     marks = "concat(array_join(transform(o, x -> concat(repeat('0', CAST(x.gap AS INT)), CASE WHEN x.first THEN concat('1', repeat('2', CAST(x.n - 1 AS INT))) ELSE repeat('2', CAST(x.n AS INT)) END)), ''), repeat('0', CAST(length({0}) - element_at(e, -1) AS INT)))"
-    pieces = f"regexp_extract_all({{0}}, '(?s).{{{{1,{8 * STRETCH}}}}}', 0)"
+    pieces = f"regexp_extract_all({{0}}, '(?s).{{{{1,{PIECE}}}}}', 0)"
     both = "zip_with(split(t, ''), split(k, ''), (c, m) -> CASE m WHEN '0' THEN c WHEN '1' THEN '{0}' ELSE '' END)".format(mask.replace("\\", "\\\\").replace("'", "\\'"))
     out = f"array_join(zip_with({pieces.format(text)}, {pieces.format(marks.format(text))}, (t, k) -> CASE WHEN contains(k, '1') OR contains(k, '2') THEN array_join({both}, '') ELSE t END), '')"
     return _let("l", spans, _let("e", far, _let("o", own, out)))
