@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from lodestone.functions import text as T
+from lodestone.operators import evidence as E
 from lodestone.operators import metrics as M
 
 
@@ -62,6 +63,19 @@ def merge_snapshots(snapshots: list[DataFrame], key: tuple[str, ...]) -> DataFra
     ).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest], "snapshots", "agree")
 
 
+def remapped(parents: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Several snapshots' parents and children under ids that hold across them: (parents with new_id and new_replica_of, children with new_parent).
+
+    parents is (snapshot, id, replica_of, ..), ids unique in a snapshot; children is (snapshot, parent, ..). New ids are dense, from 1, in the order of
+    snapshots, replicas behind what they may replicate, then old ids; they are dealt by ranges and offsets, so they do not depend on partitioning. A reference to what its snapshot
+    does not hold is null: orphans stay, and can be told.
+    """
+    order = F.struct("snapshot", F.col("replica_of").isNotNull().alias("late"), "id")
+    dense = E.numbered(parents.withColumns({"_order": order, "_all": F.lit(0)}), "_all", "_order", "new_id").drop("_order", "_all")
+    named = lambda df, ref, name: df.join(dense.select("snapshot", F.col("id").alias(ref), F.col("new_id").alias(name)), ["snapshot", ref], "left").select(*df.columns, name)
+    return named(dense, "replica_of", "new_replica_of"), named(children, "parent", "new_parent")
+
+
 def gold_capped(rows: DataFrame, by: str, gold: str, order: str, most: int = 19) -> DataFrame:
     """Rows of groups, of the gold ones the first `most` in order."""
     w = Window.partitionBy(by, gold).orderBy(order)

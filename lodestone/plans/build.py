@@ -63,16 +63,17 @@ def assembled_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH n AS (SELECT count(*) AS n FROM benchmark), e AS (SELECT page_id, {_key_sql("url")} AS k FROM pages WHERE html LIKE '%<body%' AND coalesce(html, '') <> ''), c AS (SELECT DISTINCT x.page_id % n AS qid, e.page_id AS idx FROM pages x, n JOIN e ON e.k = {_key_sql("x.url")} WHERE x.url IS NOT NULL AND e.k <> ''),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idx) AS k FROM c) WHERE k <= 8), m AS (SELECT qid, count(*) AS n FROM f GROUP BY qid), s AS (SELECT page_id % 50 AS slot, page_id AS idx FROM e),
-r AS (SELECT m.qid, s.idx, m.n, row_number() OVER (PARTITION BY m.qid ORDER BY sha256('fill|' || m.qid || '|' || s.idx), s.idx) AS draw FROM m JOIN s ON s.slot = m.qid % ((SELECT max(slot) FROM s) + 1) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.qid = m.qid AND c.idx = s.idx))
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idx) AS k FROM c) WHERE k <= 8), m AS (SELECT qid, least(count(*), 8) AS n FROM c GROUP BY qid), s AS (SELECT page_id AS idx, row_number() OVER (ORDER BY sha256('fill|' || page_id), page_id) - 1 AS place FROM e), z AS (SELECT count(*) AS total FROM s),
+h AS (SELECT qid, n, ('0x' || substr(sha256('fill|question|' || qid), 1, 15))::BIGINT % total AS start FROM m, z),
+r AS (SELECT h.qid, s.idx, n, row_number() OVER (PARTITION BY h.qid ORDER BY (s.place - start + total) % total) AS draw FROM h, s, z WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.qid = h.qid AND c.idx = s.idx))
 SELECT qid, idx, true AS is_source FROM f UNION ALL SELECT qid, idx, false FROM r WHERE draw <= 20 - n"""
 )
 def cited_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pools of the fetched pages that a question cites, filled up with pages that it does not cite."""
+    """Pools of the fetched pages that a question cites, filled up to twenty with pages that it does not cite."""
     p, n = read(spark, sf_dir, "pages"), read(spark, sf_dir, "benchmark").agg(F.count("*").alias("_n"))
     evidence = p.where("html LIKE '%<body%' AND coalesce(html, '') <> ''").select(F.col("page_id").alias("idx"), U.url_pool_key(F.col("url")).alias("k"))
     cited = p.where("url IS NOT NULL").join(F.broadcast(n)).select(F.pmod("page_id", "_n").alias("qid"), U.url_pool_key(F.col("url")).alias("k")).join(evidence.where("k <> ''"), "k").select("qid", "idx").distinct()
-    return B.fill_pools(cited, evidence.select((F.col("idx") % 50).alias("slot"), "idx"), 20, 8, "fill")
+    return B.fill_pools(cited, evidence.select("idx"), 20, 8, "fill")
 
 
 _SPANS = f"w AS (SELECT {CORPUS_START} + (i * 37 % 365) * {DAY} AS s, {CORPUS_START} + (i * 37 % 365 + 9) * {DAY} AS e FROM range(20) t(i))"

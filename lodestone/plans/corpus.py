@@ -126,3 +126,22 @@ def encoded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pool(spark, sf_dir).select("qid", "idx", encode("text").alias("v"))
     q = questions(spark, sf_dir).select("qid", encode("query").alias("w"))
     return R.ranked(p.join(q, "qid").select("qid", "idx", R.dot(F.col("v"), F.col("w")).alias("score")), 5).withColumn("score", F.round("score", 6))
+
+
+_SNAPSHOTS = """a AS (SELECT o_orderkey % 3 AS snapshot, o_orderkey // 3 AS id, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey // 3 - 2 END AS replica_of FROM orders WHERE o_orderkey % 97 <> 0),
+n AS (SELECT *, row_number() OVER (ORDER BY snapshot, replica_of IS NOT NULL, id) AS new_id FROM a)"""
+
+
+@query(
+    f"""WITH {_SNAPSHOTS} SELECT 'artifact' AS kind, n.snapshot, n.id, NULL::INTEGER AS line, CAST(n.new_id AS INT) AS new_id, CAST(r.new_id AS INT) AS new_ref, n.replica_of IS NOT NULL AND r.id IS NULL AS orphan FROM n LEFT JOIN n r ON r.snapshot = n.snapshot AND r.id = n.replica_of
+UNION ALL SELECT 'occurrence', l_orderkey % 3, l_orderkey // 3, CAST(l_linenumber AS INT), NULL, CAST(n.new_id AS INT), n.id IS NULL FROM lineitem LEFT JOIN n ON n.snapshot = l_orderkey % 3 AND n.id = l_orderkey // 3"""
+)
+def snapshot_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three snapshots with ids of their own under common ones, references rewritten and orphans told."""
+    local = lambda k: ((F.col(k) % 3).alias("snapshot"), F.floor(F.col(k) / 3).alias("id"))
+    o = read(spark, sf_dir, "orders").where("o_orderkey % 97 <> 0")
+    a = o.select(*local("o_orderkey"), F.when(F.col("o_orderkey") % 10 == 0, F.floor(F.col("o_orderkey") / 3) - 2).alias("replica_of"))
+    c = read(spark, sf_dir, "lineitem").select(*local("l_orderkey"), F.col("l_linenumber").cast("int").alias("line")).withColumnRenamed("id", "parent")
+    a, c = C.remapped(a, c)
+    a = a.select(F.lit("artifact").alias("kind"), "snapshot", "id", F.lit(None).cast("int").alias("line"), "new_id", F.col("new_replica_of").alias("new_ref"), (F.col("replica_of").isNotNull() & F.col("new_replica_of").isNull()).alias("orphan"))
+    return a.unionByName(c.select(F.lit("occurrence").alias("kind"), "snapshot", F.col("parent").alias("id"), "line", F.lit(None).cast("int").alias("new_id"), F.col("new_parent").alias("new_ref"), F.col("new_parent").isNull().alias("orphan")))

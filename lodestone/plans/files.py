@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import replay as R
 from lodestone.sources import files as S
 from lodestone.sources import split as P
 from lodestone.sources.scratch import shared_dir
@@ -126,3 +127,18 @@ def zip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = P.read_zip_lines(spark, at, ".jsonl")
     r = lines.select("member", F.from_json("text", "doc_id bigint, text string, lang string, source string, n_chars bigint").alias("r"))
     return r.select("member", "r.*").withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id), p AS (SELECT doc_id, n, CASE WHEN doc_id % 401 = 17 THEN 'changed' WHEN doc_id % 401 = 55 THEN 'lost' WHEN doc_id % 401 = 99 THEN 'doubled' END AS problem FROM d)
+SELECT doc_id, problem, n AS expected, CASE problem WHEN 'lost' THEN 0 WHEN 'doubled' THEN 2 * n ELSE n END AS found FROM p WHERE problem IS NOT NULL"""
+)
+def replay_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a derived table that was kept, against what its source gives now: rows changed, lost and doubled since."""
+    d, at = read(spark, sf_dir, "documents"), _scratch(spark, "replay")
+    derived = d.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+    k = F.col("doc_id") % 401
+    times = F.when(k == 55, 0).when(k == 99, 2).otherwise(1)
+    kept = derived.withColumn("lang", F.when(k == 17, F.concat(F.coalesce("lang", F.lit("")), F.lit("?"))).otherwise(F.col("lang"))).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).drop("copy")
+    R.keep(kept, ("doc_id",), at, 2)
+    return R.replay(at, derived, ("doc_id",), 2)
