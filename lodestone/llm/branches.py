@@ -190,8 +190,8 @@ def merge_branches(docs: DataFrame) -> DataFrame:
 
     Null texts and columns count as empty, a null id as empty in codes. A row for every id ever there, lang, source and
     text null where the merge leaves no row. Rows that repeat an id are documents of their own, equal ones one; a
-    document with a null id adds no rows, and rows that branches add under an id of the base are rows of their own. An empty table gives an empty result; other columns are
-    not read.
+    document with a null id adds no rows, and rows that branches add under an id of the base are rows of their own. Ids must be whole numbers, as added rows take
+    theirs from them; merge() itself takes any. An empty table gives an empty result; other columns are not read.
     """
     columns = ["lang", "source"]
     docs = docs.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*columns, "text")])
