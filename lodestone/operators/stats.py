@@ -16,6 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from lodestone.operators.evidence import numbered
 
 
 def binomial_two_sided(k: Column, n: Column) -> Column:
@@ -55,19 +58,28 @@ def holm(tests: DataFrame, p: str = "p_value", by: tuple[str, ...] = ()) -> Data
     return step.withColumn("holm", F.max("_s").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_s")
 
 
+@F.pandas_udf(LongType())
+def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(np.gcd(a.to_numpy(), b.to_numpy()))
+
+
 def resample_means(rows: DataFrame, value: str, by: tuple[str, ...], order: tuple[str, ...], draws: int, seed: int = 42) -> DataFrame:
     """(by, b, mean): means of `draws` resamples of each group's values, paired if the value is a difference.
 
-    A resample is drawn over the group's positions: each row's weight in resample b is the number of j that take
-    it, so the work is rows x draws spread over all tasks, and no group is gathered.
+    A resample is drawn over the group's positions. Draw j of resample b takes position (start + j * step) mod n, so the n draws take
+    every position that leaves start as its remainder by m, the greatest common divisor of step and n, and each m times. A group's
+    resamples thus need the sums of at most one class of positions each, and no row is repeated for them.
     """
-    spark = rows.sparkSession
-    w = Window.partitionBy(*by).orderBy(*order)
-    at = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(w) - 1).cast("bigint").alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    taken = at.select(*by, "n", F.col("i").alias("j")).join(F.broadcast(spark.range(draws).select(F.col("id").alias("b"))))  # draws is a parameter
-    index = F.pmod(F.col("b") * 7919 + F.col("j") * 104729 + F.col("b") * F.col("j") * 31 + seed, F.col("n"))
-    counts = taken.select(*by, "b", index.alias("i")).groupBy(*by, "b", "i").agg(F.count("*").alias("times"))
-    return counts.join(at, [*by, "i"]).groupBy(*by, "b").agg((F.sum(F.col("times") * F.col("v")) / F.max("n")).alias("mean"))
+    draw = rows.sparkSession.range(draws).select(F.col("id").alias("b"))  # draws is a parameter
+    start, step = F.col("b") * 7919 + seed, F.col("b") * 31 + 104729
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    plan = sizes.join(F.broadcast(draw)).select(*by, "n", "b", start.alias("start"), _gcd(step, F.col("n")).alias("m")).withColumn("r", F.pmod("start", "m")).drop("start")
+    wanted = plan.groupBy(*by, "m").agg(F.collect_set("r").alias("rs")).groupBy(*by).agg(F.collect_list(F.struct("m", "rs")).alias("classes"))
+    at = numbered(rows.select(F.struct(*by).alias("_group"), F.struct(*order).alias("_at"), F.col(value).alias("v")), "_group", "_at", "i").select("_group.*", "v", (F.col("i").cast("bigint") - 1).alias("i"))
+    held = F.filter("classes", lambda c: F.array_contains(c.rs, F.pmod(F.col("i"), c.m)))
+    each = at.join(F.broadcast(wanted), list(by)).select(*by, "v", "i", F.explode(F.transform(held, lambda c: c.m)).alias("m"))  # a row a group, of at most `draws` classes
+    sums = each.groupBy(*by, "m", F.pmod("i", "m").alias("r")).agg(F.sum("v").alias("v"))
+    return plan.join(sums, [*by, "m", "r"]).select(*by, "b", (F.col("m") * F.col("v") / F.col("n")).alias("mean"))
 
 
 def percentile_bounds(means: DataFrame, by: tuple[str, ...], draws: int, level: float = 0.95) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,28 @@ def test_numbered_is_a_row_number(spark):
     for g in {g for g, _ in rows}:
         want += [(g or "", k, n) for n, k in enumerate(sorted(k for x, k in rows if x == g), 1)]
     assert got == sorted(want)
+
+
+def _stages(spark):
+    """(id, MB of memory that its tasks took) of this session's stages."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).peakExecutionMemory() / 1e6 for k in range(stages.size())}
+
+
+def test_resample_means(spark):
+    """Against every draw taken one by one; no step of the plan repeats the rows for the draws."""
+    sizes = {"a": 1, "b": 60, "c": 104729, "d": 2310, "e": 97}
+    rows = [(g, i, float((i * i + len(g)) % 7)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id bigint, v double").repartition(5)
+    means = S.resample_means(df, "v", ("g",), ("id",), 40)
+    got = {(r.g, r.b): r["mean"] for r in means.collect()}
+    want = {}
+    for g, n in sizes.items():
+        v, j = np.array([x for k, _, x in rows if k == g]), np.arange(n)
+        want |= {(g, b): v[(b * 7919 + j * 104729 + b * j * 31 + 42) % n].sum() / n for b in range(40)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    few = spark.createDataFrame([(g, i, float(i)) for g in "ab" for i in range(20_000)], "g string, id bigint, v double")
+    before = _stages(spark)
+    assert len(S.resample_means(few, "v", ("g",), ("id",), 200).collect()) == 400
+    assert max(mb for stage, mb in _stages(spark).items() if stage not in before) < 300
