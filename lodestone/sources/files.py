@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: Rows of a file of a package.
+PACKAGE_ROWS = 10_000
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """JSON lines, gzipped ones too, with a given schema. A line that is no such object raises; blank lines are skipped."""
@@ -58,9 +61,9 @@ def publish(df: DataFrame, path: str, write=None) -> None:
         raise FileExistsError(path)
 
 
-def write_jsonl(df: DataFrame, path: str, compress: bool = False) -> None:
-    """One object a line, line feeds only; fails if the path is there, so nothing is overwritten."""
-    df.write.mode("errorifexists").option("lineSep", "\n").option("ignoreNullFields", "false").option("compression", "gzip" if compress else "none").json(path)
+def write_jsonl(df: DataFrame, path: str, compress: bool = False, most: int = 0) -> None:
+    """One object a line, line feeds only; fails if the path is there, so nothing is overwritten. A file holds at most `most` rows, any number if that is 0."""
+    df.write.mode("errorifexists").option("maxRecordsPerFile", most).option("lineSep", "\n").option("ignoreNullFields", "false").option("compression", "gzip" if compress else "none").json(path)
 
 
 def read_csv(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
@@ -187,15 +190,18 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def write_package(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as JSON lines under path/name, and path/manifest with every file's digest, written last: without it there is no package."""
+    """Each table as JSON lines under path/name, and path/manifest with every file's digest, written last: without it there is no package.
+
+    A digest takes a whole file in one task, so files hold at most PACKAGE_ROWS rows; only the digests come together.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        write_jsonl(df, f"{path}/{name}")
+        write_jsonl(df, f"{path}/{name}", most=PACKAGE_ROWS)
     files = None
     for name in tables:
         one = manifest(spark, f"{path}/{name}/part-*").select(F.concat(F.lit(f"{name}/"), F.substring_index("path", "/", -1)).alias("file"), "bytes", "sha256")
         files = one if files is None else files.unionByName(one)
-    write_jsonl(files.coalesce(1), f"{path}/manifest")
+    write_jsonl(files.repartition(1), f"{path}/manifest")  # a coalesce would draw the digests into one task
 
 
 def read_package(spark: SparkSession, path: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:

@@ -146,3 +146,18 @@ def test_resumed_logs_and_publishing(spark, tmp_path):
     with pytest.raises(OSError):
         S.publish(df, f"{tmp_path}/never", fails)
     assert not (tmp_path / "never").exists()
+
+
+def test_package_digests_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Files are bounded in rows, and no task digests all of them; only their digests come together."""
+    monkeypatch.setattr(S, "PACKAGE_ROWS", 25)
+    df = spark.range(0, 400, 1, 8).selectExpr("id AS k", "repeat('x', 100) AS v")
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+    stages = lambda: {x.stageId(): x for x in map(store.stageList(None, False, False, none, None).apply, range(store.stageList(None, False, False, none, None).size()))}
+    before = stages()
+    S.write_package({"a": df}, f"{tmp_path}/p")
+    read = [x for k, x in stages().items() if k not in before and x.inputRecords()]
+    assert len(read) == 1 and read[0].inputRecords() == 16 and read[0].numTasks() > 1
+    assert len(list((tmp_path / "p" / "manifest").glob("part-*"))) == 1
+    assert S.read_package(spark, f"{tmp_path}/p", {"a": df.schema})["a"].count() == 400
