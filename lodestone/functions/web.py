@@ -47,22 +47,34 @@ def text_fragment(u: Column) -> Column:
     )
 
 
+def collapsed(c: Column) -> Column:
+    """A text lowered, blanks collapsed to one and cut from its ends; a null one is empty."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
 def cited_span(text: Column, start: Column, reach: int = 400, end: Column | None = None) -> Column:
     """What stands around the first place of a quotation, up to `reach` characters on both sides; null if it is not there.
 
     Text and quotation are compared lowered and with blanks collapsed, and the span is cut from that form. A quotation
     with an end reaches to the first place of it behind its start, if there is one.
     """
-    norm = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""), r"\s+", " "))
-    page, first = norm(text), norm(start)
-    at = F.instr(page, first)
-    stop = at + F.length(first)
-    if end is not None:
-        last = norm(end)
-        found = F.call_function("locate", last, page, stop)
-        stop = F.when((last != "") & (found > 0), found + F.length(last)).otherwise(stop)
-    begin = F.greatest(F.lit(1), at - reach)
-    return F.when((first != "") & (at > 0), F.substring(page, begin, stop - begin + reach))
+    # the text in its normal form and the places in it are bound by lambdas, so that each is made once
+    bound = lambda c, f: F.transform(F.array(c), f)[0]
+
+    def around(page: Column, first: Column) -> Column:
+        def cut(at: Column) -> Column:
+            stop = at + F.length(first)
+            begin = F.greatest(F.lit(1), at - reach)
+            whole = lambda stop: F.substring(page, begin, stop - begin + reach)
+            if end is None:
+                return F.when((first != "") & (at > 0), whole(stop))
+            last = collapsed(end)
+            found = F.when((first != "") & (at > 0), F.call_function("locate", last, page, stop))
+            return bound(found, lambda found: F.when(found.isNotNull(), whole(F.when((last != "") & (found > 0), found + F.length(last)).otherwise(stop))))
+
+        return bound(F.instr(page, first), cut)
+
+    return bound(collapsed(text), lambda page: around(page, collapsed(start)))
 
 
 def verdict(reply: Column, key: str = "verdict") -> Column:

@@ -296,8 +296,9 @@ d AS (SELECT *, i + length(s) AS j, instr(substr(page, i + length(s)), e) AS f F
 def cited_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs that quote a document from its fourth word to its eighth, and what stands around the quotation."""
     d = read(spark, sf_dir, "documents")
-    words = F.split(F.lower(F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+", " ")), " ")
-    d = d.select("doc_id", "text", words.alias("w")).where(F.size("w") >= 8)
+    # the first eight words, of a text that is read once
+    words = F.transform(F.array(F.split(U.collapsed(F.col("text")), " ", 9)), lambda w: F.when(F.size(w) >= 8, F.slice(w, 1, 8)))[0]
+    d = d.where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array(words)).alias("w")).where("w IS NOT NULL")
     quoted = F.concat(F.lit("http://x.org/a#:~:text="), F.replace(F.url_encode(F.array_join(F.slice("w", 4, 2), " ")), F.lit("+"), F.lit("%20")), F.lit(","), F.replace(F.url_encode(F.get("w", F.lit(7))), F.lit("+"), F.lit("%20")))
     f = d.select("doc_id", "text", U.text_fragment(quoted).alias("f"))
     return f.select("doc_id", U.cited_span(F.col("text"), F.col("f.start"), 30, F.col("f.end")).alias("span"))

@@ -239,3 +239,11 @@ def test_page_queries_on_cut_entities(spark, tmp_path, name):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     same, what = parity.compare(QUERIES[name](spark, str(tmp_path)), ORACLES[name], str(tmp_path))
     assert same, what
+
+
+def test_cited_span_reads_a_text_once(spark):
+    """The normal form of a long text stands once in the expression, however often places in it are asked for."""
+    df = spark.createDataFrame([("A b\n c d. " * 3, "b C", "D.")], "t string, s string, e string")
+    out = df.select(U.cited_span(F.col("t"), F.col("s"), 3, F.col("e")).alias("x"))
+    assert out.first()[0] == "a b c d. a "
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace(coalesce(t#") == 1
