@@ -25,15 +25,24 @@ def _iso(s: Column) -> Column:
 
     What is left out of a time is zero; nothing else is ever filled in. Digits of a fraction beyond six are dropped.
     """
-    part = lambda *groups: F.concat(*[F.regexp_extract(s, ISO, g) for g in groups])  # noqa: E731  (one of the groups at most is there)
+    # one match gives all parts, and lambdas bind them, so that they are found once; what stands behind the last bar is a line feed at the end
+    groups = F.split(F.regexp_replace(s, ISO, "$1|$2$4|$3$5|$6|$7$10|$8$11|$9$12|$13|"), r"\|")
     or_zero = lambda c: F.when(c == "", "00").otherwise(c)
-    fraction, offset = part(9, 12), F.replace(part(13), F.lit(":"), F.lit(""))
-    zone = F.when(offset.isin("", "Z"), "Z").when(F.length(offset) == 3, F.concat(offset, F.lit(":00"))).otherwise(F.concat_ws(":", F.substring(offset, 1, 3), F.substring(offset, 4, 2), F.nullif(F.substring(offset, 6, 2), F.lit(""))))
-    whole = F.concat(
-        part(1), F.lit("-"), part(2, 4), F.lit("-"), part(3, 5), F.lit("T"), or_zero(part(6)), F.lit(":"), or_zero(part(7, 10)), F.lit(":"), or_zero(part(8, 11)),
-        F.when(fraction != "", F.concat(F.lit("."), F.substring(fraction, 1, 6))).otherwise(""), zone,
-    )
-    return F.try_to_timestamp(F.when(s.rlike(ISO), whole))
+
+    def whole(p: Column) -> Column:
+        offset, fraction = F.replace(p[7], F.lit(":"), F.lit("")), p[6]
+        zone = F.when(offset.isin("", "Z"), "Z").when(F.length(offset) == 3, F.concat(offset, F.lit(":00"))).otherwise(F.concat_ws(":", F.substring(offset, 1, 3), F.substring(offset, 4, 2), F.nullif(F.substring(offset, 6, 2), F.lit(""))))
+        return F.concat(
+            p[0], F.lit("-"), p[1], F.lit("-"), p[2], F.lit("T"), or_zero(p[3]), F.lit(":"), or_zero(p[4]), F.lit(":"), or_zero(p[5]),
+            F.when(fraction != "", F.concat(F.lit("."), F.substring(fraction, 1, 6))).otherwise(""), zone,
+        )
+
+    return F.try_to_timestamp(_bound(F.when(s.rlike(ISO), groups), whole))
+
+
+def _bound(c: Column, f) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def parse_time(s: Column, dialect: str = "pool") -> Column:
@@ -43,7 +52,10 @@ def parse_time(s: Column, dialect: str = "pool") -> Column:
     seconds, and other texts are one of MINED_FORMATS. gaps: only digits are. metric: no numbers in text at all, nor blanks around it.
     """
     s = s if dialect == "metric" else F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
-    number = s.try_cast("double")
+    return _bound(s, lambda s: _bound(s.try_cast("double"), lambda number: _parsed(s, number, dialect)))
+
+
+def _parsed(s: Column, number: Column, dialect: str) -> Column:
     if dialect == "pool":
         epoch = F.when(F.abs(number) >= EPOCH_FLOOR, number)
     elif dialect == "mining":

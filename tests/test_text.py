@@ -247,3 +247,13 @@ def test_cited_span_reads_a_text_once(spark):
     out = df.select(U.cited_span(F.col("t"), F.col("s"), 3, F.col("e")).alias("x"))
     assert out.first()[0] == "a b c d. a "
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace(coalesce(t#") == 1
+
+
+@pytest.mark.parametrize("dialect", ["pool", "mining", "gaps"])
+def test_times_are_read_once(spark, dialect):
+    """A text without the blanks around it stands once in the expression, whatever parts of it are asked for."""
+    from lodestone.functions import temporal as D
+
+    df = spark.createDataFrame([(" 2020-01-02\n",)], "t string").select(F.unix_seconds(D.parse_time(F.col("t"), dialect)).alias("x"))
+    assert df.first()[0] == 1577923200
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(t#") == 1
