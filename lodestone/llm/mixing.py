@@ -8,7 +8,8 @@ is taken in part, so a source gives its budget to the word. A target above a sou
 epochs and a cut in the last one.
 
 All of it is DataFrame code. Only (id, source, size) leave the scan; the largest sort holds
-1 / 2**key_bits of the largest source.
+1 / 2**key_bits of the largest source. Sums and offsets of ranges are written before the documents are joined
+with them, which keeps each plan short.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ def mix(
     )
     width = 1 << (60 - key_bits)
     rows = rows.withColumn("range", F.floor(F.col("key") / F.lit(float(width))).cast("long"))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    # both are small tables; written, they stand once in what the driver plans, not in each of the two ways to take a document
+    ranges = staged(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
     wants = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     r, w = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).alias("r"), wants.alias("w")
@@ -87,8 +89,8 @@ def mix(
         .withColumn("budget", F.round("target").cast("long"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start"))
-        .alias("r")
     )
+    r = staged(r, "starts").alias("r")
     d = (
         rows.alias("d")
         .join(r, F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))

@@ -31,3 +31,9 @@ def test_stages(spark):
 def test_repeated_ids_and_null_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (None, None, None, None, None), (2, "", "en", "s", 0)], table(spark, SF, "documents").schema)
     assert P.near_duplicates_stage(spark, docs, SF).count() == 3
+
+
+def test_the_mix_is_planned_in_short_steps(spark):
+    """The sums and offsets of ranges are written first; planned twice with the documents, they took the driver's memory."""
+    plan = P.mix_stage(spark, table(spark, SF, "documents"), SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Aggregate [") == 0
