@@ -63,3 +63,16 @@ def test_every_fault_of_a_key(spark):
     approvals = K.bound(keys).select("key_id", F.when(F.col("key_id") == "stale", "x").otherwise(F.col("key_hash")).alias("digest")).where("key_id <> 'gone'")
     got = {r.key_id: r.problems for r in K.key_problems(answers.withColumnRenamed("answer_id", "context_id"), keys, approvals).collect()}
     assert got == {name: [name] for name in cases} | {"k": [], "stale": ["unapproved_or_stale_key"], "odd": ["missing_expressions"]}
+
+
+def test_answers_move_once_to_their_keys(spark):
+    """Texts, sentences and golds went through shuffles of their own, eleven joins in all, and a frequent sentence to one task."""
+    keys, answers = _frames(spark, [_key()], [(1, "it is red", "k")])
+    plan = K.judge_answers(answers, keys, K.bound(keys).select("key_id", F.col("key_hash").alias("digest")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Aggregate ") == 0
+
+
+def test_reading_arrays_with_nulls(spark):
+    rows = spark.createDataFrame([(1, ["a?", None, "a?"]), (2, None), (3, []), (4, ["5×", "B"])], "i int, x array<string>").coalesce(1)
+    got = {r.i: r.y and [x and tuple(x) for x in r.y] for r in rows.select("i", K.reading("x").alias("y")).where("i > 0").collect()}
+    assert got == {1: [("a", False, True), None, ("a", False, True)], 2: None, 3: [], 4: [(None, True, False), ("b", False, False)]}
