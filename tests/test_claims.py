@@ -66,7 +66,7 @@ def test_every_fault_of_a_key(spark):
 
 
 def test_answers_move_once_to_their_keys(spark):
-    """Texts, sentences and golds went through shuffles of their own, eleven joins in all, and a frequent sentence to one task."""
+    """Texts, sentences and golds went through joins of their own, and a frequent sentence to one task."""
     keys, answers = _frames(spark, [_key()], [(1, "it is red", "k")])
     plan = K.judge_answers(answers, keys, K.bound(keys).select("key_id", F.col("key_hash").alias("digest")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2 and plan.count("Aggregate ") == 0
