@@ -17,13 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of a batch that goes to a Python worker. The default, 10,000 texts or pairs of texts of any length, is most of a
 #: worker's memory; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: States that the SQL parser's caches may hold (Spark takes one for 10 kB); long expressions leave several thousand in the driver for good.
+PARSER_STATES = 1000
 
 
 def prepared(spark: SparkSession) -> None:
-    """What operators with Python workers need of a session: this package on the workers' path, and batches of bounded size."""
+    """What operators need of a session: this package on the workers' path, batches of bounded size for these, and a parser that drops its caches."""
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parser.manageParserCaches", "true")
+    spark.conf.set("spark.sql.parser.parserDfaCacheFlushThreshold", str(PARSER_STATES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,15 +74,15 @@ def id_hash(seed: str, *cols: str) -> Column:
 HOT_KEYS, HOT_LEAST = 10_000, 256
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """left joined with right, which has at most one row for a key.
 
     Rows of left whose key is hot stay where they are: the fewer than HOT_KEYS rows that right has for hot keys are
     broadcast to them. All others meet by their key, and no task gets more than one in HOT_KEYS of left's rows
-    for one key. left is read twice, so it should be a written table.
+    for one key. left is read twice, so it should be a written table. total: left's rows, where they are known.
     """
     counts = left.groupBy(keys).count()
-    total = left.count()
+    total = left.count() if total is None else total
     hot = counts.where(F.col("count") > max(HOT_LEAST, total // HOT_KEYS)).select(keys).toArrow()
     if not hot.num_rows:
         return left.join(right, keys, how)

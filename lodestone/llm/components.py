@@ -17,18 +17,21 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     written to the shared folder, so lineage does not pile up. Loops and repeated edges do no harm, edges with a null end
     are left out; without edges there are no nodes.
     """
+    sums = F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
+    # a is the larger end of every edge, here and after each step
     now = staged(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    held = now.select(*sums).first()
     for _ in range(most):
         # large star: u's larger neighbours go to the smallest of u and its neighbours
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = hot_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = now.unionByName(up).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = hot_join(up, least, ["a"], total=held["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = staged(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        sums = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
-        if now.select(sums).first() == after.select(sums).first():
+        before, held = held, after.select(*sums).first()
+        if before == held:
             break
         now = after
     else:

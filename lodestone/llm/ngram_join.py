@@ -430,13 +430,13 @@ def _found(docs: DataFrame, percent: int, n: int) -> DataFrame:
     led = staged(led, "led")
     split = led.groupBy("sig").agg(F.min("hub").alias("x"), F.max("hub").alias("y"), F.count("*").alias("n")).where("x < y").select("sig", "n")
     split = staged(split, "split")
-    left = staged(hot_join(led, split.where(F.col("n") <= FEW).select("sig"), ["sig"]).join(quick, "doc_id"), "left")
+    led = staged(hot_join(led, split, ["sig"]), "parted")
+    left = staged(led.where(F.col("n") <= FEW).drop("n").join(quick, "doc_id"), "left")
     x, y = left.alias("x"), left.alias("y")
     more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.hub") != F.col("y.hub")) & may_link(percent))
     more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    large = split.where(F.col("n") > FEW).select("sig")
-    if not large.isEmpty():
-        crowd = staged(hot_join(led, large, ["sig"]).select("doc_id", "hub").distinct(), "crowd")
+    if not split.where(F.col("n") > FEW).isEmpty():
+        crowd = staged(led.where(F.col("n") > FEW).select("doc_id", "hub").distinct(), "crowd")
         rare = rarest(docs.join(crowd, "doc_id", "left_semi"), percent, n).join(crowd, "doc_id").join(quick, ["doc_id", "size"])
         more = more.unionByName(rare_pairs(staged(rare, "rare"), "hub", percent, False))
     more = more.distinct().join(stars, ["a", "b"], "left_anti")

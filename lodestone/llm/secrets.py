@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, whole
+from .common import prepared, staged, whole
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the matches of AKIA[A-Z0-9]+ with 18 or more characters
@@ -173,6 +173,7 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
     base: array of (start, kind, end), kind 0 to 2 of KINDS, by start and kind;
     random: array of (start, kind, end, stratum, bin) of the tested runs that lie in no base span.
     """
+    prepared(docs.sparkSession)
     rows = docs.select(*keep, whole().alias("text"))
     rows = rows.withColumns({"assign": F.expr(_matches(ASSIGN, 2)), "access": F.expr(_matches(ACCESS)), "hex": F.expr(_matches(HEX)), "run": F.expr(_matches(RUN))})
     spans = [
