@@ -250,24 +250,33 @@ def _table(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def _fills(data: bytes, at: int) -> bool:
+    """Whether frames of one version, layer and rate follow one another from here to the very end."""
+    kind = None
+    while h := header(data[at : at + 4]):
+        if kind not in (None, (h.version, h.layer, h.rate)):
+            return False
+        kind, at = (h.version, h.layer, h.rate), at + h.length
+    return kind is not None and at == len(data)
+
+
 def read(data: bytes) -> Stream:
     """Read a stream. Bytes that are no tag and no frame are skipped and counted, each run as one resync.
 
     A header counts only if its frame fits and is followed by another header of the same version, layer and
     rate, by a tag, or by the end; so marks that stand in a frame's data by chance don't lead astray. A cut
-    last frame is skipped.
+    last frame is skipped. "TAG" before the last 125 bytes is a tag, unless a frame spans it and frames go on to the end.
     """
     out, at, end, lost = Stream(), 0, len(data), False
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
-            if value := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
-                out.tags[f"v1:{name}"] = value
     while at < end:
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at, lost = _id3v2(data, at, out.tags), False
             continue
         h = header(data[at : at + 4])
+        if h and not lost and end < len(data) and at + h.length > end and _fills(data, at):
+            end = len(data)
         if h and at + h.length <= end:
             after = at + h.length
             follows = header(data[after : after + 4]) if after + 4 <= end else None
@@ -289,6 +298,10 @@ def read(data: bytes) -> Stream:
         tag = data.find(b"ID3", at + 1, found if found >= 0 else end)
         to = tag if tag >= 0 else found if found >= 0 else end
         out.skipped, at = out.skipped + to - at, to
+    if end < len(data):
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
+            if value := data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"):
+                out.tags[f"v1:{name}"] = value
     return out
 
 

@@ -40,6 +40,20 @@ def test_mpeg_round_trip(size):
     assert stream.table["frames"] == len(stream.offsets) and stream.duration_ns == len(stream.offsets) * 24_000_000
 
 
+@pytest.mark.parametrize("n", [64, 128, 192, 896, 960, 1024, 1920, 6400])
+def test_mpeg_payload_with_a_tags_mark(n):
+    """The mark of an ID3v1 tag, wherever it stands in a payload, is payload; a tag behind it is still read."""
+    for at in range(max(0, n - 400), n - 2):
+        payload = b"x" * at + b"TAG" + b"y" * (n - at - 3)
+        media = mpeg.write(payload)
+        stream = mpeg.read(media)
+        assert mpeg.payload_of(media, stream) == payload and not stream.skipped and not any(k.startswith("v1:") for k in stream.tags)
+        tagged = mpeg.read(media + b"TAG" + b"Song".ljust(125, b"\0"))
+        assert tagged.tags["v1:title"] == "Song" and tagged.offsets == stream.offsets
+    cut = mpeg.read(media[:-5] + b"TAG" + b"Song".ljust(125, b"\0"))
+    assert cut.tags["v1:title"] == "Song" and len(cut.offsets) == len(stream.offsets) - 1
+
+
 def test_mpeg_resynchronises_and_reports_damage():
     payload = os.urandom(64 * 200)
     media = mpeg.write(payload)
