@@ -9,8 +9,11 @@ DAY = 86400
 
 
 def merge_intervals(rows: DataFrame, by: tuple[str, ...] = (), touch: int = 0) -> DataFrame:
-    """(by, island, start, end, n): closed intervals that overlap, or lie within `touch` of each other, become one."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
+    """(by, island, start, end, n): closed intervals that overlap, or lie within `touch` of each other, become one.
+
+    Rows without a start come last and count in the last island; where a key has no others, each is its own.
+    """
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + touch), 1).otherwise(0))
     numbered = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import temporal as D
@@ -53,9 +53,14 @@ s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY o_custkey ORDER BY start, e ROW
 i AS (SELECT o_custkey, island, min(start) AS start, max(e) AS e, count(*) AS n FROM s GROUP BY ALL)"""
 
 
+def _seconds(c: str) -> Column:
+    """Epoch seconds as the SQL of islands takes them, rounded and a half to the even second."""
+    return F.rint(F.unix_micros(F.col(c).cast("timestamp")) / 1e6).cast("bigint")
+
+
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    start = _seconds("o_orderdate")
     return o.select("o_custkey", start.alias("start"), (start + 56 * DAY).alias("end"))
 
 

@@ -71,6 +71,29 @@ def test_vectors(spark):
     assert cell(spark, R.mean_pool(F.col("a"), F.col("m"), 2), ([[1.0, 3.0], [3.0, 5.0], [9.0, 9.0]], [1, 1, 0]), "a array<array<double>>, m array<int>") == [2.0, 4.0]
 
 
+@pytest.fixture
+def odd_orders(tmp_path):
+    """A folder with orders and lines whose times are null or not whole seconds; no two orders of a customer tie, but null ones."""
+    import duckdb
+
+    con = duckdb.connect()
+    day = "TIMESTAMP '2020-01-01' + to_days(CAST({0} AS INT)) + to_microseconds({1})"
+    order = day.format("k % 10 * 28", "CASE WHEN k % 20 = 10 THEN 1500000 WHEN k % 20 = 9 THEN 600000 WHEN k % 2 = 1 THEN 500000 ELSE 499999 END")
+    con.execute(f"COPY (SELECT k AS o_orderkey, CASE WHEN k // 10 <> 3 THEN k // 10 % 30 END AS o_custkey, CASE WHEN k % 10 <> 4 AND k // 10 <> 8 AND k < 300 THEN {order} END AS o_orderdate FROM range(320) r(k)) TO '{tmp_path}/orders.parquet'")
+    line = day.format("k % 30 * 14 + 56", "k % 7 * 500000")
+    con.execute(f"COPY (SELECT k // 3 AS l_orderkey, CAST(k % 3 AS INT) AS l_linenumber, CASE WHEN k % 11 <> 0 THEN {line} END AS l_shipdate FROM range(960) r(k)) TO '{tmp_path}/lineitem.parquet'")
+    return str(tmp_path)
+
+
+def test_interval_merge_with_odd_times(spark, odd_orders):
+    """Orders without a date come last, and seconds are rounded, as the SQL has them."""
+    from lodestone.parity import compare
+    from lodestone.plans import pools
+
+    ok, what = compare(pools.interval_merge(spark, odd_orders), pools.ORACLES["interval_merge"], odd_orders)
+    assert ok, what
+
+
 def test_intervals(spark):
     rows = spark.createDataFrame([(1, 1, 5), (1, 4, 9), (1, 10, 12), (1, 2, 3)], "k int, start int, end int")
     assert one(E.merge_intervals(rows, ("k",)), "start", "end", "n") == [(1, 9, 3), (10, 12, 1)]
