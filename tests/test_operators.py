@@ -94,6 +94,14 @@ def test_interval_merge_with_odd_times(spark, odd_orders):
     assert ok, what
 
 
+def test_interval_union_filter_with_odd_times(spark, odd_orders):
+    from lodestone.parity import compare
+    from lodestone.plans import pools
+
+    ok, what = compare(pools.interval_union_filter(spark, odd_orders), pools.ORACLES["interval_union_filter"], odd_orders)
+    assert ok, what
+
+
 def test_intervals(spark):
     rows = spark.createDataFrame([(1, 1, 5), (1, 4, 9), (1, 10, 12), (1, 2, 3)], "k int, start int, end int")
     assert one(E.merge_intervals(rows, ("k",)), "start", "end", "n") == [(1, 9, 3), (10, 12, 1)]
