@@ -5,15 +5,18 @@ Resampling uses an index both Spark and SQL can compute: draw j of resample b ta
 resamples from numpy's generator, see bootstrap_numpy and resampled.
 
 That index is linear in j, so a draw over a number of rows prime to its factor takes every row once, and its mean is the
-mean of the rows. Bounds and p-values of the bootstrap itself come from resampled, whose draws are independent.
+mean of the rows. Bounds and p-values of the bootstrap itself come from drawn_means, whose index is mixed and which SQL
+can compute too, and from resampled; their draws are independent.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -82,10 +85,79 @@ def resample_means(rows: DataFrame, value: str, by: tuple[str, ...], order: tupl
     return plan.join(sums, [*by, "m", "r"]).select(*by, "b", (F.col("m") * F.col("v") / F.col("n")).alias("mean"))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """32 bits made of 32, one to one, so that near numbers get far ones."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x21F0AAAD)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0xD35A2D97)
+    return x ^ (x >> np.uint32(15))
+
+
+def mixed_sql(rows: str, keep: str) -> str:
+    """SQL of the columns `keep` and x of rows, x mixed. The second factor is that of mixed() less 2**32, so products are BIGINTs."""
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0xD35A2D97 - (1 << 32))):
+        rows = f"(SELECT {keep}, (xor(x >> {shift}, x) * {factor}) & 4294967295 AS x FROM {rows})"
+    return f"(SELECT {keep}, xor(x >> 15, x) AS x FROM {rows})"
+
+
+def drawn_means_sql(draws: int, seed: int = 42) -> str:
+    """CTEs of drawn_means over a CTE v(g, id, v): pos, bs, js, k and m(g, b, mean)."""
+    return f"""pos AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v, id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM v),
+bs AS {mixed_sql(f"(SELECT b, b + {seed} AS x FROM range({draws}) r(b))", "b")},
+js AS {mixed_sql("(SELECT g, n, i AS x FROM pos)", "g, n")},
+k AS (SELECT g, b, (x * n) >> 32 AS i FROM {mixed_sql("(SELECT g, n, b, (js.x + bs.x) & 4294967295 AS x FROM js, bs)", "g, n, b")}),
+m AS (SELECT k.g, k.b, sum(v) / max(n) AS mean FROM k JOIN pos ON pos.g = k.g AND pos.i = k.i GROUP BY ALL)"""
+
+
+#: Of drawn_means: resamples and draws of each that a task makes at a time, and draws that it holds at once.
+DRAWN = (100, 1 << 20, 1 << 15)
+
+
+def drawn_means(rows: DataFrame, value: str, by: tuple[str, ...], draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(by, b, mean): means of `draws` independent resamples of each group's n rows, with replacement; the same as SQL's.
+
+    Draw j of resample b takes position h * n // 2**32 of the group's rows, least values first and null ones last, where h is the mixed sum
+    of mixed b + seed and mixed j. Each of the n draws of each resample is made. A position of rows in the order of values gives a value by
+    the places where values change, so only equal rows' numbers travel: tasks take a block of resamples and of draws at a time, and keep
+    a sum a resample. A null counts in n only; a resample of nulls has none. Groups have fewer than 2**31 rows.
+    """
+    each, many, slots = DRAWN
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    groups = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("v").isNull().alias("none"), "v", "c"))).alias("steps"), F.sum("c").alias("n"))
+    blocks = -(-draws // each)
+    block = F.broadcast(rows.sparkSession.range(blocks).select(F.col("id").alias("block")))  # draws is a parameter
+    pieces = groups.withColumn("start", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / many)))).join(block).repartition(blocks)
+
+    def drawn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(batch.num_rows):
+                piece = batch.slice(at, 1)
+                steps, n, start, block = (piece.column(c)[0].as_py() for c in ("steps", "n", "start", "block"))
+                v, known = np.array([s["v"] or 0.0 for s in steps]), np.array([not s["none"] for s in steps])
+                upto = np.cumsum([s["c"] for s in steps], dtype=np.uint64)[:-1]
+                edges = (((upto << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n)).astype(np.uint32)
+                b = np.arange(block * each, min(draws, (block + 1) * each), dtype=np.int64)
+                times = np.zeros((len(b), len(v)), np.int64)
+                for first in range(start * many, min(n, (start + 1) * many), slots):
+                    j = mixed(np.arange(first, min(n, (start + 1) * many, first + slots), dtype=np.uint32))
+                    for r, x in enumerate(mixed((b + seed).astype(np.uint32))):
+                        h = mixed(j + x)
+                        if len(v) <= 32:
+                            times[r] += np.diff([0, *(np.count_nonzero(h < e) for e in edges), len(h)])
+                        else:
+                            times[r] += np.bincount(np.searchsorted(edges, h, "right"), minlength=len(v))
+                out = piece.take(pa.array(np.zeros(len(b), np.int64)))
+                yield pa.record_batch([*[out.column(c) for c in by], out.column("n"), pa.array(b), pa.array(times @ v), pa.array(times @ known)], names=[*by, "n", "b", "total", "known"])
+
+    kinds = dict(rows.dtypes)
+    sums = pieces.mapInArrow(drawn, ", ".join([*(f"{c} {kinds[c]}" for c in by), "n bigint, b bigint, total double, known bigint"]))
+    means = sums.groupBy(*by, "b").agg(F.sum("total").alias("total"), F.sum("known").alias("known"), F.max("n").alias("n"))
+    return means.select(*by, "b", F.when(F.col("known") > 0, F.col("total") / F.col("n")).alias("mean"))
+
+
 def percentile_bounds(means: DataFrame, by: tuple[str, ...], draws: int, level: float = 0.95) -> DataFrame:
-    """(by, low, high): the order statistics int(a/2 B) and int((1-a/2) B) - 1, from 0, without interpolation."""
+    """(by, low, high): the order statistics int(a/2 B) and int((1-a/2) B) - 1, from 0, without interpolation; null means come last."""
     a = 1 - level
-    w = Window.partitionBy(*by).orderBy("mean")
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("mean"))
     r = means.withColumn("r", F.row_number().over(w) - 1)
     return r.groupBy(*by).agg(F.max(F.when(F.col("r") == int(a / 2 * draws), F.col("mean"))).alias("low"), F.max(F.when(F.col("r") == int((1 - a / 2) * draws) - 1, F.col("mean"))).alias("high"))
 

@@ -68,13 +68,14 @@ z AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY mean) - 1 AS r FROM m
 
 
 @query(
-    f"""WITH v AS (SELECT lang AS g, doc_id AS id, quality * 1.0::DOUBLE AS v FROM labels JOIN documents USING (doc_id)), {_BOOT.format(draws=200)}
-SELECT g AS lang, round(e.estimate, 6) AS estimate, round(max(mean) FILTER (r = 5), 6) AS low, round(max(mean) FILTER (r = 194), 6) AS high FROM z JOIN (SELECT g, avg(v) AS estimate FROM v GROUP BY g) e USING (g) GROUP BY ALL"""
+    f"""WITH v AS (SELECT lang AS g, doc_id AS id, quality * 1.0::DOUBLE AS v FROM labels JOIN documents USING (doc_id)), {S.drawn_means_sql(10_000)},
+z AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY mean) - 1 AS r FROM m)
+SELECT g AS lang, round(e.estimate, 6) AS estimate, round(max(mean) FILTER (r = 250), 6) AS low, round(max(mean) FILTER (r = 9749), 6) AS high FROM z JOIN (SELECT g, avg(v) AS estimate FROM v GROUP BY g) e USING (g) GROUP BY ALL"""
 )
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I1 in 200 draws that SQL can make: bounds of the share of good documents, by language. In 10,000: bootstrap_bounds."""
+    """Bounds of the share of good documents, by language, from 10,000 independent draws that SQL can make."""
     v = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("v", F.col("quality").cast("double"))
-    bounds = S.percentile_bounds(S.resample_means(v, "v", ("lang",), ("doc_id",), 200), ("lang",), 200)
+    bounds = S.percentile_bounds(S.drawn_means(v, "v", ("lang",), 10_000), ("lang",), 10_000)
     return v.groupBy("lang").agg(F.avg("v").alias("estimate")).join(bounds, "lang").select("lang", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
 
 

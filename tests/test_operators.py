@@ -299,6 +299,55 @@ def test_resample_means(spark):
     assert max(mb for stage, mb in _stages(spark).items() if stage not in before) < 300
 
 
+@pytest.mark.parametrize("piece", [(100, 1 << 20, 1 << 15), (7, 64, 10)])
+def test_drawn_means(spark, tmp_path, monkeypatch, piece):
+    """Against each draw taken one by one, and SQL: groups of few and many values, of one row, and with nulls; pieces whole and cut."""
+    import duckdb
+
+    monkeypatch.setattr(S, "DRAWN", piece)
+    mask = 2**32 - 1
+
+    def mix(x):
+        x = (x ^ x >> 16) * 0x21F0AAAD & mask
+        x = (x ^ x >> 15) * 0xD35A2D97 & mask
+        return x ^ x >> 15
+
+    sizes = {"a": 1, "b": 60, "c": 700, "d": 65, "e": 3, "f": 1}
+    value = {"a": lambda i: 2.5, "b": lambda i: float(i % 3), "c": lambda i: (i * i % 331) / 7, "d": lambda i: None if i % 4 else -1.0, "e": lambda i: None if i else 1.0, "f": lambda i: None}
+    rows = [(g, i, value[g](i)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id bigint, v double").repartition(5)
+    got = {(r.g, r.b): r["mean"] for r in S.drawn_means(df, "v", ("g",), 250).collect()}
+    want = {}
+    for g, n in sizes.items():
+        v = sorted((x for k, _, x in rows if k == g), key=lambda x: (x is None, x or 0))
+        for b in range(250):
+            drawn = [v[mix(mix(b + 42) + mix(j) & mask) * n >> 32] for j in range(n)]
+            want[g, b] = None if all(x is None for x in drawn) else sum(x for x in drawn if x is not None) / n
+    same = lambda a, b: a is b is None or None not in (a, b) and abs(a - b) < 1e-9
+    assert got.keys() == want.keys() and all(same(got[k], want[k]) for k in want)
+    df.write.parquet(f"{tmp_path}/v")
+    sql = duckdb.execute(f"WITH v AS (SELECT * FROM '{tmp_path}/v/*.parquet'), {S.drawn_means_sql(250)} SELECT g, b, mean FROM m").fetchall()
+    assert len(sql) == len(want) and all(same(mean, want[g, b]) for g, b, mean in sql)
+
+
+def test_percentile_bounds_with_a_null_mean(spark):
+    means = spark.createDataFrame([("a", None), ("a", 2.0), ("a", 1.0)], "g string, mean double")
+    assert one(S.percentile_bounds(means, ("g",), 3), "g", "low", "high") == [("a", 1.0, 2.0)]
+
+
+def test_bootstrap_ci_draws_are_independent(spark):
+    """Its bounds are those of independent draws: about as wide as the normal ones, and near those of numpy's generator."""
+    from lodestone.plans import analysis
+
+    other = {r.lang: r for r in analysis.bootstrap_bounds(spark, SMALL).collect()}
+    found = analysis.bootstrap_ci(spark, SMALL).collect()
+    assert {r.lang for r in found} == set(other)
+    for r in found:
+        n, p = other[r.lang].n, other[r.lang].estimate
+        assert abs(r.low - other[r.lang].low) <= 1.01 / n and abs(r.high - other[r.lang].high) <= 1.01 / n
+        assert abs((r.high - r.low) - 2 * 1.96 * math.sqrt(p * (1 - p) / n)) <= 2.01 / n
+
+
 def test_mined_sources_against_plain_python(spark, monkeypatch):
     """Nulls, empty arrays, copies, ties at the fifth place; batches of a few cells, one and several blocks of questions. Tokens and pairs are not shuffled."""
     from lodestone.functions import text as T
